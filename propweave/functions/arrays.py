@@ -25,12 +25,10 @@ def flat_pairs(pairs: str | Column, first: str, second: str) -> Column:
 def chunk_pairs(flat: str | Column, first: str, second: str) -> Column:
     """[a, v, ...] to [(a, v), ...]; an odd last entry is left out."""
     a = _c(flat)
-    half = F.floor(F.size(a) / 2).cast("int")
-    steps = F.when(half > 0, F.sequence(F.lit(0), half - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(
-        steps,
-        lambda i: F.struct(F.get(a, i * 2).alias(first), F.get(a, i * 2 + 1).alias(second)),
-    )
+    firsts = F.filter(a, lambda x, i: i % 2 == 0)
+    seconds = F.filter(a, lambda x, i: i % 2 == 1)
+    return F.zip_with(F.slice(firsts, F.lit(1), F.size(seconds)), seconds,
+                      lambda x, y: F.struct(x.alias(first), y.alias(second)))
 
 
 def prefixes(arr: str | Column) -> Column:

@@ -57,7 +57,7 @@ def known_properties(requests: DataFrame, act: DataFrame, prop: DataFrame, bridg
 def property_catalog(prop: DataFrame, bridge: DataFrame, source: DataFrame) -> DataFrame:
     """Each property once, with the list of its categories; a property without any keeps an empty list."""
     cat = F.struct("category", "reason", "strength")
-    cats = bridge.groupBy("property_id").agg(F.array_sort(F.collect_list(cat)).alias("categories"))
+    cats = bridge.groupBy("property_id").agg(F.sort_array(F.collect_list(cat)).alias("categories"))
     empty = F.array().cast(cats.schema["categories"].dataType)
     return (prop.join(source, "source_id").join(cats, "property_id", "left")
                 .select("property_token", "title", "source", "data", F.coalesce("categories", empty).alias("categories")))

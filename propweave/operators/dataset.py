@@ -18,7 +18,7 @@ def nest_pairs(data: DataFrame, key: str = "sid", prop: str = "assay_index", val
     the number of properties, however many raw rows the substance has.
     """
     pair = F.struct(F.col(prop).alias("assay_index"), F.col(value).alias("value"))
-    return data.groupBy(key).agg(F.array_sort(F.collect_set(pair)).alias("assay_val_pairs"))
+    return data.groupBy(key).agg(F.sort_array(F.collect_set(pair)).alias("assay_val_pairs"))
 
 
 def split_name(key: Column | str, weights: tuple[float, ...] = (0.8, 0.1, 0.1), seed: int = 37,
@@ -91,7 +91,7 @@ def sample_pairs(pairs: str | Column, k: int, seed: int, key: str | Column, rep:
     """k pairs in a seeded random order."""
     p = F.col(pairs) if isinstance(pairs, str) else pairs
     who = [F.col(key) if isinstance(key, str) else key] + ([rep] if rep is not None else [])
-    ranked = F.array_sort(F.transform(p, lambda x: F.struct(
+    ranked = F.sort_array(F.transform(p, lambda x: F.struct(
         seeded_digest(seed, *who, x[field]).alias("r"), x.alias("x"))))
     return F.slice(F.transform(ranked, lambda t: t["x"]), F.lit(1), F.lit(k))
 

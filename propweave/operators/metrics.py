@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from propweave.operators.ordering import with_buckets
+from propweave.operators.ordering import bucket_of, order_cuts
 
 # Fixed value: scores are kept this far from 0 and 1 before the logarithm.
 CLIP = 1e-15
@@ -17,23 +17,26 @@ def score_counts(df: DataFrame, keys: list[str], y: str, score: str) -> DataFram
     return df.groupBy(*keys, score).agg(pos, neg)
 
 
-def _rank_wins(counts: DataFrame, keys: list[str], score: str, buckets: int) -> DataFrame:
+def _rank_wins(counts: DataFrame, keys: list[str], score: str, buckets: int | None) -> DataFrame:
     """Per group: positives, negatives, and the number of (positive, negative) pairs ranked right, ties half.
 
     Scores are cut into buckets, so a hot group's scores are ranked by many tasks; only
     bucket totals meet in one place.
     """
-    rows = with_buckets(counts, [score], buckets)
+    rest = [c for c in counts.columns if c not in (*keys, score)]
+    cuts = order_cuts(counts, [score], buckets)
+    wins = F.sum(F.col("pos") * (F.coalesce(F.col("_below"), F.lit(0)) + F.col("neg") / 2)).alias("_wins")
+    if not cuts:
+        below = W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
+        local = counts.withColumn("_below", F.sum("neg").over(below))
+        return local.groupBy(*keys).agg(wins.alias("wins"), *[F.sum(c).alias(c) for c in rest])
+    rows = counts.withColumn("_b", bucket_of(counts, [score], cuts))
     below = W.partitionBy(*keys, "_b").orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    local = rows.withColumn("_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    per_bucket = local.groupBy(*keys, "_b").agg(
-        F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2)).alias("_wins"),
-        *[F.sum(c).alias(c) for c in counts.columns if c not in (*keys, score)])
+    local = rows.withColumn("_below", F.sum("neg").over(below))
+    per_bucket = local.groupBy(*keys, "_b").agg(wins, *[F.sum(c).alias(c) for c in rest])
     ahead = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     total = per_bucket.withColumn("_wins", F.col("_wins") + F.col("pos") * F.coalesce(F.sum("neg").over(ahead), F.lit(0)))
-    return total.groupBy(*keys).agg(
-        F.sum("_wins").alias("wins"),
-        *[F.sum(c).alias(c) for c in counts.columns if c not in (*keys, score)])
+    return total.groupBy(*keys).agg(F.sum("_wins").alias("wins"), *[F.sum(c).alias(c) for c in rest])
 
 
 def _auc() -> Column:
@@ -41,7 +44,7 @@ def _auc() -> Column:
     return F.when(both, F.col("wins") / (F.col("pos").cast("double") * F.col("neg")))
 
 
-def safe_auc(df: DataFrame, keys: list[str], y: str, score: str, buckets: int = 64) -> DataFrame:
+def safe_auc(df: DataFrame, keys: list[str], y: str, score: str, buckets: int | None = None) -> DataFrame:
     """AUC per group with average ranks for ties; NULL where a group has one class only."""
     ranked = _rank_wins(score_counts(df, keys, y, score), keys, score, buckets)
     return ranked.select(*keys, "pos", "neg", _auc().alias("auc"))
@@ -58,7 +61,7 @@ def _with_cells(counts: DataFrame, score: str, threshold: float, strict: bool) -
 
 def binary_metrics(df: DataFrame, keys: list[str], y: str, score: str, item: str | None = None,
                    threshold: float = 0.5, min_pos: int = 10, min_neg: int = 10, min_items: int = 20,
-                   strict: bool = True, buckets: int = 64) -> DataFrame:
+                   strict: bool = True, buckets: int | None = None) -> DataFrame:
     """AUC, accuracy, balanced accuracy and log-loss per group with enough support."""
     counts = _with_cells(score_counts(df, keys, y, score), score, threshold, strict)
     m = _rank_wins(counts, keys, score, buckets).filter((F.col("pos") >= min_pos) & (F.col("neg") >= min_neg))
@@ -82,7 +85,7 @@ def support_counts(df: DataFrame, keys: list[str], y: str, item: str) -> DataFra
 
 
 def confusion_by_group(df: DataFrame, keys: list[str], y: str, score: str, threshold: float = 0.5,
-                       min_rows: int = 30, strict: bool = False, buckets: int = 64) -> DataFrame:
+                       min_rows: int = 30, strict: bool = False, buckets: int | None = None) -> DataFrame:
     """Confusion counts, sensitivity, specificity and AUC; NULL scores are dropped first and reported
     through ``groupsize``; groups with too few rows or one class are left out."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("groupsize"))

@@ -16,21 +16,33 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 SAMPLE = 4096
 
 
-def order_cuts(df: DataFrame, order: list[str], buckets: int = 64) -> list[tuple]:
-    """At most ``buckets - 1`` cut points, from a bounded hash sample."""
-    sample = df.select(*order).orderBy(F.xxhash64(*order)).limit(SAMPLE).distinct().orderBy(*order).collect()
-    if len(sample) <= 1:
+def bucket_count(df: DataFrame) -> int:
+    """As many buckets as the session has shuffle partitions, within 16 and 256."""
+    return min(256, max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def order_cuts(df: DataFrame, order: list[str], buckets: int | None = None) -> list[tuple]:
+    """At most ``buckets - 1`` cut points from a hash sample of bounded size.
+
+    Empty when the whole input fits into the sample: then one bucket is enough.
+    """
+    buckets = buckets or bucket_count(df)
+    sample = df.select(*order).orderBy(F.xxhash64(*order)).limit(SAMPLE).collect()
+    if len(sample) < SAMPLE:
         return []
-    step = max(1, len(sample) // buckets)
-    return [tuple(r) for r in sample[step::step]][: buckets - 1]
+    rows = sorted({tuple(r) for r in sample if all(v is not None and v == v for v in r)})
+    step = max(1, len(rows) // buckets)
+    return rows[step::step][: buckets - 1]
 
 
 def bucket_of(df: DataFrame, order: list[str], cuts: list[tuple]) -> Column:
     """Number of cut points not above the row's key, by binary search."""
     types = [df.schema[c].dataType for c in order]
-    key = F.struct(*[F.col(c) for c in order])
+    key = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
 
     def literal(cut):
+        if len(order) == 1:
+            return F.lit(cut[0]).cast(types[0])
         return F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(cut, types, order)])
 
     def search(lo: int, hi: int) -> Column:
@@ -39,16 +51,15 @@ def bucket_of(df: DataFrame, order: list[str], cuts: list[tuple]) -> Column:
         mid = (lo + hi) // 2
         return F.when(key < literal(cuts[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
 
-    return search(0, len(cuts)).cast("int")
-
-
-def with_buckets(df: DataFrame, order: list[str], buckets: int, name: str = "_b") -> DataFrame:
-    return df.withColumn(name, bucket_of(df, order, order_cuts(df, order, buckets)))
+    found = search(0, len(cuts))
+    if len(order) == 1:  # NULL sorts first
+        found = F.when(key.isNull(), F.lit(0)).otherwise(found)
+    return found.cast("int")
 
 
 def prefix_scan(df: DataFrame, order: list[str], sums: dict[str, str] | None = None,
                 mins: dict[str, str] | None = None, group: list[str] | None = None,
-                buckets: int = 64) -> DataFrame:
+                buckets: int | None = None) -> DataFrame:
     """Running values over ``order`` inside ``group``.
 
     ``sums``: new column -> summed column, rows before this one (exclusive).
@@ -56,7 +67,14 @@ def prefix_scan(df: DataFrame, order: list[str], sums: dict[str, str] | None = N
     ``order`` must be unique inside a group for a repeatable result.
     """
     group, sums, mins = group or [], sums or {}, mins or {}
-    rows = with_buckets(df, order, buckets)
+    cuts = order_cuts(df, order, buckets)
+    if not cuts:  # a small table: the plain window is the cheaper plan
+        w = W.partitionBy(*(group or [F.lit(0)])).orderBy(*order)
+        return df.select(
+            *df.columns,
+            *[F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(o) for o, c in sums.items()],
+            *[F.min(c).over(w.rowsBetween(W.unboundedPreceding, 0)).alias(o) for o, c in mins.items()])
+    rows = df.withColumn("_b", bucket_of(df, order, cuts))
     parts = [*group, "_b"]
     before = W.partitionBy(*parts).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     upto = W.partitionBy(*parts).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
@@ -87,7 +105,7 @@ def prefix_scan(df: DataFrame, order: list[str], sums: dict[str, str] | None = N
 
 
 def ordered_position(df: DataFrame, order: list[str], out: str, group: list[str] | None = None,
-                     start: int = 1, buckets: int = 64) -> DataFrame:
+                     start: int = 1, buckets: int | None = None) -> DataFrame:
     """Row number over ``order``; no task ever sorts more than one bucket."""
     one = df.withColumn("_one", F.lit(1).cast("bigint"))
     scanned = prefix_scan(one, order, sums={"_pos": "_one"}, group=group, buckets=buckets)
@@ -117,7 +135,7 @@ def first_row(df: DataFrame, keys: list[str], order: list[str], keep: list[str])
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_m.k{i}").alias(c) for i, c in enumerate(keep)])
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str, buckets: int = 64) -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str, buckets: int | None = None) -> DataFrame:
     """Exact median from value counts and their prefix sums (no value list per group)."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     ranked = prefix_scan(counts, [value], sums={"_before": "_c"}, group=keys, buckets=buckets)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from propweave.operators.dataset import nest_pairs, sample_pairs
 from propweave.operators.features import conditional_table, priors
 from propweave.operators.metrics import binary_metrics, sigmoid
+from propweave.sources.scratch import materialise
 
 
 def known_context(requests: DataFrame, known: DataFrame) -> DataFrame:
@@ -19,19 +20,31 @@ def known_context(requests: DataFrame, known: DataFrame) -> DataFrame:
     return joined.withColumn("context", F.coalesce(others, none.cast(kind))).drop("known")
 
 
-def random_contexts(ctx: DataFrame, k: int = 4, r: int = 10, seed: int = 137,
-                    keys: tuple[str, ...] = ("sid", "target")) -> DataFrame:
-    """Up to ``r`` different random choices of ``k`` context pairs per request.
+def drawn_orders(known: DataFrame, n: int, r: int, seed: int = 137) -> DataFrame:
+    """(sid, draws): the first ``n`` known pairs of ``r`` seeded random orders per substance."""
+    nested = nest_pairs(known, "sid", "assay", "value")
+    orders = F.transform(F.sequence(F.lit(1), F.lit(r)),
+                         lambda rep: sample_pairs("assay_val_pairs", n, seed, "sid", rep))
+    return nested.select("sid", orders.alias("draws"))
 
-    Choices are made inside the row; equal choices are removed there too, so no shuffle.
-    """
-    who = F.concat_ws("|", *[F.col(c).cast("string") for c in keys])
 
-    def draw(rep: Column) -> Column:
-        return F.array_sort(sample_pairs("context", k, seed, who, rep))
+def without_target(draw: Column, k: int) -> Column:
+    return F.slice(F.filter(draw, lambda p: p["assay_index"] != F.col("target")), F.lit(1), F.lit(k))
+
 
-    draws = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(r)), draw))
-    return ctx.select(*keys, F.posexplode(draws).alias("ctx", "pairs"))
+def random_contexts(requests: DataFrame, known: DataFrame, k: int = 4, r: int = 10, seed: int = 137) -> DataFrame:
+    """Up to ``r`` different random choices of ``k`` known pairs per request (sid, target), the target left out.
+
+    The orders are drawn once per substance and shared by all its targets: k + 1 pairs are
+    enough, since at most one of them is the target. A request so carries r * (k + 1)
+    pairs, however many values its substance has. Equal choices are removed inside the row.
+    """
+    draws = drawn_orders(known, k + 1, r, seed)
+    kind = draws.schema["draws"].dataType.simpleString()
+    joined = requests.select("sid", "target").join(draws, "sid", "left")
+    chosen = F.transform("draws", lambda d: F.sort_array(without_target(d, k)))
+    chosen = F.coalesce(F.array_distinct(chosen), F.array(F.array()).cast(kind))
+    return joined.select("sid", "target", F.posexplode(chosen).alias("ctx", "pairs"))
 
 
 def score_contexts(contexts: DataFrame, cond: DataFrame, prior: DataFrame,
@@ -56,7 +69,7 @@ def ensemble_mean(scores: DataFrame, keys: tuple[str, ...] = ("sid", "target"))
 def predict_property(requests: DataFrame, known: DataFrame, cond: DataFrame, prior: DataFrame,
                      k: int = 4, r: int = 10, seed: int = 137) -> DataFrame:
     """Mean probability over the random contexts of each request."""
-    contexts = random_contexts(known_context(requests, known), k, r, seed)
+    contexts = random_contexts(requests, known, k, r, seed)
     return ensemble_mean(score_contexts(contexts, cond, prior))
 
 
@@ -68,7 +81,7 @@ def candidate_x_property(candidates: DataFrame, props: DataFrame, slices: int =
     spreads both the work and the output.
     """
     p = props.withColumn("_slice", F.pmod(F.xxhash64(*props.columns), F.lit(slices)))
-    c = candidates.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("bigint"))
+    c = candidates.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))))
     return c.join(p, "_slice").drop("_slice")
 
 
@@ -88,14 +101,14 @@ def eval_by_nprops(trn: DataFrame, hld: DataFrame, max_known: int = 4, seed: int
     """Held-out metrics per (number of known values, target); the tables are fitted on the training part."""
     cond, prior = conditional_table(trn), priors(trn)
     req = hld.select("sid", F.col("assay").alias("target"), F.col("value").alias("y"))
-    ctx = known_context(req, hld)
-    drawn = sample_pairs("context", max_known, seed, F.concat_ws("|", F.col("sid").cast("string"),
-                                                                F.col("target").cast("string")))
-    rows = ctx.withColumn("drawn", drawn).filter(F.size("drawn") >= max_known)
+    draws = drawn_orders(hld, max_known + 1, 1, seed)
+    rows = req.join(draws, "sid").withColumn("drawn", without_target(F.col("draws")[0], max_known))
+    rows = rows.filter(F.size("drawn") >= max_known)
     steps = F.transform(F.sequence(F.lit(0), F.lit(max_known)), lambda j: F.slice("drawn", F.lit(1), j))
     rows = rows.select("sid", "target", "y", F.posexplode(steps).alias("ctx", "pairs"))
     scored = score_contexts(rows, cond, prior, extra=("y",))
-    scored = scored.withColumn("prob", F.round("prob", 9)).withColumnRenamed("ctx", "nprops")
+    # three readers follow (score sample, score counts, item counts): score once, store, read back
+    scored = materialise(scored.withColumn("prob", F.round("prob", 9)).withColumnRenamed("ctx", "nprops"), "scored")
     return binary_metrics(scored, ["nprops", "target"], "y", "prob", "sid",
                           min_pos=min_pos, min_neg=min_neg, min_items=min_items)
 

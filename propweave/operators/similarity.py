@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from propweave.functions.hashing import seeded_digest
 from propweave.operators.ordering import top_n
+from propweave.sources.scratch import materialise
 
 ROWS_PER_CHUNK = 2048
 MAX_PIVOTS = 256
@@ -38,8 +39,10 @@ def block_join(left: DataFrame, right: DataFrame, kernel: Callable, schema: str,
               .withColumn("_l", F.explode(F.sequence(F.lit(0), F.col("_nl") - 1))))
     if triangle:
         l, r = l.filter("_l <= _r"), r.filter("_l <= _r")
-    key, drop = ["_cell", "_l", "_r"], ["_nl", "_nr"]
-    return l.drop(*drop).groupBy(*key).cogroup(r.drop(*drop).groupBy(*key)).applyInPandas(kernel, schema)
+    l, r = l.drop("_nl", "_nr"), r.drop("_nl", "_nr")
+    l, r = l.toDF(*l.columns), r.toDF(*r.columns)  # fresh column ids: both sides may come from one table
+    key = ["_cell", "_l", "_r"]
+    return l.groupBy(*key).cogroup(r.groupBy(*key)).applyInPandas(kernel, schema)
 
 
 def _topk_kernel(k: int, metric: str, bound: float | None, exclude_self: bool) -> Callable:
@@ -198,7 +201,7 @@ def analogues(queries: DataFrame, corpus: DataFrame, k: int = 5, block: str | No
     hits = neighbours(queries, corpus, k, "ip", None, block, exclude_self, cells)
     one = F.struct("rank", F.col("cid").alias("id"), F.col("score").alias("weight"), "value")
     return hits.groupBy(F.col("qid").alias("id")).agg(
-        F.array_sort(F.collect_list(one)).alias("analogues"), F.avg("value").alias("mean_value"))
+        F.sort_array(F.collect_list(one)).alias("analogues"), F.avg("value").alias("mean_value"))
 
 
 def triplets(emb: DataFrame, label: str = "label", cls: str = "cls", k: int = 5, anchors: int = 150,
@@ -237,17 +240,24 @@ def words(col: str | Column) -> Column:
 
 def fingerprint(df: DataFrame, col: str, out: str = "bits", shingle: int = 3, n_bits: int = 2048) -> DataFrame:
     """Hashed set fingerprint of the whole text: the sorted distinct buckets of its word shingles."""
+    # shifted word lists are zipped: a list looked up inside the lambda could be inlined there and split once per word
     w = F.col("_w")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(w) - shingle + 1, F.lit(1)))
-    parts = F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(shingle)), " "))
+    parts = w
+    for shift in range(1, shingle):
+        later = F.slice(w, F.lit(shift + 1), F.greatest(F.size(w) - shift, F.lit(0)))
+        parts = F.zip_with(parts, later, lambda x, y: F.concat_ws(" ", x, y))
+    parts = F.slice(parts, F.lit(1), F.greatest(F.size(w) - shingle + 1, F.lit(1)))
     bit = F.transform(parts, lambda s: (F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint") % n_bits).cast("int"))
-    return df.withColumn("_w", words(col)).withColumn(out, F.array_sort(F.array_distinct(bit))).drop("_w")
+    return df.withColumn("_w", words(col)).withColumn(out, F.sort_array(F.array_distinct(bit))).drop("_w")
 
 
 def distinct_sets(fp: DataFrame, id_col: str, bits: str = "bits") -> DataFrame:
-    """Equal fingerprints once, with their smallest id and number of copies."""
-    return fp.groupBy(F.col(bits).alias("bits")).agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("copies")) \
-             .withColumn("n", F.size("bits"))
+    """Equal fingerprints once, with their smallest id and number of copies.
+
+    Stored, because a block join reads its input several times and hashing whole texts is the dear part.
+    """
+    sets = fp.groupBy(F.col(bits).alias("bits")).agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("copies"))
+    return materialise(sets.withColumn("n", F.size("bits")), "fingerprints")
 
 
 def _overlap_matrix() -> Callable:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from propweave.functions.arrays import pad_list
 from propweave.functions.symbols import EOS, EOS_ID, PAD, PAD_ID, SOS, SOS_ID, greedy_split, notation_ids, split_symbols
 from propweave.operators.ordering import ordered_position
+from propweave.sources.scratch import materialise
 
 # a map literal is searched entry by entry, so it is only used for short vocabularies
 MAP_LIMIT = 128
@@ -16,7 +17,8 @@ def fit_vocab(df: DataFrame, col: str, specials: tuple[str, ...] = (PAD, SOS, EO
     """(symbol, index): the specials, then all distinct symbols in symbol order."""
     symbols = (df.select(F.explode(split_symbols(col)).alias("symbol")).distinct()
                  .filter(~F.col("symbol").isin(*specials)))
-    numbered = ordered_position(symbols, ["symbol"], "index", start=len(specials))
+    # stored, so that the corpus is read once although the numbering reads its input more than once
+    numbered = ordered_position(materialise(symbols, "symbols"), ["symbol"], "index", start=len(specials))
     head = df.sparkSession.createDataFrame([(s, i) for i, s in enumerate(specials)], "symbol string, index bigint")
     return head.unionByName(numbered)
 
@@ -25,7 +27,7 @@ def char_vocab(df: DataFrame, col: str) -> DataFrame:
     """(symbol, index): every character of the corpus and the blank, sorted, from 0."""
     chars = df.select(F.explode(F.split(F.col(col), "")).alias("symbol")).filter(F.col("symbol") != "")
     blank = df.sparkSession.createDataFrame([(" ",)], "symbol string")
-    return ordered_position(chars.unionByName(blank).distinct(), ["symbol"], "index", start=0)
+    return ordered_position(materialise(chars.unionByName(blank).distinct(), "characters"), ["symbol"], "index", start=0)
 
 
 def _short(vocab: DataFrame) -> dict[str, int] | None:
@@ -52,7 +54,7 @@ def _lookup(df: DataFrame, vocab: DataFrame, arr: Column, key: str, forward: boo
     parts = df.select(key, F.posexplode(arr).alias("_pos", "_entry"))
     table = vocab.select(F.col(src).alias("_entry"), F.col(dst).alias("_id"))
     hits = parts.join(table, "_entry", "left").select(key, "_pos", F.coalesce("_id", missing).alias("_id"))
-    rows = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_list"))
+    rows = hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_pos", "_id"))).alias("_list"))
     rows = rows.select(key, F.col("_list._id").alias("_ids"))
     return df.join(rows, key, "left").withColumn(
         "_ids", F.coalesce("_ids", F.array().cast("array<bigint>" if forward else "array<string>")))
@@ -100,7 +102,7 @@ def char_encode(df: DataFrame, vocab: DataFrame, col: str, out: str, key: str, m
 def property_index(act: DataFrame, col: str = "assay", out: str = "assay_index") -> DataFrame:
     """Index by frequency, most frequent first, ties by name."""
     counts = act.groupBy(col).agg((-F.count(F.lit(1))).alias("_neg"))
-    return ordered_position(counts, ["_neg", col], out, start=0).select(col, (-F.col("_neg")).alias("n"), out)
+    return ordered_position(materialise(counts, "property-counts"), ["_neg", col], out, start=0).select(col, (-F.col("_neg")).alias("n"), out)
 
 
 def label_index(df: DataFrame, col: str, out: str, offset: int = 0) -> DataFrame:

@@ -16,7 +16,7 @@ from propweave.operators.dataset import nest_pairs, split_by_hash
 from propweave.operators.dataset import encode_pairs
 from propweave.operators.metrics import binary_metrics
 from propweave.operators.vocab import encode_symbols, fit_vocab, id_space_of, property_index
-from propweave.sources.tables import scan
+from propweave.sources.tables import scan, spread
 
 def active() -> Column:
     """Returned items count as positive."""
@@ -32,6 +32,10 @@ class Tables:
     def raw(self, name: str, *columns: str) -> DataFrame:
         return scan(self.spark, f"{self.dir}/{name}.parquet", *columns)
 
+    def docs(self) -> DataFrame:
+        """Whole texts, spread over the cores where the file layout gives fewer tasks than there are cores."""
+        return spread(self.raw("documents", "doc_id", "text"))
+
     @cached_property
     def act(self) -> DataFrame:
         return self.raw("lineitem").select(F.col("l_partkey").alias("sid"), F.col("l_suppkey").alias("assay"), active())
@@ -131,7 +135,7 @@ class Tables:
     @cached_property
     def fam_pred(self) -> DataFrame:
         return self.fam_act.groupBy(F.col("sid").alias("name"), F.col("assay").alias("property_id")).agg(
-            F.round(F.avg("l_quantity") / 50, 6).alias("prediction"))
+            F.round(F.avg("l_quantity") / 50, 9).alias("prediction"))
 
     @cached_property
     def alt(self) -> DataFrame:

@@ -107,7 +107,7 @@ def _(t):
 def _(t):
     from propweave.operators.similarity import words
 
-    docs = t.raw("documents", "doc_id", "text")
+    docs = t.docs()
     docs = docs.withColumn("w", F.transform(words("text"), lambda x: F.concat(F.lit("["), F.replace(x, F.lit("]"), F.lit("")), F.lit("]"))))
     docs = docs.select("doc_id", F.array_join("w", "").alias("symbols"), F.size("w").alias("n_words"))
     voc = vocab.fit_vocab(docs, "symbols")

@@ -62,8 +62,8 @@ def _draws(known: str, requests: str, r: int, k: int = 4) -> str:
     """SQL for the seeded contexts: (sid, target, pairs list) with equal draws of a request once."""
     return f"""(select distinct sid, target, pairs from (select sid, target, rep, list(feature || ':' || fvalue order by feature) as pairs from
         (select q.sid, q.target, k.assay as feature, k.value as fvalue, rep, row_number() over (partition by q.sid, q.target, rep
-            order by md5('137|' || q.sid || '|' || q.target || '|' || rep || '|' || k.assay)) as rn
-         from {requests} q join {known} k on k.sid = q.sid and k.assay <> q.target, range(1, {r} + 1) g(rep)) a
+            order by md5('137|' || q.sid || '|' || rep || '|' || k.assay)) as rn
+         from (select distinct sid, target from {requests} o) q join {known} k on k.sid = q.sid and k.assay <> q.target, range(1, {r} + 1) g(rep)) a
         where rn <= {k} group by sid, target, rep) b)"""
 
 
@@ -73,8 +73,7 @@ FREQ = "(select sid, assay as target from FAM)"
 @query("random_contexts", f"select sid, target, array_to_string(pairs, ' ') as pairs from {_draws('FAM', FREQ, 10)} d")
 def _(t):
     req = t.fam.select("sid", F.col("assay").alias("target"))
-    ctx = scoring.known_context(req, t.fam).filter(F.size("context") > 0)
-    out = scoring.random_contexts(ctx, k=4, r=10)
+    out = scoring.random_contexts(req, t.fam, k=4, r=10).filter(F.size("pairs") > 0)
     pair = F.transform("pairs", lambda p: F.concat_ws(":", p["assay_index"], p["value"]))
     return out.select("sid", "target", F.array_join(pair, " ").alias("pairs"))
 
@@ -133,7 +132,7 @@ def _(t):
     co as (select target, feature, fvalue, ln((n1 + 1) / (all1 + 2)) - ln((support - n1 + 1) / (alln - all1 + 2)) as llr from cs),
     pr as (select assay as target, (sum(value) + 1.0::double) / (count(*) + 2) as prior from TRN group by assay),
     rk as (select a.sid, a.assay as target, a.value as y, b.assay as feature, b.value as fvalue, row_number() over (partition by a.sid, a.assay
-            order by md5('137|' || a.sid || '|' || a.assay || '|' || b.assay)) as rn, count(*) over (partition by a.sid, a.assay) as m
+            order by md5('137|' || a.sid || '|1|' || b.assay)) as rn, count(*) over (partition by a.sid, a.assay) as m
            from HLD a join HLD b on a.sid = b.sid and a.assay <> b.assay),
     sc as (select g.nprops, sid, rk.target, any_value(y) as y, round(1 / (1 + exp(-(any_value(ln(prior / (1 - prior)))
             + coalesce(sum(llr) filter (rn <= g.nprops), 0)))), 9) as prob
@@ -259,7 +258,7 @@ def _(t):
 
 @query("fingerprint", "select id as doc_id, len(bits) as n_bits, md5(array_to_string(bits, ' ')) as digest from FBITS")
 def _(t):
-    fp = similarity.fingerprint(t.raw("documents", "doc_id", "text"), "text")
+    fp = similarity.fingerprint(t.docs(), "text")
     return fp.select("doc_id", F.size("bits").cast("bigint").alias("n_bits"), F.md5(text("bits")).alias("digest"))
 
 
@@ -267,7 +266,7 @@ def _(t):
     round(bit_count(a.bs & b.bs)::double / (a.n + b.n - bit_count(a.bs & b.bs)), 6) as tanimoto
     from FBIT a join FBIT b on a.n < b.n or (a.n = b.n and a.id < b.id)) t where tanimoto >= 0.5""")
 def _(t):
-    fp = similarity.fingerprint(t.raw("documents", "doc_id", "text"), "text")
+    fp = similarity.fingerprint(t.docs(), "text")
     return similarity.tanimoto_pairs(fp, "doc_id", 0.5)
 
 
@@ -275,7 +274,7 @@ def _(t):
         from FBIT a join FBIT b on a.id < b.id union all select copies * (copies - 1) // 2, 1.0 from FBIT where copies > 1)
     select least(floor(s * 20 + 1e-9), 19)::int as bin, sum(w)::bigint as n_pairs, round(sum(w * s) / sum(w), 6) as mean_sim from p group by all""")
 def _(t):
-    fp = similarity.fingerprint(t.raw("documents", "doc_id", "text"), "text")
+    fp = similarity.fingerprint(t.docs(), "text")
     return rounded(similarity.tanimoto_diversity(fp, "doc_id"), "mean_sim")
 
 

@@ -154,13 +154,13 @@ def _(t):
 
 
 TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-PIVOT = ", ".join(f"coalesce(round(avg(prediction) filter (category = '{c}' and strength > 9), 6), 0) as {c.lower()}" for c in TYPES)
+PIVOT = ", ".join(f"coalesce(round(1e-9 + avg(prediction) filter (category = '{c}' and strength > 9), 6), 0) as {c.lower()}" for c in TYPES)
 
 
 @query("pivot_mean", f"select name, {PIVOT} from ALT where strength > 9 group by name")
 def _(t):
     p = reports.pivot_mean(t.alt.filter("strength > 9"), "name", "category", TYPES, "prediction")
-    return p.select("name", *[r6(c).alias(c.lower()) for c in TYPES])
+    return p.select("name", *[r6(F.col(c) + 1e-9).alias(c.lower()) for c in TYPES])  # off exact rounding ties
 
 
 NP = list(range(7))
@@ -251,7 +251,7 @@ def _(t):
 
 
 @query("rebalance", """select name, property_id, round(case when prediction <= 0.1 then prediction / 0.2 else 0.5 + (prediction - 0.1) / 1.8 end, 6) as p
-    from (select sid as name, assay as property_id, round(avg(l_quantity) / 50, 6) as prediction from FAMACT group by all) t""")
+    from (select sid as name, assay as property_id, round(avg(l_quantity) / 50, 9) as prediction from FAMACT group by all) t""")
 def _(t):
     return t.fam_pred.select("name", "property_id", r6(reports.rebalance(F.col("prediction"))).alias("p"))
 

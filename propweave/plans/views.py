@@ -50,7 +50,7 @@ VIEWS = {
     "FAM": "select sid, assay, max(value) as value from FAMACT group by sid, assay having count(distinct value) = 1",
     "ALT": """select p.name, p.property_id, p.prediction, f.value, pr.property_token, pr.title as property_title, s.source,
         c.category, c.strength
-        from (select sid as name, assay as property_id, round(avg(l_quantity) / 50, 6) as prediction from FAMACT group by all) p
+        from (select sid as name, assay as property_id, round(avg(l_quantity) / 50, 9) as prediction from FAMACT group by all) p
         left join FAM f on f.sid = p.name and f.assay = p.property_id
         join PROP pr using (property_id) join SRC s using (source_id) join PCAT c using (property_id)""",
     "LOG": "select event_type as type, event_id as batch, value as loss, 0.001::double as lr from events",

@@ -18,6 +18,16 @@ def scan_glob(spark: SparkSession, folder: str, pattern: str, *columns: str) ->
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a scan that has fewer partitions than the cluster has cores; else leave it alone.
+
+    Meant for work that is dear per row on small inputs: a large table has many more
+    partitions than cores and is never shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_table(df: DataFrame, path: str, by: list[str] | None = None, files: int | None = None,
                 sort: list[str] | None = None) -> str:
     """Overwrite a Parquet table.
