@@ -102,3 +102,32 @@ def quality_checks(df: DataFrame, columns: list[str], min_rows: int) -> DataFram
         for c in columns
     ])
     return counts.select(F.inline(report))
+
+
+def _digest(col: str) -> list[Column]:
+    """192 bits that stand for a text as a join key, so that whole texts are not shuffled."""
+    return [F.md5(col).alias("_md5"), F.xxhash64(col).alias("_xx")]
+
+
+def novel_items(made: DataFrame, known: list[DataFrame], col: str) -> DataFrame:
+    """Distinct made items that occur in none of the known tables.
+
+    Copies are reduced to one key before the join on both sides, on the map side first.
+    """
+    keys = ["_md5", "_xx"]
+    items = made.groupBy(*_digest(col)).agg(F.min(col).alias(col))
+    for table in known:
+        items = items.join(table.select(*_digest(col)).distinct(), keys, "left_anti")
+    return items.drop(*keys)
+
+
+def quality_rates(made: DataFrame, known: DataFrame, col: str, charset: str, max_length: int) -> DataFrame:
+    """Share of made items that are valid, and share not found among the known ones."""
+    keys = ["_md5", "_xx"]
+    items = made.groupBy(*_digest(col)).agg(
+        F.count(F.lit(1)).alias("_n"), F.first(is_valid(F.col(col), charset, max_length).cast("double")).alias("_ok"))
+    seen = known.select(*_digest(col)).distinct().withColumn("_seen", F.lit(1))
+    rows = items.join(seen, keys, "left")
+    new = F.when(F.col("_seen").isNull(), F.col("_n")).otherwise(0)
+    return rows.agg(F.sum("_n").alias("n"), (F.sum(F.col("_n") * F.col("_ok")) / F.sum("_n")).alias("validity"),
+                    (F.sum(new) / F.sum("_n")).alias("novelty"))

@@ -18,7 +18,7 @@ def nest_pairs(data: DataFrame, key: str = "sid", prop: str = "assay_index", val
     the number of properties, however many raw rows the substance has.
     """
     pair = F.struct(F.col(prop).alias("assay_index"), F.col(value).alias("value"))
-    return data.groupBy(key).agg(F.sort_array(F.collect_set(pair)).alias("assay_val_pairs"))
+    return data.groupBy(key).agg(F.sort_array(F.collect_list(pair)).alias("assay_val_pairs"))
 
 
 def split_name(key: Column | str, weights: tuple[float, ...] = (0.8, 0.1, 0.1), seed: int = 37,

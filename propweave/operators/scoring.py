@@ -138,6 +138,7 @@ def learned_scores(data: DataFrame, symbols: str = "symbols", tokens: str = "kno
 
     df = data.withColumn("_tokens", F.concat(F.col(symbols), F.col(tokens)))
     hashed = HashingTF(numFeatures=features, inputCol="_tokens", outputCol="_features", binary=True).transform(df)
+    hashed = materialise(hashed.select(*keep, label, "_features"), "features")  # every iteration reads it
     model = LogisticRegression(featuresCol="_features", labelCol=label, maxIter=iterations, regParam=0.01,
                                aggregationDepth=3).fit(hashed)
     return model.transform(hashed).select(*keep, label, vector_to_array("probability")[1].alias("prob"))

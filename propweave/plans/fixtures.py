@@ -16,6 +16,7 @@ from propweave.operators.dataset import nest_pairs, split_by_hash
 from propweave.operators.dataset import encode_pairs
 from propweave.operators.metrics import binary_metrics
 from propweave.operators.vocab import encode_symbols, fit_vocab, id_space_of, property_index
+from propweave.sources.scratch import materialise
 from propweave.sources.tables import scan, spread
 
 def active() -> Column:
@@ -85,13 +86,18 @@ class Tables:
     def voc(self) -> DataFrame:
         return fit_vocab(self.sub, "symbols")
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The cleaned activities as a stored stage: index, sizes and nesting all read it."""
+        return materialise(self.cons, "activities")
+
     @cached_property
     def pix(self) -> DataFrame:
-        return property_index(self.cons)
+        return property_index(self.stored)
 
     @cached_property
     def data(self) -> DataFrame:
-        return self.cons.join(self.pix.select("assay", "assay_index"), "assay")
+        return self.stored.join(self.pix.select("assay", "assay_index"), "assay")
 
     @cached_property
     def meta(self) -> dict[str, int]:

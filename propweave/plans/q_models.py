@@ -295,12 +295,8 @@ def _(t):
 @query("quality_rates", r"""select count(*) as n, round(avg((length(text) > 0 and length(text) <= 200 and regexp_full_match(text, '[A-Za-z ,.\n]*'))::int), 6) as validity,
     round(avg((text not in (select text from documents))::int), 6) as novelty from conversations""")
 def _(t):
-    made = t.raw("conversations", "text")
-    known = t.raw("documents", "text").distinct().withColumn("_seen", F.lit(1))
-    j = made.join(known, "text", "left")
-    ok = clean.is_valid(F.col("text"), r"A-Za-z ,.\n", 200)
-    return j.agg(F.count(F.lit(1)).alias("n"), r6(F.avg(ok.cast("double"))).alias("validity"),
-                 r6(F.avg(F.col("_seen").isNull().cast("double"))).alias("novelty"))
+    out = clean.quality_rates(t.raw("conversations", "text"), t.raw("documents", "text"), "text", r"A-Za-z ,.\n", 200)
+    return rounded(out, "validity", "novelty")
 
 
 @query("stream_log_summary", """select type, count(*) as n_rows, round(min(loss), 6) as min_loss, arg_min(batch, loss * 1e9 + batch / 1e9) as best_batch,

@@ -265,9 +265,7 @@ def _(t):
 @query("novelty_anti", """select distinct text from (select text from conversations) c where text not in (select text from documents)
     and text not in (select text from benchmark)""")
 def _(t):
-    made = t.raw("conversations", "text").distinct()
-    known = t.raw("documents", "text").unionByName(t.raw("benchmark", "text"))
-    return made.join(known, "text", "left_anti")
+    return clean.novel_items(t.raw("conversations", "text"), [t.raw("documents", "text"), t.raw("benchmark", "text")], "text")
 
 
 @query("distinct_rows", "select distinct l_suppkey as assay, l_returnflag as flag from lineitem")
