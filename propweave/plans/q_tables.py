@@ -94,9 +94,9 @@ def _(t):
 
 @query("results_partitioned", """select assay as property_token, count(*) as n, round(avg(probs), 6) as mean_pred from PRED group by assay""")
 def _(t):
-    path = tables.write_table(t.pred.select("assay", "value", "probs").withColumnRenamed("assay", "property_token")
-                              .repartition("property_token", F.pmod(F.xxhash64("value", "probs"), F.lit(4))),
-                              scratch_path(t.spark, "results"), by=["property_token"])
+    rows = t.pred.select(F.col("assay").alias("property_token"), "value", "probs")
+    # rebalance gathers a property's rows into few files, but splits a property too large for one task
+    path = tables.write_table(rows.hint("rebalance", "property_token"), scratch_path(t.spark, "results"), by=["property_token"])
     return t.spark.read.parquet(path).groupBy(F.col("property_token").cast("bigint").alias("property_token")).agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg("probs")).alias("mean_pred"))
 

@@ -32,13 +32,13 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None, files: in
                 sort: list[str] | None = None) -> str:
     """Overwrite a Parquet table.
 
-    ``files`` fixes the width, ``by`` partitions the folder, ``sort`` orders rows inside
-    each file so that a lookup on those columns skips row groups.
+    ``files`` fixes the width, ``by`` partitions the folder, ``sort`` gives each file its own
+    range of those columns, in order, so that a lookup on them skips files and row groups.
     """
     if files:
         df = df.repartition(files)
     if sort:
-        df = df.sortWithinPartitions(*sort)
+        df = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
     writer = df.write.mode("overwrite")
     if by:
         writer = writer.partitionBy(*by)
