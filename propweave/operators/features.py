@@ -8,7 +8,7 @@ map-side aggregate keyed by the property pair, and only pair totals are shuffled
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from propweave.operators.dataset import nest_pairs
 
@@ -28,38 +28,52 @@ def frequent(cons: DataFrame, min_rows: int, prop: str = "assay") -> DataFrame:
 
 
 def pair_counts(cons: DataFrame, key: str = "sid", prop: str = "assay", value: str = "value",
-                min_rows: int = 0, mirror: bool = True) -> DataFrame:
-    """(x, vx, y, vy, n): number of substances with value vx for x and vy for y, the pair (x, x) included.
+                min_rows: int = 0, exclude_self: bool = False) -> DataFrame:
+    """(x, y, n00, n01, n10, n11): how many substances have x = 0/1 together with y = 0/1.
 
-    Only pairs x <= y are formed; the other half is mirrored after the aggregate.
+    One row per ordered property pair, the pair (x, x) included unless ``exclude_self``. Only x <= y
+    is formed and counted; the other half is mirrored afterwards. With the four counts in one
+    row, entropies, conditionals and gains are plain column arithmetic: no further shuffle.
+    Values must be 0 or 1; anything else stops the job rather than being left out.
     """
-    prof = profiles(frequent(cons, min_rows, prop), key, prop, value)
+    bad = F.raise_error(F.lit("property values must be 0 or 1")).cast("int")
+    checked = cons.withColumn(value, F.when(F.col(value).isin(0, 1), F.col(value)).otherwise(bad))
+    prof = profiles(frequent(checked, min_rows, prop), key, prop, value)
     left = prof.select("weight", "assay_val_pairs", F.posexplode("assay_val_pairs").alias("i", "l"))
-    right = left.select("weight", "l", F.explode(F.slice("assay_val_pairs", F.col("i") + 1, F.size("assay_val_pairs"))).alias("r"))
-    n = right.select(F.col("l.assay_index").alias("x"), F.col("l.value").alias("vx"),
-                     F.col("r.assay_index").alias("y"), F.col("r.value").alias("vy"), "weight")
-    n = n.groupBy("x", "vx", "y", "vy").agg(F.sum("weight").alias("n"))
-    return mirrored(n) if mirror else n
+    first = F.col("i") + (2 if exclude_self else 1)
+    rest = F.slice("assay_val_pairs", first, F.size("assay_val_pairs"))
+    both = left.select("weight", "l", F.explode(rest).alias("r"))
+    cell = F.col("l.value") * 2 + F.col("r.value")
+    n = both.select(F.col("l.assay_index").alias("x"), F.col("r.assay_index").alias("y"), cell.alias("c"), "weight")
+    n = n.groupBy("x", "y").agg(*[F.sum(F.when(F.col("c") == i, F.col("weight")).otherwise(0)).alias(name)
+                                  for i, name in enumerate(CELLS)])
+    return mirrored(n)
+
+
+CELLS = ["n00", "n01", "n10", "n11"]
 
 
 def mirrored(n: DataFrame) -> DataFrame:
-    here = F.struct("x", "vx", "y", "vy")
-    there = F.struct(F.col("y").alias("x"), F.col("vy").alias("vx"), F.col("x").alias("y"), F.col("vx").alias("vy"))
+    here = F.struct("x", "y", *CELLS)
+    there = F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "n00", F.col("n10").alias("n01"),
+                     F.col("n01").alias("n10"), "n11")
     both = F.when(F.col("x") == F.col("y"), F.array(here)).otherwise(F.array(here, there))
-    return n.select("n", F.explode(both).alias("p")).select("p.*", "n")
+    return n.select(F.inline(both))
+
+
+def total() -> Column:
+    return F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11")
 
 
 def cooccurrence(cons: DataFrame, **names: str) -> DataFrame:
     """(target, feature) with the number of substances that have both and the value agreement."""
-    pc = pair_counts(cons, **names)
-    return pc.groupBy(F.col("x").alias("target"), F.col("y").alias("feature")).agg(
-        F.sum("n").alias("n"),
-        F.sum(F.when(F.col("vx") == F.col("vy"), F.col("n")).otherwise(0)).alias("n_same"))
+    return pair_counts(cons, **names).select(F.col("x").alias("target"), F.col("y").alias("feature"),
+                                             total().alias("n"), (F.col("n00") + F.col("n11")).alias("n_same"))
 
 
-def entropy_of(n: Column, total: Column) -> Column:
-    p = n / total
-    return -F.sum(p * F.log2(p))
+def plogp(part: Column, whole: Column, over: Column | None = None) -> Column:
+    """part / whole * log2(part / over), 0 for an empty part."""
+    return F.when(part > 0, part / whole * F.log2(part / (whole if over is None else over))).otherwise(0.0)
 
 
 def pair_entropy(cons: DataFrame, min_count: int = 30, exclude_self: bool = False, conditional: bool = False,
@@ -68,23 +82,15 @@ def pair_entropy(cons: DataFrame, min_count: int = 30, exclude_self: bool = Fals
 
     ``conditional``: entropy of the feature given the target's value.
     """
-    pc = pair_counts(cons, min_rows=min_count, **names)
-    if exclude_self:
-        pc = pc.filter(F.col("x") != F.col("y"))
-    pair = W.partitionBy("x", "y")
+    pc = pair_counts(cons, min_rows=min_count, exclude_self=exclude_self, **names).filter(total() > min_count)
+    n00, n01, n10, n11 = (F.col(c) for c in CELLS)
     if conditional:
-        cell = W.partitionBy("x", "y", "vx")
-        h = pc.withColumn("_t", F.sum("n").over(pair)).withColumn("_c", F.sum("n").over(cell))
-        out = h.groupBy("x", "y").agg(F.max("_t").alias("n"),
-                                      (-F.sum(F.col("n") / F.col("_t") * F.log2(F.col("n") / F.col("_c")))).alias("entropy"))
+        h = -(plogp(n00, total(), n00 + n01) + plogp(n01, total(), n00 + n01)
+              + plogp(n10, total(), n10 + n11) + plogp(n11, total(), n10 + n11))
     else:
-        marg = pc.groupBy("x", "y", "vy").agg(F.sum("n").alias("n"))
-        h = marg.withColumn("_t", F.sum("n").over(pair))
-        out = h.groupBy("x", "y").agg(F.max("_t").alias("_n"), entropy_of(F.col("n"), F.col("_t")).alias("entropy")) \
-               .withColumnRenamed("_n", "n")
-    return (out.filter(F.col("n") > min_count)
-               .select(F.col("x").alias("target"), F.col("y").alias("feature"), "n",
-                       F.greatest(F.col("entropy"), F.lit(0.0)).alias("entropy")))
+        h = -(plogp(n00 + n10, total()) + plogp(n01 + n11, total()))
+    return pc.select(F.col("x").alias("target"), F.col("y").alias("feature"), total().alias("n"),
+                     F.greatest(h, F.lit(0.0)).alias("entropy"))
 
 
 def useful_features(cons: DataFrame, min_count: int = 30, h_min: float = 0.025, h_max: float = 0.9,
@@ -97,20 +103,18 @@ def useful_features(cons: DataFrame, min_count: int = 30, h_min: float = 0.025,
 def conditional_table(cons: DataFrame, alpha: float = 1.0, min_count: int = 0, **names: str) -> DataFrame:
     """If ``feature`` has value v, how likely is ``target`` = 1? With support, smoothing, prior and lift,
     and the log-likelihood ratio used by the scorer."""
-    pc = pair_counts(cons, min_rows=min_count, **names).filter(F.col("x") != F.col("y"))
+    pc = pair_counts(cons, min_rows=min_count, exclude_self=True, **names).filter(total() > min_count)
     prior = priors(cons, alpha, names.get("prop", "assay"), names.get("value", "value"))
-    cell = pc.groupBy(F.col("x").alias("target"), F.col("y").alias("feature"), F.col("vy").alias("fvalue")).agg(
-        F.sum("n").alias("support"),
-        F.sum(F.when(F.col("vx") == 1, F.col("n")).otherwise(0)).alias("n1"))
-    pair = W.partitionBy("target", "feature")
-    cell = (cell.withColumn("_all1", F.sum("n1").over(pair))
-                .withColumn("_all", F.sum("support").over(pair)))
-    n0 = F.col("support") - F.col("n1")
-    all0 = F.col("_all") - F.col("_all1")
-    p = (F.col("n1") + alpha) / (F.col("support") + 2 * alpha)
-    llr = F.log((F.col("n1") + alpha) / (F.col("_all1") + 2 * alpha)) - F.log((n0 + alpha) / (all0 + 2 * alpha))
-    return (cell.filter(F.col("_all") > min_count).join(prior.select("target", "prior"), "target")
-                .select("target", "feature", "fvalue", "support", "n1", p.alias("p1"), "prior",
+    per_value = F.array(*[F.struct(F.lit(v).alias("fvalue"), F.col(f"n0{v}").alias("n0"), F.col(f"n1{v}").alias("n1"),
+                                   (F.col("n00") + F.col("n01")).alias("all0"), (F.col("n10") + F.col("n11")).alias("all1"))
+                          for v in (0, 1)])
+    cell = pc.select(F.col("x").alias("target"), F.col("y").alias("feature"), F.inline(per_value))
+    support = F.col("n0") + F.col("n1")
+    p = (F.col("n1") + alpha) / (support + 2 * alpha)
+    llr = (F.log((F.col("n1") + alpha) / (F.col("all1") + 2 * alpha))
+           - F.log((F.col("n0") + alpha) / (F.col("all0") + 2 * alpha)))
+    return (cell.filter(support > 0).join(prior.select("target", "prior"), "target")
+                .select("target", "feature", "fvalue", support.alias("support"), "n1", p.alias("p1"), "prior",
                         (p / F.col("prior")).alias("lift"), llr.alias("llr")))
 
 
@@ -123,14 +127,13 @@ def priors(cons: DataFrame, alpha: float = 1.0, prop: str = "assay", value: str
 
 def information_gain(cons: DataFrame, min_count: int = 30, **names: str) -> DataFrame:
     """Most predictive properties: H(target) - H(target | feature) among substances with both."""
-    pc = pair_counts(cons, min_rows=min_count, **names).filter(F.col("x") != F.col("y"))
-    pair, fcell, tcell = W.partitionBy("x", "y"), W.partitionBy("x", "y", "vy"), W.partitionBy("x", "y", "vx")
-    h = (pc.withColumn("_t", F.sum("n").over(pair)).withColumn("_f", F.sum("n").over(fcell))
-           .withColumn("_v", F.sum("n").over(tcell)).filter(F.col("_t") > min_count))
-    share = F.col("n") / F.col("_t")
-    gain = F.sum(share * (F.log2(F.col("n") / F.col("_f")) - F.log2(F.col("_v") / F.col("_t"))))
-    return h.groupBy(F.col("x").alias("target"), F.col("y").alias("feature")).agg(
-        F.max("_t").alias("support"), F.greatest(gain, F.lit(0.0)).alias("gain"))
+    pc = pair_counts(cons, min_rows=min_count, exclude_self=True, **names).filter(total() > min_count)
+    n00, n01, n10, n11 = (F.col(c) for c in CELLS)
+    alone = plogp(n00 + n01, total()) + plogp(n10 + n11, total())
+    given = (plogp(n00, total(), n00 + n10) + plogp(n10, total(), n00 + n10)
+             + plogp(n01, total(), n01 + n11) + plogp(n11, total(), n01 + n11))
+    return pc.select(F.col("x").alias("target"), F.col("y").alias("feature"), total().alias("support"),
+                     F.greatest(given - alone, F.lit(0.0)).alias("gain"))
 
 
 def pair_count_distribution(cons: DataFrame, key: str = "sid") -> DataFrame:

@@ -19,14 +19,16 @@ def fit_vocab(df: DataFrame, col: str, specials: tuple[str, ...] = (PAD, SOS, EO
                  .filter(~F.col("symbol").isin(*specials)))
     # stored, so that the corpus is read once although the numbering reads its input more than once
     numbered = ordered_position(materialise(symbols, "symbols"), ["symbol"], "index", start=len(specials))
-    head = df.sparkSession.createDataFrame([(s, i) for i, s in enumerate(specials)], "symbol string, index bigint")
+    special = F.array(*[F.struct(F.lit(s).alias("symbol"), F.lit(i).cast("bigint").alias("index"))
+                        for i, s in enumerate(specials)])
+    head = df.sparkSession.range(1, numPartitions=1).select(F.inline(special))
     return head.unionByName(numbered)
 
 
 def char_vocab(df: DataFrame, col: str) -> DataFrame:
     """(symbol, index): every character of the corpus and the blank, sorted, from 0."""
     chars = df.select(F.explode(F.split(F.col(col), "")).alias("symbol")).filter(F.col("symbol") != "")
-    blank = df.sparkSession.createDataFrame([(" ",)], "symbol string")
+    blank = df.sparkSession.range(1, numPartitions=1).select(F.lit(" ").alias("symbol"))
     return ordered_position(materialise(chars.unionByName(blank).distinct(), "characters"), ["symbol"], "index", start=0)
 
 

@@ -30,7 +30,8 @@ def brute_pairs(obs):
 
 
 def test_pair_counts_equal_brute_force(spark, cons, obs):
-    got = {tuple(r)[:4]: r["n"] for r in f.pair_counts(cons).collect()}
+    got = {(r["x"], vx, r["y"], vy): r[f"n{vx}{vy}"] for r in f.pair_counts(cons).collect()
+           for vx in (0, 1) for vy in (0, 1) if r[f"n{vx}{vy}"]}
     assert got == dict(brute_pairs(obs))
     assert f.profiles(cons).filter("weight >= 90").count() == 1
 
@@ -109,3 +110,9 @@ def test_batch_requests_errors(spark, cons):
 def test_eval_by_nprops_positions(spark, cons):
     m = s.eval_by_nprops(cons, cons, max_known=2, min_pos=3, min_neg=3, min_items=5)
     assert {r["nprops"] for r in m.collect()} == {0, 1, 2}
+
+
+def test_other_values_are_refused(spark):
+    df = spark.createDataFrame([(1, 1, 2), (1, 2, 0)], "sid bigint, assay bigint, value int")
+    with pytest.raises(Exception, match="must be 0 or 1"):
+        f.pair_counts(df).collect()
