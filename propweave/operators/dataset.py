@@ -82,7 +82,8 @@ def shards_to_long(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(symbol key, property token, value token) rows: pads off, separator and end off, pairs exploded."""
     bare = F.filter("assay_vals", lambda x: x != PAD_ID)
     inner = F.slice(bare, F.lit(2), F.greatest(F.size(bare) - 2, F.lit(0)))
-    rows = df.select(*keep, joined("encoded").alias("symbols_key"), F.explode(chunk_pairs(inner, "a", "v")).alias("p"))
+    keyed = df.select(*keep, joined("encoded").alias("symbols_key"), inner.alias("_inner"))  # once per row, not per pair
+    rows = keyed.select(*keep, "symbols_key", F.explode(chunk_pairs("_inner", "a", "v")).alias("p"))
     return rows.select(*keep, "symbols_key", F.col("p.a").alias("assay"), F.col("p.v").alias("value"))
 
 

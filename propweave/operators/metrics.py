@@ -17,14 +17,13 @@ def score_counts(df: DataFrame, keys: list[str], y: str, score: str) -> DataFram
     return df.groupBy(*keys, score).agg(pos, neg)
 
 
-def _rank_wins(counts: DataFrame, keys: list[str], score: str, buckets: int | None) -> DataFrame:
+def _rank_wins(counts: DataFrame, keys: list[str], score: str, cuts: list[tuple]) -> DataFrame:
     """Per group: positives, negatives, and the number of (positive, negative) pairs ranked right, ties half.
 
     Scores are cut into buckets, so a hot group's scores are ranked by many tasks; only
     bucket totals meet in one place.
     """
     rest = [c for c in counts.columns if c not in (*keys, score)]
-    cuts = order_cuts(counts, [score], buckets)
     wins = F.sum(F.col("pos") * (F.coalesce(F.col("_below"), F.lit(0)) + F.col("neg") / 2)).alias("_wins")
     if not cuts:
         below = W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
@@ -46,7 +45,7 @@ def _auc() -> Column:
 
 def safe_auc(df: DataFrame, keys: list[str], y: str, score: str, buckets: int | None = None) -> DataFrame:
     """AUC per group with average ranks for ties; NULL where a group has one class only."""
-    ranked = _rank_wins(score_counts(df, keys, y, score), keys, score, buckets)
+    ranked = _rank_wins(score_counts(df, keys, y, score), keys, score, order_cuts(df, [score], buckets))
     return ranked.select(*keys, "pos", "neg", _auc().alias("auc"))
 
 
@@ -64,7 +63,7 @@ def binary_metrics(df: DataFrame, keys: list[str], y: str, score: str, item: str
                    strict: bool = True, buckets: int | None = None) -> DataFrame:
     """AUC, accuracy, balanced accuracy and log-loss per group with enough support."""
     counts = _with_cells(score_counts(df, keys, y, score), score, threshold, strict)
-    m = _rank_wins(counts, keys, score, buckets).filter((F.col("pos") >= min_pos) & (F.col("neg") >= min_neg))
+    m = _rank_wins(counts, keys, score, order_cuts(df, [score], buckets)).filter((F.col("pos") >= min_pos) & (F.col("neg") >= min_neg))
     if item:
         items = df.groupBy(*keys).agg(F.count_distinct(item).alias("n_items")).filter(F.col("n_items") >= min_items)
         m = m.join(items.select(*keys), keys, "left_semi")
@@ -91,7 +90,7 @@ def confusion_by_group(df: DataFrame, keys: list[str], y: str, score: str, thres
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("groupsize"))
     kept = df.filter(F.col(score).isNotNull())
     counts = _with_cells(score_counts(kept, keys, y, score), score, threshold, strict)
-    m = _rank_wins(counts, keys, score, buckets)
+    m = _rank_wins(counts, keys, score, order_cuts(kept, [score], buckets))
     n = F.col("pos") + F.col("neg")
     m = m.filter((n >= min_rows) & (F.col("pos") > 0) & (F.col("neg") > 0))
     tn, fn = F.col("neg") - F.col("fp"), F.col("pos") - F.col("tp")

@@ -22,17 +22,19 @@ def bucket_count(df: DataFrame) -> int:
 
 
 def order_cuts(df: DataFrame, order: list[str], buckets: int | None = None) -> list[tuple]:
-    """At most ``buckets - 1`` cut points from a hash sample of bounded size.
+    """At most ``buckets - 1`` cut points from a random row sample of bounded size.
 
-    Empty when the whole input fits into the sample: then one bucket is enough.
+    Taken over rows, so a frequent key weighs what it costs. Empty when the whole input fits
+    into the sample: then one bucket is enough. The draw may differ between runs; the cut
+    points become constants of the plan and do not change the result.
     """
     buckets = buckets or bucket_count(df)
-    sample = df.select(*order).orderBy(F.xxhash64(*order)).limit(SAMPLE).collect()
+    sample = df.select(*order).orderBy(F.rand(17)).limit(SAMPLE).collect()
     if len(sample) < SAMPLE:
         return []
-    rows = sorted({tuple(r) for r in sample if all(v is not None and v == v for v in r)})
+    rows = sorted(tuple(r) for r in sample if all(v is not None and v == v for v in r))
     step = max(1, len(rows) // buckets)
-    return rows[step::step][: buckets - 1]
+    return list(dict.fromkeys(rows[step::step]))[: buckets - 1]
 
 
 def bucket_of(df: DataFrame, order: list[str], cuts: list[tuple]) -> Column:

@@ -48,12 +48,12 @@ def random_contexts(requests: DataFrame, known: DataFrame, k: int = 4, r: int =
 
 
 def score_contexts(contexts: DataFrame, cond: DataFrame, prior: DataFrame,
-                   keys: tuple[str, ...] = ("sid", "target"), extra: tuple[str, ...] = ()) -> DataFrame:
+                   keys: tuple[str, ...] = ("sid", "target")) -> DataFrame:
     """Naive-Bayes probability per context: prior log-odds plus the log-likelihood ratios of its pairs.
 
     A pair never seen together with the target adds nothing.
     """
-    ids = [*keys, "ctx", *extra]
+    ids = [*keys, "ctx"]
     base = contexts.join(prior.select("target", "prior"), "target")
     pairs = base.select(*ids, "prior", F.explode_outer("pairs").alias("p")).select(
         *ids, "prior", F.col("p.assay_index").alias("feature"), F.col("p.value").alias("fvalue"))
@@ -104,11 +104,21 @@ def eval_by_nprops(trn: DataFrame, hld: DataFrame, max_known: int = 4, seed: int
     draws = drawn_orders(hld, max_known + 1, 1, seed)
     rows = req.join(draws, "sid").withColumn("drawn", without_target(F.col("draws")[0], max_known))
     rows = rows.filter(F.size("drawn") >= max_known)
-    steps = F.transform(F.sequence(F.lit(0), F.lit(max_known)), lambda j: F.slice("drawn", F.lit(1), j))
-    rows = rows.select("sid", "target", "y", F.posexplode(steps).alias("ctx", "pairs"))
-    scored = score_contexts(rows, cond, prior, extra=("y",))
+    # each drawn pair is looked up once; the scores for 0, 1, ... known values are its running sums
+    pairs = rows.select("sid", "target", "y", F.posexplode_outer("drawn").alias("pos", "p")).select(
+        "sid", "target", "y", "pos", F.col("p.assay_index").alias("feature"), F.col("p.value").alias("fvalue"))
+    hit = pairs.join(cond.select("target", "feature", "fvalue", "llr"), ["target", "feature", "fvalue"], "left")
+    wide = hit.groupBy("sid", "target", "y").agg(
+        *[F.coalesce(F.sum(F.when(F.col("pos") == i, F.col("llr"))), F.lit(0.0)).alias(f"_l{i}") for i in range(max_known)])
+    sums = [F.lit(0.0)]
+    for i in range(max_known):
+        sums.append(sums[-1] + F.col(f"_l{i}"))
+    steps = wide.select("sid", "target", "y", F.posexplode(F.array(*sums)).alias("nprops", "_sum"))
+    logit = F.log(F.col("prior") / (1 - F.col("prior"))) + F.col("_sum")
+    scored = steps.join(prior.select("target", "prior"), "target").select(
+        "sid", "target", "y", "nprops", F.round(sigmoid(logit), 9).alias("prob"))
     # three readers follow (score sample, score counts, item counts): score once, store, read back
-    scored = materialise(scored.withColumn("prob", F.round("prob", 9)).withColumnRenamed("ctx", "nprops"), "scored")
+    scored = materialise(scored, "scored")
     return binary_metrics(scored, ["nprops", "target"], "y", "prob", "sid",
                           min_pos=min_pos, min_neg=min_neg, min_items=min_items)
 
