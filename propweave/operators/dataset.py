@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from propweave.functions.arrays import (chunk_pairs, flat_pairs, joined, pad_list, permutation_list, prefixes, reorder,
                                         shift_right)
 from propweave.functions.hashing import seeded_bucket, seeded_digest, seeded_unit
-from propweave.functions.symbols import EOS_ID, PAD_ID, SOS_ID
+from propweave.functions.symbols import PAD_ID, SOS_ID
 from propweave.operators.vocab import assay_token, value_token
 
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from propweave.functions.symbols import bracketed
-from propweave.operators import catalog as cat, clean, dataset, features, metrics, reports, scoring, vocab
+from propweave.operators import catalog as cat, clean, dataset, reports, scoring, vocab
 from propweave.plans.fixtures import Tables
 from propweave.sources.scratch import materialise, scratch_path
-from propweave.sources.tables import write_table
 
 
 def run_pipeline(spark: SparkSession, sf_dir: str, min_per_class: int = 200) -> DataFrame:

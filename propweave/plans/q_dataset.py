@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from propweave.functions import arrays as A, symbols as S
 from propweave.functions.hashing import seeded_digest
-from propweave.operators import clean, dataset, features, ordering, vocab
-from propweave.plans.registry import query, r6, rounded, text
+from propweave.operators import clean, dataset, ordering, vocab
+from propweave.plans.registry import query, rounded, text
 
 
 def spaced(arr: str) -> str:

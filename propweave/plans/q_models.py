@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from propweave.operators import clean, dataset, features, metrics, reports, scoring, similarity, vocab
+from propweave.operators import clean, features, metrics, reports, scoring, similarity
 from propweave.plans.pipeline import run_pipeline
 from propweave.plans.registry import query, r6, rounded, text
 from propweave.sources import logs

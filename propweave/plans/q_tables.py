@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from propweave.operators import catalog as cat, clean, dataset, features, scoring, vocab
-from propweave.plans.registry import query, r6, rounded, text
+from propweave.operators import catalog as cat, clean, dataset, features, scoring
+from propweave.operators.ordering import union_all
+from propweave.plans.registry import query, r6, rounded
 from propweave.sources import logs, tables
 from propweave.sources.scratch import scratch_path
 
@@ -61,11 +62,6 @@ def _(t):
              "property_category": F.sum(F.length("reason")), "source": F.sum("source_id")}
     parts = [t.spark.read.parquet(paths[n]).agg(F.lit(n).alias("relation"), F.count(F.lit(1)).alias("n"),
                                                 c.cast("bigint").alias("checksum")) for n, c in check.items()]
-    return clean_union(parts)
-
-
-def clean_union(parts):
-    from propweave.operators.ordering import union_all
     return union_all(parts)
 
 

@@ -3,7 +3,6 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import rows
 
 from propweave.operators import features as f, scoring as s
 

@@ -1,7 +1,6 @@
 import numpy as np
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 
 from propweave.operators import similarity as s
 
