@@ -1,36 +1,69 @@
 """Shared scratch storage.
 
-On a cluster the folder named by ``spark.checkpoint.dir`` is used, since every
-executor can reach it. Only where that is unset (single-host tests) a fresh local
-folder stands in.
+Tables go below the folder named by ``spark.checkpoint.dir``, which every executor of a
+cluster can reach. Only a session whose master is ``local[...]`` may leave it unset; it
+then gets a fresh local folder. Anywhere else that would lose rows without a word, so it
+is an error.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 _LOCAL: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
-def scratch_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL:
-            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="propweave-")
-        root = _LOCAL[app]
-    return root.rstrip("/")
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def scratch_root(spark: SparkSession, master: str | None = None) -> str:
+    """Folder for intermediate tables. ``master`` stands in for the session's own (tests)."""
+    root = checkpoint_dir(spark)
+    if root:
+        return root.rstrip("/")
+    master = master or spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir is not set; master {master} needs a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        folder = tempfile.mkdtemp(prefix="propweave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL[app] = f"file://{folder}"
+    return _LOCAL[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/propweave/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/propweave/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def materialise(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Write once and read back: cuts the lineage and survives the loss of executors.
+
+    The rows that went in are counted on the way and held against those that come out.
+    """
+    spark, seen = df.sparkSession, Observation()
+    path = scratch_path(spark, name)
+    writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    written, read = seen.get["n"], out.count()
+    if written != read:
+        raise RuntimeError(f"{path}: {written} rows written, {read} read back; is the folder shared by all executors?")
+    return out
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write once and read back: cuts the lineage and survives the loss of executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def release(spark: SparkSession) -> None:
+    """Remove the scratch tables of this application; for the end of a job, when no result needs them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
