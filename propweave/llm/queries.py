@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from propweave.llm import chat, exact_dedup, secrets, sharding
+from propweave.llm import chat, exact_dedup, quality, secrets, sharding, toxicity
+from propweave.llm.samples import key_crc
 from propweave.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +84,24 @@ def dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_rendezvous_sharding")
 def rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.manifest(read(spark, sf_dir, "documents"), [1.0] * 16, [1.0] * 17)
+
+
+def _classified(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op6_compression_quality")
+def compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    held_out = key_crc() % 3 == 1
+    return _classified(quality.score(docs, quality.fit(docs, labels.filter(~held_out))).drop("text"), held_out)
+
+
+@query("op7_pu_toxicity")
+def pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    held_out = key_crc() % 5 == 0
+    model = toxicity.fit(docs, labels.filter(~held_out), docs.filter(~held_out))
+    return _classified(toxicity.score(docs, model).drop("text"), held_out)
