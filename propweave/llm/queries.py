@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from propweave.llm import chat, exact_dedup, quality, secrets, sharding, toxicity
+from propweave.llm import chat, decontaminate, exact_dedup, mixing, quality, secrets, sharding, toxicity
 from propweave.llm.samples import key_crc
 from propweave.llm.tables import read
 
@@ -90,6 +90,21 @@ def _classified(scored: DataFrame, held_out) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op2_latent_decontamination")
+def latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    index = decontaminate.fit(docs, read(spark, sf_dir, "benchmark"))
+    return decontaminate.search(docs, index).select("doc_id", F.inline("matches"))
+
+
+@query("op3_temperature_mixing")
+def temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "source", F.col("mix_tokens").alias("tokens"), F.col("mix_epoch").alias("epoch"),
+                                   F.col("mix_block").alias("block"), F.col("mix_weight").alias("weight"),
+                                   F.col("mix_position").alias("position"))
+
+
 @query("op6_compression_quality")
 def compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
