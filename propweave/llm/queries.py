@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from propweave.llm import chat, decontaminate, exact_dedup, mixing, quality, secrets, sharding, toxicity
+from propweave.llm import chat, decontaminate, exact_dedup, mixing, quality, secrets, sharding, suffix_tree, toxicity
 from propweave.llm.samples import key_crc
 from propweave.llm.tables import read
 
@@ -120,3 +120,10 @@ def pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = key_crc() % 5 == 0
     model = toxicity.fit(docs, labels.filter(~held_out), docs.filter(~held_out))
     return _classified(toxicity.score(docs, model).drop("text"), held_out)
+
+
+@query("op1_suffix_tree_scores")
+def suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = key_crc() % 5 == 1
+    return suffix_tree.lm_scores(docs.withColumn("held_out", held_out), docs.filter(~held_out))
