@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from propweave.llm import chat, decontaminate, exact_dedup, mixing, quality, secrets, sharding, suffix_tree, toxicity
+from propweave.llm import chat, chosen_path, decontaminate, exact_dedup, mixing, quality, secrets, sharding, suffix_tree, toxicity
 from propweave.llm.samples import key_crc
 from propweave.llm.tables import read
 
@@ -127,3 +127,8 @@ def suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = key_crc() % 5 == 1
     return suffix_tree.lm_scores(docs.withColumn("held_out", held_out), docs.filter(~held_out))
+
+
+@query("op4_chosen_path_join")
+def chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.jaccard_classes(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("h1", "h2")
