@@ -13,7 +13,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 _LOCAL: dict[str, str] = {}
 _WRITTEN: dict[str, list[str]] = {}
@@ -45,17 +45,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, by: list[str] | None = None, also: dict[str, Column] | None = None,
+                seen: dict | None = None) -> DataFrame:
     """Write once and read back: cuts the lineage and survives the loss of executors.
 
     The rows that went in are counted on the way and held against those that come out.
+    ``also`` names further aggregates to take on the way; with ``n``, the count, they go to ``seen``.
     """
-    spark, seen = df.sparkSession, Observation()
+    spark, watch = df.sparkSession, Observation()
     path = scratch_path(spark, name)
-    writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
+    writer = df.observe(watch, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in (also or {}).items()]).write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    written, read = seen.get["n"], out.count()
+    got = watch.get
+    written, read = got["n"], out.count()
+    if seen is not None:
+        seen.update(got)
     if written != read:
         raise RuntimeError(f"{path}: {written} rows written, {read} read back; is the folder shared by all executors?")
     return out
