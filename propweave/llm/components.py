@@ -14,7 +14,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     side, so a node with a third of all edges is split like any skewed join key.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = materialise(e, name)
+    check = {"sum": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    before, after = {}, {}
+    e = materialise(e, name, also=check, seen=before)
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -25,10 +27,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         small = large.join(down, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             down.select("a", F.col("m").alias("b"))).distinct()
         done = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        new = materialise(done, name)
-        sums = [x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for x in (e, new)]
-        e = new
-        if sums[0] == sums[1]:
+        e = materialise(done, name, also=check, seen=after)
+        if before == after:
             break
+        before = dict(after)
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
