@@ -64,6 +64,12 @@ def one_hot(idx: str | Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i == x).cast("int"))
 
 
+def one_hot_matrix(ids: str | Column, n: int) -> Column:
+    """One row of ``n`` zeros and ones for each id of a sequence; an id outside 0 .. n-1 stops the job."""
+    bad = F.raise_error(F.lit(f"id outside 0 .. {n - 1}")).cast("int")
+    return F.transform(_c(ids), lambda x: one_hot(F.when((x >= 0) & (x < n), x).otherwise(bad), n))
+
+
 def inner_product(a: str | Column, b: str | Column) -> Column:
     prod = F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(prod, F.lit(0.0), lambda s, x: s + x)

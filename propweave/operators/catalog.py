@@ -45,13 +45,20 @@ def property_category(prop: DataFrame, bridge: DataFrame, source: DataFrame) ->
 
 def known_properties(requests: DataFrame, act: DataFrame, prop: DataFrame, bridge: DataFrame, source: DataFrame,
                      category: str | None = None) -> DataFrame:
-    """Known values of the requested substances with source and categories; a request list is a table, not a loop."""
+    """Known values of the requested substances, one row per value, with source and list of categories.
+
+    A request list is a table, not a loop. A property without category keeps its values, with
+    an empty list; ``category`` keeps only properties that have it.
+    """
+    one = F.struct("category", "strength")
+    cats = bridge.groupBy("property_id").agg(F.sort_array(F.collect_list(one)).alias("categories"))
+    empty = F.array().cast(cats.schema["categories"].dataType)
+    wide = prop.join(source, "source_id").join(cats, "property_id", "left").withColumn("categories", F.coalesce("categories", empty))
     if category is not None:
-        bridge = bridge.filter(F.col("category") == category)
-    wide = prop.join(source, "source_id").join(bridge, "property_id")
+        wide = wide.filter(F.exists("categories", lambda c: c["category"] == category))
     return (act.join(requests.select("sid").distinct(), "sid", "left_semi")
                .withColumnRenamed("assay", "property_id").join(wide, "property_id")
-               .select("sid", "source", "property_token", "category", "strength", "value"))
+               .select("sid", "source", "property_token", "categories", "value"))
 
 
 def property_catalog(prop: DataFrame, bridge: DataFrame, source: DataFrame) -> DataFrame:

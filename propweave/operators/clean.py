@@ -34,7 +34,7 @@ def validity_filter(df: DataFrame, col: str, charset: str, max_length: int = 120
 
 
 def is_valid(c: Column, charset: str, max_length: int = 120) -> Column:
-    return (F.length(c) > 0) & (F.length(c) <= max_length) & c.rlike(f"^[{charset}]*$")
+    return (F.length(c) > 0) & (F.length(c) <= max_length) & c.rlike(rf"^[{charset}]*\z")
 
 
 def assay_value_counts(act: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from propweave.functions.arrays import (chunk_pairs, flat_pairs, joined, pad_lis
                                         shift_right)
 from propweave.functions.hashing import seeded_bucket, seeded_digest, seeded_unit
 from propweave.functions.symbols import PAD_ID, SOS_ID
-from propweave.operators.vocab import assay_token, value_token
+from propweave.operators.clean import consistent_values
+from propweave.operators.vocab import assay_token, encode_symbols, fit_vocab, id_space_of, value_token
+from propweave.sources.scratch import materialise
 
 
 def nest_pairs(data: DataFrame, key: str = "sid", prop: str = "assay_index", value: str = "value") -> DataFrame:
@@ -87,14 +89,14 @@ def shards_to_long(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return rows.select(*keep, "symbols_key", F.col("p.a").alias("assay"), F.col("p.v").alias("value"))
 
 
-def sample_pairs(pairs: str | Column, k: int, seed: int, key: str | Column, rep: Column | None = None,
+def sample_pairs(pairs: str | Column, k: int | Column, seed: int, key: str | Column, rep: Column | None = None,
                  field: str = "assay_index") -> Column:
-    """k pairs in a seeded random order."""
+    """k pairs (a number or a column) in a seeded random order."""
     p = F.col(pairs) if isinstance(pairs, str) else pairs
     who = [F.col(key) if isinstance(key, str) else key] + ([rep] if rep is not None else [])
     ranked = F.sort_array(F.transform(p, lambda x: F.struct(
         seeded_digest(seed, *who, x[field]).alias("r"), x.alias("x"))))
-    return F.slice(F.transform(ranked, lambda t: t["x"]), F.lit(1), F.lit(k))
+    return F.slice(F.transform(ranked, lambda t: t["x"]), F.lit(1), k if isinstance(k, Column) else F.lit(k))
 
 
 def training_examples(nested: DataFrame, meta: dict[str, int], nprops: int = 5, seed: int = 37,
@@ -106,27 +108,44 @@ def training_examples(nested: DataFrame, meta: dict[str, int], nprops: int = 5,
     return df.withColumn("teacher", shift_right("output", F.lit(SOS_ID).cast("bigint")))
 
 
-def eval_rows(nested: DataFrame, nprops: int = 5, seed: int = 37, key: str = "sid") -> DataFrame:
-    """Every order of ``nprops`` pairs of each substance that has that many, one row per position.
+def pair_chunks(pairs: str | Column, n: int, seed: int, key: str) -> Column:
+    """All pairs in a seeded random order, in chunks of ``n``; the last chunk is filled up from the start."""
+    p = F.col(pairs) if isinstance(pairs, str) else pairs
+    size = F.size(p)
+    order = sample_pairs(p, size, seed, key)
+    chunks = F.sequence(F.lit(0), F.floor((size - 1) / n).cast("int"))
+    slots = F.sequence(F.lit(0), F.lit(n - 1))
+    return F.transform(chunks, lambda c: F.transform(slots, lambda j: F.get(order, ((c * n + j) % size).cast("int"))))
+
+
+def eval_rows(nested: DataFrame, nprops: int = 5, seed: int = 37, key: str = "sid", passes: int | None = None) -> DataFrame:
+    """Every order of ``nprops`` random pairs per pass and substance that has that many, one row per position.
 
-    The substance key travels inside the row, so a prediction cannot be attached to
-    another substance.
+    The passes go through a substance's pairs in a seeded random order, ``nprops`` at a time,
+    so that all pairs are used; ``passes`` limits their number. The key travels inside the
+    row, so a prediction cannot be attached to another substance.
     """
     ok = nested.filter(F.size("assay_val_pairs") >= nprops)
-    chosen = ok.select(key, F.slice("assay_val_pairs", F.lit(1), F.lit(nprops)).alias("p"))
-    perms = chosen.select(key, "p", F.posexplode(permutation_list(nprops)).alias("perm", "ord"))
-    perms = perms.select(key, "perm", reorder("p", F.col("ord")).alias("p"))
-    rows = perms.select(key, "perm", "p", prefixes("p").alias("pre"))
-    rows = rows.select(key, "perm", F.posexplode("pre").alias("nprops", "prior"))
+    drawn = ok.select(key, F.posexplode(pair_chunks("assay_val_pairs", nprops, seed, key)).alias("pass", "p"))
+    if passes is not None:
+        drawn = drawn.filter(F.col("pass") < passes)
+    perms = drawn.select(key, "pass", "p", F.posexplode(permutation_list(nprops)).alias("perm", "ord"))
+    perms = perms.select(key, "pass", "perm", reorder("p", F.col("ord")).alias("p"))
+    rows = perms.select(key, "pass", "perm", F.posexplode(prefixes("p")).alias("nprops", "prior"))
     last = F.element_at("prior", -1)
     return rows.select(
-        key, "perm", "nprops",
+        key, "pass", "perm", "nprops",
         F.array_join(F.transform("prior", lambda x: x["assay_index"].cast("string")), " + ").alias("prior_assays"),
         F.transform("prior", lambda x: x["value"]).alias("prior_values"),
         last["assay_index"].alias("assay"), last["value"].alias("value"),
     )
 
 
+def skip_seen(rows: DataFrame, seen: DataFrame, inputs: list[str]) -> DataFrame:
+    """Each input of ``rows`` once, without those already in ``seen``: a repeated question is not asked again."""
+    return rows.dropDuplicates(inputs).join(seen.select(*inputs).distinct(), inputs, "left_anti")
+
+
 def context_empty(props: DataFrame, meta: dict[str, int], token: str = "property_token") -> DataFrame:
     """Scoring rows without known values: separator, property, pad, end."""
     ids = [F.lit(meta["sep"]), F.col(token), F.lit(PAD_ID), F.lit(meta["end"])]
@@ -144,15 +163,30 @@ def mask_tokens(df: DataFrame, col: str, out: str, key: str, p: float = 0.1, see
     return df.withColumn(out, F.transform(F.col(col), masked))
 
 
+def finetune_shards(act: DataFrame, subs: DataFrame, path: str, prop: str = "assay") -> str:
+    """The data job of a fine-tune set: consistent values, vocabulary, encoded inputs and pairs, split, shards.
+
+    ``act`` has sid, the property's index and value; ``subs`` has sid and symbols.
+    """
+    cons = materialise(consistent_values(act.withColumnRenamed(prop, "assay_index"), ("sid", "assay_index")), "finetune-values")
+    subs = materialise(subs.join(cons.select("sid"), "sid", "left_semi"), "finetune-inputs")
+    voc = fit_vocab(subs, "symbols")
+    enc = encode_symbols(subs, voc, "symbols", "encoded").select("sid", "encoded")
+    rows = encode_pairs(nest_pairs(cons), id_space_of(voc, cons)).join(enc, "sid")
+    return write_shards(split_by_hash(rows).select("sid", "split", "encoded", "assay_vals"), path)
+
+
 def pair_map(pairs: str | Column) -> Column:
     """[(a, v), ...] to a map a -> v."""
     p = F.col(pairs) if isinstance(pairs, str) else pairs
     return F.map_from_entries(p)
 
 
-def dataset_report(data: DataFrame) -> DataFrame:
+def dataset_report(data: DataFrame, source: str | None = None) -> DataFrame:
+    """Totals of a set of activities; with a ``source`` column the number of sources too."""
+    more = [F.count_distinct(source).alias("n_sources")] if source else []
     return data.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("sid").alias("n_substances"),
+        *more, F.count(F.lit(1)).alias("n_rows"), F.count_distinct("sid").alias("n_substances"),
         F.count_distinct("assay").alias("n_properties"),
         F.sum(F.col("value").cast("bigint")).alias("n_positive"),
         F.round(F.avg(F.col("value").cast("double")), 6).alias("share_positive"))

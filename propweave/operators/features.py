@@ -136,9 +136,9 @@ def information_gain(cons: DataFrame, min_count: int = 30, **names: str) -> Data
                      F.greatest(given - alone, F.lit(0.0)).alias("gain"))
 
 
-def pair_count_distribution(cons: DataFrame, key: str = "sid") -> DataFrame:
-    """How many substances have how many known values."""
-    per = cons.groupBy(key).agg(F.count(F.lit(1)).alias("n_values"))
+def pair_count_distribution(act: DataFrame, keys: tuple[str, ...] = ("sid", "assay")) -> DataFrame:
+    """How many (substance, property) pairs stand in how many raw rows."""
+    per = act.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_values"))
     return per.groupBy("n_values").agg(F.count(F.lit(1)).alias("n_items"))
 
 

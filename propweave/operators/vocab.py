@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from propweave.functions.arrays import pad_list
 from propweave.functions.symbols import EOS, EOS_ID, PAD, PAD_ID, SOS, SOS_ID, greedy_split, notation_ids, split_symbols
 from propweave.operators.ordering import ordered_position
 from propweave.sources.scratch import materialise
 
-# a map literal is searched entry by entry, so it is only used for short vocabularies
-MAP_LIMIT = 128
-
 
 def fit_vocab(df: DataFrame, col: str, specials: tuple[str, ...] = (PAD, SOS, EOS)) -> DataFrame:
     """(symbol, index): the specials, then all distinct symbols in symbol order."""
@@ -32,58 +29,56 @@ def char_vocab(df: DataFrame, col: str) -> DataFrame:
     return ordered_position(materialise(chars.unionByName(blank).distinct(), "characters"), ["symbol"], "index", start=0)
 
 
-def _short(vocab: DataFrame) -> dict[str, int] | None:
-    """The vocabulary as a dict if it has at most MAP_LIMIT entries."""
-    rows = vocab.select("symbol", "index").limit(MAP_LIMIT + 1).collect()
-    return {r["symbol"]: r["index"] for r in rows} if len(rows) <= MAP_LIMIT else None
-
-
 def _map(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
-def _lookup(df: DataFrame, vocab: DataFrame, arr: Column, key: str, forward: bool, missing: Column) -> DataFrame:
-    """Adds ``_ids``: the array with every entry replaced through the vocabulary.
+def _lookup(df: DataFrame, vocab: DataFrame, arr: Column, forward: bool, missing: Column) -> DataFrame:
+    """Adds ``_ids``: the array with every entry replaced through the vocabulary; NULL stays NULL.
 
-    Short vocabularies become a map expression (no shuffle). Longer ones are joined: one
-    row per entry, equi-join, and back to one array per row key.
+    The same way for every vocabulary size: an array's result depends on the array alone, so
+    each distinct array is taken apart once, joined entry by entry and put together again,
+    under a digest of its content. Rows with equal keys are not mixed and copies cost nothing.
     """
-    short = _short(vocab)
-    if short is not None:
-        table = _map(short if forward else {int(v): k for k, v in short.items()})
-        return df.withColumn("_ids", F.transform(arr, lambda x: F.coalesce(table[x], missing)))
     src, dst = ("symbol", "index") if forward else ("index", "symbol")
-    parts = df.select(key, F.posexplode(arr).alias("_pos", "_entry"))
+    marked = df.withColumn("_arr", arr).withColumn("_of", F.sha2(F.to_json("_arr"), 256))
+    once = marked.filter(F.col("_of").isNotNull()).select("_of", "_arr").dropDuplicates(["_of"])
+    parts = once.select("_of", F.posexplode("_arr").alias("_pos", "_entry"))
     table = vocab.select(F.col(src).alias("_entry"), F.col(dst).alias("_id"))
-    hits = parts.join(table, "_entry", "left").select(key, "_pos", F.coalesce("_id", missing).alias("_id"))
-    rows = hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_pos", "_id"))).alias("_list"))
-    rows = rows.select(key, F.col("_list._id").alias("_ids"))
-    return df.join(rows, key, "left").withColumn(
-        "_ids", F.coalesce("_ids", F.array().cast("array<bigint>" if forward else "array<string>")))
+    hits = parts.join(table, "_entry", "left").select("_of", "_pos", F.coalesce("_id", missing).alias("_id"))
+    lists = hits.groupBy("_of").agg(F.sort_array(F.collect_list(F.struct("_pos", "_id"))).alias("_list"))
+    out = marked.join(lists.select("_of", F.col("_list._id").alias("_ids")), "_of", "left")
+    none = F.array().cast("array<bigint>" if forward else "array<string>")
+    return out.withColumn("_ids", F.when(F.col("_of").isNotNull(), F.coalesce("_ids", none))).drop("_arr", "_of")
 
 
-def encode_symbols(df: DataFrame, vocab: DataFrame, col: str, out: str, key: str, pad_length: int = 120) -> DataFrame:
-    """Start id, symbol ids (unknown: pad id), end id; filled or cut to ``pad_length``; NULL text: all pad."""
+def encode_symbols(df: DataFrame, vocab: DataFrame, col: str, out: str, pad_length: int | None = 120) -> DataFrame:
+    """Start id, symbol ids (unknown: pad id), end id; filled or cut to ``pad_length``; NULL text: all pad.
+
+    Without a ``pad_length`` every row keeps its own length and a NULL text has no ids.
+    """
     pad = F.lit(PAD_ID).cast("bigint")
-    looked = _lookup(df, vocab, split_symbols(col), key, True, pad)
+    looked = _lookup(df, vocab, split_symbols(col), True, pad)
     marked = F.concat(F.array(F.lit(SOS_ID).cast("bigint")), F.col("_ids"), F.array(F.lit(EOS_ID).cast("bigint")))
+    if pad_length is None:
+        return looked.withColumn(out, F.coalesce(marked, F.array().cast("array<bigint>"))).drop("_ids")
     empty = F.array_repeat(pad, pad_length)
     ids = F.when(F.col(col).isNull(), empty).otherwise(pad_list(marked, pad_length, pad))
     return looked.withColumn(out, ids).drop("_ids")
 
 
-def decode_symbols(df: DataFrame, vocab: DataFrame, col: str, out: str, key: str) -> DataFrame:
-    """Ids back to text; pad, start and end ids are dropped."""
+def decode_symbols(df: DataFrame, vocab: DataFrame, col: str, out: str) -> DataFrame:
+    """Ids back to text; pad, start and end ids are dropped; NULL stays NULL."""
     kept = F.filter(F.col(col), lambda x: ~x.isin(PAD_ID, SOS_ID, EOS_ID))
-    looked = _lookup(df, vocab, kept, key, False, F.lit(""))
+    looked = _lookup(df, vocab, kept, False, F.lit(""))
     return looked.withColumn(out, F.array_join("_ids", "")).drop("_ids")
 
 
-def decode_mixed(df: DataFrame, vocab: DataFrame, col: str, out: str, key: str, n_symbols: int) -> DataFrame:
+def decode_mixed(df: DataFrame, vocab: DataFrame, col: str, out: str, n_symbols: int) -> DataFrame:
     """Symbol text for ids of the symbol vocabulary, then the remaining ids as numbers."""
     small = F.filter(F.col(col), lambda x: x < n_symbols)
     large = F.transform(F.filter(F.col(col), lambda x: x >= n_symbols), lambda x: x.cast("string"))
-    return _lookup(df, vocab, small, key, False, F.lit("")).withColumn(out, F.concat("_ids", large)).drop("_ids")
+    return _lookup(df, vocab, small, False, F.lit("")).withColumn(out, F.concat("_ids", large)).drop("_ids")
 
 
 def greedy_tokens(df: DataFrame, col: str, out: str, max_length: int = 120) -> DataFrame:
@@ -94,10 +89,10 @@ def greedy_tokens(df: DataFrame, col: str, out: str, max_length: int = 120) -> D
     return df.withColumn(out, pad_list(tokens, max_length, blank))
 
 
-def char_encode(df: DataFrame, vocab: DataFrame, col: str, out: str, key: str, max_length: int) -> DataFrame:
-    """Characters to ids after filling with blanks (or cutting) to ``max_length``."""
+def char_encode(df: DataFrame, vocab: DataFrame, col: str, out: str, max_length: int = 120) -> DataFrame:
+    """Characters to ids after filling with blanks (or cutting) to ``max_length``; NULL stays NULL."""
     chars = F.split(F.rpad(F.col(col), max_length, " "), "")
-    return _lookup(df, vocab, F.filter(chars, lambda x: x != ""), key, True,
+    return _lookup(df, vocab, F.filter(chars, lambda x: x != ""), True,
                    F.lit(None).cast("bigint")).withColumnRenamed("_ids", out)
 
 
@@ -125,6 +120,16 @@ def id_space(n_symbols: int, n_assays: int, n_values: int) -> dict[str, int]:
             "sep": sep, "end": sep + 1, "size": sep + 2}
 
 
+def write_id_space(spark: SparkSession, meta: dict[str, int], path: str) -> str:
+    """The offsets as a one-row table beside the vocabulary, so that token ids can be read in a later job."""
+    spark.range(1, numPartitions=1).select(*[F.lit(v).cast("bigint").alias(k) for k, v in meta.items()]).write.mode("overwrite").parquet(path)
+    return path
+
+
+def read_id_space(spark: SparkSession, path: str) -> dict[str, int]:
+    return spark.read.parquet(path).first().asDict()
+
+
 def id_space_of(vocab: DataFrame, data: DataFrame) -> dict[str, int]:
     sizes = vocab_sizes(data).first()
     return id_space(vocab.count(), sizes["n_assays"], sizes["n_values"])

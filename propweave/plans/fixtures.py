@@ -109,7 +109,7 @@ class Tables:
 
     @cached_property
     def enc(self) -> DataFrame:
-        return encode_symbols(self.sub, self.voc, "symbols", "encoded", "sid")
+        return encode_symbols(self.sub, self.voc, "symbols", "encoded")
 
     @cached_property
     def examples(self) -> DataFrame:

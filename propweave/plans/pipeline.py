@@ -23,7 +23,7 @@ def run_pipeline(spark: SparkSession, sf_dir: str, min_per_class: int = 200) ->
         raw, "data", {"inchi": ["$.inchi", "$.Ligand InChI"], "smiles": ["$.SMILES", "$.Ligand SMILES"]},
         F.col("inchi"), bracketed("smiles")), "substances")
     voc = materialise(vocab.fit_vocab(subs, "symbols"), "vocab")
-    enc = materialise(vocab.encode_symbols(subs, voc, "symbols", "encoded", "sid").select("sid", "encoded"), "encoded")
+    enc = materialise(vocab.encode_symbols(subs, voc, "symbols", "encoded").select("sid", "encoded"), "encoded")
 
     act = t.act.join(subs.select("sid"), "sid", "left_semi")
     kept = clean.restrict(act, clean.balanced_assays(act, min_per_class))

@@ -8,6 +8,7 @@ from propweave.functions import arrays as A, symbols as S
 from propweave.functions.hashing import seeded_digest
 from propweave.operators import clean, dataset, ordering, vocab
 from propweave.plans.registry import query, rounded, text
+from propweave.sources.scratch import scratch_path
 
 
 def spaced(arr: str) -> str:
@@ -60,11 +61,11 @@ def _(t):
 
 @query("char_encode", f"""with c as (select s, row_number() over (order by s) - 1 as i from
         (select distinct unnest(string_split(smiles, '')) as s from SUB union select ' ') t where s <> ''),
-    p as (select sid, rpad(smiles, 40, ' ') as padded from SUB),
-    x as (select sid, substr(padded, pos::int, 1) as s, pos from p, range(1, 41) r(pos))
+    p as (select sid, rpad(smiles, 120, ' ') as padded from SUB),
+    x as (select sid, substr(padded, pos::int, 1) as s, pos from p, range(1, 121) r(pos))
     select sid, string_agg(i, ' ' order by pos) as ids from x join c using (s) group by sid""")
 def _(t):
-    df = vocab.char_encode(t.sub, vocab.char_vocab(t.sub, "smiles"), "smiles", "ids", "sid", 40)
+    df = vocab.char_encode(t.sub, vocab.char_vocab(t.sub, "smiles"), "smiles", "ids", 120)
     return df.select("sid", text("ids").alias("ids"))
 
 
@@ -82,12 +83,12 @@ def _greedy_sql() -> str:
     x as (select sid, unnest(l) as s, generate_subscripts(l, 1) as pos from
           (select sid, regexp_extract_all('^' || smiles || '$', '({wide}|.)', 1) as l from SUB) a),
     y as (select sid, list(coalesce(i, 2) order by pos) as ids from x left join v using (s) group by sid)
-    select sid, array_to_string(list_resize(ids, 60, 2), ' ') as ids from y"""
+    select sid, array_to_string(list_resize(ids, 120, 2), ' ') as ids from y"""
 
 
 @query("greedy_tokens", _greedy_sql())
 def _(t):
-    return vocab.greedy_tokens(t.sub, "smiles", "ids", 60).select("sid", text("ids").alias("ids"))
+    return vocab.greedy_tokens(t.sub, "smiles", "ids", 120).select("sid", text("ids").alias("ids"))
 
 
 @query("encode_symbols", f"select sid, {spaced('encoded')} as ids from ENC")
@@ -97,7 +98,7 @@ def _(t):
 
 @query("decode_symbols", "select sid, symbols as decoded from SUB")
 def _(t):
-    return vocab.decode_symbols(t.enc, t.voc, "encoded", "decoded", "sid").select("sid", "decoded")
+    return vocab.decode_symbols(t.enc, t.voc, "encoded", "decoded").select("sid", "decoded")
 
 
 @query("encode_words", r"""with w as (select doc_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') as l from documents),
@@ -109,10 +110,9 @@ def _(t):
 
     docs = t.docs()
     docs = docs.withColumn("w", F.transform(words("text"), lambda x: F.concat(F.lit("["), F.replace(x, F.lit("]"), F.lit("")), F.lit("]"))))
-    docs = docs.select("doc_id", F.array_join("w", "").alias("symbols"), F.size("w").alias("n_words"))
+    docs = docs.select("doc_id", F.array_join("w", "").alias("symbols"))
     voc = vocab.fit_vocab(docs, "symbols")
-    widest = docs.agg(F.max("n_words")).first()[0] + 2
-    enc = vocab.encode_symbols(docs, voc, "symbols", "ids", "doc_id", pad_length=widest)
+    enc = vocab.encode_symbols(docs, voc, "symbols", "ids", pad_length=None)
     real = F.filter("ids", lambda x: x > 2)
     check = F.aggregate(F.transform(real, lambda x, i: x * ((i + 1) % 97 + 1)), F.lit(0).cast("bigint"), lambda s, x: s + x)
     return enc.select("doc_id", F.size(F.filter("ids", lambda x: x > 0)).cast("bigint").alias("n"), check.alias("checksum"))
@@ -124,7 +124,7 @@ def _(t):
 def _(t):
     df = dataset.encode_pairs(t.nest, t.meta).join(t.enc.select("sid", "encoded"), "sid")
     df = df.withColumn("ids", F.concat(F.filter("encoded", lambda x: x > 2), "assay_vals"))
-    out = vocab.decode_mixed(df, t.voc, "ids", "mixed", "sid", t.meta["n_symbols"])
+    out = vocab.decode_mixed(df, t.voc, "ids", "mixed", t.meta["n_symbols"])
     return out.select("sid", F.array_join("mixed", " ").alias("mixed"))
 
 
@@ -167,14 +167,16 @@ def _(t):
 
 
 PERM3 = "(values (0,0,1,2),(1,0,2,1),(2,1,0,2),(3,1,2,0),(4,2,0,1),(5,2,1,0)) p(perm,i0,i1,i2)"
-TRIPLE = """select sid, list(assay_index order by assay_index) as a, list(value order by assay_index) as v from DATA
-    group by sid having count(*) >= 3"""
+RANKED = """select sid, assay_index, value, row_number() over (partition by sid order by md5('37|' || sid || '|' || assay_index)) as r from DATA"""
+TRIPLE = f"""select sid, list(assay_index order by r) as a, list(value order by r) as v from ({RANKED}) k where r <= 3
+    group by sid having count(*) = 3"""
 
 
 @query("pair_permutations", f"""select sid, perm, a[i0+1] || ':' || v[i0+1] || ' ' || a[i1+1] || ':' || v[i1+1] || ' ' || a[i2+1] || ':' || v[i2+1] as pairs
     from ({TRIPLE}) t, {PERM3}""")
 def _(t):
-    ok = t.nest.filter(F.size("assay_val_pairs") >= 3).select("sid", F.slice("assay_val_pairs", 1, 3).alias("p"))
+    ok = t.nest.filter(F.size("assay_val_pairs") >= 3)
+    ok = ok.select("sid", dataset.sample_pairs("assay_val_pairs", 3, 37, "sid").alias("p"))
     perms = ok.select("sid", "p", F.posexplode(A.permutation_list(3)).alias("perm", "ord"))
     pair = F.transform(A.reorder("p", F.col("ord")), lambda x: F.concat_ws(":", x["assay_index"], x["value"]))
     return perms.select("sid", "perm", F.array_join(pair, " ").alias("pairs"))
@@ -194,9 +196,6 @@ def _(t):
     return rows.select("sid", "pos", "p.assay_index", "p.value")
 
 
-RANKED = """select sid, assay_index, value, row_number() over (partition by sid order by md5('37|' || sid || '|' || assay_index)) as r from DATA"""
-
-
 @query("sample_pairs", f"select sid, string_agg(assay_index || ':' || value, ' ' order by r) as pairs from ({RANKED}) t where r <= 4 group by sid")
 def _(t):
     pair = F.transform(dataset.sample_pairs("assay_val_pairs", 4, 37, "sid"), lambda p: F.concat_ws(":", p["assay_index"], p["value"]))
@@ -211,9 +210,16 @@ def _(t):
                      text(A.shift_right("assay_vals", F.lit(1).cast("bigint"))).alias("teacher"))
 
 
-@query("one_hot", """select property_id, string_agg((i = source_id)::int, '' order by i) as hot from PROP, range(0, 25) r(i) group by property_id""")
+@query("one_hot", """select property_id, string_agg((i = source_id)::int, '' order by i) as hot from PROP, (select unnest(range(0, (select max(n_nationkey) + 1 from nation))) as i) r group by property_id""")
+def _(t):
+    n = t.src.agg(F.max("source_id")).first()[0] + 1
+    return t.prop.select("property_id", F.array_join(F.transform(A.one_hot("source_id", n), lambda x: x.cast("string")), "").alias("hot"))
+
+
+@query("one_hot_matrix", """select sid, string_agg((value = 0)::int || '' || (value = 1)::int, ' ' order by assay_index) as hot from DATA group by sid""")
 def _(t):
-    return t.prop.select("property_id", F.array_join(F.transform(A.one_hot("source_id", 25), lambda x: x.cast("string")), "").alias("hot"))
+    rows = t.nest.select("sid", A.one_hot_matrix(F.transform("assay_val_pairs", lambda p: p["value"]), t.meta["n_values"]).alias("m"))
+    return rows.select("sid", F.array_join(F.transform("m", lambda r: F.array_join(F.transform(r, lambda x: x.cast("string")), "")), " ").alias("hot"))
 
 
 @query("mask_tokens", """select sid, string_agg(case when pos > 0 and ('0x' || substr(md5('137|' || sid || '|' || pos), 1, 8))::bigint / 4294967296.0::double < 0.1
@@ -262,15 +268,30 @@ def _(t):
     return ex.select("sid", text("output").alias("output"), text("teacher").alias("teacher"), text("encoded").alias("input"))
 
 
-@query("eval_rows", f"""with x as (select sid, perm, a[i0+1] as a0, v[i0+1] as v0, a[i1+1] as a1, v[i1+1] as v1, a[i2+1] as a2, v[i2+1] as v2
-        from ({TRIPLE}) t, {PERM3})
-    select sid, perm, 0 as nprops, '' || a0 as prior_assays, '' || v0 as prior_values, a0 as assay, v0 as value from x
-    union all select sid, perm, 1, a0 || ' + ' || a1, v0 || ' ' || v1, a1, v1 from x
-    union all select sid, perm, 2, a0 || ' + ' || a1 || ' + ' || a2, v0 || ' ' || v1 || ' ' || v2, a2, v2 from x""")
+CHUNKS = f"""o as (select *, count(*) over (partition by sid) as m from ({RANKED}) k),
+    s as (select distinct sid, m from o where m >= 3), c as (select sid, m, unnest(range(0, (m + 2) // 3)) as pass from s),
+    e as (select sid, m, pass, unnest(range(0, 3)) as j from c),
+    t as (select e.sid, pass, list(assay_index order by j) as a, list(value order by j) as v
+          from e join o on o.sid = e.sid and o.r - 1 = (3 * pass + j) % e.m group by e.sid, pass),
+    x as (select sid, pass, perm, a[i0+1] as a0, v[i0+1] as v0, a[i1+1] as a1, v[i1+1] as v1, a[i2+1] as a2, v[i2+1] as v2 from t, {PERM3}),
+    ev as (select sid, pass, perm, 0 as nprops, '' || a0 as prior_assays, '' || v0 as prior_values, a0 as assay, v0 as value from x
+        union all select sid, pass, perm, 1, a0 || ' + ' || a1, v0 || ' ' || v1, a1, v1 from x
+        union all select sid, pass, perm, 2, a0 || ' + ' || a1 || ' + ' || a2, v0 || ' ' || v1 || ' ' || v2, a2, v2 from x)"""
+
+
+@query("eval_rows", f"with {CHUNKS} select * from ev")
 def _(t):
     return dataset.eval_rows(t.nest, nprops=3).withColumn("prior_values", text("prior_values"))
 
 
+@query("seen_inputs", f"""with {CHUNKS} select distinct sid, prior_assays, value from ev
+    where (sid, prior_assays) not in (select (sid, prior_assays) from ev where pass = 0)""")
+def _(t):
+    rows = dataset.eval_rows(t.nest, nprops=3)
+    inputs = ["sid", "prior_assays"]
+    return dataset.skip_seen(rows.filter("pass > 0"), rows.filter("pass = 0"), inputs).select(*inputs, "value")
+
+
 @query("context_empty", """select property_token, (ns + na + nv) || ' ' || property_token || ' 0 ' || (ns + na + nv + 1) as context from PROP, META""")
 def _(t):
     return dataset.context_empty(t.prop.select("property_token"), t.meta).select("property_token", text("context").alias("context"))
@@ -278,23 +299,33 @@ def _(t):
 
 @query("finetune_dataset", """with v as (select lang, row_number() over (order by lang) - 1 + 100 as idx from (select distinct lang from documents) a),
     c as (select doc_id as sid, idx, max((quality > 0)::int) as value from documents join labels using (doc_id) join v using (lang)
-          group by all having count(distinct quality > 0) = 1)
-    select sid, string_agg(idx || ':' || value, ' ' order by idx) as pairs,
-    case when ('0x' || substr(md5('37|' || sid), 1, 8))::bigint % 1000 < 800 then 'trn'
-         when ('0x' || substr(md5('37|' || sid), 1, 8))::bigint % 1000 < 900 then 'tst' else 'hld' end as split from c group by sid""")
+          group by all having count(distinct quality > 0) = 1),
+    s as (select count(distinct ch) + 3 as ns from (select unnest(string_split('' || sid, '')) as ch from c) a where ch <> ''),
+    m as (select ns, max(idx) + 1 as na, max(value) + 1 as nv from c, s group by ns),
+    n as (select sid, list_concat(list_concat([any_value(ns + na + nv)], flatten(list([idx + ns, value + ns + na] order by idx))),
+          [any_value(ns + na + nv + 1)]) as t, list(('0x' || substr(md5('37|' || sid), 1, 8))::bigint % 1000)[1] as b from c, m group by sid),
+    d as (select ch, 2 + row_number() over (order by ch) as i from (select distinct ch from (select unnest(string_split('' || sid, '')) as ch from c) a where ch <> '') b),
+    q as (select sid, unnest(string_split('' || sid, '')) as ch, generate_subscripts(string_split('' || sid, ''), 1) as pos from n),
+    e as (select q.sid, list_resize(list_concat(list_concat([1::bigint], list(i order by pos)), [2::bigint]), 120, 0::bigint) as enc from q join d using (ch) group by q.sid)
+    select sid, array_to_string(t, ' ') as ids, list_sum(enc)::bigint as input_sum,
+    case when b < 800 then 'trn' when b < 900 then 'tst' else 'hld' end as split from n join e using (sid)""")
 def _(t):
     src = t.raw("documents", "doc_id", "lang").join(t.raw("labels", "doc_id", "quality"), "doc_id")
     idx = vocab.label_index(t.raw("documents", "lang"), "lang", "assay", offset=100)  # new ids start past the old ones
     act = src.join(idx, "lang").select(F.col("doc_id").alias("sid"), "assay", (F.col("quality") > 0).cast("int").alias("value"))
-    nested = dataset.split_by_hash(dataset.nest_pairs(clean.consistent_values(act), prop="assay"))
-    pair = F.transform("assay_val_pairs", lambda p: F.concat_ws(":", p["assay_index"], p["value"]))
-    return nested.select("sid", F.array_join(pair, " ").alias("pairs"), "split")
+    subs = src.select(F.col("doc_id").alias("sid")).distinct().withColumn("symbols", S.bracketed(F.col("sid").cast("string")))
+    path = dataset.finetune_shards(act, subs, scratch_path(t.spark, "finetune"))
+    df = dataset.read_shards(t.spark, path)
+    return df.select("sid", text("assay_vals").alias("ids"), "split",
+                     F.aggregate("encoded", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("input_sum"))
 
 
 @query("dataset_report", """select count(*) as n_rows, count(distinct sid) as n_substances, count(distinct assay) as n_properties,
-    sum(value)::bigint as n_positive, round(avg(value), 6) as share_positive from CONS""")
+    sum(value)::bigint as n_positive, round(avg(value), 6) as share_positive,
+    count(distinct source_id) as n_sources from CONS left join PROP on assay = property_id""")
 def _(t):
-    return dataset.dataset_report(t.cons)
+    rows = t.cons.join(t.prop.select(F.col("property_id").alias("assay"), "source_id"), "assay", "left")
+    return dataset.dataset_report(rows, "source_id")
 
 
 @query("seeded_order", "select p_partkey as sid, row_number() over (order by md5('52|' || p_partkey), p_partkey) as pos from part")

@@ -102,9 +102,9 @@ def _(t):
     return rounded(features.pair_entropy(t.cons, exclude_self=True, conditional=True), "entropy")
 
 
-@query("pair_count_distribution", "select n_values, count(*) as n_items from (select sid, count(*) as n_values from CONS group by sid) t group by n_values")
+@query("pair_count_distribution", "select n_values, count(*) as n_items from (select sid, assay, count(*) as n_values from ACT group by all) t group by n_values")
 def _(t):
-    return features.pair_count_distribution(t.cons)
+    return features.pair_count_distribution(t.act)
 
 
 @query("ensemble_mean", "select chemical_id as sid, assay as target, round(avg(probs), 6) as prob, count(*) as n_contexts from PRED group by all")
@@ -224,12 +224,10 @@ def _(t):
     return rounded(reports.well_predicted(t.met, "assay", floor=0.5), "auc")
 
 
-@query("sequence_accuracy", r"""with s as (select sid, string_split(substr(smiles || '                              ', 1, 40), '') as a,
-    string_split(substr(lower(smiles) || '                              ', 1, 40), '') as b from SUB)
+@query("sequence_accuracy", r"""with s as (select sid, string_split(smiles, '') as a, string_split(lower(smiles), '') as b from SUB)
     select sid, round(100.0::double * list_sum(list_transform(list_zip(a, b), lambda p: (p[1] = p[2])::int)) / len(a), 6) as pct from s""")
 def _(t):
-    fixed = F.substring(F.concat(F.col("smiles"), F.lit(" " * 30)), 1, 40)
-    s = t.sub.select("sid", F.split(fixed, "").alias("a"), F.split(F.lower(fixed), "").alias("b"))
+    s = t.sub.select("sid", F.split("smiles", "").alias("a"), F.split(F.lower("smiles"), "").alias("b"))
     s = s.select("sid", *[F.filter(c, lambda x: x != "").alias(c) for c in "ab"])
     return rounded(metrics.sequence_accuracy(s, "a", "b").select("sid", "pct"), "pct")
 

@@ -190,12 +190,15 @@ def _(t):
     return rounded(cat.property_category(t.prop, t.pcat, t.src), "strength").drop("property_id").orderBy(F.desc("strength"))
 
 
-@query("known_properties", """select sid, source, property_token, category, round(strength, 6) as strength, value
-    from CONS join PROP on assay = property_id join PCAT using (property_id) join SRC using (source_id)
-    where category = 'PROMO' and sid in (select p_partkey from part where p_type = 'ECONOMY')""")
+@query("known_properties", """with c as (select property_id, string_agg(category, ';' order by category) as categories from PCAT
+        where strength > 9.5 group by property_id)
+    select sid, source, property_token, coalesce(categories, '') as categories, value
+    from CONS join PROP on assay = property_id join SRC using (source_id) left join c using (property_id)
+    where sid in (select p_partkey from part where p_type = 'ECONOMY')""")
 def _(t):
     asked = t.raw("part").filter("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("sid"))
-    return rounded(cat.known_properties(asked, t.cons, t.prop, t.pcat, t.src, "PROMO"), "strength")
+    known = cat.known_properties(asked, t.cons, t.prop, t.pcat.filter("strength > 9.5"), t.src)
+    return known.withColumn("categories", F.array_join(F.transform("categories", lambda c: c["category"]), ";"))
 
 
 @query("surrogate_keys", """with d as (select source, row_number() over (order by source) - 1 as source_id
@@ -284,14 +287,6 @@ def _(t):
     return first.unionByName(m.filter("nprops > 0").select(F.lit("later").alias("method"), "assay", "auc"))
 
 
-@query("seen_inputs", """select l_partkey as sid, l_suppkey as assay, count(*) as n_passes, min(l_linenumber) as first_pass
-    from lineitem group by all""")
-def _(t):
-    li = t.raw("lineitem")
-    return li.groupBy(F.col("l_partkey").alias("sid"), F.col("l_suppkey").alias("assay")).agg(
-        F.count(F.lit(1)).alias("n_passes"), F.min("l_linenumber").alias("first_pass"))
-
-
 @query("first_per_key", "select p_brand, min(p_name) as p_name, min(p_partkey) as first_part from part group by p_brand")
 def _(t):
     by_name = clean.first_per_key(t.raw("part", "p_brand", "p_name"), "p_brand", "p_name")
