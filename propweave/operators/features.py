@@ -3,7 +3,8 @@
 One pass serves all target properties at once. Each substance's consistent values are a
 list no longer than the number of properties; substances with the same list are counted
 once with a weight, so copies cost nothing; the pairs of a list go straight into a
-map-side aggregate keyed by the property pair, and only pair totals are shuffled.
+map-side aggregate keyed by the property pair, and only pair totals are shuffled. The pairs
+of a long list are formed by many tasks, block by block.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from propweave.operators.dataset import nest_pairs
 
 
+PAIR_BLOCK = 64
+
+
 def profiles(cons: DataFrame, key: str = "sid", prop: str = "assay", value: str = "value") -> DataFrame:
     """(assay_val_pairs, weight): distinct value profiles and how many substances have each."""
     nested = nest_pairs(cons, key, prop, value)
@@ -39,10 +43,15 @@ def pair_counts(cons: DataFrame, key: str = "sid", prop: str = "assay", value: s
     bad = F.raise_error(F.lit("property values must be 0 or 1")).cast("int")
     checked = cons.withColumn(value, F.when(F.col(value).isin(0, 1), F.col(value)).otherwise(bad))
     prof = profiles(frequent(checked, min_rows, prop), key, prop, value)
-    left = prof.select("weight", "assay_val_pairs", F.posexplode("assay_val_pairs").alias("i", "l"))
-    first = F.col("i") + (2 if exclude_self else 1)
-    rest = F.slice("assay_val_pairs", first, F.size("assay_val_pairs"))
-    both = left.select("weight", "l", F.explode(rest).alias("r"))
+    # a profile of m values has m * m / 2 pairs: they are dealt to the tasks in blocks of PAIR_BLOCK by PAIR_BLOCK
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("assay_val_pairs") - 1) / PAIR_BLOCK).cast("int")),
+                         lambda b: F.slice("assay_val_pairs", b * PAIR_BLOCK + 1, F.lit(PAIR_BLOCK)))
+    tops = prof.select("weight", pieces.alias("pieces")).select("weight", "pieces", F.posexplode("pieces").alias("at", "left"))
+    units = tops.select("weight", "left", F.posexplode(F.slice("pieces", F.col("at") + 1, F.size("pieces"))).alias("off", "right"))
+    units = units.repartition(F.xxhash64("left", "right"))
+    left = units.select("weight", "off", "right", F.posexplode("left").alias("i", "l"))
+    own = F.slice("right", F.col("i") + (2 if exclude_self else 1), F.size("right"))
+    both = left.select("weight", "l", F.explode(F.when(F.col("off") == 0, own).otherwise(F.col("right"))).alias("r"))
     cell = F.col("l.value") * 2 + F.col("r.value")
     n = both.select(F.col("l.assay_index").alias("x"), F.col("r.assay_index").alias("y"), cell.alias("c"), "weight")
     n = n.groupBy("x", "y").agg(*[F.sum(F.when(F.col("c") == i, F.col("weight")).otherwise(0)).alias(name)
@@ -65,9 +74,9 @@ def total() -> Column:
     return F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11")
 
 
-def cooccurrence(cons: DataFrame, **names: str) -> DataFrame:
-    """(target, feature) with the number of substances that have both and the value agreement."""
-    return pair_counts(cons, **names).select(F.col("x").alias("target"), F.col("y").alias("feature"),
+def cooccurrence(cons: DataFrame, min_count: int = 30, **names: str) -> DataFrame:
+    """(target, feature) seen together more than ``min_count`` times: number of substances and value agreement."""
+    return pair_counts(cons, min_rows=min_count, **names).filter(total() > min_count).select(F.col("x").alias("target"), F.col("y").alias("feature"),
                                              total().alias("n"), (F.col("n00") + F.col("n11")).alias("n_same"))
 
 
@@ -100,7 +109,7 @@ def useful_features(cons: DataFrame, min_count: int = 30, h_min: float = 0.025,
     return h.filter((F.col("entropy") > h_min) & (F.col("entropy") <= h_max))
 
 
-def conditional_table(cons: DataFrame, alpha: float = 1.0, min_count: int = 0, **names: str) -> DataFrame:
+def conditional_table(cons: DataFrame, alpha: float = 1.0, min_count: int = 30, **names: str) -> DataFrame:
     """If ``feature`` has value v, how likely is ``target`` = 1? With support, smoothing, prior and lift,
     and the log-likelihood ratio used by the scorer."""
     pc = pair_counts(cons, min_rows=min_count, exclude_self=True, **names).filter(total() > min_count)

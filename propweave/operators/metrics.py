@@ -25,10 +25,6 @@ def _rank_wins(counts: DataFrame, keys: list[str], score: str, cuts: list[tuple]
     """
     rest = [c for c in counts.columns if c not in (*keys, score)]
     wins = F.sum(F.col("pos") * (F.coalesce(F.col("_below"), F.lit(0)) + F.col("neg") / 2)).alias("_wins")
-    if not cuts:
-        below = W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-        local = counts.withColumn("_below", F.sum("neg").over(below))
-        return local.groupBy(*keys).agg(wins.alias("wins"), *[F.sum(c).alias(c) for c in rest])
     rows = counts.withColumn("_b", bucket_of(counts, [score], cuts))
     below = W.partitionBy(*keys, "_b").orderBy(score).rowsBetween(W.unboundedPreceding, -1)
     local = rows.withColumn("_below", F.sum("neg").over(below))

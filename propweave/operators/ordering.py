@@ -13,12 +13,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from propweave.sources.scratch import materialise
+
 SAMPLE = 4096
 
 
 def bucket_count(df: DataFrame) -> int:
-    """As many buckets as the session has shuffle partitions, within 16 and 256."""
-    return min(256, max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """As many buckets as the session has shuffle partitions, 16 at least."""
+    return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def order_cuts(df: DataFrame, order: list[str], buckets: int | None = None) -> list[tuple]:
@@ -69,14 +71,7 @@ def prefix_scan(df: DataFrame, order: list[str], sums: dict[str, str] | None = N
     ``order`` must be unique inside a group for a repeatable result.
     """
     group, sums, mins = group or [], sums or {}, mins or {}
-    cuts = order_cuts(df, order, buckets)
-    if not cuts:  # a small table: the plain window is the cheaper plan
-        w = W.partitionBy(*(group or [F.lit(0)])).orderBy(*order)
-        return df.select(
-            *df.columns,
-            *[F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(o) for o, c in sums.items()],
-            *[F.min(c).over(w.rowsBetween(W.unboundedPreceding, 0)).alias(o) for o, c in mins.items()])
-    rows = df.withColumn("_b", bucket_of(df, order, cuts))
+    rows = df.withColumn("_b", bucket_of(df, order, order_cuts(df, order, buckets)))
     parts = [*group, "_b"]
     before = W.partitionBy(*parts).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     upto = W.partitionBy(*parts).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
@@ -114,13 +109,15 @@ def ordered_position(df: DataFrame, order: list[str], out: str, group: list[str]
     return scanned.select(*df.columns, (F.col("_pos") + F.lit(start)).cast("bigint").alias(out))
 
 
-def top_n(df: DataFrame, group: list[str], order: list, n: int, salts: int = 32,
+def top_n(df: DataFrame, group: list[str], order: list, n: int, salts: int | None = None,
           spread: list[str] | None = None) -> DataFrame:
     """The first ``n`` rows of each group, in two rounds.
 
     Round one keeps n rows in each of ``salts`` slices of a group, so a hot group is cut
-    down in parallel; round two sees at most ``salts * n`` rows per group.
+    down in parallel; round two sees at most ``salts * n`` rows per group. There are as many
+    slices as the session has shuffle partitions, 32 at least.
     """
+    salts = salts or max(32, bucket_count(df))
     slice_of = F.pmod(F.xxhash64(*(spread or df.columns)), F.lit(salts))
     first = W.partitionBy(*group, "_s").orderBy(*order)
     final = W.partitionBy(*group).orderBy(*order)
@@ -140,6 +137,7 @@ def first_row(df: DataFrame, keys: list[str], order: list[str], keep: list[str])
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str, buckets: int | None = None) -> DataFrame:
     """Exact median from value counts and their prefix sums (no value list per group)."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = materialise(counts, "value-counts")  # cut points, prefix sums and sizes read it
     ranked = prefix_scan(counts, [value], sums={"_before": "_c"}, group=keys, buckets=buckets)
     sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)

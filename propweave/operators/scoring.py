@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from propweave.operators.dataset import nest_pairs, sample_pairs
-from propweave.operators.features import conditional_table, priors
-from propweave.operators.metrics import binary_metrics, sigmoid
+from propweave.operators.features import conditional_table, holdout_features, priors
+from propweave.operators.metrics import binary_metrics, safe_auc, sigmoid
+from propweave.operators.ordering import bucket_count, exact_median
 from propweave.sources.scratch import materialise
 
 
-def known_context(requests: DataFrame, known: DataFrame) -> DataFrame:
-    """Each request (sid, target) with the substance's other known values, the target's own value left out."""
-    nested = nest_pairs(known, "sid", "assay", "value").withColumnRenamed("assay_val_pairs", "known")
-    others = F.filter("known", lambda p: p["assay_index"] != F.col("target"))
-    none = F.array().cast("array<struct<assay_index:bigint,value:int>>")
-    joined = requests.join(nested, "sid", "left")
-    kind = nested.schema["known"].dataType.simpleString()
-    return joined.withColumn("context", F.coalesce(others, none.cast(kind))).drop("known")
+def known_context(requests: DataFrame, known: DataFrame, k: int = 16, seed: int = 137) -> DataFrame:
+    """Each request (sid, target) with up to ``k`` of the substance's other known values, the target's own left out.
+
+    The values are drawn once per substance, so a request carries k pairs at most, however
+    many values its substance has.
+    """
+    draws = drawn_orders(known, k + 1, 1, seed)
+    joined = requests.join(draws, "sid", "left")
+    chosen = F.sort_array(without_target(F.get("draws", F.lit(0)), k))
+    none = F.array().cast(draws.schema["draws"].dataType.elementType)
+    return joined.withColumn("context", F.coalesce(chosen, none)).drop("draws")
 
 
 def drawn_orders(known: DataFrame, n: int, r: int, seed: int = 137) -> DataFrame:
@@ -32,18 +36,22 @@ def without_target(draw: Column, k: int) -> Column:
     return F.slice(F.filter(draw, lambda p: p["assay_index"] != F.col("target")), F.lit(1), F.lit(k))
 
 
-def random_contexts(requests: DataFrame, known: DataFrame, k: int = 4, r: int = 10, seed: int = 137) -> DataFrame:
-    """Up to ``r`` different random choices of ``k`` known pairs per request (sid, target), the target left out.
+def random_contexts(requests: DataFrame, known: DataFrame, k: int = 4, r: int = 10, seed: int = 137,
+                    distinct: bool = True) -> DataFrame:
+    """``r`` random choices of ``k`` known pairs per request (sid, target), the target left out.
 
     The orders are drawn once per substance and shared by all its targets: k + 1 pairs are
     enough, since at most one of them is the target. A request so carries r * (k + 1)
-    pairs, however many values its substance has. Equal choices are removed inside the row.
+    pairs, however many values its substance has. Unless ``distinct`` is off, equal choices are
+    removed inside the row. A request without any known pair has one empty choice.
     """
     draws = drawn_orders(known, k + 1, r, seed)
     kind = draws.schema["draws"].dataType.simpleString()
     joined = requests.select("sid", "target").join(draws, "sid", "left")
     chosen = F.transform("draws", lambda d: F.sort_array(without_target(d, k)))
-    chosen = F.coalesce(F.array_distinct(chosen), F.array(F.array()).cast(kind))
+    chosen = F.filter(chosen, lambda c: F.size(c) > 0)
+    chosen = F.array_distinct(chosen) if distinct else chosen
+    chosen = F.when(F.size(chosen) > 0, chosen).otherwise(F.array(F.array()).cast(kind))
     return joined.select("sid", "target", F.posexplode(chosen).alias("ctx", "pairs"))
 
 
@@ -67,19 +75,20 @@ def ensemble_mean(scores: DataFrame, keys: tuple[str, ...] = ("sid", "target"))
 
 
 def predict_property(requests: DataFrame, known: DataFrame, cond: DataFrame, prior: DataFrame,
-                     k: int = 4, r: int = 10, seed: int = 137) -> DataFrame:
-    """Mean probability over the random contexts of each request."""
-    contexts = random_contexts(requests, known, k, r, seed)
+                     k: int = 4, r: int = 10, seed: int = 137, distinct: bool = False) -> DataFrame:
+    """Mean probability over all random contexts of each request, or over the different ones."""
+    contexts = random_contexts(requests, known, k, r, seed, distinct)
     return ensemble_mean(score_contexts(contexts, cond, prior))
 
 
-def candidate_x_property(candidates: DataFrame, props: DataFrame, slices: int = 16) -> DataFrame:
-    """Every candidate with every property.
+def candidate_x_property(candidates: DataFrame, props: DataFrame) -> DataFrame:
+    """Every candidate of a given list with every property.
 
-    The full product is the operator's meaning. Neither side is broadcast: properties are
-    dealt to ``slices`` slices, candidates visit each slice, and an equi-join on the slice
-    spreads both the work and the output.
+    The product is the operator's meaning, so the list is what a caller asks about, not a
+    whole table. Each candidate carries the slice numbers of the properties; an equi-join on
+    the slice spreads the output over as many parts as the session has shuffle partitions.
     """
+    slices = bucket_count(props)
     p = props.withColumn("_slice", F.pmod(F.xxhash64(*props.columns), F.lit(slices)))
     c = candidates.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))))
     return c.join(p, "_slice").drop("_slice")
@@ -87,13 +96,13 @@ def candidate_x_property(candidates: DataFrame, props: DataFrame, slices: int =
 
 def score_all(substances: DataFrame, known: DataFrame, cond: DataFrame, prior: DataFrame,
               k: int = 4, r: int = 10, seed: int = 137) -> DataFrame:
-    """Every property for every substance from ``r`` random contexts, the target's own value left out.
+    """Every property for the substances of a request list from ``r`` random contexts, the target's own value left out.
 
     Each (substance, property) is one request, so a context never holds the property it
     is asked about; the mean runs over the distinct contexts.
     """
     requests = candidate_x_property(substances.select("sid"), prior.select("target"))
-    return predict_property(requests, known, cond, prior, k, r, seed)
+    return predict_property(requests, known, cond, prior, k, r, seed, distinct=True)
 
 
 def eval_by_nprops(trn: DataFrame, hld: DataFrame, max_known: int = 4, seed: int = 137,
@@ -132,23 +141,50 @@ def batch_requests(requests: DataFrame, known: DataFrame, tokens: DataFrame, con
     named = requests.join(tokens, "property_token", "left")
     error = (F.when(F.col("sid").isNull() | F.col("property_token").isNull(), F.lit("missing argument"))
               .when(F.col("target").isNull(), F.lit("unknown property token")))
-    named = named.withColumn("error", error)
-    ask = named.filter(F.col("error").isNull()).select("sid", "target").distinct()
-    answers = predict_property(ask, known, cond, prior, k, r, seed)
-    return named.join(answers, ["sid", "target"], "left") \
-                .select("request_id", "sid", "property_token", F.col("prob").alias("value"), "error")
-
-
-def learned_scores(data: DataFrame, symbols: str = "symbols", tokens: str = "known_tokens", label: str = "value",
+    named = materialise(named.withColumn("error", error), "requests")
+    good, bad = named.filter(F.col("error").isNull()), named.filter(F.col("error").isNotNull())
+    answers = predict_property(good.select("sid", "target").distinct(), known, cond, prior, k, r, seed)
+    out = ["request_id", "sid", "property_token", "value", "error"]
+    # bad requests pass by the join: their NULL keys would all meet in one task
+    return good.join(answers.withColumnRenamed("prob", "value"), ["sid", "target"], "left").select(*out).unionByName(
+        bad.withColumn("value", F.lit(None).cast("double")).select(*out))
+
+
+def feature_benchmark(trn: DataFrame, hld: DataFrame, sources: DataFrame, k: int = 4, r: int = 10, seed: int = 137,
+                      min_pos: int = 1, min_neg: int = 1) -> DataFrame:
+    """Held-out AUC by source when only useful features may be known.
+
+    Useful features are learned on the training part. Each held-out (substance, target) is
+    scored from ``r`` random choices of ``k`` of its values for the target's useful features;
+    the mean of the choices ranks the substances of a property. ``sources`` has assay, source;
+    the result the median AUC and number of properties per source.
+    """
+    cond, prior = conditional_table(trn), priors(trn)
+    found = holdout_features(trn, hld)
+    pair = F.struct(F.col("feature").alias("assay_index"), F.col("feature_value").alias("value"))
+    rows = found.groupBy("sid", "target", "target_value").agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
+    who = F.concat_ws("/", "sid", "target")
+    draws = F.transform(F.sequence(F.lit(1), F.lit(r)), lambda rep: F.sort_array(sample_pairs("pairs", k, seed, who, rep)))
+    contexts = rows.select("sid", "target", "target_value", F.posexplode(F.array_distinct(draws)).alias("ctx", "pairs"))
+    scored = ensemble_mean(score_contexts(contexts, cond, prior, ("sid", "target", "target_value")), ("sid", "target", "target_value"))
+    scored = materialise(scored.withColumn("prob", F.round("prob", 9)), "benchmark-scores")
+    auc = safe_auc(scored, ["target"], "target_value", "prob").filter((F.col("pos") >= min_pos) & (F.col("neg") >= min_neg))
+    named = auc.join(sources.select(F.col("assay").alias("target"), "source"), "target")
+    return exact_median(named, ["source"], "auc", "auc")
+
+
+def learned_scores(train: DataFrame, test: DataFrame, symbols: str = "symbols", tokens: str = "known_tokens", label: str = "value",
                    features: int = 4096, iterations: int = 20, keep: tuple[str, ...] = ("sid", "assay")) -> DataFrame:
-    """Logistic regression on hashed symbols and known values (array of text columns)."""
+    """Logistic regression on hashed symbols and known values (array of text columns): fitted on one part, scores another."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF
     from pyspark.ml.functions import vector_to_array
 
-    df = data.withColumn("_tokens", F.concat(F.col(symbols), F.col(tokens)))
-    hashed = HashingTF(numFeatures=features, inputCol="_tokens", outputCol="_features", binary=True).transform(df)
-    hashed = materialise(hashed.select(*keep, label, "_features"), "features")  # every iteration reads it
+    hashing = HashingTF(numFeatures=features, inputCol="_tokens", outputCol="_features", binary=True)
+
+    def hashed(df: DataFrame) -> DataFrame:
+        return hashing.transform(df.withColumn("_tokens", F.concat(F.col(symbols), F.col(tokens)))).select(*keep, label, "_features")
+
     model = LogisticRegression(featuresCol="_features", labelCol=label, maxIter=iterations, regParam=0.01,
-                               aggregationDepth=3).fit(hashed)
-    return model.transform(hashed).select(*keep, label, vector_to_array("probability")[1].alias("prob"))
+                               aggregationDepth=3).fit(materialise(hashed(train), "features"))  # every iteration reads it
+    return model.transform(hashed(test)).select(*keep, label, vector_to_array("probability")[1].alias("prob"))

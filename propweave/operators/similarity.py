@@ -17,8 +17,8 @@ from propweave.operators.ordering import top_n
 from propweave.sources.scratch import materialise
 
 ROWS_PER_CHUNK = 2048
-MAX_PIVOTS = 256
-ROWS_PER_PIVOT = 20_000
+#: Pivot cells grow with the root of the corpus: one cell per so many roots.
+ROOTS_PER_PIVOT = 32
 
 
 def block_join(left: DataFrame, right: DataFrame, kernel: Callable, schema: str, id_col: str = "id",
@@ -84,7 +84,7 @@ _HITS = "cell string, qid bigint, cid bigint, score double, value double"
 def _pivot_rows(corpus: DataFrame, n: int):
     import numpy as np
 
-    rows = corpus.select("vec").orderBy(seeded_digest(11, "id"), "id").limit(min(n, MAX_PIVOTS)).collect()
+    rows = corpus.select("vec").orderBy(seeded_digest(11, "id"), "id").limit(n).collect()
     return np.array([r["vec"] for r in rows], dtype="float64")
 
 
@@ -112,7 +112,7 @@ def _reachable(pivots, radius, metric: str) -> Callable:
         b = bound.to_numpy(dtype="float64")[:, None]
         if metric == "l2":
             d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x @ pivots.T, 0))
-            ok = d - radius <= np.sqrt(np.maximum(b, 0)) + 1e-6
+            ok = d - radius <= np.sqrt(np.maximum(b + 1e-6, 0)) + 1e-6  # the bound is rounded to six places
         else:
             ok = x @ pivots.T + np.sqrt((x * x).sum(1))[:, None] * radius >= b - 1e-6
         return pd.Series([np.nonzero(r)[0].astype("int32") for r in ok])
@@ -133,7 +133,7 @@ def neighbours(queries: DataFrame, corpus: DataFrame, k: int = 5, metric: str =
     q = queries.select("id", "vec", name.alias("_cell"))
     c = corpus.select("id", "vec", value.alias("value"), name.alias("_cell"))
     if cells is None:
-        cells = min(MAX_PIVOTS, c.count() // ROWS_PER_PIVOT)
+        cells = int(c.count() ** 0.5 / ROOTS_PER_PIVOT)
     if cells > 1:
         q, c = _pivot_cells(q, c, k, metric, bound, exclude_self, cells)
     hits = block_join(q, c, _topk_kernel(k, metric, bound, exclude_self), _HITS)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from propweave.operators import clean, features, metrics, reports, scoring, similarity
+from propweave.plans.fixtures import family_of
 from propweave.plans.pipeline import run_pipeline
+from propweave.plans.q_tables import FIRST_ORDER, asked_families
 from propweave.plans.registry import query, r6, rounded, text
 from propweave.sources import logs
 from propweave.sources.scratch import scratch_path
@@ -46,9 +48,10 @@ def _(t):
     return rounded(features.information_gain(t.cons), "gain")
 
 
-@query("known_context", """select a.sid, a.assay as target, count(*) as n_known, sum(b.value)::bigint as n_positive,
-    string_agg(b.assay || ':' || b.value, ' ' order by b.assay) as context
-    from FAM a join FAM b on a.sid = b.sid and a.assay <> b.assay group by a.sid, a.assay""")
+@query("known_context", """with o as (select a.sid, a.assay as target, b.assay as feature, b.value, row_number() over (partition by a.sid, a.assay
+        order by md5('137|' || a.sid || '|1|' || b.assay)) as rn from FAM a join FAM b on a.sid = b.sid and a.assay <> b.assay)
+    select sid, target, count(*) as n_known, sum(value)::bigint as n_positive,
+    string_agg(feature || ':' || value, ' ' order by feature) as context from o where rn <= 16 group by sid, target""")
 def _(t):
     req = t.fam.select("sid", F.col("assay").alias("target"))
     ctx = scoring.known_context(req, t.fam).filter(F.size("context") > 0)
@@ -58,9 +61,9 @@ def _(t):
                       F.array_join(pair, " ").alias("context"))
 
 
-def _draws(known: str, requests: str, r: int, k: int = 4) -> str:
-    """SQL for the seeded contexts: (sid, target, pairs list) with equal draws of a request once."""
-    return f"""(select distinct sid, target, pairs from (select sid, target, rep, list(feature || ':' || fvalue order by feature) as pairs from
+def _draws(known: str, requests: str, r: int, k: int = 4, distinct: bool = True) -> str:
+    """SQL for the seeded contexts: (sid, target, pairs list); ``distinct``: equal draws of a request once."""
+    return f"""(select {'distinct' if distinct else ''} sid, target, pairs from (select sid, target, rep, list(feature || ':' || fvalue order by feature) as pairs from
         (select q.sid, q.target, k.assay as feature, k.value as fvalue, rep, row_number() over (partition by q.sid, q.target, rep
             order by md5('137|' || q.sid || '|' || rep || '|' || k.assay)) as rn
          from (select distinct sid, target from {requests} o) q join {known} k on k.sid = q.sid and k.assay <> q.target, range(1, {r} + 1) g(rep)) a
@@ -78,9 +81,9 @@ def _(t):
     return out.select("sid", "target", F.array_join(pair, " ").alias("pairs"))
 
 
-def _predictions(known: str, requests: str, cond: str, prior: str, r: int) -> str:
+def _predictions(known: str, requests: str, cond: str, prior: str, r: int, distinct: bool = False) -> str:
     """SQL for the mean naive-Bayes probability over the contexts; a request without context uses the prior."""
-    return f"""(with d as (select *, row_number() over () as ctx from {_draws(known, requests, r)} z),
+    return f"""(with d as (select *, row_number() over () as ctx from {_draws(known, requests, r, distinct=distinct)} z),
         e as (select sid, target, ctx, unnest(pairs) as p from d),
         s as (select e.sid, e.target, ctx, coalesce(sum(llr), 0) as llr from e left join {cond} c on c.target = e.target
               and c.feature = split_part(p, ':', 1)::bigint and c.fvalue = split_part(p, ':', 2)::int group by all),
@@ -97,16 +100,16 @@ def _(t):
     return rounded(out, "prob")
 
 
-FALL = "(select c.sid, p.target from (select distinct sid from FAM) c, FPRIOR p)"
+FALL = f"(select c.name as sid, p.target from {FIRST_ORDER} c, FPRIOR p)"
 
 
-@query("score_all", f"select sid, target, round(prob, 6) as prob, n_contexts from {_predictions('FAM', FALL, 'FCOND', 'FPRIOR', 3)} p")
+@query("score_all", f"select sid, target, round(prob, 6) as prob, n_contexts from {_predictions('FAM', FALL, 'FCOND', 'FPRIOR', 3, True)} p")
 def _(t):
-    out = scoring.score_all(t.fam.select("sid").distinct(), t.fam, features.conditional_table(t.fam), features.priors(t.fam), r=3)
+    out = scoring.score_all(asked_families(t).withColumnRenamed("name", "sid"), t.fam, features.conditional_table(t.fam), features.priors(t.fam), r=3)
     return rounded(out, "prob")
 
 
-REQS = """(select p_partkey as request_id, case when p_size = 1 then null else p_brand || '/' || p_type end as sid,
+REQS = """(select p_partkey as request_id, case when p_size = 1 then null else 'F' || p_partkey // 16 end as sid,
     (p_partkey % (select count(*) + 3 from supplier)) + 8 as property_token from part)"""
 
 
@@ -119,7 +122,7 @@ def _(t):
     n = t.raw("supplier").count()
     req = t.raw("part").select(
         F.col("p_partkey").alias("request_id"),
-        F.when(F.col("p_size") != 1, F.concat_ws("/", "p_brand", "p_type")).alias("sid"),
+        F.when(F.col("p_size") != 1, family_of("p_partkey")).alias("sid"),
         (F.col("p_partkey") % (n + 3) + 8).alias("property_token"))
     tokens = t.prop.select("property_token", F.col("property_id").alias("target"))
     out = scoring.batch_requests(req, t.fam, tokens, features.conditional_table(t.fam), features.priors(t.fam), r=5)
@@ -129,7 +132,7 @@ def _(t):
 @query("eval_by_nprops", """with cl as (select a.assay as target, b.assay as feature, b.value as fvalue, count(*)::double as support, sum(a.value)::double as n1
         from TRN a join TRN b using (sid) where a.assay <> b.assay group by all),
     cs as (select *, sum(n1) over (partition by target, feature) as all1, sum(support) over (partition by target, feature) as alln from cl),
-    co as (select target, feature, fvalue, ln((n1 + 1) / (all1 + 2)) - ln((support - n1 + 1) / (alln - all1 + 2)) as llr from cs),
+    co as (select target, feature, fvalue, ln((n1 + 1) / (all1 + 2)) - ln((support - n1 + 1) / (alln - all1 + 2)) as llr from cs where alln > 30),
     pr as (select assay as target, (sum(value) + 1.0::double) / (count(*) + 2) as prior from TRN group by assay),
     rk as (select a.sid, a.assay as target, a.value as y, b.assay as feature, b.value as fvalue, row_number() over (partition by a.sid, a.assay
             order by md5('137|' || a.sid || '|1|' || b.assay)) as rn, count(*) over (partition by a.sid, a.assay) as m
@@ -148,15 +151,49 @@ def _(t):
     return rounded(m.select("nprops", "target", "auc", "acc", "num_pos", "num_neg"), "auc", "acc")
 
 
-@query("lr_scores")
+@query("lr_scores", "select count(*) as n_rows, count(distinct sid) as n_substances, count(*) as n_in_range, sum(value)::bigint as n_positive from HLD")
 def _(t):
-    from propweave.functions.symbols import split_symbols
+    from propweave.functions.symbols import bracketed, split_symbols
 
-    known = scoring.known_context(t.fam.select("sid", F.col("assay").alias("target"), "value"), t.fam)
-    tok = F.transform("context", lambda p: F.concat_ws("=", p["assay_index"], p["value"]))
-    df = known.select("sid", F.col("target").alias("assay"), "value", split_symbols(F.col("sid")).alias("symbols"),
-                      F.concat(tok, F.array(F.concat(F.lit("target="), "target"))).alias("known_tokens"))
-    return rounded(scoring.learned_scores(df), "prob")
+    def rows(part):
+        known = scoring.known_context(part.select("sid", F.col("assay").alias("target"), "value"), part)
+        tok = F.transform("context", lambda p: F.concat_ws("=", p["assay_index"], p["value"]))
+        return known.select("sid", F.col("target").alias("assay"), "value", split_symbols(bracketed(F.col("sid").cast("string"))).alias("symbols"),
+                            F.concat(tok, F.array(F.concat(F.lit("target="), "target"))).alias("known_tokens"))
+    out = scoring.learned_scores(rows(t.trn), rows(t.hld))
+    inside = F.sum(F.when(F.col("prob").between(0, 1), 1).otherwise(0))
+    return out.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("sid").alias("n_substances"), inside.alias("n_in_range"),
+                   F.sum(F.col("value").cast("bigint")).alias("n_positive"))
+
+
+BENCH = """with c as (select a.assay as x, b.assay as y, a.value as vx, b.value as vy, count(*)::double as n from TRN a join TRN b using (sid) group by all),
+    f as (select x, y, vy, sum(n) as n from c group by all), h as (select *, sum(n) over (partition by x, y) as tot from f),
+    u as (select x as target, y as feature from h group by all having max(tot) > 30 and -sum(n / tot * log2(n / tot)) > 0.025
+          and -sum(n / tot * log2(n / tot)) <= 0.9),
+    cl as (select x as target, y as feature, vy as fvalue, sum(n) as support, sum(n * vx) as n1 from c where x <> y group by all),
+    cs as (select *, sum(n1) over (partition by target, feature) as all1, sum(support) over (partition by target, feature) as alln from cl),
+    co as (select target, feature, fvalue, ln((n1 + 1) / (all1 + 2)) - ln((support - n1 + 1) / (alln - all1 + 2)) as llr from cs where alln > 30),
+    pr as (select assay as target, (sum(value) + 1.0::double) / (count(*) + 2) as prior from TRN group by assay),
+    k as (select a.sid, u.target, a.value as y, u.feature, b.value as fvalue from HLD a join u on a.assay = u.target
+          join HLD b on b.sid = a.sid and b.assay = u.feature),
+    d as (select *, row_number() over (partition by sid, target, rep order by md5('137|' || sid || '/' || target || '|' || rep || '|' || feature)) as rn
+          from k, range(1, 11) g(rep)),
+    e as (select sid, target, any_value(y) as y, rep, list(feature || ':' || fvalue order by feature) as pairs from d where rn <= 4 group by sid, target, rep),
+    o as (select distinct sid, target, y, pairs from e), n as (select *, row_number() over () as ctx from o),
+    p as (select sid, target, y, ctx, unnest(pairs) as q from n),
+    s as (select p.sid, p.target, p.y, ctx, 1 / (1 + exp(-(any_value(ln(prior / (1 - prior))) + coalesce(sum(llr), 0)))) as prob
+          from p join pr using (target) left join co on co.target = p.target and co.feature = split_part(q, ':', 1)::bigint
+          and co.fvalue = split_part(q, ':', 2)::int group by p.sid, p.target, p.y, ctx),
+    m as (select sid, target, y, round(avg(prob), 9) as prob from s group by all),
+    ra as (select *, rank() over (partition by target order by prob) + (count(*) over (partition by target, prob) - 1) / 2.0::double as ar from m),
+    au as (select target, sum(y)::double as n1, sum(1 - y)::double as n0, sum(y * ar) as sr from ra group by all)"""
+
+
+@query("feature_benchmark", f"""{BENCH} select source, round(median((sr - n1 * (n1 + 1) / 2) / (n1 * n0)), 4) as auc, count(*) as n
+    from au join PROP on target = property_id join SRC using (source_id) where n1 > 0 and n0 > 0 group by source""")
+def _(t):
+    src = t.prop.join(t.src, "source_id").select(F.col("property_id").alias("assay"), "source")
+    return scoring.feature_benchmark(t.trn, t.hld, src).withColumn("auc", F.round("auc", 4))
 
 
 NEAR = "(select *, row_number() over (partition by qid order by score desc, cid) as r from SIM)"

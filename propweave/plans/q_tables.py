@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from propweave.operators import catalog as cat, clean, dataset, features, scoring
 from propweave.operators.ordering import union_all
+from propweave.plans.fixtures import family_of
 from propweave.plans.registry import query, r6, rounded
 from propweave.sources import logs, tables
 from propweave.sources.scratch import scratch_path
@@ -23,7 +24,7 @@ def _(t):
 
 @query("roundtrip_parquet", "select sid, assay, count(*) as n, sum(value)::bigint as n_active from ACT group by all")
 def _(t):
-    path = tables.write_table(t.act, scratch_path(t.spark, "activities"), files=16)
+    path = tables.write_table(t.act, scratch_path(t.spark, "activities"))
     return tables.scan(t.spark, path).groupBy("sid", "assay").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("n_active"))
 
@@ -91,8 +92,7 @@ def _(t):
 @query("results_partitioned", """select assay as property_token, count(*) as n, round(avg(probs), 6) as mean_pred from PRED group by assay""")
 def _(t):
     rows = t.pred.select(F.col("assay").alias("property_token"), "value", "probs")
-    # rebalance gathers a property's rows into few files, but splits a property too large for one task
-    path = tables.write_table(rows.hint("rebalance", "property_token"), scratch_path(t.spark, "results"), by=["property_token"])
+    path = tables.write_buckets(rows, scratch_path(t.spark, "results"), "property_token")
     return t.spark.read.parquet(path).groupBy(F.col("property_token").cast("bigint").alias("property_token")).agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg("probs")).alias("mean_pred"))
 
@@ -132,10 +132,10 @@ def _(t):
     return rounded(out.select("property_id", "category", "strength"), "strength")
 
 
-@query("isin_semi", """select sid, assay, value from ACT where assay in (select property_id from PCAT where strength >= 10)
-    and value in (0, 1)""")
+@query("isin_semi", """select sid, assay, value from ACT where assay in (select property_id from PCAT where strength >= 10
+        and category in ('PROMO', 'SMALL')) and value in (0, 1)""")
 def _(t):
-    strong = t.pcat.filter("strength >= 10").select(F.col("property_id").alias("assay"))
+    strong = t.pcat.filter("strength >= 10 and category in ('PROMO', 'SMALL')").select(F.col("property_id").alias("assay"))
     return t.act.filter(F.col("value").isin(0, 1)).join(strong, "assay", "left_semi").select("sid", "assay", "value")
 
 
@@ -156,9 +156,9 @@ def _(t):
                                                             F.coalesce(code, F.lit(0)).alias("code"))
 
 
-@query("min_props_filter", "select sid, m as n_props from TOK where m >= 5")
+@query("min_props_filter", "select sid, m as n_props from TOK where m >= 24")
 def _(t):
-    return t.nest.filter(F.size("assay_val_pairs") >= 5).select("sid", F.size("assay_val_pairs").alias("n_props"))
+    return t.nest.filter(F.size("assay_val_pairs") >= 24).select("sid", F.size("assay_val_pairs").alias("n_props"))
 
 
 @query("validity_filter", r"""select doc_id, length(text) as n from documents
@@ -227,31 +227,35 @@ def _(t):
     return rounded(t.prop.select("property_id", "title").join(m, "property_id", "left"), "auc")
 
 
-FAM_GRID = """select c.name, p.property_id from (select distinct sid as name from FAMACT) c, PROP p"""
+FIRST_ORDER = "(select distinct 'F' || l_partkey // 16 as name from lineitem where l_orderkey = (select min(l_orderkey) from lineitem))"
 
 
-def _families(t):
-    return t.raw("part").select(F.concat_ws("/", "p_brand", "p_type").alias("name")).distinct() \
-            .join(t.fam_act.select(F.col("sid").alias("name")).distinct(), "name", "left_semi")
+def asked_families(t):
+    """A request list: the families of the first order's parts."""
+    li = t.raw("lineitem", "l_orderkey", "l_partkey")
+    first = li.agg(F.min("l_orderkey").alias("l_orderkey"))
+    return li.join(first, "l_orderkey", "left_semi").select(family_of("l_partkey").alias("name")).distinct()
 
 
-@query("candidate_x_property", FAM_GRID)
+@query("candidate_x_property", f"select c.name, p.property_id from {FIRST_ORDER} c, PROP p")
 def _(t):
-    return scoring.candidate_x_property(_families(t), t.prop.select("property_id"))
+    return scoring.candidate_x_property(asked_families(t), t.prop.select("property_id"))
 
 
-@query("known_or_unknown", f"""select g.name, g.property_id, case value when 1 then 'positive' when 0 then 'negative' else 'unknown' end as known
-    from ({FAM_GRID}) g left join FAM on sid = g.name and assay = g.property_id""")
+@query("known_or_unknown", """select distinct 'F' || p_partkey // 16 as name, p_partkey % (select count(*) from supplier) + 1 as property_id,
+    case value when 1 then 'positive' when 0 then 'negative' else 'unknown' end as known
+    from part left join FAM on sid = 'F' || p_partkey // 16 and assay = p_partkey % (select count(*) from supplier) + 1""")
 def _(t):
-    grid = scoring.candidate_x_property(_families(t), t.prop.select("property_id"))
+    n = t.raw("supplier").count()
+    ask = t.raw("part", "p_partkey").select(family_of("p_partkey").alias("name"), (F.col("p_partkey") % n + 1).alias("property_id")).distinct()
     known = t.fam.select(F.col("sid").alias("name"), F.col("assay").alias("property_id"),
                          F.when(F.col("value") == 1, "positive").otherwise("negative").alias("known"))
-    return grid.join(known, ["name", "property_id"], "left").select(
+    return ask.join(known, ["name", "property_id"], "left").select(
         "name", "property_id", F.coalesce("known", F.lit("unknown")).alias("known"))
 
 
 @query("cooccurrence", """select x as target, y as feature, sum(n)::bigint as n,
-    sum(case when vx = vy then n else 0 end)::bigint as n_same from PC group by all""")
+    sum(case when vx = vy then n else 0 end)::bigint as n_same from PC group by all having sum(n) > 30""")
 def _(t):
     return features.cooccurrence(t.cons)
 

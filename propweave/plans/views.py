@@ -45,8 +45,8 @@ VIEWS = {
         from (select *, ('0x' || substr(md5('37|' || sid), 1, 8))::bigint % 1000 as b from CONS) t""",
     "TRN": "select sid, assay, value from HALF where split = 'trn'",
     "HLD": "select sid, assay, value from HALF where split = 'hld'",
-    "FAMACT": """select p_brand || '/' || p_type as sid, l_suppkey as assay, case when l_returnflag = 'R' then 1 else 0 end as value,
-        l_quantity from lineitem join part on l_partkey = p_partkey""",
+    "FAMACT": """select 'F' || l_partkey // 16 as sid, l_suppkey as assay, case when l_returnflag = 'R' then 1 else 0 end as value,
+        l_quantity from lineitem""",
     "FAM": "select sid, assay, max(value) as value from FAMACT group by sid, assay having count(distinct value) = 1",
     "ALT": """select p.name, p.property_id, p.prediction, f.value, pr.property_token, pr.title as property_title, s.source,
         c.category, c.strength
@@ -68,13 +68,13 @@ VIEWS = {
     "CELLS": """select *, sum(n1) over (partition by target, feature) as all1, sum(support) over (partition by target, feature) as alln
         from CELL""",
     "COND": """select target, feature, fvalue, support, n1, (n1 + 1) / (support + 2) as p1, prior, (n1 + 1) / (support + 2) / prior as lift,
-        ln((n1 + 1) / (all1 + 2)) - ln((support - n1 + 1) / (alln - all1 + 2)) as llr from CELLS join PRIOR using (target)""",
+        ln((n1 + 1) / (all1 + 2)) - ln((support - n1 + 1) / (alln - all1 + 2)) as llr from CELLS join PRIOR using (target) where alln > 30""",
     "FPRIOR": "select assay as target, (sum(value) + 1.0::double) / (count(*) + 2) as prior from FAM group by assay",
     "FCELLS": """select *, sum(n1) over (partition by target, feature) as all1, sum(support) over (partition by target, feature) as alln from
         (select a.assay as target, b.assay as feature, b.value as fvalue, count(*)::double as support, sum(a.value)::double as n1
          from FAM a join FAM b using (sid) where a.assay <> b.assay group by all) t""",
     "FCOND": """select target, feature, fvalue,
-        ln((n1 + 1) / (all1 + 2)) - ln((support - n1 + 1) / (alln - all1 + 2)) as llr from FCELLS""",
+        ln((n1 + 1) / (all1 + 2)) - ln((support - n1 + 1) / (alln - all1 + 2)) as llr from FCELLS where alln > 30""",
     "FBITS": """select doc_id as id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1),
         lambda i: (('0x' || substr(md5(array_to_string(w[i:i+2], ' ')), 1, 8))::bigint % 2048)::int))) as bits
         from (select doc_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') as w from documents) t""",

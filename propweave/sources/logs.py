@@ -18,7 +18,9 @@ def stream_log(spark: SparkSession, path: str, files_per_trigger: int | None = N
     return reader.csv(path)
 
 
-def write_log(df: DataFrame, path: str, files: int = 4) -> str:
-    (df.select("type", "batch", "loss", "lr").repartition(files).write.mode("overwrite")
-       .option("header", "true").option("sep", "\t").csv(path))
+def write_log(df: DataFrame, path: str, files: int | None = None) -> str:
+    """Without ``files`` the number of files follows the size."""
+    df = df.select("type", "batch", "loss", "lr")
+    df = df.repartition(files) if files else df.hint("rebalance")
+    (df.write.mode("overwrite").option("header", "true").option("sep", "\t").csv(path))
     return path

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
@@ -32,11 +32,14 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None, files: in
                 sort: list[str] | None = None) -> str:
     """Overwrite a Parquet table.
 
-    ``files`` fixes the width, ``by`` partitions the folder, ``sort`` gives each file its own
+    Without ``files``, which fixes the width, the rows are rebalanced so that the number of
+    files follows the size. ``by`` partitions the folder, ``sort`` gives each file its own
     range of those columns, in order, so that a lookup on them skips files and row groups.
     """
     if files:
         df = df.repartition(files)
+    elif not sort:
+        df = df.hint("rebalance", *(by or []))
     if sort:
         df = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
     writer = df.write.mode("overwrite")
@@ -46,6 +49,12 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None, files: in
     return path
 
 
+def write_buckets(df: DataFrame, path: str, key: str, buckets: int | None = None) -> str:
+    """A table in hash buckets of a key, one folder each: a lookup reads one bucket, and many keys make no more folders."""
+    buckets = buckets or max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return write_table(df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), path, by=["bucket"])
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
     df.write.mode("overwrite").option("header", "true").option("sep", sep).csv(path)
     return path
