@@ -1,22 +1,28 @@
 """Report tables over metric rows, predictions and logs.
 
-Metric rows are few (properties x positions), so plain windows and exact medians are fine
-there. Whatever runs over raw predictions or log rows is an aggregate with map-side
-combine, or uses the bucketed helpers of ``ordering``.
+Whatever runs over predictions, metric rows or log rows is an aggregate with map-side
+combine, or uses the bucketed helpers of ``ordering``; medians are exact and never hold a
+group's values in one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from propweave.operators.ordering import first_row, ordered_position, prefix_scan, top_n
+from propweave.operators.ordering import exact_median, first_row, ordered_position, prefix_scan, top_n
+from propweave.sources.scratch import materialise
 
 
 def median_metrics(df: DataFrame, keys: list[str], metrics: list[str], distinct: str | None = None) -> DataFrame:
-    aggs = [F.median(m).alias(m) for m in metrics] + [F.count(F.lit(1)).alias("n")]
+    """Exact medians per group from value counts, rows and, if asked, distinct items."""
+    df = materialise(df, "metric-rows")  # each median reads it
+    aggs = [F.count(F.lit(1)).alias("n")]
     if distinct:
         aggs.append(F.count_distinct(distinct).alias("n_distinct"))
-    return df.groupBy(*keys).agg(*aggs)
+    out = df.groupBy(*keys).agg(*aggs)
+    for m in metrics:
+        out = out.join(exact_median(df, keys, m, m).drop("n"), keys, "left")
+    return out.select(*keys, *metrics, "n", *(["n_distinct"] if distinct else []))
 
 
 def groups_with_all_positions(df: DataFrame, group: str, position: str, n: int) -> DataFrame:
@@ -26,7 +32,7 @@ def groups_with_all_positions(df: DataFrame, group: str, position: str, n: int)
 
 
 def well_predicted(df: DataFrame, group: str, metric: str = "auc", floor: float = 0.7) -> DataFrame:
-    return df.groupBy(group).agg(F.median(metric).alias(metric)).filter(F.col(metric) > floor)
+    return exact_median(df, [group], metric, metric).drop("n").filter(F.col(metric) > floor)
 
 
 def auc_histogram(df: DataFrame, position: str = "nprops", metric: str = "auc", bins: int = 30) -> DataFrame:
@@ -34,22 +40,28 @@ def auc_histogram(df: DataFrame, position: str = "nprops", metric: str = "auc",
 
     The top edge belongs to the last bin.
     """
-    span = df.groupBy(position).agg(F.min(metric).alias("lo"), F.max(metric).alias("hi"), F.median(metric).alias("median"))
-    rows = df.join(span, position)
+    df = materialise(df.select(position, metric), "histogram-rows")
+    span = df.groupBy(position).agg(F.min(metric).alias("lo"), F.max(metric).alias("hi"))
+    rows = df.join(span.join(exact_median(df, [position], metric, "median").drop("n"), position), position)
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.when(width == 0, 0).otherwise(F.least(F.floor((F.col(metric) - F.col("lo")) / width), F.lit(bins - 1)))
     return rows.groupBy(position, at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.first("median").alias("median"))
 
 
-def pivot_metric(df: DataFrame, row: str, column: str, values: list, value: str, names: list[str]) -> DataFrame:
-    """Wide table of one value per (row, column) with the row mean over present cells."""
-    wide = df.groupBy(row).agg(*[F.max(F.when(F.col(column) == v, F.col(value))).alias(n) for v, n in zip(values, names)])
-    present = F.array_compact(F.array(*names))
-    mean = F.aggregate(present, F.lit(0.0), lambda s, x: s + x) / F.size(present)
-    return wide.withColumn("mean", F.when(F.size(present) > 0, mean))
+def dimension(df: DataFrame, column: str) -> list:
+    """All values of a dimension column, sorted: the columns of a pivot. A dimension is a small table."""
+    return [r[0] for r in df.select(column).distinct().orderBy(column).collect()]
 
 
-def pivot_mean(df: DataFrame, row: str, column: str, names: list[str], value: str) -> DataFrame:
+def pivot_metric(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """One map column -> value per row, over the columns that occur for it, with the mean of its cells."""
+    cell = F.struct(F.col(column), F.col(value))
+    return df.filter(F.col(value).isNotNull()).groupBy(row).agg(
+        F.map_from_entries(F.sort_array(F.collect_list(cell))).alias("cells"), F.avg(value).alias("mean"))
+
+
+def pivot_mean(df: DataFrame, row: str, column: str, names: list, value: str) -> DataFrame:
+    """Wide table of means, 0 where there is none; ``names`` is the whole dimension."""
     return df.groupBy(row).pivot(column, names).agg(F.avg(value)).na.fill(0.0)
 
 
@@ -87,7 +99,9 @@ def top_per_group(df: DataFrame, group: str, order: list, n: int = 10) -> DataFr
 
 
 def group_median_broadcast(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
-    return df.withColumn(out, F.median(value).over(W.partitionBy(group)))
+    """The median of its group beside every row: an aggregate joined back, not a window over the group."""
+    df = materialise(df, "group-rows")
+    return df.join(exact_median(df, [group], value, out).drop("n"), group).select(*df.columns, out)
 
 
 def group_count_filter(df: DataFrame, group: str, more_than: int) -> DataFrame:
@@ -154,6 +168,7 @@ def gain_over_first(df: DataFrame, key: str, position: str, value: str) -> DataF
 
 def order_by_group_stat(df: DataFrame, group: str, value: str) -> DataFrame:
     """Rows of groups in the order of the group's median, largest first."""
-    stat = df.groupBy(group).agg(F.median(value).alias("group_median"))
+    df = materialise(df, "group-rows")
+    stat = exact_median(df, [group], value, "group_median").drop("n")
     stat = ordered_position(stat.withColumn("_neg", -F.col("group_median")), ["_neg", group], "group_rank").drop("_neg")
     return df.join(stat, group).orderBy("group_rank")

@@ -8,7 +8,7 @@ from propweave.operators.dataset import nest_pairs, sample_pairs
 from propweave.operators.features import conditional_table, holdout_features, priors
 from propweave.operators.metrics import binary_metrics, safe_auc, sigmoid
 from propweave.operators.ordering import bucket_count, exact_median
-from propweave.sources.scratch import materialise
+from propweave.sources.scratch import materialise, scratch_path
 
 
 def known_context(requests: DataFrame, known: DataFrame, k: int = 16, seed: int = 137) -> DataFrame:
@@ -176,15 +176,18 @@ def feature_benchmark(trn: DataFrame, hld: DataFrame, sources: DataFrame, k: int
 def learned_scores(train: DataFrame, test: DataFrame, symbols: str = "symbols", tokens: str = "known_tokens", label: str = "value",
                    features: int = 4096, iterations: int = 20, keep: tuple[str, ...] = ("sid", "assay")) -> DataFrame:
     """Logistic regression on hashed symbols and known values (array of text columns): fitted on one part, scores another."""
-    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
     from pyspark.ml.feature import HashingTF
     from pyspark.ml.functions import vector_to_array
 
     hashing = HashingTF(numFeatures=features, inputCol="_tokens", outputCol="_features", binary=True)
 
     def hashed(df: DataFrame) -> DataFrame:
-        return hashing.transform(df.withColumn("_tokens", F.concat(F.col(symbols), F.col(tokens)))).select(*keep, label, "_features")
+        rows = hashing.transform(df.withColumn("_tokens", F.concat(F.col(symbols), F.col(tokens))))
+        return materialise(rows.select(*keep, label, "_features"), "features")  # every iteration reads it
 
-    model = LogisticRegression(featuresCol="_features", labelCol=label, maxIter=iterations, regParam=0.01,
-                               aggregationDepth=3).fit(materialise(hashed(train), "features"))  # every iteration reads it
+    path = scratch_path(train.sparkSession, "model")
+    LogisticRegression(featuresCol="_features", labelCol=label, maxIter=iterations, regParam=0.01,
+                       aggregationDepth=3).fit(hashed(train)).save(path)
+    model = LogisticRegressionModel.load(path)  # without the training summary, which no task can carry
     return model.transform(hashed(test)).select(*keep, label, vector_to_array("probability")[1].alias("prob"))

@@ -256,7 +256,9 @@ def distinct_sets(fp: DataFrame, id_col: str, bits: str = "bits") -> DataFrame:
 
     Stored, because a block join reads its input several times and hashing whole texts is the dear part.
     """
-    sets = fp.groupBy(F.col(bits).alias("bits")).agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("copies"))
+    digest = F.sha2(F.array_join(F.col(bits), " "), 256)  # the group key; the set itself comes along once
+    sets = fp.groupBy(digest.alias("_digest")).agg(
+        F.min(id_col).alias("id"), F.count(F.lit(1)).alias("copies"), F.first(bits).alias("bits")).drop("_digest")
     return materialise(sets.withColumn("n", F.size("bits")), "fingerprints")
 
 
@@ -341,23 +343,52 @@ def tanimoto_diversity(fp: DataFrame, id_col: str, n_bits: int = 2048, bins: int
                                                       (F.sum("sim_sum") / F.sum("n_pairs")).alias("mean_sim"))
 
 
-def cosine_distances(rows: DataFrame, keep_pairs: str = "a < b") -> DataFrame:
-    """Pairwise cosine distance of the rows (``id``, ``vec``) of a pivot table: every pair is the result."""
-    def kernel(key, lp, rp):
-        import numpy as np
+def unit(vec: str | Column) -> Column:
+    """The vector scaled to length 1; a zero vector stays as it is."""
+    v = F.col(vec) if isinstance(vec, str) else vec
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v)
+
+
+def cosine_neighbours(rows: DataFrame, k: int = 5) -> DataFrame:
+    """(qid, cid, distance, rank): the k rows of a pivot table nearest to each by cosine distance."""
+    x = rows.select("id", unit("vec").alias("vec"))
+    hits = neighbours(x, x, k, "ip", exclude_self=True)
+    return hits.select("qid", "cid", F.round(1 - F.col("score"), 6).alias("distance"), "rank")
+
+
+def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int = 5, tables: int = 24, bits: int = 4, seed: int = 5,
+            exclude_self: bool = False) -> DataFrame:
+    """(qid, cid, score, value, rank): approximate nearest rows by inner product of unit vectors.
+
+    Each of ``tables`` tables cuts the space by ``bits`` random planes; rows of a query's cell
+    are compared with it, cell by cell in chunks like the exact search. More tables raise the
+    recall, more bits make the cells smaller.
+    """
+    import numpy as np
+
+    width = corpus.select(F.size("vec")).first()
+    planes = np.random.default_rng(seed).standard_normal((tables * bits, width[0] if width else 1))
+
+    @F.pandas_udf("array<int>")
+    def codes(v):
         import pandas as pd
 
-        if len(lp) == 0 or len(rp) == 0:
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"),
-                                 "distance": pd.Series(dtype="float64")})
-        x = np.stack(lp["vec"].to_list()).astype("float64")
-        y = np.stack(rp["vec"].to_list()).astype("float64")
-        d = 1 - (x @ y.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
-        il, ir = lp["id"].to_numpy(), rp["id"].to_numpy()
-        i, j = np.indices(d.shape)
-        mask = (il[:, None] < ir[None, :]) if key[1] == key[2] else np.ones(d.shape, bool)
-        i, j = i[mask], j[mask]
-        return pd.DataFrame({"a": np.minimum(il[i], ir[j]), "b": np.maximum(il[i], ir[j]), "distance": d[i, j]})
+        up = (np.stack(v.to_list()).astype("float64") @ planes.T > 0).reshape(len(v), tables, bits)
+        return pd.Series(list((up * (1 << np.arange(bits))).sum(axis=2).astype("int32")))
+
+    def celled(df: DataFrame, *more: Column) -> DataFrame:
+        at = df.select("id", "vec", *more, F.posexplode(codes("vec")).alias("_t", "_c"))
+        return at.withColumn("_cell", F.concat_ws(":", "_t", "_c")).drop("_t", "_c")
+
+    value = F.col("value").cast("double") if "value" in corpus.columns else F.lit(None).cast("double")
+    hits = block_join(celled(queries), celled(corpus, value.alias("value")), _topk_kernel(k, "ip", None, exclude_self), _HITS)
+    once = hits.groupBy("qid", "cid").agg(F.max("score").alias("score"), F.first("value").alias("value"))
+    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.col("score").desc(), "cid"))
+    return once.withColumn("rank", rank).filter(F.col("rank") <= k)
+
 
-    cells = rows.withColumn("_cell", F.lit(0))
-    return block_join(cells, cells, kernel, "a bigint, b bigint, distance double", triangle=True).filter(keep_pairs)
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """Share of the exact neighbours that were found, and their number."""
+    hit = exact.select("qid", "cid").join(found.select("qid", "cid").withColumn("_hit", F.lit(1)), ["qid", "cid"], "left")
+    return hit.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("_hit", F.lit(0)).cast("double")).alias("recall"))

@@ -207,12 +207,6 @@ def _(t):
     return rounded(out, "prediction")
 
 
-@query("knn_pruned", f"""select qid, cid, score, r as rank from {NEAR} t where r <= 5""")
-def _(t):
-    q = t.emb.select("id", "vec", "value")
-    return similarity.neighbours(q, q, k=5, exclude_self=True, cells=8).select("qid", "cid", "score", "rank")
-
-
 @query("knn_dist_predict", """with d as (select q.id as qid, c.id as cid, c.value,
         round(list_dot_product(q.vec, q.vec) + list_dot_product(c.vec, c.vec) - 2 * list_dot_product(q.vec, c.vec), 6) as dist
         from EMB q, EMB c where q.id <> c.id),
@@ -315,18 +309,26 @@ def _(t):
     return rounded(similarity.tanimoto_diversity(fp, "doc_id"), "mean_sim")
 
 
-PVEC = ", ".join(f"coalesce(avg(prediction) filter (category = '{c}'), 0)" for c in
-                 ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"])
+@query("cosine_pairs", """with d as (select list(category order by category) as cs from (select distinct category from PCAT) c),
+    m as (select property_id as id, category, avg(prediction) as v from ALT group by all),
+    g as (select p.id, c.category from (select distinct id from m) p, (select distinct category from PCAT) c),
+    x as (select id, list(coalesce(v, 0.0) order by category)::double[] as vec from g left join m using (id, category) group by id),
+    u as (select id, list_transform(vec, lambda e: e / sqrt(list_dot_product(vec, vec))) as vec from x),
+    s as (select a.id as qid, b.id as cid, round(list_dot_product(a.vec, b.vec), 6) as score from u a join u b on a.id <> b.id)
+    select qid, cid, round(1 - score, 6) as distance, r as rank from
+    (select *, row_number() over (partition by qid order by score desc, cid) as r from s) z where r <= 5""")
+def _(t):
+    names = reports.dimension(t.pcat, "category")
+    wide = reports.pivot_mean(t.alt, "property_id", "category", names, "prediction")
+    return similarity.cosine_neighbours(wide.select(F.col("property_id").alias("id"), F.array(*names).alias("vec")), k=5)
 
 
-@query("cosine_pairs", f"""with v as (select property_id as id, [{PVEC}]::double[] as vec from ALT group by property_id)
-    select a.id as a, b.id as b, round(1 - list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))), 6) as distance
-    from v a join v b on a.id < b.id""")
+@query("knn_lsh", "select count(*) * 5 as n, 1 as recall_reached from EMB")
 def _(t):
-    names = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-    wide = reports.pivot_mean(t.alt, "property_id", "category", names, "prediction")
-    rows = wide.select(F.col("property_id").alias("id"), F.array(*names).alias("vec"))
-    return rounded(similarity.cosine_distances(rows), "distance")
+    q = t.emb.select("id", "vec", "value")
+    exact = similarity.neighbours(q, q, k=5, exclude_self=True)
+    r = similarity.recall(similarity.knn_lsh(q, q, k=5, exclude_self=True), exact)
+    return r.select("n", (F.col("recall") >= 0.9).cast("int").alias("recall_reached"))
 
 
 @query("quality_rates", r"""select count(*) as n, round(avg((length(text) > 0 and length(text) <= 200 and regexp_full_match(text, '[A-Za-z ,.\n]*'))::int), 6) as validity,

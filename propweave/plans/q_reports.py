@@ -153,25 +153,41 @@ def _(t):
         .select("category", "property_title", "prevalence", "rank")
 
 
-TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-PIVOT = ", ".join(f"coalesce(round(1e-9 + avg(prediction) filter (category = '{c}' and strength > 9), 6), 0) as {c.lower()}" for c in TYPES)
+TYPE = "(select distinct category from PCAT)"
 
 
-@query("pivot_mean", f"select name, {PIVOT} from ALT where strength > 9 group by name")
+def cells(names, columns, digits=6):
+    """A row's cells as text: name:value."""
+    return F.concat_ws(" ", *[F.concat_ws(":", F.lit(str(n)), F.format_number(c, digits)) for n, c in zip(names, columns)])
+
+
+@query("pivot_mean", f"""with m as (select name, category, avg(prediction) as v from ALT where strength > 9 group by all),
+    g as (select n.name, c.category from (select distinct name from m) n, {TYPE} c)
+    select name, string_agg(category || ':' || printf('%.6f', coalesce(1e-9 + v, 0)), ' ' order by category) as cells
+    from g left join m using (name, category) group by name""")
 def _(t):
-    p = reports.pivot_mean(t.alt.filter("strength > 9"), "name", "category", TYPES, "prediction")
-    return p.select("name", *[r6(F.col(c) + 1e-9).alias(c.lower()) for c in TYPES])  # off exact rounding ties
+    names = reports.dimension(t.pcat, "category")
+    p = reports.pivot_mean(t.alt.filter("strength > 9"), "name", "category", names, "prediction")
+    return p.select("name", cells(names, [F.when(F.col(c) > 0, F.col(c) + 1e-9).otherwise(0.0) for c in names]).alias("cells"))  # off exact rounding ties
 
 
-NP = list(range(7))
+@query("pivot_candidates", f"""with m as (select property_id, category, avg(prediction) as v from ALT group by all),
+    g as (select n.property_id, c.category from (select distinct property_id from m) n, {TYPE} c)
+    select property_id, string_agg(category || ':' || printf('%.6f', coalesce(1e-9 + v, 0)), ' ' order by category) as cells
+    from g left join m using (property_id, category) group by property_id""")
+def _(t):
+    names = reports.dimension(t.pcat, "category")
+    p = reports.pivot_mean(t.alt, "property_id", "category", names, "prediction")
+    return p.select("property_id", cells(names, [F.when(F.col(c) > 0, F.col(c) + 1e-9).otherwise(0.0) for c in names]).alias("cells"))
 
 
 @query("pivot_auc", f"""with m as (select source, nprops, median(auc) as auc from {MSRC} group by all)
-    select source, {', '.join(f'round(max(auc) filter (nprops = {i}), 6) as n{i}' for i in NP)}, round(avg(auc), 6) as mean from m group by source""")
+    select source, string_agg(nprops || ':' || printf('%.6f', auc + 1e-9), ' ' order by nprops) as cells, round(avg(auc), 6) as mean from m group by source""")
 def _(t):
     m = reports.median_metrics(_msrc(t), ["source", "nprops"], ["auc"])
-    names = [f"n{i}" for i in NP]
-    return rounded(reports.pivot_metric(m, "source", "nprops", NP, "auc", names), *names, "mean").orderBy(F.desc("mean"))
+    wide = reports.pivot_metric(m, "source", "nprops", "auc")
+    one = F.transform(F.map_entries("cells"), lambda e: F.concat_ws(":", e["key"], F.format_number(e["value"] + 1e-9, 6)))
+    return wide.select("source", F.array_join(one, " ").alias("cells"), r6("mean").alias("mean")).orderBy(F.desc("mean"))
 
 
 @query("heat_code", f"""select source, nprops, case when median(auc) <= 0.6 then 0 when median(auc) <= 0.7 then 1 else 2 end as code

@@ -1,7 +1,4 @@
-"""Registered queries beside their SQL at the smallest scale.
-
-By default a cross-section runs; PROPWEAVE_ALL=1 runs every query.
-"""
+"""Every registered query beside its SQL at the smallest scale."""
 
 import os
 
@@ -9,13 +6,10 @@ import pytest
 from compare import difference, duck, duck_table, spark_table
 
 import __spark_entry__ as entry
+from propweave.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
-SOME = ("balanced_assays consistent_values encode_symbols training_examples eval_rows shards_to_long catalog_tables "
-        "binary_metrics confusion_by_group auc_histogram pivot_auc useful_features conditional_table predict_property "
-        "batch_requests knn_predict knn_pruned triplets tanimoto_pairs quality_checks novelty_anti stream_log_summary "
-        "log_tail_min early_stop category_accuracy roundtrip_csv known_or_unknown").split()
-NAMES = list(entry.queries()) if os.environ.get("PROPWEAVE_ALL") else SOME
+NAMES = list(QUERIES)  # the subpackage's own queries are tested beside it
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not there")
 

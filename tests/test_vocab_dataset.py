@@ -11,23 +11,44 @@ def texts(spark):
     return spark.createDataFrame([(1, "[C][N]"), (2, "[N][O][O]"), (3, None), (4, "")], "sid bigint, s string")
 
 
-@pytest.mark.parametrize("limit", [128, 1])
-def test_encode_decode_identity(spark, texts, limit, monkeypatch):
-    monkeypatch.setattr(v, "MAP_LIMIT", limit)  # 1: the join path
+def test_encode_decode_identity(spark, texts):
     voc = v.fit_vocab(texts, "s")
     assert rows(voc)[:3] == [("<eos>", 2), ("<pad>", 0), ("<sos>", 1)]
-    enc = v.encode_symbols(texts, voc, "s", "e", "sid", 6)
+    enc = v.encode_symbols(texts, voc, "s", "e", 6)
     got = {r["sid"]: r["e"] for r in enc.collect()}
     assert got == {1: [1, 3, 4, 2, 0, 0], 2: [1, 4, 5, 5, 2, 0], 3: [0] * 6, 4: [1, 2, 0, 0, 0, 0]}
-    back = {r["sid"]: r["t"] for r in v.decode_symbols(enc, voc, "e", "t", "sid").collect()}
+    back = {r["sid"]: r["t"] for r in v.decode_symbols(enc, voc, "e", "t").collect()}
     assert back[1] == "[C][N]" and back[2] == "[N][O][O]"
 
 
+@pytest.mark.parametrize("extra", [0, 300])
+def test_equal_keys_and_nulls_at_any_vocabulary_size(spark, extra):
+    """Rows of one key are not mixed, NULL stays NULL, whatever the number of symbols."""
+    more = [(9, "".join(f"[x{i}]" for i in range(extra)))] if extra else []
+    df = spark.createDataFrame([(1, "[C][N]"), (1, "[N][O][O]"), (1, None), (None, "[C]")] + more, "sid bigint, s string")
+    voc = v.fit_vocab(df, "s")
+    enc = v.encode_symbols(df, voc, "s", "e", None)
+    ids = {r["s"]: r["e"] for r in enc.collect()}
+    n = {r["symbol"]: r["index"] for r in voc.collect()}
+    assert ids["[C][N]"] == [1, n["[C]"], n["[N]"], 2] and ids["[N][O][O]"] == [1, n["[N]"], n["[O]"], n["[O]"], 2] and ids[None] == []
+    assert enc.count() == 4 + len(more)
+    nulls = spark.createDataFrame([(1, None), (2, []), (3, [n["[C]"]])], "sid bigint, e array<bigint>")
+    assert [r["t"] for r in v.decode_symbols(nulls, voc, "e", "t").orderBy("sid").collect()] == [None, "", "[C]"]
+    assert v.decode_mixed(nulls, voc, "e", "m", len(n)).filter("sid = 1").first()["m"] is None
+    chars = v.char_encode(df, v.char_vocab(df, "s"), "s", "c", 130)
+    assert {len(r["c"]) if r["c"] else None for r in chars.collect()} == {130, None}
+
+
+def test_id_space_is_stored(spark, tmp_path):
+    meta = v.id_space(10, 5, 2)
+    assert v.read_id_space(spark, v.write_id_space(spark, meta, str(tmp_path / "m"))) == meta
+
+
 def test_unknown_is_pad_and_cut_loses_end(spark, texts):
     voc = v.fit_vocab(texts.filter("sid = 1"), "s")
-    got = {r["sid"]: r["e"] for r in v.encode_symbols(texts, voc, "s", "e", "sid", 4).collect()}
+    got = {r["sid"]: r["e"] for r in v.encode_symbols(texts, voc, "s", "e", 4).collect()}
     assert got[2] == [1, 4, 0, 0] and got[1] == [1, 3, 4, 2]
-    assert v.encode_symbols(texts, voc, "s", "e", "sid", 3).filter("sid = 1").first()["e"] == [1, 3, 4]
+    assert v.encode_symbols(texts, voc, "s", "e", 3).filter("sid = 1").first()["e"] == [1, 3, 4]
 
 
 def test_special_in_data_leaves_no_hole(spark):
@@ -86,7 +107,12 @@ def test_training_example_shape(spark, nested):
 
 def test_eval_rows_keep_their_substance(spark, nested):
     ev = d.eval_rows(nested, 3)
-    assert ev.count() == 6 * 3 and {r["sid"] for r in ev.collect()} == {1}
+    assert ev.count() == 2 * 6 * 3 and {r["sid"] for r in ev.collect()} == {1}  # four pairs, three at a time
+    assert {r["assay"] for r in ev.collect()} == {0, 1, 2, 3}
+    assert d.eval_rows(nested, 3, passes=1).count() == 6 * 3
+    new = d.skip_seen(ev.filter("pass > 0"), ev.filter("pass = 0"), ["sid", "prior_assays"])
+    old = {r["prior_assays"] for r in ev.filter("pass = 0").collect()}
+    assert {r["prior_assays"] for r in new.collect()} == {r["prior_assays"] for r in ev.collect()} - old
     assert ev.filter("nprops = 2").first()["prior_assays"].count(" + ") == 2
 
 
