@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from propweave.operators.ordering import ordered_position
+from propweave.sources.scratch import materialise
 from propweave.sources.tables import write_table
 
 
@@ -13,21 +14,31 @@ def surrogate(df: DataFrame, name: str, id_name: str) -> DataFrame:
     return ordered_position(df.select(name).filter(F.col(name).isNotNull()).distinct(), [name], id_name, start=0)
 
 
-def build_catalog(prop: DataFrame, pcat: DataFrame, act: DataFrame) -> dict[str, DataFrame]:
-    """Five relations from a property table with source names, a category bridge and the activities.
+def build_catalog(prop: DataFrame, pcat: DataFrame, act: DataFrame, subs: DataFrame, value_base: int) -> dict[str, DataFrame]:
+    """Five relations from a property table with source names, a category bridge, the activities and the substances.
 
-    Dimension sides are left to the optimizer, which broadcasts them when their measured
-    size is below its threshold and shuffles otherwise.
+    The activity relation has an id of its own, the structure texts and the value's token
+    (``value_base`` + value), so that it can be asked by structure. Ids are positions in key
+    order. Dimension sides are left to the optimizer, which broadcasts them when their
+    measured size is below its threshold and shuffles otherwise.
     """
     category = surrogate(pcat, "category", "category_id")
     source = surrogate(prop, "source", "source_id")
     bridge = pcat.join(category, "category").select("property_id", "category_id", "reason", "strength")
     props = prop.join(source, "source").select("property_id", "title", "property_token", "source_id", "data")
-    activity = act.join(props.select("property_id", "property_token", "source_id"), "property_id")
+    activity = act.join(props.select("property_id", "property_token", "source_id"), "property_id").join(
+        subs.select("sid", "inchi", "smiles"), "sid", "left")
+    activity = activity.withColumn("value_token", F.col("value").cast("bigint") + value_base).withColumnRenamed("value", "binary_value")
+    activity = ordered_position(materialise(activity, "activity"), ["sid", "property_id"], "activity_id", start=0)
     return {"category": category, "source": source, "property_category": bridge, "property": props,
             "activity": activity}
 
 
+def activities_of(activity: DataFrame, structures: DataFrame, column: str = "smiles") -> DataFrame:
+    """The activities of the asked structures: a lookup by text, not by internal id."""
+    return activity.join(structures.select(column).distinct(), column, "left_semi")
+
+
 def write_catalog(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
     """One Parquet table per relation, rows sorted by the lookup column inside each file."""
     sort = {"activity": ["sid", "property_id"], "property": ["property_id"], "property_category": ["property_id"]}

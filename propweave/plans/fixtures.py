@@ -80,7 +80,7 @@ class Tables:
 
     @cached_property
     def met(self) -> DataFrame:
-        return binary_metrics(self.pred, ["nprops", "assay"], "value", "probs", "chemical_id")
+        return binary_metrics(self.pred, ["nprops", "assay"], "value", "probs", "chemical_id", min_pos=25)
 
     @cached_property
     def sub(self) -> DataFrame:

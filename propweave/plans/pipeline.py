@@ -43,7 +43,7 @@ def run_pipeline(spark: SparkSession, sf_dir: str, min_per_class: int = 200) ->
 
     folder = scratch_path(spark, "catalog")
     tables = cat.build_catalog(t.prop.join(t.src, "source_id").drop("source_id"), t.pcat,
-                               cons.withColumnRenamed("assay", "property_id"))
+                               cons.withColumnRenamed("assay", "property_id"), subs, meta["n_symbols"] + meta["n_assays"])
     paths = cat.write_catalog(tables, folder)
     scored = materialise(scoring.eval_by_nprops(trn, hld), "metrics")
     names = data.select("assay", vocab.assay_token(meta, F.col("assay_index")).alias("target")).distinct()

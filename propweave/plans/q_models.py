@@ -11,7 +11,7 @@ from propweave.plans.q_tables import FIRST_ORDER, asked_families
 from propweave.plans.registry import query, r6, rounded, text
 from propweave.sources import logs
 from propweave.sources.scratch import scratch_path
-from propweave.streaming.logs import log_summary, run_available, stream_dedupe, stream_table
+from propweave.streaming.logs import log_summary, run_available, stream_dedupe, stream_table, watch_log
 
 ENT = """(with c as (select x, y, vy, sum(n)::double as n from PC group by all),
     h as (select *, sum(n) over (partition by x, y) as tot from c)
@@ -129,7 +129,7 @@ def _(t):
     return rounded(out, "value")
 
 
-@query("eval_by_nprops", """with cl as (select a.assay as target, b.assay as feature, b.value as fvalue, count(*)::double as support, sum(a.value)::double as n1
+EVAL = """cl as (select a.assay as target, b.assay as feature, b.value as fvalue, count(*)::double as support, sum(a.value)::double as n1
         from TRN a join TRN b using (sid) where a.assay <> b.assay group by all),
     cs as (select *, sum(n1) over (partition by target, feature) as all1, sum(support) over (partition by target, feature) as alln from cl),
     co as (select target, feature, fvalue, ln((n1 + 1) / (all1 + 2)) - ln((support - n1 + 1) / (alln - all1 + 2)) as llr from cs where alln > 30),
@@ -143,8 +143,10 @@ def _(t):
            range(0, 5) g(nprops) where m >= 4 and rn <= 4 group by g.nprops, sid, rk.target),
     ra as (select *, rank() over (partition by nprops, target order by prob) + (count(*) over (partition by nprops, target, prob) - 1) / 2.0::double as ar from sc),
     mt as (select nprops, target, sum(y)::double as n1, sum(1 - y)::double as n0, sum(y * ar) as sr,
-           sum((prob > 0.5 and y = 1)::int)::double as tp, sum((prob <= 0.5 and y = 0)::int)::double as tn from ra group by all)
-    select nprops, target, round((sr - n1 * (n1 + 1) / 2) / (n1 * n0), 6) as auc, round((tp + tn) / (n1 + n0), 6) as acc,
+           sum((prob > 0.5 and y = 1)::int)::double as tp, sum((prob <= 0.5 and y = 0)::int)::double as tn from ra group by all)"""
+
+
+@query("eval_by_nprops", f"""with {EVAL} select nprops, target, round((sr - n1 * (n1 + 1) / 2) / (n1 * n0), 6) as auc, round((tp + tn) / (n1 + n0), 6) as acc,
     n1::bigint as num_pos, n0::bigint as num_neg from mt where n1 >= 10 and n0 >= 10 and n1 + n0 >= 20""")
 def _(t):
     m = scoring.eval_by_nprops(t.trn, t.hld)
@@ -346,6 +348,14 @@ def _(t):
     return rounded(run_available(live, "log-summary", "complete"), "min_loss", "last_loss")
 
 
+@query("stream_log_tail", """with r as (select type, batch, round(loss, 6) as loss, row_number() over (partition by type order by batch desc)::int as from_end,
+    round(min(loss) over (partition by type), 6) as min_loss from LOG) select * from r where from_end <= 5""")
+def _(t):
+    path = logs.write_log(t.log, scratch_path(t.spark, "live-log"), files=4)
+    out = watch_log(logs.stream_log(t.spark, path, files_per_trigger=2), "log-tail", 5)
+    return rounded(out, "loss", "min_loss").drop("new_min")
+
+
 @query("stream_dedupe", """select distinct user_id, event_type, strftime(ts, '%Y-%m-%d') as day from events""")
 def _(t):
     schema = t.raw("events").schema
@@ -354,6 +364,15 @@ def _(t):
     return out.select("user_id", "event_type", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
-@query("pipeline_end_to_end")
+@query("pipeline_end_to_end", f"""with ka as (select assay from ACT group by assay having sum(value) >= 200 and sum(1 - value) >= 200
+        and abs(sum(1 - value) - sum(value))::double / count(*) <= 0.9),
+    kc as (select sid, assay, max(value) as value from ACT where assay in (select assay from ka) group by sid, assay having count(distinct value) = 1),
+    px as (select assay, row_number() over (order by count(*) desc, assay) - 1 + (select count(*) from VOC) as token from kc group by assay),
+    ex as (select sid, token as assay, value, ('0x' || substr(md5('37|' || sid), 1, 8))::bigint % 1000 as b from kc join px using (assay)),
+    etrn as (select sid, assay, value from ex where b < 500), ehld as (select sid, assay, value from ex where b >= 600),
+    {EVAL.replace("TRN", "etrn").replace("HLD", "ehld")}
+    select source, nprops, round(median((sr - n1 * (n1 + 1) / 2) / (n1 * n0)), 6) as auc, count(*) as n
+    from mt join px on token = target join PROP on px.assay = property_id join SRC using (source_id)
+    where n1 >= 10 and n0 >= 10 and n1 + n0 >= 20 group by source, nprops""")
 def _(t):
     return run_pipeline(t.spark, t.dir)

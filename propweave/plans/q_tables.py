@@ -46,12 +46,13 @@ def _(t):
 
 def _catalog(t):
     prop = t.prop.join(t.src, "source_id").drop("source_id")
-    return cat.build_catalog(prop, t.pcat, t.cons.withColumnRenamed("assay", "property_id"))
+    base = t.meta["n_symbols"] + t.meta["n_assays"]
+    return cat.build_catalog(prop, t.pcat, t.cons.withColumnRenamed("assay", "property_id"), t.sub.withColumn("inchi", F.upper("smiles")), base)
 
 
 @query("catalog_tables", """with d as (select n_name, row_number() over (order by n_name) - 1 as source_id from nation
         where n_nationkey in (select s_nationkey from supplier))
-    select 'activity' as relation, count(*) as n, sum(value)::bigint as checksum from CONS
+    select 'activity' as relation, count(*) as n, sum((value + ns + na) * (length(smiles) + 1))::bigint as checksum from CONS left join SUB using (sid), META
     union all select 'category', count(distinct category), sum(distinct 0)::bigint from PCAT
     union all select 'property', count(*), sum(d.source_id)::bigint from PROP join SRC using (source_id) join d on d.n_name = source
     union all select 'property_category', count(*), sum(length(reason))::bigint from PCAT
@@ -59,13 +60,22 @@ def _catalog(t):
 def _(t):
     folder = scratch_path(t.spark, "catalog")
     paths = cat.write_catalog(_catalog(t), folder)
-    check = {"activity": F.sum("value"), "category": F.sum(F.lit(0)), "property": F.sum("source_id"),
+    check = {"activity": F.sum(F.col("value_token") * (F.length("smiles") + 1)), "category": F.sum(F.lit(0)), "property": F.sum("source_id"),
              "property_category": F.sum(F.length("reason")), "source": F.sum("source_id")}
     parts = [t.spark.read.parquet(paths[n]).agg(F.lit(n).alias("relation"), F.count(F.lit(1)).alias("n"),
                                                 c.cast("bigint").alias("checksum")) for n, c in check.items()]
     return union_all(parts)
 
 
+@query("activities_by_structure", """with a as (select CONS.*, row_number() over (order by sid, assay) - 1 as activity_id from CONS join PROP on assay = property_id)
+    select activity_id, sid, smiles, upper(smiles) as inchi, assay as property_id, assay + 8 as property_token, value as binary_value, value + ns + na as value_token
+    from a join SUB using (sid), META where smiles in (select smiles from SUB where smiles like '%|PROMO|%')""")
+def _(t):
+    asked = t.sub.filter(F.col("smiles").contains("|PROMO|"))
+    found = cat.activities_of(_catalog(t)["activity"], asked)
+    return found.select("activity_id", "sid", "smiles", "inchi", "property_id", "property_token", "binary_value", "value_token")
+
+
 @query("shards_by_split", """select split, count(*) as n, sum(m)::bigint as n_pairs, sum(list_sum(encoded))::bigint as id_sum from EX group by split""")
 def _(t):
     path = dataset.write_shards(t.examples, scratch_path(t.spark, "shards"))
@@ -265,10 +275,12 @@ def _(t):
     return dataset.split_overlap(t.trn, t.hld)
 
 
-@query("novelty_anti", """select distinct text from (select text from conversations) c where text not in (select text from documents)
-    and text not in (select text from benchmark)""")
+@query("novelty_anti", """with k as (select l_partkey || '-' || l_suppkey as text, l_linenumber as n from lineitem)
+    select distinct text from k where n > 4 and text not in (select text from k where n <= 2)
+    and text not in (select text from k where n = 3)""")
 def _(t):
-    return clean.novel_items(t.raw("conversations", "text"), [t.raw("documents", "text"), t.raw("benchmark", "text")], "text")
+    k = t.raw("lineitem").select(F.concat_ws("-", "l_partkey", "l_suppkey").alias("text"), F.col("l_linenumber").alias("n"))
+    return clean.novel_items(k.filter("n > 4").select("text"), [k.filter("n <= 2"), k.filter("n = 3")], "text")
 
 
 @query("distinct_rows", "select distinct l_suppkey as assay, l_returnflag as flag from lineitem")

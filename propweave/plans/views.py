@@ -22,7 +22,7 @@ VIEWS = {
         from PRANK group by all""",
     "MET": """select nprops, assay, (sr - n1 * (n1 + 1) / 2) / (n1 * n0) as auc, (tp + tn) / (n1 + n0) as acc,
         (tp / n1 + tn / n0) / 2 as bac, ce as cross_entropy_loss, n1::bigint as num_pos, n0::bigint as num_neg
-        from METALL where n1 >= 10 and n0 >= 10 and items >= 20""",
+        from METALL where n1 >= 25 and n0 >= 10 and items >= 20""",
     "SUB": r"""select p_partkey as sid, p_name || '|' || p_type || '|' || p_brand || '|' || p_size as smiles,
         regexp_replace(p_name || '|' || p_type || '|' || p_brand || '|' || p_size, '(.)', '[\1]', 'g') as symbols from part""",
     "VOC": r"""select '<pad>' as symbol, 0::bigint as index union all select '<sos>', 1 union all select '<eos>', 2

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from propweave.operators.ordering import top_n
 from propweave.sources.scratch import scratch_path
 
 
@@ -15,6 +19,35 @@ def log_summary(log: DataFrame) -> DataFrame:
         F.max("batch").alias("last_batch"), F.max(F.struct("batch", "loss"))["loss"].alias("last_loss"))
 
 
+def watch_log(stream: DataFrame, name: str, n: int = 5) -> DataFrame:
+    """Follow a log: after each batch the last ``n`` rows of every type and whether the batch brought a new minimum.
+
+    State between batches is the stored report of the one before: n rows per type. A repeated
+    batch reads the same state and overwrites its own report.
+    """
+    spark = stream.sparkSession
+    base = scratch_path(spark, name)
+    schema = "type string, batch bigint, loss double, from_end int, min_loss double, new_min int"
+    last: list[int] = []
+
+    def follow(df: DataFrame, batch: int) -> None:
+        old = spark.read.schema(schema).parquet(f"{base}/out/{last[0]}") if last else spark.createDataFrame([], schema)
+        mins = old.groupBy("type").agg(F.first("min_loss").alias("old_min"))
+        now = df.groupBy("type").agg(F.min("loss").alias("now_min"))
+        low = mins.join(now, "type", "full").select("type", F.least("old_min", "now_min").alias("min_loss"),
+            F.coalesce(F.col("now_min") < F.col("old_min"), F.col("now_min").isNotNull()).cast("int").alias("new_min"))
+        rows = old.select("type", "batch", "loss").unionByName(df.select("type", "batch", "loss"))
+        tail = top_n(rows, ["type"], [F.col("batch").desc()], n).withColumnRenamed("rank", "from_end")
+        tail.join(low, "type").select("type", "batch", "loss", F.col("from_end").cast("int").alias("from_end"), "min_loss", "new_min") \
+            .write.mode("overwrite").parquet(f"{base}/out/{batch}")
+        last[:] = [batch]
+
+    query = (stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+                   .foreachBatch(follow).start())
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{base}/out/{last[0]}") if last else spark.createDataFrame([], schema)
+
+
 def run_available(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """Process what is there, stop, and return the sink table.
 
@@ -27,6 +60,9 @@ def run_available(stream: DataFrame, name: str, mode: str) -> DataFrame:
         query = (stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
                        .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
         query.awaitTermination()
+        lost = late_rows([json.loads(p.json) for p in query.recentProgress])
+        if lost:
+            warnings.warn(f"{name}: {lost} rows came after the watermark and were dropped", stacklevel=2)
         return spark.read.schema(stream.schema).parquet(f"{base}/out")
     last: list[int] = []
 
@@ -44,11 +80,17 @@ def run_available(stream: DataFrame, name: str, mode: str) -> DataFrame:
 
 def stream_dedupe(events: DataFrame, keys: list[str], ts: str = "ts", late: str = "1 day") -> DataFrame:
     """First sight of each key per day. The day is part of the key and carries the watermark, so state of
-    days that can no longer receive rows is dropped."""
+    days that can no longer receive rows is dropped. Rows later than ``late`` are lost to the stream; ``late_rows``
+    counts them beside it."""
     daily = events.withColumn("day", F.date_trunc("day", F.col(ts))).withWatermark("day", late)
     return daily.select(*keys, "day").dropDuplicates([*keys, "day"])
 
 
+def late_rows(query_progress: list[dict]) -> int:
+    """Rows that the watermark dropped, from the progress reports of a query."""
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query_progress for op in p.get("stateOperators", []))
+
+
 def stream_table(spark: SparkSession, folder: str, pattern: str, schema, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_trigger:
