@@ -238,8 +238,12 @@ def words(col: str | Column) -> Column:
     return F.filter(F.split(c, "[ \\n]+"), lambda w: w != "")
 
 
-def fingerprint(df: DataFrame, col: str, out: str = "bits", shingle: int = 3, n_bits: int = 2048) -> DataFrame:
-    """Hashed set fingerprint of the whole text: the sorted distinct buckets of its word shingles."""
+def fingerprint(df: DataFrame, col: str, out: str = "bits", shingle: int = 3, n_bits: int = 1 << 60) -> DataFrame:
+    """Hashed set fingerprint of the whole text: the sorted distinct hashes of its word shingles.
+
+    The hash has 60 bits, so that unrelated long texts share nothing; a small ``n_bits`` folds it
+    into buckets, which fill up with the length of the text.
+    """
     # shifted word lists are zipped: a list looked up inside the lambda could be inlined there and split once per word
     w = F.col("_w")
     parts = w
@@ -247,7 +251,7 @@ def fingerprint(df: DataFrame, col: str, out: str = "bits", shingle: int = 3, n_
         later = F.slice(w, F.lit(shift + 1), F.greatest(F.size(w) - shift, F.lit(0)))
         parts = F.zip_with(parts, later, lambda x, y: F.concat_ws(" ", x, y))
     parts = F.slice(parts, F.lit(1), F.greatest(F.size(w) - shingle + 1, F.lit(1)))
-    bit = F.transform(parts, lambda s: (F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint") % n_bits).cast("int"))
+    bit = F.transform(parts, lambda s: F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("bigint") % F.lit(n_bits))
     return df.withColumn("_w", words(col)).withColumn(out, F.sort_array(F.array_distinct(bit))).drop("_w")
 
 
@@ -277,43 +281,54 @@ def _overlap_matrix() -> Callable:
     return overlap
 
 
-def tanimoto_pairs(fp: DataFrame, id_col: str, threshold: float = 0.5, n_bits: int = 2048) -> DataFrame:
-    """Pairs of different fingerprints with Tanimoto similarity at or above ``threshold``.
+def tanimoto_pairs(fp: DataFrame, id_col: str, threshold: float = 0.5) -> DataFrame:
+    """Pairs of different fingerprints with Tanimoto similarity at or above ``threshold``: an exact prefix-filter join.
 
-    |A| <= |B| can only reach t when |B| <= |A| / t, so sets fall into geometric size
-    classes and meet only their own and the next class.
+    Entries are put in one order, rarest first. Two sets of similarity t share one of the first
+    n - ceil(t n) + 1 entries of each, so only those are joined; sizes must agree within t.
+    Frequent entries come last and are seldom among them. The true overlap then decides.
     """
-    import math
-
-    overlap = _overlap_matrix()
-    step = math.log(1.0001 / threshold)
-    sets = distinct_sets(fp, id_col).withColumn("_c", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
-    cols = ["id", "bits", "n", "copies"]
-    left = sets.select(*cols, F.explode(F.array(F.col("_c"), F.col("_c") + 1)).alias("_cell"))
-    right = sets.select(*cols, F.col("_c").alias("_cell"))
-
-    def kernel(key, lp, rp):
-        import numpy as np
-        import pandas as pd
-
-        names = {"a": "int64", "b": "int64", "copies_a": "int64", "copies_b": "int64", "tanimoto": "float64"}
-        if len(lp) == 0 or len(rp) == 0:
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in names.items()})
-        sim = overlap(lp, rp, n_bits)
-        nl, nr = lp["n"].to_numpy(), rp["n"].to_numpy()
-        il, ir = lp["id"].to_numpy(), rp["id"].to_numpy()
-        smaller = (nl[:, None] < nr[None, :]) | ((nl[:, None] == nr[None, :]) & (il[:, None] < ir[None, :]))
-        i, j = np.nonzero((sim >= threshold) & smaller)
-        return pd.DataFrame({"a": il[i], "b": ir[j], "copies_a": lp["copies"].to_numpy()[i],
-                             "copies_b": rp["copies"].to_numpy()[j], "tanimoto": sim[i, j]})
-
-    return block_join(left, right, kernel, "a bigint, b bigint, copies_a bigint, copies_b bigint, tanimoto double")
+    sets = distinct_sets(fp, id_col)
+    rows = sets.select("id", "n", F.explode("bits").alias("bit"))
+    often = rows.groupBy("bit").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    ranked = sets.select("id", "n").join(
+        rows.join(often, "bit").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "bit"))).alias("shared")), "id")
+    # entries of one set alone are its rarest: they use up the prefix without being joined
+    alone = F.col("n") - F.size("shared")
+    length = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1 - alone
+    prefix = ranked.filter(length > 0).select("id", "n", F.explode(F.slice("shared", F.lit(1), length.cast("int"))).alias("e"))
+    prefix = materialise(prefix.select("id", "n", F.col("e.bit").alias("bit")), "prefixes")
+    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "bit")
+    smaller = (F.col("n") < F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("id") < F.col("b")))
+    near = prefix.join(other, "bit").filter(smaller & (F.col("n") >= F.col("nb") * threshold - 1e-9))
+    pairs = near.select(F.col("id").alias("a"), "b").distinct()
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("bits").alias(f"bits_{x}"), F.col("copies").alias(f"copies_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("bits_a", "bits_b"))
+    score = F.round(shared / (F.size("bits_a") + F.size("bits_b") - shared), 6)
+    return both.select("a", "b", "copies_a", "copies_b", score.alias("tanimoto")).filter(F.col("tanimoto") >= threshold)
+
+
+def set_diversity(fp: DataFrame, bits: str = "bits") -> DataFrame:
+    """Mean cosine of the sets over all pairs of rows, from one sum per entry: linear in the input.
+
+    A set is the vector of its entries scaled to length 1; the squared length of the sum of all
+    vectors is the sum of all their inner products.
+    """
+    rows = fp.select(F.explode(bits).alias("bit"), (1 / F.sqrt(F.size(bits).cast("double"))).alias("w"))
+    # the squares of a set's entries sum to 1, so their total is the number of sets
+    bit = rows.groupBy("bit").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("sets"))
+    n = F.round(F.sum("sets")).cast("bigint")
+    return bit.agg(F.sum(F.col("w") * F.col("w")).alias("square"), n.alias("n")).select(
+        "n", F.when(F.col("n") > 1, (F.col("square") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("mean_cosine"))
 
 
 def tanimoto_diversity(fp: DataFrame, id_col: str, n_bits: int = 2048, bins: int = 20) -> DataFrame:
     """Distribution of the Tanimoto similarity over all pairs of rows: pairs and similarity sum per bin.
 
-    Each block returns a histogram, never pairs; copies enter as weights.
+    Each block returns a histogram, never pairs; copies enter as weights. ``fp`` must be folded
+    to ``n_bits`` buckets. A distribution over all pairs costs all pairs; for the mean alone,
+    ``set_diversity`` is linear.
     """
     overlap = _overlap_matrix()
     sets = distinct_sets(fp, id_col).withColumn("_cell", F.lit(0))

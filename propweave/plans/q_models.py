@@ -289,26 +289,34 @@ def _(t):
     return rounded(similarity.triplet_gap(found, "block"), "pos_sim", "neg_sim", "gap")
 
 
-@query("fingerprint", "select id as doc_id, len(bits) as n_bits, md5(array_to_string(bits, ' ')) as digest from FBITS")
+@query("fingerprint", "select id as doc_id, len(bits) as n_bits, md5(array_to_string(bits, ' ')) as digest from FSETS")
 def _(t):
     fp = similarity.fingerprint(t.docs(), "text")
     return fp.select("doc_id", F.size("bits").cast("bigint").alias("n_bits"), F.md5(text("bits")).alias("digest"))
 
 
-@query("tanimoto_pairs", """select * from (select a.id as a, b.id as b, a.copies as copies_a, b.copies as copies_b,
-    round(bit_count(a.bs & b.bs)::double / (a.n + b.n - bit_count(a.bs & b.bs)), 6) as tanimoto
-    from FBIT a join FBIT b on a.n < b.n or (a.n = b.n and a.id < b.id)) t where tanimoto >= 0.5""")
+@query("tanimoto_pairs", """with u as (select id, unnest(bits) as h from FSET),
+    p as (select a.id as a, b.id as b, count(*) as k from u a join u b on a.h = b.h and a.id <> b.id group by all)
+    select * from (select a, b, x.copies as copies_a, y.copies as copies_b, round(k::double / (x.n + y.n - k), 6) as tanimoto
+        from p join FSET x on x.id = a join FSET y on y.id = b where x.n < y.n or (x.n = y.n and a < b)) t where tanimoto >= 0.5""")
 def _(t):
-    fp = similarity.fingerprint(t.docs(), "text")
-    return similarity.tanimoto_pairs(fp, "doc_id", 0.5)
+    return similarity.tanimoto_pairs(similarity.fingerprint(t.docs(), "text"), "doc_id", 0.5)
+
+
+@query("set_diversity", """with s as (select h, sum(w) as w from (select unnest(bits) as h, 1 / sqrt(len(bits)) as w from FSETS) a group by h)
+    select (select count(*) from FSETS) as n, round((sum(w * w) - any_value(n)) / (any_value(n) * (any_value(n) - 1)), 9) as mean_cosine
+    from s, (select count(*)::double as n from FSETS) c""")
+def _(t):
+    out = similarity.set_diversity(similarity.fingerprint(t.docs(), "text"))
+    return out.withColumn("mean_cosine", F.round("mean_cosine", 9))
 
 
 @query("tanimoto_diversity", """with p as (select a.copies * b.copies as w, round(bit_count(a.bs & b.bs)::double / (a.n + b.n - bit_count(a.bs & b.bs)), 6) as s
         from FBIT a join FBIT b on a.id < b.id union all select copies * (copies - 1) // 2, 1.0 from FBIT where copies > 1)
-    select least(floor(s * 20 + 1e-9), 19)::int as bin, sum(w)::bigint as n_pairs, round(sum(w * s) / sum(w), 6) as mean_sim from p group by all""")
+    select least(floor(s * 20 + 1e-9), 19)::int as bin, sum(w)::bigint as n_pairs, round(sum(w * s) / sum(w), 5) as mean_sim from p group by all""")
 def _(t):
-    fp = similarity.fingerprint(t.docs(), "text")
-    return rounded(similarity.tanimoto_diversity(fp, "doc_id"), "mean_sim")
+    fp = similarity.fingerprint(t.docs(), "text", n_bits=2048)
+    return similarity.tanimoto_diversity(fp, "doc_id").withColumn("mean_sim", F.round("mean_sim", 5))
 
 
 @query("cosine_pairs", """with d as (select list(category order by category) as cs from (select distinct category from PCAT) c),

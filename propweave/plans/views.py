@@ -76,8 +76,12 @@ VIEWS = {
     "FCOND": """select target, feature, fvalue,
         ln((n1 + 1) / (all1 + 2)) - ln((support - n1 + 1) / (alln - all1 + 2)) as llr from FCELLS where alln > 30""",
     "FBITS": """select doc_id as id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1),
-        lambda i: (('0x' || substr(md5(array_to_string(w[i:i+2], ' ')), 1, 8))::bigint % 2048)::int))) as bits
+        lambda i: (('0x' || substr(md5(array_to_string(w[i:i+2], ' ')), 1, 15))::bigint % 2048)::int))) as bits
         from (select doc_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') as w from documents) t""",
+    "FSETS": r"""select doc_id as id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1),
+        lambda i: ('0x' || substr(md5(array_to_string(w[i:i+2], ' ')), 1, 15))::bigint))) as bits
+        from (select doc_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') as w from documents) t""",
+    "FSET": "select min(id) as id, count(*) as copies, bits, len(bits) as n from FSETS group by bits",
     "FBIT": """select min(id) as id, count(*) as copies, n, bs from
         (select id, count(*) as n, bitstring_agg(b, 0, 2047) as bs from (select id, unnest(bits) as b from FBITS) u group by id) t
         group by n, bs""",

@@ -5,6 +5,10 @@ from pyspark.sql import functions as F
 from propweave.operators import catalog as c, reports as r
 
 
+def structures(spark):
+    return spark.createDataFrame([("a", "I=CC", "CC"), ("b", "I=N", "N"), ("c", None, "O")], "sid string, inchi string, smiles string")
+
+
 @pytest.fixture(scope="module")
 def dims(spark):
     prop = spark.createDataFrame([(1, "p1", 11, "s2", "{}"), (2, "p2", 12, "s1", "{}"), (3, "p3", 13, "s1", "{}")],
@@ -15,29 +19,39 @@ def dims(spark):
     return prop, cat, act
 
 
-def test_surrogate_ids_in_name_order(dims):
-    tables = c.build_catalog(*dims)
+def test_surrogate_ids_in_name_order(spark, dims):
+    tables = c.build_catalog(*dims, structures(spark), 10)
     assert rows(tables["source"]) == [("s1", 0), ("s2", 1)] and rows(tables["category"]) == [("x", 0), ("y", 1)]
 
 
+def test_activity_by_structure(spark, dims):
+    t = c.build_catalog(*dims, structures(spark), 10)
+    assert sorted(r["activity_id"] for r in t["activity"].collect()) == [0, 1, 2]
+    got = c.activities_of(t["activity"], spark.createDataFrame([("CC",), ("CC",)], "smiles string")).collect()
+    assert got and all(r["sid"] == "a" and r["value_token"] == 10 + r["binary_value"] and r["inchi"] == "I=CC" for r in got)
+
+
 def test_catalog_round_trip(spark, dims, tmp_path):
-    paths = c.write_catalog(c.build_catalog(*dims), str(tmp_path))
+    paths = c.write_catalog(c.build_catalog(*dims, structures(spark), 10), str(tmp_path))
     assert {n: spark.read.parquet(p).count() for n, p in paths.items()} == {
         "category": 2, "source": 2, "property_category": 3, "property": 3, "activity": 3}
 
 
 def test_property_without_category_stays(spark, dims):
-    t = c.build_catalog(*dims)
+    t = c.build_catalog(*dims, structures(spark), 10)
     got = {x["property_token"]: len(x["categories"]) for x in c.property_catalog(t["property"], dims[1], t["source"]).collect()}
     assert got == {11: 2, 12: 1, 13: 0}
 
 
 def test_known_properties(spark, dims):
     prop, cat, act = dims
-    t = c.build_catalog(prop, cat, act)
+    t = c.build_catalog(prop, cat, act, structures(spark), 10)
     req = spark.createDataFrame([("a",), ("a",)], "sid string")
     got = c.known_properties(req, act.withColumnRenamed("property_id", "assay"), t["property"], cat, t["source"], "x")
     assert rows(got.select("property_token", "value")) == [(11, 1), (12, 0)]
+    everyone = spark.createDataFrame([("a",), ("b",)], "sid string")
+    got = c.known_properties(everyone, act.withColumnRenamed("property_id", "assay"), t["property"], cat, t["source"]).collect()
+    assert {x["property_token"]: len(x["categories"]) for x in got} == {11: 2, 12: 1, 13: 0} and len(got) == 3
 
 
 def test_histogram_top_edge(spark):
@@ -58,8 +72,15 @@ def test_log_reports(spark):
 
 def test_pivot_mean_over_present_cells(spark):
     df = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 3.0), ("b", 1, 5.0)], "k string, p int, v double")
-    got = {x["k"]: (x["n0"], x["n1"], x["mean"]) for x in r.pivot_metric(df, "k", "p", [0, 1], "v", ["n0", "n1"]).collect()}
-    assert got == {"a": (1.0, 3.0, 2.0), "b": (None, 5.0, 5.0)}
+    got = {x["k"]: (x["cells"], x["mean"]) for x in r.pivot_metric(df, "k", "p", "v").collect()}
+    assert got == {"a": ({0: 1.0, 1: 3.0}, 2.0), "b": ({1: 5.0}, 5.0)}
+
+
+def test_pivot_has_every_category_of_the_dimension(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "new", 3.0), ("b", "x", 5.0)], "k string, c string, v double")
+    names = r.dimension(df, "c")
+    assert names == ["new", "x"]
+    assert rows(r.pivot_mean(df, "k", "c", names, "v")) == [("a", 3.0, 1.0), ("b", 0.0, 5.0)]
 
 
 def test_rebalance_and_heat(spark):

@@ -67,3 +67,8 @@ def test_novelty_and_rates(spark):
     assert rows(clean.novel_items(made, [known], "t")) == [("a",), ("c!",)]
     r = clean.quality_rates(made, known, "t", "a-z", 5).first()
     assert (r["n"], r["validity"], r["novelty"]) == (4, 0.75, 0.75)
+
+
+def test_a_newline_at_the_end_is_no_valid_character(spark):
+    df = spark.createDataFrame([("abc",), ("abc\n",), ("ab c",), ("",)], "t string")
+    assert [r["t"] for r in clean.validity_filter(df, "t", "a-z").collect()] == ["abc"]

@@ -111,6 +111,45 @@ def test_eval_by_nprops_positions(spark, cons):
     assert {r["nprops"] for r in m.collect()} == {0, 1, 2}
 
 
+def test_a_long_profile_is_counted_by_many_tasks(spark):
+    """One substance with a third of all rows: its pairs are dealt out in blocks."""
+    hot = [(0, a, a % 2) for a in range(400)]
+    data = hot + [(i, a, (a + i) % 2) for i in range(1, 41) for a in range(20)]
+    df = spark.createDataFrame(data, "sid bigint, assay bigint, value int")
+    got = f.pair_counts(df)
+    assert got.filter("x = 399 and y = 398 and n10 = 1").count() == 1
+    assert got.count() == 400 * 400
+    blocks = -(-400 // f.PAIR_BLOCK)
+    assert blocks * (blocks + 1) // 2 > 20
+
+
+def test_learned_scores_on_unseen_rows(spark):
+    rows = [(i, i % 5, int((i // 5) % 2), [f"s{(i // 5) % 2}"], [f"t{i % 5}"]) for i in range(400)]
+    df = spark.createDataFrame(rows, "sid bigint, assay bigint, value int, symbols array<string>, known_tokens array<string>")
+    out = s.learned_scores(df.filter("sid < 300"), df.filter("sid >= 300"), features=64).collect()
+    assert len(out) == 100 and all((r["prob"] > 0.5) == (r["value"] == 1) for r in out)
+
+
+def test_all_draws_or_the_different_ones(spark, cons):
+    req = cons.selectExpr("sid", "assay as target").filter("sid < 20")
+    all_draws = s.random_contexts(req, cons, k=20, r=6, distinct=False)
+    assert all_draws.count() > s.random_contexts(req, cons, k=20, r=6).count()
+
+
+def test_feature_benchmark_ranks_a_copy_right(spark):
+    import random
+
+    rnd = random.Random(1)
+    data = []
+    for i in range(600):
+        v = rnd.random() < 0.2  # rare enough for the entropy bound of useful features
+        data += [(i, 1, int(v)), (i, 2, int(v)), (i, 3, int(rnd.random() < 0.2))]
+    df = spark.createDataFrame(data, "sid bigint, assay bigint, value int")
+    src = spark.createDataFrame([(1, "copy"), (3, "noise")], "assay bigint, source string")
+    got = {r["source"]: r["auc"] for r in s.feature_benchmark(df.filter("sid < 300"), df.filter("sid >= 300"), src).collect()}
+    assert got["copy"] == 1.0 and 0.2 < got["noise"] < 0.8
+
+
 def test_other_values_are_refused(spark):
     df = spark.createDataFrame([(1, 1, 2), (1, 2, 0)], "sid bigint, assay bigint, value int")
     with pytest.raises(Exception, match="must be 0 or 1"):

@@ -75,28 +75,56 @@ def test_fingerprint_and_tanimoto(spark):
     want = len(bits[0] & bits[1]) / len(bits[0] | bits[1])
     assert len(got) == 1 and got[0]["tanimoto"] == pytest.approx(want, abs=1e-6)
     assert {got[0]["copies_a"], got[0]["copies_b"]} == {1, 2}
-    div = s.tanimoto_diversity(fp, "doc").collect()
-    assert sum(r["n_pairs"] for r in div) == 10
+    folded = s.fingerprint(fp.drop("bits"), "t", n_bits=2048)
+    assert sum(r["n_pairs"] for r in s.tanimoto_diversity(folded, "doc").collect()) == 10
+    n, mean = s.set_diversity(fp).first()
+    pairs = [len(bits[i] & bits[j]) / (len(bits[i]) * len(bits[j])) ** 0.5 for i in bits for j in bits if i < j]
+    assert n == 5 and mean == pytest.approx(sum(pairs) / 10)
 
 
-def test_tanimoto_pairs_equal_brute_force(spark, monkeypatch):
+def test_unrelated_long_texts_share_nothing(spark):
+    import random
+
+    rnd = random.Random(5)
+    long = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(6000)) for _ in range(4)]
+    fp = s.fingerprint(spark.createDataFrame(list(enumerate(long)), "doc bigint, t string"), "t")
+    assert s.tanimoto_pairs(fp, "doc", 0.05).count() == 0
+
+
+def test_tanimoto_pairs_equal_brute_force(spark):
     import random
 
     rnd = random.Random(4)
     sets = [sorted(rnd.sample(range(40), rnd.randint(3, 30))) for _ in range(80)]
     sets = [list(x) for x in {tuple(x) for x in sets}]
     df = spark.createDataFrame(list(enumerate(sets)), "doc bigint, bits array<int>")
-    monkeypatch.setattr(s.block_join, "__defaults__", ("id", 9, False))
-    got = {frozenset((r["a"], r["b"])) for r in s.tanimoto_pairs(df, "doc", 0.4, n_bits=40).collect()}
+    got = {frozenset((r["a"], r["b"])) for r in s.tanimoto_pairs(df, "doc", 0.4).collect()}
     want = {frozenset((i, j)) for i in range(len(sets)) for j in range(i)
             if round(len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j])), 6) >= 0.4}
     assert got == want and len(want) > 5
 
 
-def test_cosine_distances(spark, emb, vecs, monkeypatch):
-    monkeypatch.setattr(s.block_join, "__defaults__", ("id", 30, False))
-    got = s.cosine_distances(emb.select("id", "vec")).collect()
-    assert len(got) == 120 * 119 // 2 and len({(r["a"], r["b"]) for r in got}) == len(got)
-    r = got[0]
-    a, b = vecs[r["a"]], vecs[r["b"]]
-    assert r["distance"] == pytest.approx(1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+@pytest.mark.parametrize("cells", [1, 20, 40])
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_near_copies_keep_their_ties(spark, cells, metric):
+    """Distances that differ less than they are rounded to, whatever the number of cells."""
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=(120, 6))
+    x[60:] = x[:60] + 3e-4 * rnd.normal(size=(60, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<double>")
+    got = s.neighbours(df, df, 4, metric, exclude_self=True, cells=cells)
+    assert rows(got.select("qid", "cid", "rank")) == brute(x, 4, metric)
+
+
+def test_cosine_neighbours(spark, emb, vecs):
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    got = s.cosine_neighbours(emb.select("id", "vec"), 3)
+    assert rows(got.select("qid", "cid", "rank")) == brute(unit, 3, "ip")
+
+
+def test_lsh_recall(spark, emb, vecs):
+    unit = emb.select("id", s.unit("vec").alias("vec"), "value")
+    exact = s.neighbours(unit, unit, 4, exclude_self=True, cells=1)
+    found = s.knn_lsh(unit, unit, 4, exclude_self=True)
+    assert s.recall(found, exact).first()["recall"] >= 0.9
+    assert s.recall(s.knn_lsh(unit, unit, 4, tables=1, bits=8, exclude_self=True), exact).first()["recall"] < 0.9
