@@ -212,7 +212,11 @@ def _forest(similar: np.ndarray) -> np.ndarray:
 
 
 def candidate_edges(rows: DataFrame, reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): a spanning forest of the pairs in each bucket that may reach the threshold, by sketch and by size."""
+    """(a, b): edges that connect, in each bucket, what pairs that may reach the threshold connect, by sketch and by size.
+
+    Their number follows the rows of a bucket, not its pairs: a block gives a spanning forest,
+    two blocks an edge for each group of one that the other ties to something else.
+    """
     low = threshold - MARGIN
     small = reps.select("rep", "size", "sketch")
     units = in_blocks(rows.withColumnRenamed("node", "g"), "g", "rep").join(small, "rep")
@@ -227,13 +231,14 @@ def candidate_edges(rows: DataFrame, reps: DataFrame, threshold: float = THRESHO
             cross = t["lo"][0].as_py() != t["hi"][0].as_py()
             near = np.zeros((len(rep), len(rep)), bool)
             for i in range(len(rep)):
-                fits = (np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i])) & (np.arange(len(rep)) > i)
-                if cross:
-                    fits &= side != side[i]
-                at = np.flatnonzero(fits)
+                fits = np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i])
+                at = np.flatnonzero(fits & (np.arange(len(rep)) > i))
                 near[i, at] = (m[at] == m[i]).mean(1) >= low
-            root = _forest(near | near.T)
+            near |= near.T
+            root = _forest(near)
             tied = np.flatnonzero(root != np.arange(len(rep)))
+            if cross:  # each block ties its own rows in its own unit: one edge per block's group is left
+                tied = tied[_forest(near & (side[:, None] == side[None, :]))[tied] == tied]
             a_out.append(rep[tied])
             b_out.append(rep[root[tied]])
             if len(a_out) >= 1024:

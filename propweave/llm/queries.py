@@ -81,7 +81,24 @@ def dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
-@query("op10_rendezvous_sharding")
+def _winner(shards: int) -> str:
+    """SQL for the shard of the largest draw; with equal weights the score grows with the draw."""
+    draws = ", ".join(f"('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':{j}'), 1, 13))::bigint" for j in range(shards))
+    return f"list_position([{draws}], list_max([{draws}])) - 1"
+
+
+@query("op10_rendezvous_sharding", f"""
+with recursive crc as (select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k:
+        case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n)) as t),
+texts as (select doc_id, coalesce(text, '') as x, hex(encode(coalesce(text, ''))) as h from documents),
+bytes as (select doc_id, octet_length(encode(x)) + 1 as size,
+    list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::int, 2))::bigint) as b from texts),
+sums as (select doc_id, size, xor(list_reduce(b, lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) as text_crc32
+    from bytes, crc),
+dealt as (select *, {_winner(16)} as shard, {_winner(17)} as grown_shard from sums)
+select doc_id, size, text_crc32, 'key' as law, shard, grown_shard, row_number() over
+    (partition by shard order by md5(coalesce(doc_id::varchar, '')), doc_id, size, text_crc32) - 1 as slot from dealt
+""")
 def rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.manifest(read(spark, sf_dir, "documents"), [1.0] * 16, [1.0] * 17)
 

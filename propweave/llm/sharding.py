@@ -41,21 +41,23 @@ def shard(docs: DataFrame, weights: list[float], key: str = "doc_id", name: str
 
 
 def numbered(units: DataFrame, order: list[str], copies: str = "copies") -> DataFrame:
-    """Units with ``slot``: the number of rows of the same shard before them, in a hashed order.
+    """Units with ``slot``: the number of rows of the same shard before them, by digest of the first column, then ``order``.
 
-    Each shard is cut into hash ranges of about SLOT_ROWS rows; rows are numbered inside
-    their range, and the few range totals are summed per shard.
+    The digests are cut into ranges of about SLOT_ROWS rows; rows are numbered inside their
+    range, and the few range totals are summed per shard. The result does not depend on the cuts.
     """
     rows = units.agg(F.sum(copies)).first()[0] or 0
     ranges = max(1, -(-rows // SLOT_ROWS))
-    cut = units.withColumn("_range", F.pmod(F.xxhash64(*order), F.lit(ranges)))
-    inside = W.partitionBy("shard", "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    digest = F.md5(F.coalesce(F.col(order[0]).cast("string"), F.lit("")))
+    head = F.conv(F.substring("_digest", 1, 8), 16, 10).cast("bigint")
+    cut = units.withColumn("_digest", digest).withColumn("_range", F.floor(head * ranges / float(1 << 32)).cast("bigint"))
+    inside = W.partitionBy("shard", "_range").orderBy("_digest", *order).rowsBetween(W.unboundedPreceding, -1)
     local = cut.withColumn("_inside", F.coalesce(F.sum(copies).over(inside), F.lit(0)))
     before = W.partitionBy("shard").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     totals = cut.groupBy("shard", "_range").agg(F.sum(copies).alias("_n")).select(
         "shard", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return local.join(totals, ["shard", "_range"]).withColumn("slot", F.col("_before") + F.col("_inside")).drop(
-        "_range", "_inside", "_before")
+        "_digest", "_range", "_inside", "_before")
 
 
 def manifest(docs: DataFrame, weights: list[float], grown: list[float] | None = None, key: str = "doc_id",
