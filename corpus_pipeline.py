@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from propweave.llm import chosen_path, decontaminate, mixing, quality, sharding
-from propweave.llm.tables import read
+from propweave.llm.tables import importable, read
 from propweave.sources.scratch import materialise
 
 #: Least quality score of a document that stays, and weights of the shards.
@@ -26,6 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each class of five-word shingle sets linked at 0.8 or more."""
+    importable(spark)
     return chosen_path.deduplicated(docs)
 
 
