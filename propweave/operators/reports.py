@@ -141,11 +141,17 @@ def log_tail_min(log: DataFrame, n: int = 5, skip: int = 0, digits: int = 6) ->
 
 
 def early_stop(log: DataFrame, group: str = "type", order: str = "batch", value: str = "loss") -> DataFrame:
-    """Best value so far and evaluations since it was first reached."""
-    rows = log_row_number(log, group, order).withColumn("_pair", F.struct(F.col(value).alias("v"), F.col("iteration").alias("i")))
-    run = prefix_scan(rows, [order], mins={"_best": "_pair"}, group=[group])
-    return run.select(group, order, value, "iteration", F.col("_best.v").alias("best"),
-                      (F.col("iteration") - F.col("_best.i")).alias("since_best"))
+    """Best value so far and evaluations since it was first reached.
+
+    One scan carries the row number and the running minimum with its place; the few rows that
+    set a new minimum then tell its number.
+    """
+    rows = log.withColumns({"_one": F.lit(1).cast("bigint"), "_pair": F.struct(F.col(value).alias("v"), F.col(order).alias("o"))})
+    run = materialise(prefix_scan(rows, [order], sums={"_before": "_one"}, mins={"_best": "_pair"}, group=[group]), "early-stop")
+    number = (F.col("_before") + 1).alias("iteration")
+    marks = run.filter(F.col("_best.o") == F.col(order)).select(group, F.col(order).alias("_o"), (F.col("_before") + 1).alias("_at"))
+    seen = run.select(group, order, value, number, F.col("_best.v").alias("best"), F.col("_best.o").alias("_o")).join(marks, [group, "_o"])
+    return seen.select(group, order, value, "iteration", "best", (F.col("iteration") - F.col("_at")).alias("since_best"))
 
 
 def loss_every(log: DataFrame, every: int = 100, group: str = "type", order: str = "batch", value: str = "loss") -> DataFrame:

@@ -15,7 +15,7 @@ from propweave.operators.clean import consistent_values
 from propweave.operators.dataset import nest_pairs, split_by_hash
 from propweave.operators.dataset import encode_pairs
 from propweave.operators.metrics import binary_metrics
-from propweave.operators.vocab import encode_symbols, fit_vocab, id_space_of, property_index
+from propweave.operators.vocab import encode_symbols, fit_vocab, id_space, property_index
 from propweave.sources.scratch import materialise
 from propweave.sources.tables import scan, spread
 
@@ -107,7 +107,8 @@ class Tables:
 
     @cached_property
     def meta(self) -> dict[str, int]:
-        return id_space_of(self.voc, self.data)
+        n_values = self.stored.agg(F.max("value")).first()[0] + 1
+        return id_space(self.voc.count(), self.pix.count(), n_values)
 
     @cached_property
     def nest(self) -> DataFrame:
