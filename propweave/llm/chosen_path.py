@@ -10,9 +10,11 @@ compared by brute force. Independent runs repeat this until a pair at the thresh
 met with the target probability.
 
 What brute force yields are candidates by sketch, with a margin of four standard deviations.
-They go on as groups, not as pairs: inside a connected group of candidates the true shingle
-sets are compared, all with all in blocks, and exact Jaccard decides. Counts of links and a
-spanning forest leave the tasks, so no list of all pairs of a large group is ever written.
+They go on as groups, not as pairs: a bucket whose members are all in one group already is
+not looked at in later runs, for only connections matter here. Inside a connected group the
+true shingle sets are compared, all with all in blocks, and exact Jaccard decides. Counts of
+links and a spanning forest leave the tasks, so no list of all pairs of a large group is
+ever written.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 TOKENS = 128
 #: Four standard deviations of a similarity estimated from TOKENS matches, at the threshold.
 MARGIN = 4 * (THRESHOLD * (1 - THRESHOLD) / TOKENS) ** 0.5
-#: Rows of a bucket compared at once; levels of splits; a split that leaves more of a bucket than this is the last.
-BLOCK, DEPTH, DENSE = 256, 4, 0.7
+#: A bucket of more rows is split; rows compared by sketch at once, and by their sets at once.
+LEAF, BLOCK, SET_BLOCK = 4096, 3072, 256
+#: Levels of splits; a split that leaves more of a bucket than this is the last; runs before known groups are left alone.
+DEPTH, DENSE, FIRST_RUNS = 4, 0.7, 4
 _A = (_splitmix(TOKENS, 101) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (_splitmix(TOKENS, 103) >> np.uint64(32)).astype(np.uint32)
 
@@ -98,7 +102,7 @@ def _token_keys(nodes: np.ndarray) -> np.ndarray:
 
 
 def split(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Children of buckets: (node, rep, parent) from (node, rep, n, sketch)."""
+    """Children of buckets: (node, rep, known, parent) from (node, rep, known, n, sketch)."""
     bar = np.uint64(int(2**64 / (threshold * TOKENS)))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,16 +114,16 @@ def split(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 value = _matrix(part.column("sketch"))[r, k].astype(np.uint64)
                 child = mix(mix(draw[r, k]) ^ mix(value + np.uint64(1)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(child.view(np.int64)), part.column("rep").take(pa.array(r)), part.column("n").take(pa.array(r))],
-                    names=["node", "rep", "parent"])
+                    [pa.array(child.view(np.int64)), *(part.column(c).take(pa.array(r)) for c in ("rep", "known", "n"))],
+                    names=["node", "rep", "known", "parent"])
 
-    return rows.select("node", "rep", "n", "sketch").mapInArrow(apply, "node bigint, rep bigint, parent bigint")
+    return rows.select("node", "rep", "known", "n", "sketch").mapInArrow(apply, "node bigint, rep bigint, known bigint, parent bigint")
 
 
-def first_split(reps: DataFrame, runs: int, threshold: float = THRESHOLD) -> DataFrame:
-    """Children of the roots of all runs: each run samples its own tokens of every representative."""
+def first_split(reps: DataFrame, runs: range, threshold: float = THRESHOLD) -> DataFrame:
+    """Children of the roots of the runs: each run samples its own tokens of every representative."""
     bar = np.uint64(int(2**64 / (threshold * TOKENS)))
-    roots = _splitmix(runs, 109)
+    roots = _splitmix(runs.stop, 109)[runs.start :]
     draw = _token_keys(roots)
     chosen = list(zip(*np.nonzero(draw < bar)))
 
@@ -128,27 +132,28 @@ def first_split(reps: DataFrame, runs: int, threshold: float = THRESHOLD) -> Dat
             m = _matrix(b.column("sketch")).astype(np.uint64)
             for r, k in chosen:
                 child = mix(mix(draw[r, k]) ^ mix(m[:, k] + np.uint64(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("rep")], names=["node", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("rep"), b.column("known")],
+                                                 names=["node", "rep", "known"])
 
-    return reps.select("rep", "sketch").mapInArrow(apply, "node bigint, rep bigint")
+    return reps.select("rep", "known", "sketch").mapInArrow(apply, "node bigint, rep bigint, known bigint")
 
 
 def _counted(children: DataFrame) -> DataFrame:
-    """Rows of buckets of two or more, with their size; of buckets with the same members one is kept."""
+    """Rows of buckets of two or more known groups, with their size; of buckets with the same members one is kept."""
     extra = [F.max("parent").alias("parent")] if "parent" in children.columns else [F.lit(None).cast("bigint").alias("parent")]
     size = children.groupBy("node").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"),
-        F.bit_xor(F.xxhash64(F.lit(5), "rep")).alias("x"), *extra).filter("n > 1")
+        F.bit_xor(F.xxhash64(F.lit(5), "rep")).alias("x"), F.min("known").alias("k1"), F.max("known").alias("k2"), *extra).filter("k1 < k2")
     one = size.groupBy("n", "s", "x").agg(F.min("node").alias("node"), F.max("parent").alias("parent"))
-    return children.select("node", "rep").join(one.select("node", "n", "parent"), "node")
+    return children.select("node", "rep", "known").join(one.select("node", "n", "parent"), "node")
 
 
-def buckets(reps: DataFrame, runs: int, threshold: float = THRESHOLD, depth: int = DEPTH) -> DataFrame:
-    """(node, rep, n): the buckets to compare by brute force."""
+def buckets(reps: DataFrame, runs: range, threshold: float = THRESHOLD, depth: int = DEPTH) -> DataFrame:
+    """(node, rep, known, n): the buckets to compare by brute force. ``known`` of a representative is the group it is in."""
     done = []
     live = materialise(_counted(first_split(reps, runs, threshold)), "paths")
     for _ in range(depth - 1):
-        large = (F.col("n") > BLOCK) & (F.col("parent").isNull() | (F.col("n") <= DENSE * F.col("parent")))
+        large = (F.col("n") > LEAF) & (F.col("parent").isNull() | (F.col("n") <= DENSE * F.col("parent")))
         done.append(live.filter(~large))
         rest = live.filter(large)
         if not rest.take(1):
@@ -160,16 +165,16 @@ def buckets(reps: DataFrame, runs: int, threshold: float = THRESHOLD, depth: int
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("node", "rep", "n")
+    return out.select("node", "rep", "known", "n")
 
 
-def in_blocks(rows: DataFrame, group: str, member: str, n: str = "n") -> DataFrame:
+def in_blocks(rows: DataFrame, group: str, member: str, size: int, n: str = "n") -> DataFrame:
     """Adds (lo, hi, side): every two members of a group meet in exactly one (group, lo, hi).
 
-    A group of more than BLOCK members is cut into blocks, and each pair of blocks is one unit
+    A group of more than ``size`` members is cut into blocks, and each pair of blocks is one unit
     of work; ``side`` tells which block of the two a row belongs to.
     """
-    blocks = F.ceil(F.col(n) / BLOCK).cast("int")
+    blocks = F.ceil(F.col(n) / size).cast("int")
     own = F.pmod(F.xxhash64(F.lit(8), F.col(member)), blocks).cast("int")
     cut = rows.withColumns({"_blocks": blocks, "_own": own})
     return cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
@@ -214,40 +219,44 @@ def _forest(similar: np.ndarray) -> np.ndarray:
 def candidate_edges(rows: DataFrame, reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): edges that connect, in each bucket, what pairs that may reach the threshold connect, by sketch and by size.
 
-    Their number follows the rows of a bucket, not its pairs: a block gives a spanning forest,
-    two blocks an edge for each group of one that the other ties to something else.
+    Members of one known group are connected already and not compared. The number of edges
+    follows the rows of a bucket, not its pairs: a block gives a spanning forest, two blocks an
+    edge for each part of one that the other ties to something else.
     """
     low = threshold - MARGIN
     small = reps.select("rep", "size", "sketch")
-    units = in_blocks(rows.withColumnRenamed("node", "g"), "g", "rep").join(small, "rep")
+    units = in_blocks(rows.withColumnRenamed("node", "g"), "g", "rep", BLOCK).join(small, "rep")
     units = units.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_out, b_out = [], []
         for t in _units(batches):
             rep, size = t["rep"].to_numpy(), t["size"].to_numpy().astype(float)
+            _, head, group = np.unique(t["known"].to_numpy(), return_index=True, return_inverse=True)
             m = _matrix(t["sketch"].combine_chunks()).astype(np.uint8)  # the low byte tells as much
             side = t["side"].to_numpy()
             cross = t["lo"][0].as_py() != t["hi"][0].as_py()
-            near = np.zeros((len(rep), len(rep)), bool)
-            for i in range(len(rep)):
-                fits = np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i])
-                at = np.flatnonzero(fits & (np.arange(len(rep)) > i))
-                near[i, at] = (m[at] == m[i]).mean(1) >= low
-            near |= near.T
+            near = np.zeros((len(head), len(head)), bool)  # between known groups
+            for i in range(len(rep) - 1):
+                fits = np.minimum(size[i + 1 :], size[i]) >= threshold * np.maximum(size[i + 1 :], size[i])
+                at = i + 1 + np.flatnonzero(fits & (group[i + 1 :] != group[i]))
+                if len(at):
+                    at = at[(m[at] == m[i]).sum(1) >= low * TOKENS]
+                    near[group[i], group[at]] = near[group[at], group[i]] = True
             root = _forest(near)
-            tied = np.flatnonzero(root != np.arange(len(rep)))
-            if cross:  # each block ties its own rows in its own unit: one edge per block's group is left
-                tied = tied[_forest(near & (side[:, None] == side[None, :]))[tied] == tied]
-            a_out.append(rep[tied])
-            b_out.append(rep[root[tied]])
+            tied = np.flatnonzero(root != np.arange(len(head)))
+            if cross and len(head) == len(rep):  # each block ties its own rows in its own unit: what joins the two is left
+                own = side[head]
+                tied = tied[_forest(near & (own[:, None] == own[None, :]))[tied] == tied]
+            a_out.append(rep[head[tied]])
+            b_out.append(rep[head[root[tied]]])
             if len(a_out) >= 1024:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
                 a_out, b_out = [], []
         if a_out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
 
-    return units.select("g", "lo", "hi", "side", "rep", "size", "sketch").mapInArrow(apply, "a bigint, b bigint")
+    return units.select("g", "lo", "hi", "side", "rep", "known", "size", "sketch").mapInArrow(apply, "a bigint, b bigint")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -272,12 +281,12 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def verified(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(rep, root, links, texts) per unit: exact Jaccard inside groups of (g, rep, n, copies, shingles).
+    """(rep, root, links, texts, parts) per unit: exact Jaccard inside groups of (g, rep, n, copies, shingles).
 
-    ``root`` is a linked member (itself if none), ``links`` the documents behind the linked
-    representatives, ``texts`` their number.
+    ``root`` is the first connected member (itself if none), ``links`` the documents behind the
+    linked representatives, ``texts`` their number. ``parts``: the group has further units.
     """
-    units = in_blocks(members, "g", "rep").repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
+    units = in_blocks(members, "g", "rep", SET_BLOCK).repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _units(batches):
@@ -290,12 +299,33 @@ def verified(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             if t["lo"][0].as_py() != t["hi"][0].as_py():
                 linked &= side[:, None] != side[None, :]
             root = _forest(linked)
+            parts = np.full(len(rep), t["n"][0].as_py() > SET_BLOCK)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rep), pa.array(rep[root]), pa.array((linked @ copies).astype(np.int64)), pa.array(linked.sum(1).astype(np.int64))],
-                names=["rep", "root", "links", "texts"])
+                [pa.array(rep), pa.array(rep[root]), pa.array((linked @ copies).astype(np.int64)),
+                 pa.array(linked.sum(1).astype(np.int64)), pa.array(parts)], names=["rep", "root", "links", "texts", "parts"])
 
-    return units.select("g", "lo", "hi", "side", "rep", "copies", "shingles").mapInArrow(
-        apply, "rep bigint, root bigint, links bigint, texts bigint")
+    return units.select("g", "lo", "hi", "side", "rep", "n", "copies", "shingles").mapInArrow(
+        apply, "rep bigint, root bigint, links bigint, texts bigint, parts boolean")
+
+
+def candidate_groups(reps: DataFrame, runs: int, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, root): connected groups of representatives that may be similar, from all runs.
+
+    The first runs find most groups; the others only look at buckets that hold more than one.
+    For that it is enough to know some connections: each representative follows its smallest
+    neighbour, twice.
+    """
+    first = min(FIRST_RUNS, runs)
+    edges = candidate_edges(buckets(reps.withColumn("known", F.col("rep")), range(first), threshold), reps, threshold)
+    edges = materialise(edges, "first-edges")
+    if runs > first:
+        down = edges.select(F.greatest("a", "b").alias("rep"), F.least("a", "b").alias("low")).groupBy("rep").agg(F.min("low").alias("low"))
+        down = materialise(down, "low")
+        twice = down.join(down.select(F.col("rep").alias("low"), F.col("low").alias("lower")), "low", "left")
+        marked = reps.join(twice.select("rep", F.coalesce("lower", "low").alias("known")), "rep", "left")
+        marked = materialise(marked.select("rep", "sketch", F.coalesce("known", "rep").alias("known")), "marked")
+        edges = edges.unionByName(candidate_edges(buckets(marked, range(first, runs), threshold), reps, threshold))
+    return materialise(connected_components(edges, "candidates"), "groups")
 
 
 def shingle_rows(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int) -> DataFrame:
@@ -333,13 +363,14 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     same = full.groupBy("digest", "size").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = full.join(same.select(F.col("rep").alias("row"), "copies"), "row").withColumnRenamed("row", "rep").drop("digest")
     reps = materialise(reps, "representatives")
-    edges = candidate_edges(buckets(reps, runs_for(recall), threshold), reps, threshold)
-    groups = materialise(connected_components(edges, "candidates"), "groups")
+    groups = candidate_groups(reps, runs_for(recall), threshold)
     size = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     wanted = groups.join(size, "root").select(F.col("node").alias("rep"), F.col("root").alias("g"), "n").join(
         reps.select("rep", "key", "h1", "h2", "copies"), "rep")
     found = materialise(verified(shingle_rows(docs, wanted, key, text, n), threshold), "verified")
-    classes = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "classes")
+    # a group compared in one unit is final; only those of several units have their parts to connect
+    split_ = connected_components(found.filter("parts").select(F.col("rep").alias("a"), F.col("root").alias("b")), "classes")
+    classes = found.filter("not parts").select(F.col("rep").alias("node"), "root").unionByName(split_)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     of_rep = same.join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", "size", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"),

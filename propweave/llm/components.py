@@ -17,17 +17,15 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     check = {"sum": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
     before, after = {}, {}
     e = materialise(e, name, also=check, seen=before)
-    while True:
+    while before["n"]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(low, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # an edge from a node to its own smallest neighbour stays by the other end's step
-        large = large.distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             down.select("a", F.col("m").alias("b"))).distinct()
-        done = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        e = materialise(done, name, also=check, seen=after)
+        e = materialise(small, name, also=check, seen=after)  # a is the larger node in every row
         if before == after:
             break
         before = dict(after)

@@ -73,6 +73,8 @@ def near_rows(copies=40, blocks=12):
 @pytest.mark.parametrize("block", [256, 16])
 def test_classes_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(chosen_path, "BLOCK", block)
+    monkeypatch.setattr(chosen_path, "SET_BLOCK", block)
+    monkeypatch.setattr(chosen_path, "LEAF", block)
     rows = near_rows()
     got = chosen_path.jaccard_classes(docs(spark, rows)).collect()
     links, classes = brute_classes(rows)
