@@ -15,6 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from propweave.llm.bytetext import pieces
 from propweave.llm.samples import smallest_hashes, texts_of
 
 #: Bounds of the fit: labelled rows of each class, bytes of text of each class and use, size of a dictionary.
@@ -133,8 +134,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
         for b in batches:
-            texts = [(t or "").encode() for t in b.column(text).to_pylist()]
-            scores = pa.array(scorer(texts) if texts else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns[:-1]), scores], names=columns)
+            for part, data, at in pieces(b, text):  # about a megabyte of text at a time
+                texts = [data[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns[:-1]), pa.array(scorer(texts))], names=columns)
 
     return docs.drop(name).mapInArrow(apply, schema)
