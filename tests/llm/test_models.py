@@ -159,6 +159,33 @@ def test_tree_equals_plain_dictionaries(spark):
         assert word[w.word_at[i] : w.word_at[i + 1]].sum() + end[i] == pytest.approx(got, rel=1e-6)
 
 
+def test_rare_long_contexts_become_states_as_the_corpus_grows(spark):
+    """Contexts of seven bytes at a share below 2e-5 that only their oldest byte tells apart."""
+    rng = random.Random(4)
+    d = docs(spark, [(i, words(rng, 3000) + [" qjxkvwbz", " zjxkvwby", "", ""][i % 4]) for i in range(200)])
+    counts = suffix_tree.corpus_counts(d)
+    grams = counts.filter(f"kind = {suffix_tree.GRAM}").select("key", "n")
+    total = grams.agg({"n": "sum"}).first()[0]
+    tree = suffix_tree.grow_tree(grams)
+    deep = tree.context[tree.first[7] : tree.first[8]]
+    assert int.from_bytes(b"bwvkxjq", "big") in deep.tolist()
+    few = suffix_tree.grow_tree(suffix_tree.corpus_counts(d.filter("doc_id < 20")).filter(f"kind = {suffix_tree.GRAM}").select("key", "n"))
+    assert len(few.child) < len(tree.child) and 50 / total < 2e-5
+
+
+def test_a_tree_too_large_for_the_tasks_is_joined(spark, monkeypatch):
+    rows = list(enumerate(TEXTS)) + [(1, TEXTS[1]), (None, "the cat zzz"), (20, "naïve ион 東京"), (21, "the cat zzz " * 90000)]
+    d = docs(spark, rows)
+    got = lambda: sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in
+                         suffix_tree.lm_scores(d, d.filter("doc_id % 2 = 0")).collect())
+    small = got()
+    monkeypatch.setattr(suffix_tree, "TABLE_TREE", 0)
+    large = got()
+    assert len(small) == len(rows)
+    for x, y in zip(small, large):
+        assert x[:3] == y[:3] and x[3:] == pytest.approx(y[3:], rel=1e-6)
+
+
 def test_words_and_shingles_of_bytes():
     texts = ["Hello  World\n", None, "", "a b c d e f", "é x\x0by"]
     _, data, at = next(bytetext.pieces(pa.RecordBatch.from_pydict({"text": texts})))
