@@ -157,6 +157,23 @@ def test_decontamination_finds_passages_and_paraphrases(spark, bench):
     assert decontaminate.search(d, empty).filter(F.size("matches") > 0).count() == 0
 
 
+def test_no_number_of_items_is_refused(spark, bench, monkeypatch):
+    """Items in several blocks, sums in several column blocks: the results of one block."""
+    assert len(decontaminate.vocabulary([(i, f"w{i} v{i} u{i % 7}") for i in range(50_001)]).items) == 50_001
+    items, table = bench
+    rng = random.Random(13)
+    rows = [(i, " ".join(prose(rng, 40, 3000) + (items[i][1].split() if i < 60 else [])), "s") for i in range(80)]
+    rows += [(400, None, "s"), (402, items[0][1] + " " + items[59][1], "s"), (402, items[0][1] + " " + items[59][1], "s")]
+    d = docs(spark, rows)
+    got = lambda: sorted((r["doc_id"], r["source"], [m["item_id"] for m in r["matches"]]) for r in
+                         decontaminate.search(d, decontaminate.fit(d, table)).collect())
+    whole = got()
+    assert sum(len(x[2]) for x in whole) >= 60 and len(whole) == len(rows)
+    for name, n in (("BLOCK_ITEMS", 7), ("BLOCK_COSINES", 3), ("SUM_NUMBERS", 40_000)):
+        monkeypatch.setattr(decontaminate, name, n)
+    assert got() == whole
+
+
 def test_lcs_by_bits():
     rng = random.Random(10)
     for _ in range(100):
