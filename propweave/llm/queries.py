@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from propweave.llm import chat, chosen_path, decontaminate, exact_dedup, mixing, quality, secrets, sharding, suffix_tree, toxicity
+from propweave.llm import bpe, chat, chosen_path, decontaminate, exact_dedup, mixing, quality, secrets, sharding, suffix_tree, toxicity
 from propweave.llm.samples import key_crc
 from propweave.llm.tables import read
 
@@ -149,3 +149,15 @@ def suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_chosen_path_join")
 def chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.jaccard_classes(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("h1", "h2")
+
+
+@query("op13_byte_pair_trie")
+def byte_pair_trie(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path, packed=True, keep_text=False)
+    return bpe.decode(ids, path).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
