@@ -59,11 +59,12 @@ class Words:
 
     ``data``: lower-cased bytes of all texts; ``text_at``: where each text starts, and the end;
     ``start``, ``end``: byte range of each word; ``word_at``: first word of each text, and the end.
+    ``between`` tells for each byte whether it stands between words.
     """
 
-    def __init__(self, data: np.ndarray, text_at: np.ndarray):
+    def __init__(self, data: np.ndarray, text_at: np.ndarray, between: np.ndarray = SPACE):
         self.data, self.text_at = LOWER[data], text_at
-        inside = ~SPACE[data]
+        inside = ~between[data]
         before, after = np.empty_like(inside), np.empty_like(inside)
         before[1:], after[:-1] = inside[:-1], inside[1:]
         full = text_at[1:] > text_at[:-1]

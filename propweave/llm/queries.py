@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from propweave.llm import bpe, chat, chosen_path, decontaminate, exact_dedup, mixing, quality, secrets, sharding, suffix_tree, toxicity
+from propweave.llm import bpe, chat, chosen_path, decontaminate, exact_dedup, mixing, phrases, quality, secrets, sharding, suffix_tree, toxicity
 from propweave.llm.samples import key_crc
 from propweave.llm.tables import read
 
@@ -161,3 +161,35 @@ def byte_pair_trie(spark: SparkSession, sf_dir: str, path: str | None = None) ->
     return bpe.decode(ids, path).select(
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_phrase_collocations", r"""
+with docs as (
+    select row_number() over () as d, coalesce(lang, 'und') as lang,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+pieces as (select d, lang, unnest(x) as piece, generate_subscripts(x, 1) as p
+    from (select d, lang, string_split_regex(t, '[.,;:!?\x0A-\x0D]') as x from docs)),
+parts as (select d, lang, p, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') as ws from pieces),
+grams as (
+    select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) as g
+    from parts, (select unnest([1, 2, 3, 4]) as k) where len(ws) >= k),
+f as (select lang, k, g, count(*) as a from grams group by all),
+total as (select lang, sum(a)::bigint as n from f where k = 1 group by lang),
+cand as (select lang, k, g, a, string_split(g, ' ') as ws from f where k > 1 and a >= 30),
+cuts as (select lang, k, g, a, ws, unnest(range(1, k)) as c from cand),
+parted as (select lang, k, g, a, c, array_to_string(ws[1 : c], ' ') as lg, array_to_string(ws[c + 1 : k], ' ') as rg from cuts),
+scored as (
+    select p.lang, p.k, p.g, p.a, p.c, l.a as l, r.a as r, ((2000000::hugeint * p.a) // (l.a + r.a))::bigint as score
+    from parted p join f l on l.lang = p.lang and l.k = p.c and l.g = p.lg join f r on r.lang = p.lang and r.k = p.k - p.c and r.g = p.rg),
+worst as (select * from scored qualify row_number() over (partition by lang, g order by score, c) = 1),
+inner_grams as (
+    select y.lang, y.a, array_to_string(y.ws[i : i + m - 1], ' ') as g
+    from cand y, (select unnest([2, 3]) as m), (select unnest([1, 2, 3]) as i) where m < y.k and i + m - 1 <= y.k),
+longer as (select lang, g, max(a) as most from inner_grams group by all),
+alive as (select w.* from worst w left join longer x on x.lang = w.lang and x.g = w.g where not coalesce(100::hugeint * x.most >= 80::hugeint * w.a, false))
+select lang, rank, phrase, a, l, r, n, score from (
+    select s.lang, row_number() over (partition by s.lang order by score desc, a desc, g) as rank, g as phrase, a, l, r, n, score
+    from alive s join total t on t.lang = s.lang) where rank <= 2000
+""")
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents").select("text", "lang"))
