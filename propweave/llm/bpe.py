@@ -34,7 +34,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, St
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = ((33, 126), (161, 172), (174, 255))
 #: Characters of text worked on at once; words and bytes that a task remembers the encodings of; token pairs it remembers.
-RUN, KNOWN, KNOWN_BYTES, PAIRS = 1 << 22, 1 << 19, 1 << 25, 1 << 20
+RUN, KNOWN, KNOWN_BYTES, PAIRS = 1 << 21, 1 << 19, 1 << 25, 1 << 20
 NEVER = 1 << 30
 
 
@@ -88,10 +88,11 @@ class Vocabulary:
                 self.proper[self.token[made]] = made
         ends: dict[bytes, set[int]] = {}
         for t in self.proper:
-            if len(t) > 1:
-                ends.setdefault(t[-2:], set()).add(len(t))
-        #: Last two bytes -> lengths of the tokens that end in them, longest first, and 1.
-        self.sizes = {end: (*sorted(sizes, reverse=True), 1) for end, sizes in ends.items()}
+            if len(t) > 2:
+                ends.setdefault(t[-3:], set()).add(len(t))
+        few = {t: (2, 1) for t in self.proper if len(t) == 2}
+        #: Last three bytes of a prefix (all, where it is shorter) -> lengths of the tokens it may end in, longest first.
+        self.sizes = {end: (*sorted(sizes, reverse=True), *few.get(end[1:], (1,))) for end, sizes in ends.items()} | few
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in data["added_tokens"]):
             raise ValueError("special tokens that take part of their surroundings are not supported")
@@ -142,34 +143,45 @@ class Vocabulary:
 
     def encode_sorted(self, words: Iterable[bytes]) -> Iterator[list[int]]:
         """Tokens of sorted distinct words: a walk over their trie, depth first."""
-        proper, sizes, fits, one = self.proper, self.sizes, self.fits, (1,)
-        last: list[int] = []    # last token of each prefix on the path, and its length
-        length: list[int] = []
+        proper, sizes, fits, pairs, one = self.proper, self.sizes, self.fits, self._pairs, (1,)
+        last: list[int] = []    # last token of each prefix on the path
+        length = {token: len(b) for b, token in proper.items()}
         before = b""
         for word in words:
             keep, most = 0, min(len(before), len(word))
             while keep < most and before[keep] == word[keep]:
                 keep += 1
-            del last[keep:], length[keep:]
+            del last[keep:]
             for end in range(keep + 1, len(word) + 1):
-                for size in sizes.get(word[end - 2 : end], one) if end > 1 else one:
-                    if size > end:
-                        continue
-                    token = proper.get(word[end - size : end])
-                    if token is not None and (size == end or fits(last[end - size - 1], token)):
-                        last.append(token)
-                        length.append(size)
-                        break
+                tail = word[max(end - 3, 0) : end]
+                for size in sizes.get(tail) or sizes.get(tail[1:], one):
+                    token = proper.get(word[end - size : end]) if size <= end else None
+                    if token is not None:
+                        if size == end:
+                            break
+                        left = last[end - size - 1]
+                        fit = pairs.get((left, token))
+                        if fits(left, token) if fit is None else fit:
+                            break
+                last.append(token)
             tokens, end = [], len(word)
             while end:
                 tokens.append(last[end - 1])
-                end -= length[end - 1]
+                end -= length[last[end - 1]]
             yield tokens[::-1]
             before = word
 
+    @staticmethod
+    def _plain(text: str) -> bool:
+        """Whether all characters are below U+0100; told at the speed of a copy."""
+        try:
+            return text.isascii() or len(text.encode("latin-1")) >= 0
+        except UnicodeEncodeError:
+            return False
+
     def cut(self, text: str) -> list[str]:
         """The words of a text without special tokens."""
-        if self.late.search(text):
+        if not self._plain(text) and self.late.search(text):
             from tokenizers.pre_tokenizers import ByteLevel
 
             return [text[a:b] for _, (a, b) in ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str(text)]
@@ -200,7 +212,7 @@ class Encoder:
         if len(self.known) > KNOWN or self.held > KNOWN_BYTES:
             self.known, self.held = {}, 0
         known, cut = self.known, [list(self.vocab.pieces(t)) for t in texts]
-        new = {w for text in cut for words, _ in text for w in words if w not in known}
+        new = set().union(*(words for text in cut for words, _ in text)).difference(known)
         ordered = sorted((w.encode(), w) for w in new)
         for (b, w), tokens in zip(ordered, self.vocab.encode_sorted(b for b, _ in ordered)):
             known[w] = np.array(tokens, "<u4").tobytes()

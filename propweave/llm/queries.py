@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from propweave.llm import bpe, chat, chosen_path, decontaminate, exact_dedup, mixing, phrases, quality, secrets, sharding, suffix_tree, toxicity
+from propweave.llm import bpe, chat, chosen_path, decontaminate, exact_dedup, mixing, phrases, quality, secrets, sharding, suffix_tree, toxicity, variants
 from propweave.llm.samples import key_crc
 from propweave.llm.tables import read
 
@@ -193,3 +193,37 @@ select lang, rank, phrase, a, l, r, n, score from (
 """)
 def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read(spark, sf_dir, "documents").select("text", "lang"))
+
+
+@query("op11_spelling_variants", r"""
+with recursive crc as (select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k:
+        case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n)) as t),
+runs as (
+    select coalesce(doc_id::varchar, '') as d, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) as w from documents),
+per as (select d, w, count(*) as k, hex(encode(d || ':' || w)) as h from runs group by d, w),
+bytes as (select w, k, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::int, 2))::bigint) as b from per),
+sums as (select w, k, xor(list_reduce(b, lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) as h from bytes, crc),
+damaged as (
+    select k, case when h % 97 = 0 then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word from sums),
+vocab as (select word, sum(k)::bigint as n from damaged group by word having length(word) >= 5 and sum(k) >= 3),
+cut as (select word, n, i, substr(word, 1, i::int) || substr(word, i::int + 2) as v
+    from (select word, n, unnest(range(length(word))) as i from vocab)),
+pairs as (
+    select a.word, b.word as near, b.n as near_n from cut a join cut b on a.v = b.v and a.i = b.i and a.word <> b.word
+    union select a.word, b.word, b.n from cut a join vocab b on a.v = b.word
+    union select b.word, a.word, a.n from cut a join vocab b on a.v = b.word),
+best as (
+    select word, near, near_n, count(*) over (partition by word) as n_near from pairs
+    qualify row_number() over (partition by word order by near_n desc, near) = 1),
+formed as (
+    select v.word, v.n, coalesce(n_near, 0) as n_near, case when near_n >= 2 * v.n then near end as form,
+        case when near_n >= 2 * v.n then near_n end as form_n from vocab v left join best b on b.word = v.word),
+chain as (
+    select word, word as at from formed
+    union all select c.word, f.form from chain c join formed f on f.word = c.at where f.form is not null)
+select f.word, f.form, c.at as root, f.n, f.n_near, f.form_n
+from formed f join chain c on c.word = f.word join formed e on e.word = c.at and e.form is null
+""")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
