@@ -17,6 +17,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from propweave.llm.arrays import bound, starts
+
 PART = "struct<type:string,text:string,ref:string,units:bigint>"
 ESC = "␛"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -77,8 +79,8 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
                 learn: str = "assistant") -> DataFrame:
     """One row per conversation: formatted text, loss spans, attachments, expanded tokens.
 
-    ``loss`` lists (start, end) in code points of the formatted text: the contents of the
-    ``learn`` role. Turns are ordered by number (null first), equal numbers by role and
+    ``loss`` lists (start, end) in code points of the formatted text, and where that begins and how
+    long it is in bytes of UTF-8: the contents of the ``learn`` role. Turns are ordered by number (null first), equal numbers by role and
     content; a null role is the empty role. A conversation is one output string, so its turns
     meet in one row; conversations are spread over the tasks. An empty table gives no row.
     """
@@ -90,19 +92,20 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     head = lambda t: F.concat(F.lit(OPEN), _role(t["role"]), F.lit("\n"))
     tail = CLOSE + "\n"
-    # one fold carries the position; texts are joined once, so the work is linear in the text
-    sized = convs.withColumn("sizes", F.transform("turns", lambda t: F.struct(
-        F.length(head(t)).alias("head"), F.length(t["content"]).alias("body"), (t["role"] == learn).alias("learn"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    step = lambda acc, s: F.struct(
-        (acc["at"] + s["head"] + s["body"] + len(tail)).alias("at"),
-        F.when(s["learn"], F.array_append(acc["spans"], F.struct(
-            (acc["at"] + s["head"]).alias("start"), (acc["at"] + s["head"] + s["body"]).alias("end"))))
-        .otherwise(acc["spans"]).alias("spans"))
+    # positions are running sums of the sizes, in code points and in bytes; texts are joined once
+    sized = convs.withColumn("sizes", F.transform("turns", lambda t: bound(head(t), lambda h: F.struct(
+        F.length(h).alias("head"), F.length(t["content"]).alias("body"), F.octet_length(h).alias("head_bytes"),
+        F.octet_length(t["content"]).alias("body_bytes"), (t["role"] == learn).alias("learn")))))
+    at = starts(F.transform("sizes", lambda s: s["head"] + s["body"] + len(tail)))
+    at_byte = starts(F.transform("sizes", lambda s: s["head_bytes"] + s["body_bytes"] + len(tail)))
+    placed = F.zip_with(F.zip_with("sizes", at, lambda s, a: F.struct(s.alias("s"), a.alias("a"))), at_byte, lambda x, b: F.struct(
+        (x["a"] + x["s"]["head"]).alias("start"), (x["a"] + x["s"]["head"] + x["s"]["body"]).alias("end"),
+        (b + x["s"]["head_bytes"]).alias("byte"), x["s"]["body_bytes"].alias("bytes"), x["s"]["learn"].alias("learn")))
+    spans = F.transform(F.filter(placed, lambda s: s["learn"]), lambda s: F.struct(s["start"], s["end"], s["byte"], s["bytes"]))
     return sized.select(
         "conv_id",
         F.array_join(F.transform("turns", lambda t: F.concat(head(t), t["content"], F.lit(tail))), "").alias("formatted"),
-        F.aggregate("sizes", zero, step, lambda acc: acc["spans"]).alias("loss"),
+        spans.alias("loss"),
         F.flatten(F.transform("turns", lambda t, i: F.transform(t["attachments"], lambda a: F.struct(
             i.alias("turn"), a["at"].alias("part"), a["type"].alias("type"), a["ref"].alias("ref"),
             a["tokens"].alias("tokens"))))).alias("attachments"),
@@ -112,8 +115,9 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
 def parse_chat(formatted: DataFrame) -> DataFrame:
     """Adds ``turns`` (role, text), read from the formatted text alone, and ``loss_text``, read from it by the spans."""
     pieces = F.slice(F.split("formatted", r"\Q" + OPEN + r"\E", -1), 2, 1 << 30)
-    loss = F.array_join(F.transform("loss", lambda s: unescape(
-        F.substr(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
+    # bytes are found without counting the characters before them
+    loss = bound(F.encode("formatted", "UTF-8"), lambda raw: F.array_join(F.transform("loss", lambda s: unescape(
+        F.decode(F.substring(raw, s["byte"] + 1, s["bytes"]), "UTF-8"))), ""))
     return formatted.withColumn("turns", F.transform(pieces, _turn)).withColumn("loss_text", loss)
 
 
