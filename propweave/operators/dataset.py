@@ -115,7 +115,9 @@ def pair_chunks(pairs: str | Column, n: int, seed: int, key: str) -> Column:
     order = sample_pairs(p, size, seed, key)
     chunks = F.sequence(F.lit(0), F.floor((size - 1) / n).cast("int"))
     slots = F.sequence(F.lit(0), F.lit(n - 1))
-    return F.transform(chunks, lambda c: F.transform(slots, lambda j: F.get(order, ((c * n + j) % size).cast("int"))))
+    # the order is bound as the one element of an array: inside the lambda it would be sorted anew for every slot
+    deal = lambda o: F.transform(chunks, lambda c: F.transform(slots, lambda j: F.get(o, ((c * n + j) % size).cast("int"))))
+    return F.get(F.transform(F.array(order), deal), F.lit(0))
 
 
 def eval_rows(nested: DataFrame, nprops: int = 5, seed: int = 37, key: str = "sid", passes: int | None = None) -> DataFrame:

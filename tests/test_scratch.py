@@ -24,6 +24,7 @@ def test_rows_are_counted_and_tables_removed(spark):
 
 
 def test_a_lost_table_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "_SHARED", set())  # as in a session that has written nothing yet
     real = scratch.scratch_path
     paths = iter(["elsewhere"])
 
