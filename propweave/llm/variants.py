@@ -33,7 +33,7 @@ RUN, DAMAGED = re.compile("[a-zÀ-ÿ]+"), 97
 #: Letters and occurrences of a word at least; times that a form is more frequent than its variant.
 LETTERS, LEAST, FACTOR = 5, 3, 2
 #: Words of a block that are compared together; words and matrix rows that a task works on at once; words held while counting.
-BLOCK, WORDS, ROWS, HELD = 2048, 1 << 15, 1 << 20, 1 << 18
+BLOCK, WORDS, ROWS, HELD = 2048, 1 << 15, 1 << 20, 1 << 16
 #: Rows below a block's shared prefix after which a range of one word is compared letter by letter instead.
 DEEP = 48
 
