@@ -30,14 +30,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from propweave.llm.bytetext import Words, mix, pieces
+from propweave.llm.tallies import NamedCounts, Partial, bit_table
 from propweave.sources.scratch import materialise
 
 #: Most words of a phrase (the growth below is written out for it), factor of scores, share at which a longer phrase displaces.
 WORDS, SCALE, SHARE = 4, 2_000_000, (100, 80)
 #: log2 of the bits of the table of prefixes; phrases of two words aimed at in the first round, as a multiple of those asked for.
 BITS, AIM, MORE = 27, 2, 4
-#: Occurrences sorted at once in a task, distinct ones held, and distinct words held before they are handed on.
-BATCH, HELD, HELD_WORDS = 1 << 21, 1 << 20, 1 << 18
 #: Words of more bytes are hashed one by one; under another seed than 0 all are.
 SHORT = 64
 
@@ -47,45 +46,6 @@ BETWEEN = BREAK.copy()
 BETWEEN[[9, 32]] = True
 
 
-def _rolled(columns: list[np.ndarray]) -> np.ndarray:
-    """One number for the words of a phrase."""
-    out = columns[0]
-    for c in columns[1:]:
-        out = mix((out << np.uint64(21) | out >> np.uint64(43)) ^ c)
-    return out
-
-
-def _place(columns: list[np.ndarray], bits: int) -> np.ndarray:
-    return (mix(_rolled(columns)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-class Bits:
-    """A set of phrases as bits; may hold phrases by chance that were never put in."""
-
-    def __init__(self, table: np.ndarray, bits: int):
-        self.table, self.bits = table, bits
-
-    def __call__(self, *columns: np.ndarray) -> np.ndarray:
-        p = _place(list(columns), self.bits)
-        return (self.table[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-
-
-def bit_table(phrases: DataFrame, columns: list[str], bits: int = BITS) -> Bits:
-    """The rows' phrases as bits: set in the tasks, joined by OR; the driver receives 2**bits / 64 rows at most."""
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = _place([b.column(i).to_numpy().view(np.uint64) for i in range(len(columns))], bits)
-            p.sort()
-            first = np.flatnonzero(np.concatenate([[True], p[1:] >> 6 != p[:-1] >> 6])) if len(p) else np.zeros(0, int)
-            word = np.bitwise_or.reduceat(np.uint64(1) << (p & 63).astype(np.uint64), first) if len(p) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(p[first] >> 6), pa.array(word.view(np.int64))], names=["slot", "word"])
-
-    got = phrases.select(*columns).mapInArrow(apply, "slot bigint, word bigint").groupBy("slot").agg(F.bit_or("word").alias("word")).toArrow()
-    table = np.zeros(1 << max(bits - 6, 0), np.uint64)
-    table[got["slot"].to_numpy()] = got["word"].to_numpy().view(np.uint64)
-    return Bits(table.view(np.uint8), bits)
-
-
 class Text:
     """Words of a run of texts: hashes of language and word, and whether each word and the next stand in one piece."""
 
@@ -119,68 +79,20 @@ def texts_of(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[Text]:
             yield Text(data, at, rows.column("lang").cast(pa.string()).fill_null("und").dictionary_encode(), seed)
 
 
-class Partial:
-    """Counts of phrases in bounded memory: sorted and merged now and then, handed on when many."""
-
-    def __init__(self, size: int):
-        self.size, self.pending, self.waiting = size, [], 0
-        self.held = [np.zeros(0, np.uint64)] * size, np.zeros(0, np.int64)
-
-    def add(self, columns: list[np.ndarray]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-        self.pending.append(columns)
-        self.waiting += len(columns[0])
-        if self.waiting >= BATCH:
-            self._merge()
-            if len(self.held[1]) >= HELD:
-                yield from self.take()
-
-    def _merge(self) -> None:
-        columns = [np.concatenate([self.held[0][k], *(p[k] for p in self.pending)]) for k in range(self.size)]
-        n = np.concatenate([self.held[1], np.ones(self.waiting, np.int64)])
-        self.pending, self.waiting = [], 0
-        order = np.argsort(_rolled(columns))
-        columns, n = [c[order] for c in columns], n[order]
-        if len(n):  # phrases of one sort key lie apart where they differ in a word, so none are thrown together
-            new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])
-            first = np.flatnonzero(new)
-            columns, n = [c[first] for c in columns], np.add.reduceat(n, first)
-        self.held = columns, n
-
-    def take(self) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-        self._merge()
-        if len(self.held[1]):
-            yield self.held
-        self.held = [np.zeros(0, np.uint64)] * self.size, np.zeros(0, np.int64)
-
-
 def count_words(texts: DataFrame, seed: int) -> DataFrame:
-    """(w1, lang, word, n) of all words, and the largest language and word of the same hash."""
+    """(w1, lang, word, n) of all words, and whether tasks know several words by one hash."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        counts = NamedCounts()
 
-        def rows():
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.fromiter(held, np.uint64, len(held)).view(np.int64)), pa.array([r[0] for r in held.values()], pa.string()),
-                pa.array([r[1].decode() for r in held.values()], pa.string()), pa.array([r[2] for r in held.values()], pa.int64())],
-                names=["w1", "lang", "word", "n"])
-            held.clear()
+        def rows(found, t=None):
+            for keys, n, word, at in found:
+                lang = pa.nulls(len(keys), pa.string()) if at is None else pa.array(t.langs, pa.string()).take(pa.array(t.lang[at]))
+                word = pa.nulls(len(keys), pa.string()) if word is None else word
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), lang, word, pa.array(n)], names=["w1", "lang", "word", "n"])
 
         for t in texts_of(batches, seed):
-            own, at, n = np.unique(t.hash, return_index=True, return_counts=True)
-            lang, start, end, data = t.lang[at].tolist(), t.words.start[at].tolist(), t.words.end[at].tolist(), t.words.data.tobytes()
-            for k, h in enumerate(own.tolist()):
-                row = held.get(h)
-                word = data[start[k] : end[k]]
-                if row is not None and row[1] == word and row[0] == t.langs[lang[k]]:
-                    row[2] += int(n[k])
-                    continue
-                if row is not None:  # another word of the same hash: both go on, and are found out
-                    yield from rows()
-                held[h] = [t.langs[lang[k]], word, int(n[k])]
-            if len(held) >= HELD_WORDS:
-                yield from rows()
-        if held:
-            yield from rows()
+            yield from rows(counts.add(t.hash, t.words.start, t.words.end, t.words.data), t)
+        yield from rows(counts.take())
 
     return texts.mapInArrow(apply, "w1 bigint, lang string, word string, n bigint").groupBy("w1").agg(
         F.min("lang").alias("lang"), F.min("word").alias("word"), F.sum("n").alias("n"),

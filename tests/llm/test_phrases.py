@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from propweave.llm import phrases
+from propweave.llm import phrases, tallies
 
 
 def brute(rows, least, top):
@@ -82,8 +82,8 @@ def test_ties_are_ranked_by_count_and_bytes(spark):
 
 
 def test_counts_and_sets_are_exact_for_equal_sort_keys(monkeypatch):
-    monkeypatch.setattr(phrases, "_rolled", lambda columns: np.zeros(len(columns[0]), np.uint64))
-    p = phrases.Partial(2)
+    monkeypatch.setattr(tallies, "_rolled", lambda columns: np.zeros(len(columns[0]), np.uint64))
+    p = tallies.Partial(2)
     a = np.array([1, 2, 1, 2, 1], np.uint64)
     list(p.add([a, a + np.uint64(1)]))
     got = Counter()
