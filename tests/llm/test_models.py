@@ -1,14 +1,12 @@
 """Classifiers and language-model scores: held-out accuracy, exact base scores, odd rows."""
 
-import collections
-import math
 import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from propweave.llm import bytetext, quality, suffix_tree, toxicity
+from propweave.llm import bytetext, quality, toxicity
 
 DOCS = "doc_id bigint, text string, score double, label string, rare string, n_known string"
 
@@ -80,112 +78,6 @@ def test_negative_part_of_the_risk_is_not_followed_below_zero():
     assert np.logaddexp(0, f).mean() - 0.4 * np.logaddexp(0, p).mean() > -0.05
 
 
-TEXTS = ["The cat  sat", "the CAT sat", None, "", " \n", "a b c d e", "the the the the", "ÉCOLE école", "x" * 30000, "the cat sat"]
-
-
-def brute_base(train, texts):
-    split = lambda t: [w for w in (t or "").encode().lower().split()] + [None]
-    c = collections.Counter(w for t in train for w in split(t))
-    n, v = sum(c.values()), len(c)
-    return [(len(split(t)), sum(c[w] > 0 for w in split(t)), n, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in split(t)))
-            for t in texts]
-
-
-@pytest.mark.parametrize("table", [1 << 18, 4, 0])
-def test_base_score_is_exact(spark, monkeypatch, table):
-    """Whatever part of the words is looked up inside the tasks."""
-    monkeypatch.setattr(suffix_tree.base_counts, "__defaults__", (table,))
-    rows = list(enumerate(TEXTS)) + [(1, TEXTS[1]), (None, "the cat zzz")]
-    d = docs(spark, rows)
-    got = suffix_tree.lm_scores(d, d.filter("doc_id % 2 = 0")).orderBy("doc_id").collect()
-    want = brute_base([t for i, t in rows if i is not None and i % 2 == 0], [t for _, t in rows])
-    assert len(got) == len(rows)
-    for (i, _), (tokens, known, n, score) in zip(rows, want):
-        for r in (r for r in got if r["doc_id"] == i):
-            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (tokens, known, n)
-            assert r["base_score"] == pytest.approx(score, rel=1e-9)
-            assert r["score"] < 0
-
-
-def test_scores_of_nothing(spark):
-    d = docs(spark, list(enumerate(TEXTS)))
-    assert suffix_tree.lm_scores(d.limit(0), d).count() == 0
-    assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in suffix_tree.lm_scores(d, d.limit(0)).collect())
-
-
-def tree_by_hand(texts, depth, least, divergence, evidence, prior):
-    """States and probabilities from plain dictionaries of byte strings."""
-    grams = collections.Counter()
-    for t in texts:
-        s = b"\n" * depth + b"".join(w + b" " for w in t.encode().lower().split()) + b"\n"
-        grams.update(s[i : i + depth + 1] for i in range(len(s) - depth))
-    level = {k: collections.defaultdict(collections.Counter) for k in range(depth + 1)}
-    for g, n in grams.items():
-        for k in range(depth + 1):
-            level[k][g[depth - k : depth]][g[depth]] += n
-    total = sum(grams.values())
-    states = {b""}
-    for k in range(1, depth + 1):
-        for c, nxt in level[k].items():
-            up, n = level[k - 1][c[1:]], sum(nxt.values())
-            kl = sum(m / n * math.log(m / n / (up[x] / sum(up.values()))) for x, m in nxt.items())
-            if n >= least and sum(up.values()) >= least and kl >= divergence and kl * n >= evidence * math.log(total):
-                states.update(c[j:] for j in range(len(c) + 1))
-
-    def prob(c, x):
-        n = level[len(c)][c]
-        if not c:
-            return (n[x] + 0.5) / (total + 128)
-        return (n[x] + prior * prob(c[1:], x)) / (sum(n.values()) + prior)
-    return states, prob
-
-
-def test_tree_equals_plain_dictionaries(spark):
-    rng = random.Random(3)
-    texts = [words(rng, 30) for _ in range(80)]
-    d = docs(spark, list(enumerate(texts)))
-    counts = suffix_tree.corpus_counts(d, 4)
-    tree = suffix_tree.grow_tree(counts.filter(f"kind = {suffix_tree.GRAM}").select("key", "n"), 4, floor=0.002)
-    total = counts.filter(f"kind = {suffix_tree.GRAM}").agg({"n": "sum"}).first()[0]
-    states, prob = tree_by_hand(texts, 4, max(2, 0.002 * total), suffix_tree.DIVERGENCE, suffix_tree.EVIDENCE, suffix_tree.PRIOR)
-    assert len(tree.child) - 1 == len(states) > 20
-    probe = [texts[0], "zebra the", "", "qqq ион"]
-    w = next(bytetext.Words(x, at) for _, x, at in bytetext.pieces(pa.RecordBatch.from_pydict({"text": probe})))
-    word, end = tree.token_scores(w)
-    for i, t in enumerate(probe):
-        s, got = b"\n" * 4 + b"".join(x + b" " for x in t.encode().lower().split()) + b"\n", 0.0
-        for j in range(4, len(s)):
-            got += math.log10(prob(next(s[k:j] for k in range(j - 4, j + 1) if s[k:j] in states), s[j]))
-        assert word[w.word_at[i] : w.word_at[i + 1]].sum() + end[i] == pytest.approx(got, rel=1e-6)
-
-
-def test_rare_long_contexts_become_states_as_the_corpus_grows(spark):
-    """Contexts of seven bytes at a share below 2e-5 that only their oldest byte tells apart."""
-    rng = random.Random(4)
-    d = docs(spark, [(i, words(rng, 3000) + [" qjxkvwbz", " zjxkvwby", "", ""][i % 4]) for i in range(200)])
-    counts = suffix_tree.corpus_counts(d)
-    grams = counts.filter(f"kind = {suffix_tree.GRAM}").select("key", "n")
-    total = grams.agg({"n": "sum"}).first()[0]
-    tree = suffix_tree.grow_tree(grams)
-    deep = tree.context[tree.first[7] : tree.first[8]]
-    assert int.from_bytes(b"bwvkxjq", "big") in deep.tolist()
-    few = suffix_tree.grow_tree(suffix_tree.corpus_counts(d.filter("doc_id < 20")).filter(f"kind = {suffix_tree.GRAM}").select("key", "n"))
-    assert len(few.child) < len(tree.child) and 50 / total < 2e-5
-
-
-def test_a_tree_too_large_for_the_tasks_is_joined(spark, monkeypatch):
-    rows = list(enumerate(TEXTS)) + [(1, TEXTS[1]), (None, "the cat zzz"), (20, "naïve ион 東京"), (21, "the cat zzz " * 90000)]
-    d = docs(spark, rows)
-    got = lambda: sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in
-                         suffix_tree.lm_scores(d, d.filter("doc_id % 2 = 0")).collect())
-    small = got()
-    monkeypatch.setattr(suffix_tree, "TABLE_TREE", 0)
-    large = got()
-    assert len(small) == len(rows)
-    for x, y in zip(small, large):
-        assert x[:3] == y[:3] and x[3:] == pytest.approx(y[3:], rel=1e-6)
-
-
 def test_words_and_shingles_of_bytes():
     texts = ["Hello  World\n", None, "", "a b c d e f", "é x\x0by"]
     _, data, at = next(bytetext.pieces(pa.RecordBatch.from_pydict({"text": texts})))
