@@ -10,8 +10,9 @@ from propweave.plans.pipeline import run_pipeline
 from propweave.plans.q_tables import FIRST_ORDER, asked_families
 from propweave.plans.registry import query, r6, rounded, text
 from propweave.sources import logs
+from propweave.sources.follow import append_log, lines, log_rows
 from propweave.sources.scratch import scratch_path
-from propweave.streaming.logs import log_summary, run_available, stream_dedupe, stream_table, watch_log
+from propweave.streaming.logs import follow_log, latest, log_summary, run_available, stream_dedupe, stream_table, tail_rows, watch_log
 
 ENT = """(with c as (select x, y, vy, sum(n)::double as n from PC group by all),
     h as (select *, sum(n) over (partition by x, y) as tot from c)
@@ -353,22 +354,51 @@ def _(t):
 def _(t):
     path = logs.write_log(t.log, scratch_path(t.spark, "live-log"), files=4)
     live = log_summary(logs.stream_log(t.spark, path, files_per_trigger=2))
-    return rounded(run_available(live, "log-summary", "complete"), "min_loss", "last_loss")
+    return rounded(run_available(live, scratch_path(t.spark, "log-summary"), "complete"), "min_loss", "last_loss")
 
 
 @query("stream_log_tail", """with r as (select type, batch, round(loss, 6) as loss, row_number() over (partition by type order by batch desc)::int as from_end,
-    round(min(loss) over (partition by type), 6) as min_loss from LOG) select * from r where from_end <= 5""")
+    round(min(loss) over (partition by type), 6) as min_loss from LOG) select *, (loss <= min_loss)::int as is_min from r where from_end <= 5""")
 def _(t):
     path = logs.write_log(t.log, scratch_path(t.spark, "live-log"), files=4)
-    out = watch_log(logs.stream_log(t.spark, path, files_per_trigger=2), "log-tail", 5)
-    return rounded(out, "loss", "min_loss").drop("new_min")
+    out = watch_log(logs.stream_log(t.spark, path, files_per_trigger=2), scratch_path(t.spark, "log-tail"), 5)
+    return rounded(out, "loss", "min_loss")
+
+
+def _grown(t, follow):
+    """The log comes in three appends to files that grow; after each a stream on the same folder is started again."""
+    folder, state = scratch_path(t.spark, "growing-log"), scratch_path(t.spark, "growing-state")
+    ends = t.log.agg(F.min("batch").alias("lo"), F.max("batch").alias("hi")).first()
+    step = ((ends["hi"] or 0) - (ends["lo"] or 0)) // 3 + 1
+    out = None
+    for k in range(3):
+        part = F.floor((F.col("batch") - (ends["lo"] or 0)) / step)
+        append_log(t.log.filter(part == k), folder)
+        out = run_available(follow(log_rows(lines(t.spark, folder, header=True, pattern="*.tsv"))), state, "append")
+    return out
+
+
+@query("log_follow", "select type, batch, round(loss, 6) as loss, round(lr, 6) as lr from LOG")
+def _(t):
+    return rounded(_grown(t, lambda rows: rows), "loss", "lr")
+
+
+@query("log_state", """with b as (select type, batch, loss, row_number() over (partition by type order by batch) as i, count(*) over (partition by type) as n_rows,
+        min(loss) over (partition by type) as min_loss from LOG),
+    m as (select type, min(i) as place, arg_min(batch, i) as best_batch from b where loss = min_loss group by type)
+    select type, n_rows, 0::bigint as late, round(min_loss, 6) as min_loss, best_batch, n_rows - place as since_best, batch, round(loss, 6) as loss, (n_rows - i + 1)::int as from_end
+    from b join m using (type) where n_rows - i < 5""")
+def _(t):
+    reports = _grown(t, lambda rows: follow_log(rows, 5))
+    state = latest(reports).select("type", "n_rows", "late", "best_batch", "since_best")
+    return rounded(tail_rows(reports).drop("is_min").join(state, "type"), "loss", "min_loss")
 
 
 @query("stream_dedupe", """select distinct user_id, event_type, strftime(ts, '%Y-%m-%d') as day from events""")
 def _(t):
     schema = t.raw("events").schema
     seen = stream_dedupe(stream_table(t.spark, t.dir, "events.parquet", schema), ["user_id", "event_type"])
-    out = run_available(seen, "dedupe", "append")
+    out = run_available(seen, scratch_path(t.spark, "dedupe"), "append")
     return out.select("user_id", "event_type", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
