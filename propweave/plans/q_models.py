@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from propweave.operators import clean, features, metrics, reports, scoring, similarity
 from propweave.plans.fixtures import family_of
-from propweave.plans.pipeline import run_pipeline
+from propweave.plans.pipeline import job, run_pipeline
 from propweave.plans.q_tables import FIRST_ORDER, asked_families
 from propweave.plans.registry import query, r6, rounded, text
 from propweave.sources import logs
@@ -414,3 +414,26 @@ def _(t):
     where n1 >= 10 and n0 >= 10 and n1 + n0 >= 20 group by source, nprops""")
 def _(t):
     return run_pipeline(t.spark, t.dir)
+
+
+@query("stage_graph", """with ka as (select assay from ACT group by assay having sum(value) >= 200 and sum(1 - value) >= 200
+        and abs(sum(1 - value) - sum(value))::double / count(*) <= 0.9),
+    kc as (select sid, assay from ACT where assay in (select assay from ka) group by sid, assay having count(distinct value) = 1)
+    select 'substances' as stage, '' as output, count(*) as rows, 'kept' as state from part
+    union all select 'vocab', '', count(*), 'kept' from VOC
+    union all select 'encoded', '', count(*), 'kept' from part
+    union all select 'activities', '', count(*), 'kept' from kc
+    union all select 'examples', '', count(distinct sid), 'ran' from kc
+    union all select 'long', '', count(*), 'ran' from kc
+    union all select 'catalog', 'activity', count(*), 'kept' from kc
+    union all select 'catalog', 'category', count(distinct category), 'kept' from PCAT
+    union all select 'catalog', 'property', count(*), 'kept' from PROP
+    union all select 'catalog', 'property_category', count(*), 'kept' from PCAT
+    union all select 'catalog', 'source', count(distinct source_id), 'kept' from PROP
+    union all select 'metrics', '', null, 'ran' union all select 'report', '', null, 'ran'""")
+def _(t):
+    """The job twice in one folder, the second time with another split: what came before the split is read."""
+    folder = scratch_path(t.spark, "stage-graph")
+    job(t.spark, t.dir, folder)
+    second = job(t.spark, t.dir, folder, weights=(0.6, 0.1, 0.3)).manifest()
+    return second.withColumn("rows", F.when(~F.col("stage").isin("metrics", "report"), F.col("rows")))
