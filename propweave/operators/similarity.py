@@ -372,6 +372,25 @@ def cosine_neighbours(rows: DataFrame, k: int = 5) -> DataFrame:
     return hits.select("qid", "cid", F.round(1 - F.col("score"), 6).alias("distance"), "rank")
 
 
+def pivot_column_distances(rows: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """(a, b, distance): cosine distance of every two columns of the pivot of mean values; a missing cell is 0.
+
+    The pivot is never made: columns meet in the rows that hold both, each row once, and a
+    row has no more cells than there are columns (a dimension). Pairs without a common row
+    have distance 1; a column of zeros has none.
+    """
+    cells = materialise(rows.groupBy(row, column).agg(F.avg(value).alias("v")).filter("v <> 0"), "pivot-cells")
+    length = cells.groupBy(column).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("len"))
+    left = cells.select(row, F.col(column).alias("a"), F.col("v").alias("va"))
+    right = cells.select(row, F.col(column).alias("b"), F.col("v").alias("vb"))
+    dots = left.join(right, row).filter("a < b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("dot"))
+    one, two = (length.select(F.col(column).alias(n), F.col("len").alias(f"len_{n}")) for n in "ab")
+    names = [r[0] for r in length.select(column).collect()]  # a dimension
+    every = one.withColumn("b", F.explode(F.array(*[F.lit(n) for n in names]))).filter("a < b") if names else one.withColumn("b", F.col("a")).limit(0)
+    return every.join(two, "b").join(dots, ["a", "b"], "left").select(
+        "a", "b", (1 - F.coalesce("dot", F.lit(0.0)) / (F.col("len_a") * F.col("len_b"))).alias("distance"))
+
+
 def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int = 5, tables: int = 24, bits: int = 4, seed: int = 5,
             exclude_self: bool = False) -> DataFrame:
     """(qid, cid, score, value, rank): approximate nearest rows by inner product of unit vectors.

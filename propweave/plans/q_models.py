@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from propweave.operators import clean, features, metrics, reports, scoring, similarity
 from propweave.plans.fixtures import family_of
 from propweave.plans.pipeline import job, run_pipeline
-from propweave.plans.q_tables import FIRST_ORDER, asked_families
+from propweave.plans.q_tables import ASKED, asked_families
 from propweave.plans.registry import query, r6, rounded, text
 from propweave.sources import logs
 from propweave.sources.follow import append_log, lines, log_rows
@@ -101,7 +101,7 @@ def _(t):
     return rounded(out, "prob")
 
 
-FALL = f"(select c.name as sid, p.target from {FIRST_ORDER} c, FPRIOR p)"
+FALL = f"(select c.name as sid, p.target from {ASKED} c, FPRIOR p)"
 
 
 @query("score_all", f"select sid, target, round(prob, 6) as prob, n_contexts from {_predictions('FAM', FALL, 'FCOND', 'FPRIOR', 3, True)} p")
@@ -334,6 +334,15 @@ def _(t):
     return similarity.cosine_neighbours(wide.select(F.col("property_id").alias("id"), F.array(*names).alias("vec")), k=5)
 
 
+@query("cosine_columns", """with m as (select property_id, category, avg(prediction) as v from ALT group by all),
+    n as (select category, sqrt(sum(v * v)) as len from m group by category having sum(v * v) > 0),
+    d as (select a.category as a, b.category as b, sum(a.v * b.v) as dot from m a join m b using (property_id) where a.category < b.category group by all)
+    select x.category as a, y.category as b, round(1 - coalesce(dot, 0) / (x.len * y.len), 6) as distance
+    from n x join n y on x.category < y.category left join d on d.a = x.category and d.b = y.category""")
+def _(t):
+    return rounded(similarity.pivot_column_distances(t.alt, "property_id", "category", "prediction"), "distance")
+
+
 @query("knn_lsh", "select count(*) * 5 as n, 1 as recall_reached from EMB")
 def _(t):
     q = t.emb.select("id", "vec", "value")

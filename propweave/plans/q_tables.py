@@ -237,17 +237,16 @@ def _(t):
     return rounded(t.prop.select("property_id", "title").join(m, "property_id", "left"), "auc")
 
 
-FIRST_ORDER = "(select distinct 'F' || l_partkey // 16 as name from lineitem where l_orderkey = (select min(l_orderkey) from lineitem))"
+ASKED = "(select distinct 'F' || p_partkey // 16 as name from part where p_size = 1)"
 
 
 def asked_families(t):
-    """A request list: the families of the first order's parts."""
-    li = t.raw("lineitem", "l_orderkey", "l_partkey")
-    first = li.agg(F.min("l_orderkey").alias("l_orderkey"))
-    return li.join(first, "l_orderkey", "left_semi").select(family_of("l_partkey").alias("name")).distinct()
+    """A request list that grows with the tables: the families with a part of size 1."""
+    parts = t.raw("part", "p_partkey", "p_size").filter("p_size = 1")
+    return parts.select(family_of("p_partkey").alias("name")).distinct()
 
 
-@query("candidate_x_property", f"select c.name, p.property_id from {FIRST_ORDER} c, PROP p")
+@query("candidate_x_property", f"select c.name, p.property_id from {ASKED} c, PROP p")
 def _(t):
     return scoring.candidate_x_property(asked_families(t), t.prop.select("property_id"))
 
