@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from propweave.operators.ordering import ordered_position
 from propweave.sources.scratch import materialise
+from propweave.sources.layout import write_z_ordered
 from propweave.sources.tables import write_table
 
 
@@ -40,9 +41,20 @@ def activities_of(activity: DataFrame, structures: DataFrame, column: str = "smi
 
 
 def write_catalog(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
-    """One Parquet table per relation, rows sorted by the lookup column inside each file."""
-    sort = {"activity": ["sid", "property_id"], "property": ["property_id"], "property_category": ["property_id"]}
-    return {n: write_table(df, f"{folder}/{n}", sort=sort.get(n)) for n, df in tables.items()}
+    """One Parquet table per relation.
+
+    Activities are asked by substance, property and structure: their files are ranges of the
+    first two together, with bloom filters on the texts. Of the others rows are sorted by the
+    lookup column inside each file.
+    """
+    sort = {"property": ["property_id"], "property_category": ["property_id"]}
+    paths = {n: write_table(df, f"{folder}/{n}", sort=sort.get(n)) for n, df in tables.items() if n != "activity"}
+    paths["activity"] = write_activity(tables["activity"], f"{folder}/activity")
+    return paths
+
+
+def write_activity(activity: DataFrame, path: str, files: int | None = None) -> str:
+    return write_z_ordered(activity, path, ["sid", "property_token"], bloom=["smiles", "inchi"], files=files)
 
 
 def property_source(prop: DataFrame, source: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from propweave.operators import catalog as cat, clean, dataset, features, scorin
 from propweave.operators.ordering import union_all
 from propweave.plans.fixtures import family_of
 from propweave.plans.registry import query, r6, rounded
-from propweave.sources import logs, tables
+from propweave.sources import layout, logs, tables
 from propweave.sources.scratch import scratch_path
 
 
@@ -102,9 +102,51 @@ def _(t):
 @query("results_partitioned", """select assay as property_token, count(*) as n, round(avg(probs), 6) as mean_pred from PRED group by assay""")
 def _(t):
     rows = t.pred.select(F.col("assay").alias("property_token"), "value", "probs")
-    path = tables.write_buckets(rows, scratch_path(t.spark, "results"), "property_token")
-    return t.spark.read.parquet(path).groupBy(F.col("property_token").cast("bigint").alias("property_token")).agg(
-        F.count(F.lit(1)).alias("n"), r6(F.avg("probs")).alias("mean_pred"))
+    stored = layout.write_bucketed(rows, "results", "property_token", 16)
+    return stored.groupBy("property_token").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("probs")).alias("mean_pred"))
+
+
+@query("bucketed_nest", """select sid, count(*) as n, string_agg(assay || '=' || value, ' ' order by assay) as pairs, 0 as exchanges
+    from CONS group by sid""")
+def _(t):
+    """Nesting a table in buckets of the substance: nothing moves."""
+    stored = layout.write_bucketed(t.cons, "activities", "sid", 16)
+    pairs = F.transform(F.sort_array(F.collect_list(F.struct("assay", "value"))), lambda p: F.concat_ws("=", p["assay"], p["value"]))
+    out = stored.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.array_join(pairs, " ").alias("pairs"))
+    return out.withColumn("exchanges", F.lit(layout.exchanges(out)))
+
+
+@query("bucketed_join", """select sid, smiles, n_pairs, n_same, 0 as exchanges from (select a.sid, count(*) as n_pairs,
+        sum(case when a.value = b.value then 1 else 0 end)::bigint as n_same
+        from CONS a join CONS b on a.sid = b.sid and a.assay < b.assay group by a.sid) x join SUB using (sid)""")
+def _(t):
+    """A self-join and a lookup of the substance, all in the same buckets."""
+    one = layout.write_bucketed(t.cons, "activities", "sid", 16)
+    subs = layout.write_bucketed(t.sub.select("sid", "smiles"), "substances", "sid", 16)
+    other = one.select("sid", F.col("assay").alias("other"), F.col("value").alias("v"))
+    both = one.hint("merge").join(other, "sid").filter("assay < other").groupBy("sid").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.sum((F.col("value") == F.col("v")).cast("bigint")).alias("n_same"))
+    out = both.join(subs.hint("merge"), "sid").select("sid", "smiles", "n_pairs", "n_same")
+    return out.withColumn("exchanges", F.lit(layout.exchanges(out)))
+
+
+@query("catalog_lookups", """with a as (select sid, smiles, assay + 8 as property_token from CONS join SUB using (sid) join PROP on assay = property_id),
+    m as (select max(sid) as s, max(property_token) as p, max(smiles) as x from a)
+    select 'sid' as asked, count(*) as n, 1 as small_share from a, m where sid = s
+    union all select 'property_token', count(*), 1 from a, m where property_token = p
+    union all select 'smiles', count(*), 1 from a, m where smiles = x""")
+def _(t):
+    """Lookups by three columns of one table, and whether each read at most a third of its rows."""
+    activity = _catalog(t)["activity"]
+    path = cat.write_activity(activity, scratch_path(t.spark, "activity"), files=64)
+    stored = t.spark.read.parquet(path)
+    top = stored.agg(F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("sid", "property_token", "smiles")]).first()
+    out = []
+    for column in ("sid", "property_token", "smiles"):
+        found = layout.lookup(t.spark, path, column, [top[column]])
+        few = layout.rows_read(found) * 3 <= top["n"]
+        out.append(found.agg(F.lit(column).alias("asked"), F.count(F.lit(1)).alias("n"), F.lit(int(few)).alias("small_share")))
+    return union_all(out)
 
 
 @query("rename_select", "select sid, assay as property_id, value as binary_value from ACT")

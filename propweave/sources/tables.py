@@ -49,12 +49,6 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None, files: in
     return path
 
 
-def write_buckets(df: DataFrame, path: str, key: str, buckets: int | None = None) -> str:
-    """A table in hash buckets of a key, one folder each: a lookup reads one bucket, and many keys make no more folders."""
-    buckets = buckets or max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return write_table(df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), path, by=["bucket"])
-
-
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
     df.write.mode("overwrite").option("header", "true").option("sep", sep).csv(path)
     return path
