@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     while before["n"]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(low, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # stored in between: a short plan is worked out and replanned at less cost than a deep one with its parts repeated
+        large = materialise(both.join(low, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")), f"{name}-large")
         # an edge from a node to its own smallest neighbour stays by the other end's step
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(

@@ -128,6 +128,7 @@ def plan(rows: DataFrame, entropy: float = TARGET_ENTROPY, passes: float = MAX_P
     sums = sums.withColumn("sum", F.sum("tokens").over(W.partitionBy("source").orderBy("at", "block")))
     cut = sums.filter(F.col("sum") > F.col("rest")).groupBy("source").agg(
         F.min(F.struct("at", "block", (F.col("rest") - (F.col("sum") - F.col("tokens"))).alias("left"))).alias("cut"))
+    cut = materialise(cut, "mix-cut")  # one row a source, read twice below
     inside = dealt.join(cut.select("source", F.col("cut.at").alias("at"), F.col("cut.block").alias("block"),
                                    F.col("cut.left").alias("left")), ["source", "block"])
     docs = inside.groupBy("source", "left", _hash(F.lit("doc"), F.col("key")).alias("h")).agg(F.sum("tokens").alias("tokens"))
