@@ -37,20 +37,36 @@ class Bits:
         return (self.table[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
 
 
+def bit_tables(sets: list[tuple[DataFrame, list[str]]], bits: int) -> list[Bits]:
+    """The phrases of each table's columns as bits, all in one job: set in the tasks, joined by OR; the driver receives
+    2**bits / 64 rows for each at most."""
+    def filled(number: int, width: int):
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                p = _place([b.column(i).to_numpy().view(np.uint64) for i in range(width)], bits)
+                p.sort()
+                first = np.flatnonzero(np.concatenate([[True], p[1:] >> 6 != p[:-1] >> 6])) if len(p) else np.zeros(0, int)
+                word = np.bitwise_or.reduceat(np.uint64(1) << (p & 63).astype(np.uint64), first) if len(p) else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), number, np.int32)), pa.array(p[first] >> 6),
+                                                  pa.array(word.view(np.int64))], names=["number", "slot", "word"])
+        return apply
+
+    rows = None
+    for i, (phrases, columns) in enumerate(sets):
+        own = phrases.select(*columns).mapInArrow(filled(i, len(columns)), "number int, slot bigint, word bigint")
+        rows = own if rows is None else rows.unionByName(own)
+    got = rows.groupBy("number", "slot").agg(F.bit_or("word").alias("word")).toArrow()
+    number, slot, word = (got[c].to_numpy() for c in ("number", "slot", "word"))
+    out = []
+    for i in range(len(sets)):
+        table = np.zeros(1 << max(bits - 6, 0), np.uint64)
+        table[slot[number == i]] = word[number == i].view(np.uint64)
+        out.append(Bits(table.view(np.uint8), bits))
+    return out
+
+
 def bit_table(phrases: DataFrame, columns: list[str], bits: int) -> Bits:
-    """The rows' phrases as bits: set in the tasks, joined by OR; the driver receives 2**bits / 64 rows at most."""
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = _place([b.column(i).to_numpy().view(np.uint64) for i in range(len(columns))], bits)
-            p.sort()
-            first = np.flatnonzero(np.concatenate([[True], p[1:] >> 6 != p[:-1] >> 6])) if len(p) else np.zeros(0, int)
-            word = np.bitwise_or.reduceat(np.uint64(1) << (p & 63).astype(np.uint64), first) if len(p) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(p[first] >> 6), pa.array(word.view(np.int64))], names=["slot", "word"])
-
-    got = phrases.select(*columns).mapInArrow(apply, "slot bigint, word bigint").groupBy("slot").agg(F.bit_or("word").alias("word")).toArrow()
-    table = np.zeros(1 << max(bits - 6, 0), np.uint64)
-    table[got["slot"].to_numpy()] = got["word"].to_numpy().view(np.uint64)
-    return Bits(table.view(np.uint8), bits)
+    return bit_tables([(phrases, columns)], bits)[0]
 
 
 class Partial:
