@@ -12,9 +12,17 @@ met with the target probability.
 What brute force yields are candidates by sketch, with a margin of four standard deviations.
 They go on as groups, not as pairs: a bucket whose members are all in one group already is
 not looked at in later runs, for only connections matter here. Inside a connected group the
-true shingle sets are compared, all with all in blocks, and exact Jaccard decides. Counts of
-links and a spanning forest leave the tasks, so no list of all pairs of a large group is
-ever written.
+true shingle sets are compared and exact Jaccard decides.
+
+A small group is compared in one unit of work. A large one is first held against its leader,
+one of its members. Jaccard distance is a metric: members within half the greatest distance of
+a link from the leader are all linked to each other, without being compared. The others meet
+each other and those in blocks; what travels is not a set but its difference from the leader's,
+which is small for near copies and tells the size of every intersection:
+    |x & y| = |L| - |L-x| - |L-y| + |(L-x) & (L-y)| + |(x-L) & (y-L)|.
+So a group of near copies costs its rows, and only members far from the leader cost blocks of
+differences. Counts of links and a spanning forest leave the tasks, so no list of all pairs of
+a large group is ever written.
 """
 
 from __future__ import annotations
@@ -29,14 +37,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from propweave.llm.bytetext import Words, _splitmix, mix, pieces, shingles
 from propweave.llm.components import connected_components
+from propweave.llm.tables import fresh
 from propweave.sources.scratch import materialise
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 TOKENS = 128
 #: Four standard deviations of a similarity estimated from TOKENS matches, at the threshold.
 MARGIN = 4 * (THRESHOLD * (1 - THRESHOLD) / TOKENS) ** 0.5
-#: A bucket of more rows is split; rows compared by sketch at once, and by their sets at once.
-LEAF, BLOCK, SET_BLOCK = 4096, 3072, 256
+#: A bucket of more rows is split; rows compared by sketch at once.
+LEAF, BLOCK = 4096, 3072
+#: Members and shingles of a group that is compared in one unit; members and numbers of a block of differences.
+SET_BLOCK, SET_NUMBERS, DELTA_BLOCK, DELTA_NUMBERS = 256, 1 << 22, 2048, 1 << 21
 #: Levels of splits; a split that leaves more of a bucket than this is the last; runs before known groups are left alone.
 DEPTH, DENSE, FIRST_RUNS = 4, 0.7, 4
 _A = (_splitmix(TOKENS, 101) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -259,53 +270,130 @@ def candidate_edges(rows: DataFrame, reps: DataFrame, threshold: float = THRESHO
     return units.select("g", "lo", "hi", "side", "rep", "known", "size", "sketch").mapInArrow(apply, "a bigint, b bigint")
 
 
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections: a product of incidence matrices over the shingles that two sets share."""
-    sizes = [len(s) for s in sets]
-    shingle, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+def intersections(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of all pairs: a product of incidence matrices over the members that two sets share."""
+    sets = left if right is None else left + right
+    out = np.zeros((len(left), len(left if right is None else right)))
+    if not len(out) or not out.shape[1]:
+        return out
+    sizes = [len(x) for x in sets]
+    number, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), sizes)
     shared = times[column] > 1
     number = np.cumsum(times > 1) - 1
     row, column = row[shared], number[column[shared]]
-    out = np.zeros((len(sets), len(sets)))
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     width = max(1, (1 << 22) // len(sets))
     for a in range(0, int(number[-1]) + 1 if len(number) else 0, width):
         i, j = np.searchsorted(column, [a, a + width])
-        x = np.zeros((len(sets), width), np.float32)
+        x = np.zeros((len(sets), min(width, int(number[-1]) + 1 - a)), np.float32)
         x[row[i:j], column[i:j] - a] = 1
-        out += x @ x.T
-    out[np.arange(len(sets)), np.arange(len(sets))] = sizes
+        out += x @ x.T if right is None else x[: len(left)] @ x[len(left) :].T
+    if right is None:
+        out[np.arange(len(left)), np.arange(len(left))] = sizes
     return out
 
 
+VERIFIED = "rep bigint, root bigint, links bigint, texts bigint, parts boolean"
+
+
+def _links(rep: np.ndarray, copies: np.ndarray, linked: np.ndarray, parts: bool) -> pa.RecordBatch:
+    root = _forest(linked)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rep), pa.array(rep[root]), pa.array((linked @ copies).astype(np.int64)), pa.array(linked.sum(1).astype(np.int64)),
+         pa.array(np.full(len(rep), parts))], names=["rep", "root", "links", "texts", "parts"])
+
+
 def verified(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(rep, root, links, texts, parts) per unit: exact Jaccard inside groups of (g, rep, n, copies, shingles).
+    """(rep, root, links, texts, parts): exact Jaccard inside groups of (g, rep, n, total, copies, shingles).
 
-    ``root`` is the first connected member (itself if none), ``links`` the documents behind the
-    linked representatives, ``texts`` their number. ``parts``: the group has further units.
+    ``total`` counts the shingles of a group. ``root`` is a connected member (itself if none),
+    ``links`` the documents behind the linked representatives, ``texts`` their number. ``parts``:
+    the group has further rows, whose counts add up and whose roots are to be connected.
     """
-    units = in_blocks(members, "g", "rep", SET_BLOCK).repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
+    one = (F.col("n") <= SET_BLOCK) & (F.col("total") <= SET_NUMBERS)
+    small = members.filter(one).select("g", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "rep", "copies", "shingles")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _units(batches):
-            rep, copies, side = (t[c].to_numpy() for c in ("rep", "copies", "side"))
+            rep, copies = (t[c].to_numpy() for c in ("rep", "copies"))
             sets = [np.frombuffer(s, np.uint64) for s in t["shingles"].to_pylist()]
             size = np.array([len(s) for s in sets], float)
             both = intersections(sets)
             linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
             np.fill_diagonal(linked, False)
-            if t["lo"][0].as_py() != t["hi"][0].as_py():
-                linked &= side[:, None] != side[None, :]
-            root = _forest(linked)
-            parts = np.full(len(rep), t["n"][0].as_py() > SET_BLOCK)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rep), pa.array(rep[root]), pa.array((linked @ copies).astype(np.int64)),
-                 pa.array(linked.sum(1).astype(np.int64)), pa.array(parts)], names=["rep", "root", "links", "texts", "parts"])
+            yield _links(rep, copies, linked, False)
+
+    units = small.repartition("g").sortWithinPartitions("g")
+    return units.mapInArrow(apply, VERIFIED).unionByName(verified_by_leader(members.filter(~one), threshold))
+
+
+def differences(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(g, rep, copies, head, base, ball, size, minus, plus): each member against the leader of its group.
+
+    ``head`` is the leader, ``base`` the size of its set, ``minus`` what the member lacks of it,
+    ``plus`` what it has beside; ``ball``: all such members are linked to each other.
+    """
+    first = members.groupBy("g").agg(F.min("rep").alias("head"))
+    heads = members.join(first, "g").filter("rep = head").select("g", "head", F.col("shingles").alias("own"))
+    near = (1 - threshold) / 2
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["g", "rep", "copies", "head", "base", "ball", "size", "minus", "plus"]
+        for b in batches:
+            for i in range(len(b)):
+                x, own = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint64) for c in ("shingles", "own"))
+                minus, plus = np.setdiff1d(own, x, True), np.setdiff1d(x, own, True)
+                apart = (len(minus) + len(plus)) / max(len(own) + len(plus), 1)
+                row = [b.column(c)[i].as_py() for c in ("g", "rep", "copies", "head")]
+                row += [len(own), bool(apart <= near - 1e-9), len(x), minus.tobytes(), plus.tobytes()]
+                kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
+
+    return members.join(heads, "g").select("g", "rep", "copies", "head", "shingles", "own").mapInArrow(
+        apply, "g bigint, rep bigint, copies bigint, head bigint, base bigint, ball boolean, size bigint, minus binary, plus binary")
+
+
+def verified_by_leader(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``verified`` for large groups."""
+    told = materialise(differences(members, threshold), "differences")
+    numbers = (F.octet_length("minus") + F.octet_length("plus")) / 8
+    sums = told.groupBy("g").agg(
+        F.sum(F.when(F.col("ball"), F.col("copies"))).alias("ball_copies"), F.count(F.when(F.col("ball"), 1)).alias("ball_texts"),
+        *[F.greatest(F.ceil(F.count(F.when(side, 1)) / DELTA_BLOCK), F.ceil(F.coalesce(F.sum(F.when(side, numbers)), F.lit(0)) / DELTA_NUMBERS)).cast("int").alias(name)
+          for name, side in (("outs", ~F.col("ball")), ("balls", F.col("ball")))])
+    rows = told.join(sums, "g")
+    inside = rows.filter("ball").select(
+        "rep", F.col("head").alias("root"), (F.col("ball_copies") - F.col("copies")).alias("links"), (F.col("ball_texts") - 1).alias("texts"),
+        F.lit(True).alias("parts"))
+    # blocks 0 to outs - 1 are members outside the ball, those behind them are inside: two inside never meet
+    own = F.pmod(F.xxhash64(F.lit(8), "rep"), F.when(F.col("ball"), F.col("balls")).otherwise(F.col("outs"))).cast("int")
+    cut = rows.filter("outs > 0").withColumn("mine", own + F.when(F.col("ball"), F.col("outs")).otherwise(0))
+    last = F.when(F.col("ball"), F.col("outs")).otherwise(F.col("outs") + F.col("balls")) - 1
+    meet = cut.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
+        "g", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"),
+        (F.col("mine") > F.col("other")).alias("side"), "rep", "copies", "base", "size", "minus", "plus")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _units(batches):
+            rep, copies, size, side = (t[c].to_numpy() for c in ("rep", "copies", "size", "side"))
+            minus, plus = ([np.frombuffer(s, np.uint64) for s in t[c].to_pylist()] for c in ("minus", "plus"))
+            lack, base = np.array([len(x) for x in minus]), t["base"][0].as_py()
+            two = t["lo"][0].as_py() != t["hi"][0].as_py()
+            a = np.flatnonzero(~side.astype(bool)) if two else np.arange(len(rep))
+            b = np.flatnonzero(side.astype(bool)) if two else a
+            pick = lambda sets: intersections([sets[i] for i in a], [sets[i] for i in b] if two else None)
+            both = base - lack[a][:, None] - lack[b][None, :] + pick(minus) + pick(plus)
+            near = both >= threshold * (size[a][:, None] + size[b][None, :] - both) - 1e-9
+            linked = np.zeros((len(rep), len(rep)), bool)
+            linked[np.ix_(a, b)] = near
+            linked[np.ix_(b, a)] |= near.T
+            np.fill_diagonal(linked, False)
+            yield _links(rep, copies, linked, True)
 
-    return units.select("g", "lo", "hi", "side", "rep", "n", "copies", "shingles").mapInArrow(
-        apply, "rep bigint, root bigint, links bigint, texts bigint, parts boolean")
+    units = meet.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
+    return inside.unionByName(units.mapInArrow(apply, VERIFIED))
 
 
 def candidate_groups(reps: DataFrame, runs: int, threshold: float = THRESHOLD) -> DataFrame:
@@ -329,20 +417,21 @@ def candidate_groups(reps: DataFrame, runs: int, threshold: float = THRESHOLD) -
 
 
 def shingle_rows(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(rep, g, n, copies, shingles) of the wanted representatives, found again by key and text hashes."""
+    """(rep, g, n, total, copies, shingles) of the wanted representatives, found again by key and text hashes."""
     body = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     body = body.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(4), "text")})
-    w = wanted.select(F.col("key").alias("_key"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "rep", "g", "n", "copies")
+    w = wanted.select(F.col("key").alias("_key"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "rep", "g", "n", "total", "copies")
     found = body.join(w, F.col("key").eqNullSafe(F.col("_key")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, data, at in pieces(b):
                 sets = pa.array([s.tobytes() for s in text_sets(data, at, n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "g", "n", "copies")), sets],
-                                                 names=["rep", "g", "n", "copies", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "g", "n", "total", "copies")), sets],
+                                                 names=["rep", "g", "n", "total", "copies", "shingles"])
 
-    sets = found.select("rep", "g", "n", "copies", "text").mapInArrow(apply, "rep bigint, g bigint, n bigint, copies bigint, shingles binary")
+    sets = found.select("rep", "g", "n", "total", "copies", "text").mapInArrow(
+        apply, "rep bigint, g bigint, n bigint, total bigint, copies bigint, shingles binary")
     return sets.dropDuplicates(["rep"])  # equal rows of one key
 
 
@@ -364,10 +453,10 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     reps = full.join(same.select(F.col("rep").alias("row"), "copies"), "row").withColumnRenamed("row", "rep").drop("digest")
     reps = materialise(reps, "representatives")
     groups = candidate_groups(reps, runs_for(recall), threshold)
-    size = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    wanted = groups.join(size, "root").select(F.col("node").alias("rep"), F.col("root").alias("g"), "n").join(
-        reps.select("rep", "key", "h1", "h2", "copies"), "rep")
-    found = materialise(verified(shingle_rows(docs, wanted, key, text, n), threshold), "verified")
+    grouped = groups.select(F.col("node").alias("rep"), F.col("root").alias("g")).join(reps.select("rep", "key", "h1", "h2", "copies", "size"), "rep")
+    wanted = grouped.join(grouped.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").cast("bigint").alias("total")), "g")
+    sets = materialise(shingle_rows(docs, wanted, key, text, n), "shingles")
+    found = materialise(verified(sets, threshold), "verified")
     # a group compared in one unit is final; only those of several units have their parts to connect
     split_ = connected_components(found.filter("parts").select(F.col("rep").alias("a"), F.col("root").alias("b")), "classes")
     classes = found.filter("not parts").select(F.col("rep").alias("node"), "root").unionByName(split_)
@@ -391,9 +480,9 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each class, with all its columns."""
-    kept = jaccard_classes(docs, key, text, **options).filter("kept").select(
-        F.col(key).alias("_key"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
+    a, b, *own = fresh(docs, "a", "b", "key", "h1", "h2")
+    kept = jaccard_classes(docs, key, text, **options).filter("kept").select(*(F.col(c).alias(n) for c, n in zip((key, "h1", "h2"), own)))
     body = F.coalesce(F.col(text), F.lit(""))
-    marked = docs.withColumns({"_a": F.xxhash64(body), "_b": F.xxhash64(F.lit(4), body)})
-    stay = marked.join(kept, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_a") == F.col("_h1")) & (F.col("_b") == F.col("_h2")), "left_semi")
-    return stay.dropDuplicates([key, "_a", "_b"]).drop("_a", "_b")
+    marked = docs.withColumns({a: F.xxhash64(body), b: F.xxhash64(F.lit(4), body)})
+    stay = marked.join(kept, F.col(key).eqNullSafe(F.col(own[0])) & (F.col(a) == F.col(own[1])) & (F.col(b) == F.col(own[2])), "left_semi")
+    return stay.dropDuplicates([key, a, b]).drop(a, b)

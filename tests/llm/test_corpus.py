@@ -88,6 +88,55 @@ def test_classes_equal_brute_force(spark, monkeypatch, block):
     assert chosen_path.deduplicated(docs(spark, rows)).count() == len(classes)
 
 
+def edited(rng, base, most):
+    t = list(base)
+    for _ in range(rng.randint(0, most)):
+        t[rng.randrange(len(t))] = "edit%d" % rng.randrange(10**6)
+    return " ".join(t)
+
+
+@pytest.mark.parametrize("block,numbers,most", [(2048, 1 << 21, 12), (7, 1 << 21, 12), (50, 300, 12), (7, 1 << 21, 1)])
+def test_large_groups_are_verified_against_a_leader(spark, monkeypatch, block, numbers, most):
+    """Members near the leader, far from it and unlike it; blocks by members and by the size of differences."""
+    monkeypatch.setattr(chosen_path, "SET_BLOCK", 10)
+    monkeypatch.setattr(chosen_path, "DELTA_BLOCK", block)
+    monkeypatch.setattr(chosen_path, "DELTA_NUMBERS", numbers)
+    rng = random.Random(block + most)
+    base = prose(rng, 150)
+    texts = sorted({edited(rng, base, most) for _ in range(60)}) + [" ".join(prose(rng, 50)) for _ in range(3)]
+    sets = [np.unique(np.array([hash(x) & (2**64 - 1) for x in shingle_set(t)], np.uint64)) for t in texts]
+    rows = [(5, i, len(sets), sum(map(len, sets)), i % 3 + 1, s.tobytes()) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "g bigint, rep bigint, n bigint, total bigint, copies bigint, shingles binary")
+    got = collections.defaultdict(lambda: [0, 0])
+    tied = collections.defaultdict(set)
+    for r in chosen_path.verified(members).collect():
+        got[r["rep"]][0] += r["links"]
+        got[r["rep"]][1] += r["texts"]
+        tied[r["rep"]].add(r["root"])
+        tied[r["root"]].add(r["rep"])
+    linked = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
+    near = {i: {j for j in range(len(sets)) if j != i and linked(sets[i], sets[j])} for i in range(len(sets))}
+    assert {i: got[i] for i in near} == {i: [sum(j % 3 + 1 for j in near[i]), len(near[i])] for i in near}
+
+    def reach(graph, i):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in graph[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        return seen
+    assert all(reach(tied, i) == reach(near, i) for i in near)
+    told = chosen_path.differences(members).collect()
+    assert {r["ball"] for r in told} == {True, False}
+
+
+def test_columns_named_like_helpers_stay(spark):
+    rows = [(i, " ".join(prose(random.Random(i % 2), 30)), i, i, i) for i in range(6)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, _a bigint, _key bigint, _h1 bigint")
+    got = chosen_path.deduplicated(d)
+    assert got.columns == d.columns and sorted(r["_a"] for r in got.collect()) == [0, 1]
+
+
 def test_no_documents_and_null_keys(spark):
     assert chosen_path.jaccard_classes(docs(spark, [])).count() == 0
     t = " ".join(prose(random.Random(5), 40))
@@ -157,6 +206,32 @@ def test_decontamination_finds_passages_and_paraphrases(spark, bench):
     assert decontaminate.search(d, empty).filter(F.size("matches") > 0).count() == 0
 
 
+def test_items_of_common_words_and_copies_of_items(spark):
+    """Thirty items under one text, items of common words only, text ids, and columns named like helpers."""
+    rng = random.Random(21)
+    common = ["the", "of", "and", "to", "in", "is", "it", "on"]
+    fill = lambda n: [w for x in prose(rng, n, 4000) for w in (x, rng.choice(common))]
+    copied = " ".join(fill(12))
+    plain = "to the of in and it is on the in to of"
+    items = [(f"copy{i}", copied) for i in range(30)] + [(f"own{i}", " ".join(fill(15))) for i in range(40)] + [("plain", plain)]
+    table = spark.createDataFrame(items, "item_id string, text string")
+    index = decontaminate.vocabulary([(i, t) for i, t in items])
+    assert all(len(x) >= 12 for x in index.items[:70]) and index.strict.tolist() == [False] * 70 + [True] and len(index.items[70]) == 12
+    rows = [(i, " ".join(fill(60)), 1, 2) for i in range(60)]
+    rows += [(100, " ".join(fill(20)) + " " + copied + " " + " ".join(fill(20)), 1, 2), (101, plain, 1, 2)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, _hits int, _searched int")
+    for most in (1 << 16, 20):
+        index = decontaminate.fit(d, table)
+        decontaminate.BLOCK_ITEMS, before = most, decontaminate.BLOCK_ITEMS
+        try:
+            got = decontaminate.search(d, index)
+            found = {(r["doc_id"], r["item_id"]) for r in got.select("doc_id", F.inline("matches")).collect()}
+        finally:
+            decontaminate.BLOCK_ITEMS = before
+        assert found == {(100, f"copy{i}") for i in range(30)} | {(101, "plain")}
+        assert got.columns == ["doc_id", "text", "_hits", "_searched", "matches"]
+
+
 def test_no_number_of_items_is_refused(spark, bench, monkeypatch):
     """Items in several blocks, sums in several column blocks: the results of one block."""
     assert len(decontaminate.vocabulary([(i, f"w{i} v{i} u{i % 7}") for i in range(50_001)]).items) == 50_001
