@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from propweave.llm import chosen_path, decontaminate, mixing, quality, sharding
-from propweave.llm.tables import importable, read
+from propweave.llm.tables import fresh, importable, read
 from propweave.sources.scratch import materialise
 
 #: Least quality score of a document that stays, and weights of the shards.
@@ -21,7 +21,8 @@ SHARDS = [1.0] * 16
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject. It is fitted on the labels of these documents."""
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    return quality.score(docs, quality.fit(docs, labels), name="_score").filter(F.col("_score") >= LEAST_QUALITY).drop("_score")
+    score = fresh(docs, "score")[0]
+    return quality.score(docs, quality.fit(docs, labels), name=score).filter(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a verified match to a benchmark item."""
     index = decontaminate.fit(docs, read(spark, sf_dir, "benchmark"))
-    return decontaminate.search(docs, index, name="_matches").filter(F.size("_matches") == 0).drop("_matches")
+    matches = fresh(docs, "matches")[0]
+    return decontaminate.search(docs, index, name=matches).filter(F.size(matches) == 0).drop(matches)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
