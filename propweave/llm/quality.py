@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """
     known = labels.filter(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("label"))
     drawn = [smallest_hashes(known.filter(F.col("label") == c), key, rows, 6).withColumn("label", F.lit(c)) for c in (0, 1)]
-    ordered = texts_of(docs, drawn[0].unionByName(drawn[1]), key, text).filter(F.octet_length("text") <= budget)
+    ordered = texts_of(docs, drawn[0].unionByName(drawn[1]), 2 * rows, key, text).filter(F.octet_length("text") <= budget)
     ordered = ordered.withColumn("h", F.xxhash64(F.lit(6), F.col(key))).withColumn("use", F.pmod(F.col("h"), F.lit(2)))
     # of the bounded draw, as many rows of each class and use as fit the byte budget
     running = "sum(octet_length(text)) over (partition by label, use order by h, text rows unbounded preceding)"

@@ -15,7 +15,11 @@ def smallest_hashes(keys: DataFrame, key: str, rows: int, seed: int) -> DataFram
     return keys.select(key).dropna().distinct().orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(rows)
 
 
-def texts_of(docs: DataFrame, sample: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The sampled documents. The sample's row bound is what allows to broadcast it: keys and labels only."""
+def texts_of(docs: DataFrame, sample: DataFrame, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """At most ``most`` different rows of the sampled documents. The sample's row bound is what allows to broadcast it: keys and labels only.
+
+    A key may stand in many rows: equal ones count once, and of too many those with the smallest hashes stay.
+    """
     body = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return body.join(F.broadcast(sample), key)
+    found = body.join(F.broadcast(sample), key).distinct()
+    return found.orderBy(F.xxhash64(F.lit(9), F.col(key), F.col("text")), key, "text").limit(most)

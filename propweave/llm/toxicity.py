@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, unlabelled: DataFrame, key: str = "d
     prior = min(max(prior, 1e-3), 0.5)
     p = smallest_hashes(known.filter(F.col(label) == 1), key, positives, 7).withColumn("toxic", F.lit(1))
     u = smallest_hashes(unlabelled, key, others, 71).withColumn("toxic", F.lit(0))
-    rows = texts_of(docs, p.unionByName(u), key, text)
+    rows = texts_of(docs, p.unionByName(u), positives + others, key, text)
     rows = rows.select(F.xxhash64(F.col(key), F.col("text")).alias("doc"), "toxic", "text")
     found = feature_rows(rows).groupBy("feature").agg(
         F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("u"), *[

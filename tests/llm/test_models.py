@@ -69,6 +69,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(all_docs.limit(0), model).count() == 0
 
 
+def test_samples_are_bounded_in_rows(spark):
+    """One drawn key in very many rows: equal rows count once, others up to the bound."""
+    from propweave.llm.samples import texts_of
+
+    many = spark.range(5000).selectExpr("1L as doc_id", "concat('text ', id % 900) as text").unionAll(spark.sql("select 2L, 'own'"))
+    sample = spark.createDataFrame([(1, 0), (2, 1)], "doc_id bigint, label int")
+    assert texts_of(many, sample, 10000).count() == 901 and texts_of(many, sample, 50).count() == 50
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, label int")
+    assert 0 < quality.score(many.limit(3), quality.fit(many, labels, rows=20)).first()["score"] < 1
+    assert toxicity.fit(many, labels, many, positives=20, others=30).raw is not None
+
+
 def test_negative_part_of_the_risk_is_not_followed_below_zero():
     """Positives that can be told apart by heart: without the clamp the weights run away."""
     pos, unl = [np.array([i]) for i in range(20)], [np.array([i]) for i in range(40)]
