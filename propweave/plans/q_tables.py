@@ -8,7 +8,7 @@ from propweave.operators import catalog as cat, clean, dataset, features, scorin
 from propweave.operators.ordering import union_all
 from propweave.plans.fixtures import family_of
 from propweave.plans.registry import query, r6, rounded
-from propweave.sources import layout, logs, tables
+from propweave.sources import layout, logs, shards, tables
 from propweave.sources.scratch import scratch_path
 
 
@@ -93,6 +93,17 @@ def _(t):
     return dataset.shards_to_long(dataset.read_shards(t.spark, path), keep=("split",))
 
 
+@query("tensor_shards", """select EX.split, array_to_string(encoded, ' ') as symbols_key, assay_index + ns as assay, value + ns + na as value
+    from EX join DATA using (sid), META""")
+def _(t):
+    """The examples as numpy files, read back, with the pairs exploded."""
+    rows = t.examples.select("split", F.col("sid").cast("bigint").alias("id"), F.col("encoded").cast("array<bigint>").alias("fixed"),
+                             F.col("assay_vals").cast("array<bigint>").alias("ragged"))
+    path = shards.write_tensors(rows, scratch_path(t.spark, "tensors"), per_shard=4096)
+    back = shards.read_tensors(t.spark, path).select("split", F.col("fixed").alias("encoded"), F.col("ragged").alias("assay_vals"))
+    return dataset.shards_to_long(back, keep=("split",))
+
+
 @query("vocab_roundtrip", "select symbol, index from VOC")
 def _(t):
     path = tables.write_table(t.voc, scratch_path(t.spark, "vocab"))
