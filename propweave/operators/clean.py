@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from propweave.operators.ordering import first_row
 
 
+def _variant_path(path: str) -> str:
+    """'$.Ligand SMILES' as a path of a variant: keys that are no plain names stand in brackets."""
+    keys = path.removeprefix("$.").split(".")
+    return "$" + "".join(f".{k}" if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", k) else f"['{k}']" for k in keys)
+
+
 def json_coalesce(df: DataFrame, json_col: str, out: dict[str, list[str]]) -> DataFrame:
-    """First non-null alternative per output column from a JSON text column."""
-    return df.select("*", *[
-        F.coalesce(*[F.get_json_object(json_col, p) for p in paths]).alias(name) for name, paths in out.items()
+    """First non-null alternative per output column from a JSON text column.
+
+    Each text is parsed once, into a variant. A text that is no JSON, a missing key and a JSON
+    null give null; other values become text.
+    """
+    parsed = "_parsed"
+    while parsed in df.columns:
+        parsed = f"_{parsed}"
+    got = df.withColumn(parsed, F.try_parse_json(json_col))
+    return got.select(*df.columns, *[
+        F.coalesce(*[F.try_variant_get(F.col(parsed), _variant_path(p), "string") for p in paths]).alias(name) for name, paths in out.items()
     ])
 
 

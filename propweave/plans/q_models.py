@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from propweave.operators import clean, features, metrics, reports, scoring, similarity
+from propweave.operators import ann, clean, features, metrics, reports, scoring, similarity
 from propweave.plans.fixtures import family_of
 from propweave.plans.pipeline import job, run_pipeline
 from propweave.plans.q_tables import ASKED, asked_families
@@ -351,6 +351,21 @@ def _(t):
     return r.select("n", (F.col("recall") >= 0.9).cast("int").alias("recall_reached"))
 
 
+@query("knn_index", """select v as visits, count(*) * 5 as n, case when v = 'all' then 1 end as recall_reached, (v = 'two')::int as less_than_half
+    from EMB, (select unnest(['two', 'all']) as v) group by v""")
+def _(t):
+    """A trained index, two lists visited and all: the share of the corpus compared by code, and the recall beside the exact search."""
+    q = t.emb.select("id", "vec", "value")
+    index, exact = ann.fit(q), similarity.neighbours(q, q, k=5, metric="l2", exclude_self=True)
+    out = []
+    for name, visits in (("two", 2), ("all", ann.MOST_LISTS)):
+        work = ann.comparisons(q, index, visits).first()
+        r = similarity.recall(ann.search(q, index, 5, visits, rerank=100, exclude_self=True), exact)
+        out.append(r.select(F.lit(name).alias("visits"), "n", F.when(F.lit(name) == "all", (F.col("recall") >= 0.9).cast("int")).alias("recall_reached"),
+                            F.lit(int(2 * work["per_query"] < work["corpus"])).alias("less_than_half")))
+    return out[0].unionByName(out[1])
+
+
 @query("quality_rates", r"""select count(*) as n, round(avg((length(text) > 0 and length(text) <= 200 and regexp_full_match(text, '[A-Za-z ,.\n]*'))::int), 6) as validity,
     round(avg((text not in (select text from documents))::int), 6) as novelty from conversations""")
 def _(t):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from propweave import sql
 from propweave.operators import catalog as cat, clean, dataset, features, scoring
 from propweave.operators.ordering import union_all
 from propweave.plans.fixtures import family_of
@@ -304,6 +305,29 @@ def _(t):
     return scoring.candidate_x_property(asked_families(t), t.prop.select("property_id"))
 
 
+@query("sql_catalog", """with a as (select upper(smiles) as inchi, assay as property_id, value from CONS join SUB using (sid)),
+    w as (select max(inchi) as inchi from a)
+    select 'categories' as asked, source, title as name, category, round(strength, 6) as number from PROP join PCAT using (property_id) join SRC using (source_id) where strength > 8
+    union all select 'values', source, property_token::varchar, category, round(strength * 10 + value, 6)
+        from a join w using (inchi) join PROP using (property_id) join PCAT using (property_id) join SRC using (source_id)
+    union all select 'counts', source, case value when 1 then 'positive' when 0 then 'negative' else 'unknown' end, '', count(*)
+        from CONS join PROP on assay = property_id join SRC using (source_id) group by source, value""")
+def _(t):
+    """Three statements in SQL over the stored catalogue: strong categories, a structure's known values, counts by source."""
+    spark = t.spark
+    sql.register(spark)
+    sql.catalog_views(spark, cat.write_catalog(_catalog(t), scratch_path(spark, "sql-catalog")))
+    top = spark.sql("SELECT max(inchi) AS inchi FROM activity").first()["inchi"]
+    strong = spark.sql("""SELECT 'categories' AS asked, s.source, p.title AS name, c.category, round(b.strength, 6) AS number
+        FROM property p JOIN property_category b ON p.property_id = b.property_id JOIN category c ON b.category_id = c.category_id
+        JOIN source s ON p.source_id = s.source_id WHERE b.strength > 8""")
+    values = spark.sql("SELECT 'values' AS asked, source, CAST(property_token AS STRING) AS name, category, round(strength * 10 + value, 6) AS number "
+                       "FROM known_values(:asked)", args={"asked": top})
+    counts = spark.sql("""SELECT 'counts' AS asked, s.source, value_code(a.binary_value) AS name, '' AS category, CAST(count(*) AS DOUBLE) AS number
+        FROM activity a JOIN source s ON a.source_id = s.source_id GROUP BY s.source, a.binary_value""")
+    return union_all([strong, values, counts])
+
+
 @query("known_or_unknown", """select distinct 'F' || p_partkey // 16 as name, p_partkey % (select count(*) from supplier) + 1 as property_id,
     case value when 1 then 'positive' when 0 then 'negative' else 'unknown' end as known
     from part left join FAM on sid = 'F' || p_partkey // 16 and assay = p_partkey % (select count(*) from supplier) + 1""")

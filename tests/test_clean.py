@@ -72,3 +72,14 @@ def test_novelty_and_rates(spark):
 def test_a_newline_at_the_end_is_no_valid_character(spark):
     df = spark.createDataFrame([("abc",), ("abc\n",), ("ab c",), ("",)], "t string")
     assert [r["t"] for r in clean.validity_filter(df, "t", "a-z").collect()] == ["abc"]
+
+
+def test_each_text_is_parsed_once(spark):
+    """Malformed texts, JSON nulls, keys with spaces, numbers and nested values."""
+    texts = ['{"a b": "x", "n": 1}', '{"a b": null, "n": 2.5}', '{"n": true}', "{broken", "", None, "null", "[1]", '{"o": {"a b": "y"}, "n": {"k": 1}}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, data string")
+    got = clean.json_coalesce(df, "data", {"x": ["$.a b", "$.o.a b"], "n": ["$.n"]})
+    assert [(r["x"], r["n"]) for r in got.orderBy("i").collect()] == [
+        ("x", "1"), (None, "2.5"), (None, "true"), *[(None, None)] * 5, ("y", '{"k":1}')]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parse_json") + plan.count("parsejson") <= 2
