@@ -28,7 +28,8 @@ def odd_tables(spark, tmp_path_factory):
 
 
 ROWS = {"op1_suffix_tree_scores": 7, "op2_latent_decontamination": 0, "op4_chosen_path_join": 7, "op5_chat_formatting": 3,
-        "op6_compression_quality": 7, "op7_pu_toxicity": 7, "op8_secret_scan": 7, "op9_exact_dedup": 7, "op10_rendezvous_sharding": 7}
+        "op6_compression_quality": 7, "op7_pu_toxicity": 7, "op8_secret_scan": 7, "op9_exact_dedup": 7, "op10_rendezvous_sharding": 7, "op11_spelling_variants": 3,
+        "op12_phrase_collocations": 5, "op13_byte_pair_trie": 7}
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
