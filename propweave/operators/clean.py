@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from propweave.operators.ordering import first_row
+from propweave.operators.ordering import first_row, union_all
 
 
 def _variant_path(path: str) -> str:
@@ -128,12 +128,14 @@ def _digest(col: str) -> list[Column]:
 def novel_items(made: DataFrame, known: list[DataFrame], col: str) -> DataFrame:
     """Distinct made items that occur in none of the known tables.
 
-    Copies are reduced to one key before the join on both sides, on the map side first.
+    Copies are reduced to one key before the join on both sides, on the map side first; the
+    known tables are one side of one join.
     """
     keys = ["_md5", "_xx"]
     items = made.groupBy(*_digest(col)).agg(F.min(col).alias(col))
-    for table in known:
-        items = items.join(table.select(*_digest(col)).distinct(), keys, "left_anti")
+    if known:
+        seen = union_all([table.select(*_digest(col)) for table in known]).distinct()
+        items = items.join(seen, keys, "left_anti")
     return items.drop(*keys)
 
 
