@@ -7,20 +7,32 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from propweave.operators.ordering import bucket_of, order_cuts
+from propweave.operators.ordering import SAMPLE, bucket_of
 from propweave.sources.scratch import scratch_path
 
 #: Ranges that each column of a Z-order is cut into, as a power of two.
 BITS = 6
 
 
+def _cuts(df: DataFrame, column: str, ranges: int) -> list[tuple]:
+    """Cut points between ``ranges`` ranges of about equally many rows, from a bounded sample; a small table has them too."""
+    sample = df.select(column).dropna().orderBy(F.rand(17)).limit(SAMPLE).collect()
+    values = sorted(tuple(r) for r in sample)
+    step = max(1, len(values) // ranges)
+    return [v for v in dict.fromkeys(values[step::step]) if v != values[0]][: ranges - 1]
+
+
 def z_key(df: DataFrame, columns: list[str], bits: int = BITS) -> Column:
     """The bits of the columns' ranges in turn, the first column's highest bit first.
 
     The ranges are those of a bounded sample and hold about equally many rows each, so skewed
     values do not crowd one end. Rows close in every column are close in the key.
     """
-    ranges = [bucket_of(df, [c], order_cuts(df, [c], 1 << bits)) for c in columns]
+    ranges = []
+    for c in columns:
+        cuts = _cuts(df, c, 1 << bits)
+        # few ranges use the highest bits, so that each column weighs alike
+        ranges.append(F.shiftleft(bucket_of(df, [c], cuts), bits - max(len(cuts).bit_length(), 1)))
     taken = [F.shiftleft(F.shiftright(r, bits - 1 - b).bitwiseAND(F.lit(1)).cast("bigint"), len(columns) * (bits - 1 - b) + len(columns) - 1 - i)
              for b in range(bits) for i, r in enumerate(ranges)]
     return reduce(lambda a, b: a.bitwiseOR(b), taken)
