@@ -84,14 +84,13 @@ def count_words(texts: DataFrame, seed: int) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = NamedCounts()
 
-        def rows(found, t=None):
-            for keys, n, word, at in found:
-                lang = pa.nulls(len(keys), pa.string()) if at is None else pa.array(t.langs, pa.string()).take(pa.array(t.lang[at]))
-                word = pa.nulls(len(keys), pa.string()) if word is None else word
+        def rows(found):
+            for keys, n, word, lang in found:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), lang, word, pa.array(n)], names=["w1", "lang", "word", "n"])
 
         for t in texts_of(batches, seed):
-            yield from rows(counts.add(t.hash, t.words.start, t.words.end, t.words.data), t)
+            langs = pa.array(t.langs, pa.string())
+            yield from rows(counts.add(t.hash, t.words.start, t.words.end, t.words.data, lambda at: langs.take(pa.array(t.lang[at]))))
         yield from rows(counts.take())
 
     return texts.mapInArrow(apply, "w1 bigint, lang string, word string, n bigint").groupBy("w1").agg(

@@ -104,21 +104,22 @@ class Partial:
 
 
 class NamedCounts:
-    """Counts of words by hash, each with its spelling the first time it is met, in bounded memory."""
+    """Counts of words by hash, each with its spelling where it was first met, in bounded memory."""
 
     def __init__(self, most: int = HELD_WORDS):
         self.most, self.told = most, set()
+        self.names: list[tuple[np.ndarray, pa.Array, pa.Array | None]] = []
         self.pending: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting = 0
 
-    def add(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> Iterator[tuple]:
-        """(hashes, counts, spellings or None, place of each word's first occurrence or None)."""
+    def add(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray, tag=None) -> Iterator[tuple]:
+        """(hashes, counts, spellings, tags) now and then; ``tag`` gives an array for places among the words."""
         own, at, n = np.unique(hashes, return_index=True, return_counts=True)
         told = self.told
         new = np.array([k for k, h in enumerate(own.tolist()) if h not in told], dtype=np.int64)
         if len(new):
             told.update(own[new].tolist())
-            yield own[new], np.zeros(len(new), np.int64), spellings(start[at[new]], end[at[new]], data), at[new]
+            self.names.append((own[new], spellings(start[at[new]], end[at[new]], data), tag(at[new]) if tag else None))
         self.pending.append((own, n))
         self.waiting += len(own)
         if self.waiting >= BATCH:
@@ -135,10 +136,14 @@ class NamedCounts:
         self.waiting = len(first)
 
     def take(self) -> Iterator[tuple]:
-        if self.pending:
+        if self.names:
             self._merge()
-            yield *self.pending[0], None, None
-        self.pending, self.waiting = [], 0
+            keys, n = self.pending[0]
+            order = np.argsort(np.concatenate([k for k, _, _ in self.names]))  # every key has one name
+            words = pa.concat_arrays([w for _, w, _ in self.names]).take(pa.array(order))
+            tags = None if self.names[0][2] is None else pa.concat_arrays([t for _, _, t in self.names]).take(pa.array(order))
+            yield keys, n, words, tags
+        self.pending, self.names, self.waiting = [], [], 0
         self.told.clear()
 
 
