@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from propweave.llm.bytetext import mix
 
 #: Occurrences sorted at once in a task, distinct ones held, and distinct words held before they are handed on.
-BATCH, HELD, HELD_WORDS = 1 << 21, 3 << 20, 1 << 18
+BATCH, HELD, HELD_WORDS = 1 << 20, 1 << 20, 1 << 18
 
 
 def _rolled(columns: list[np.ndarray]) -> np.ndarray:
