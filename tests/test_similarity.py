@@ -128,3 +128,11 @@ def test_lsh_recall(spark, emb, vecs):
     found = s.knn_lsh(unit, unit, 4, exclude_self=True)
     assert s.recall(found, exact).first()["recall"] >= 0.9
     assert s.recall(s.knn_lsh(unit, unit, 4, tables=1, bits=8, exclude_self=True), exact).first()["recall"] < 0.9
+
+
+def test_blocks_with_pivot_cells(spark, emb, vecs):
+    """A block column that is worked out, and more than one pivot cell, with a bound and without."""
+    told = emb.select("id", "vec", "value", (s.F.col("id") % 3).alias("block"))
+    for bound in (None, 0.5):
+        got = s.neighbours(told, told, 3, bound=bound, block="block", exclude_self=True, cells=4)
+        assert rows(got.select("qid", "cid", "rank")) == brute(vecs, 3, "ip", bound, block=3)
