@@ -136,3 +136,42 @@ def test_blocks_with_pivot_cells(spark, emb, vecs):
     for bound in (None, 0.5):
         got = s.neighbours(told, told, 3, bound=bound, block="block", exclude_self=True, cells=4)
         assert rows(got.select("qid", "cid", "rank")) == brute(vecs, 3, "ip", bound, block=3)
+
+
+def test_a_large_side_is_sent_a_fixed_number_of_times(spark):
+    import pandas as pd
+
+    def kernel(key, lp, rp):
+        return pd.DataFrame({"n": [len(lp)], "m": [len(rp)]})
+    side = spark.range(4000).withColumn("_cell", s.F.lit(""))
+    got = s.block_join(side, side, kernel, "n bigint, m bigint", rows=16, most=1000).collect()
+    assert sum(r["n"] * r["m"] for r in got) == 4000 * 4000
+    assert sum(r["n"] + r["m"] for r in got) <= 2 * 4000 * s.CHUNKS
+    bounded = s.block_join(side, side, kernel, "n bigint, m bigint", rows=16, most=100).collect()
+    assert max(r["n"] for r in bounded) < 200 and sum(r["n"] * r["m"] for r in bounded) == 4000 * 4000
+
+
+def test_a_chunk_of_many_steps(spark, emb, vecs, monkeypatch):
+    q = np.arange(len(vecs))
+    for step in (7, 32):
+        monkeypatch.setattr(s, "ROWS_PER_CHUNK", step)
+        for metric, bound in (("ip", None), ("ip", 2.0), ("l2", None), ("l2", 1.5)):
+            row, col, _ = s._k_best(vecs, vecs, q, q, 4, metric, bound, True)
+            place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+            assert sorted(zip(row.tolist(), col.tolist(), (place + 1).tolist())) == brute(vecs, 4, metric, bound)
+
+
+def test_diversity_counts_every_pair_over_several_chunks(spark):
+    import random
+
+    rnd = random.Random(8)
+    sets = [tuple(sorted(rnd.sample(range(60), rnd.randint(1, 40)))) for _ in range(90)] + [(1, 2, 3)] * 4
+    df = spark.createDataFrame([(i, list(b)) for i, b in enumerate(sets)], "doc bigint, bits array<int>")
+    got = {r["bin"]: r["n_pairs"] for r in s.tanimoto_diversity(df, "doc", n_bits=60).collect()}
+    want = {}
+    for i in range(len(sets)):
+        for j in range(i):
+            a, b = set(sets[i]), set(sets[j])
+            at = min(int(round(len(a & b) / len(a | b), 6) * 20 + 1e-9), 19)
+            want[at] = want.get(at, 0) + 1
+    assert got == want
