@@ -148,7 +148,7 @@ def _(t):
     greatest(120 + na, len(list_concat(list_filter(encoded, lambda x: x <> 0), assay_vals))), 0), ' ') as ids from EX, META""")
 def _(t):
     df = t.nest.join(t.enc.select("sid", "encoded"), "sid")
-    return dataset.encode_joint(df, t.meta).select("sid", text("joint").alias("ids"))
+    return dataset.joint_text(df, t.meta, "ids").select("sid", "ids")
 
 
 @query("pad_to_max", f"select sid, {spaced('list_resize(assay_vals, (select max(len(assay_vals)) from TOK), 0)')} as ids from TOK")
