@@ -154,3 +154,15 @@ def test_other_values_are_refused(spark):
     df = spark.createDataFrame([(1, 1, 2), (1, 2, 0)], "sid bigint, assay bigint, value int")
     with pytest.raises(Exception, match="must be 0 or 1"):
         f.pair_counts(df).collect()
+
+
+def test_a_choice_without_its_target_is_the_draw(spark):
+    """Targets inside and outside a draw, a NULL property and a NULL target."""
+    known = spark.createDataFrame([("a", p, p % 2) for p in range(8)] + [("a", None, 1), ("b", 1, 1)], "sid string, assay bigint, value int")
+    asked = spark.createDataFrame([("a", t) for t in range(10)] + [("a", None), ("b", 1), ("c", 1)], "sid string, target bigint")
+    draws = {r["sid"]: r["draws"] for r in s.drawn_orders(known, 4, 5).collect()}
+    out = s.random_contexts(asked, known, 3, 5, distinct=False).collect()
+    for sid, target in {(r["sid"], r["target"]) for r in out}:
+        got = [[tuple(p) for p in r["pairs"]] for r in sorted(out, key=lambda r: r["ctx"]) if (r["sid"], r["target"]) == (sid, target)]
+        left = [sorted([tuple(p) for p in d if target is not None and p["assay_index"] not in (None, target)][:3]) for d in draws.get(sid, [])]
+        assert got == ([c for c in left if c] or [[]])
