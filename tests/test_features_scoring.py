@@ -166,3 +166,34 @@ def test_a_choice_without_its_target_is_the_draw(spark):
         got = [[tuple(p) for p in r["pairs"]] for r in sorted(out, key=lambda r: r["ctx"]) if (r["sid"], r["target"]) == (sid, target)]
         left = [sorted([tuple(p) for p in d if target is not None and p["assay_index"] not in (None, target)][:3]) for d in draws.get(sid, [])]
         assert got == ([c for c in left if c] or [[]])
+
+
+def test_pair_counts_of_two_buckets_stay_in_one_task(spark, cons):
+    """The counts are complete where they are made: the aggregate needs no shuffle by property pair."""
+    plan = f.pair_counts(cons)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(x#" not in plan.replace("hashpartitioning(bx", "")
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_pair_counts_of_lists_longer_than_a_block(spark):
+    rows_ = [(sid, a, (sid * a) % 2) for sid in range(3) for a in range(700)]
+    got = {(r["x"], r["y"]): [r[c] for c in f.CELLS] for r in
+           f.pair_counts(spark.createDataFrame(rows_, "sid int, assay int, value int")).filter("x < 40 and y % 50 = 7").collect()}
+    assert len(got) == 40 * 14
+    for (x, y), cells in got.items():
+        want = [0] * 4
+        for sid in range(3):
+            want[(sid * x) % 2 * 2 + (sid * y) % 2] += 1
+        assert cells == want
+
+
+def test_joint_text_is_the_joint_ids(spark):
+    from propweave.operators import dataset, vocab
+
+    df = spark.createDataFrame([(1, [1, 5, 2, 0], [(0, 1), (2, 0)]), (2, [1, 2], [(1, 1)] * 9), (3, [0, 0], []), (4, None, [(0, 0)])],
+                               "sid int, encoded array<bigint>, assay_val_pairs array<struct<assay_index:bigint, value:int>>")
+    meta = vocab.id_space(6, 3, 2)
+    ids = {r["sid"]: r["joint"] for r in dataset.encode_joint(df, meta).collect()}
+    for r in dataset.joint_text(df, meta).collect():
+        assert r["joint"] == (None if ids[r["sid"]] is None else " ".join(map(str, ids[r["sid"]])))
+    assert "array_repeat" not in dataset.joint_text(df, meta)._jdf.queryExecution().optimizedPlan().toString()
