@@ -197,3 +197,25 @@ def test_joint_text_is_the_joint_ids(spark):
     for r in dataset.joint_text(df, meta).collect():
         assert r["joint"] == (None if ids[r["sid"]] is None else " ".join(map(str, ids[r["sid"]])))
     assert "array_repeat" not in dataset.joint_text(df, meta)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_predictions_equal_the_steps_one_after_the_other(spark, distinct, monkeypatch):
+    """Scored in blocks as from rows of contexts: small substances, one without values, one unknown, a NULL property."""
+    import random
+
+    rnd = random.Random(3)
+    known = [(f"s{i}", a, rnd.randint(0, 1)) for i in range(60) for a in range(9) if rnd.random() < 0.1 + i % 5 / 5] + [("s3", None, 1)]
+    known = spark.createDataFrame(known, "sid string, assay bigint, value int")
+    cond, prior = f.conditional_table(known, min_count=3), f.priors(known)
+    asked = spark.createDataFrame([(f"s{i}", t) for i in range(62) for t in range(9)] + [(None, 1), ("s1", 77)], "sid string, target bigint")
+    want = s.ensemble_mean(s.score_contexts(s.random_contexts(asked, known, 3, 6, distinct=distinct), cond, prior)).collect()
+    monkeypatch.setattr(s, "REQUESTS_AT_ONCE", 5)
+    out = s.predict_property(asked, known, cond, prior, 3, 6, distinct=distinct)
+    got = {(r["sid"], r["target"]): (r["prob"], r["n_contexts"]) for r in out.collect()}
+    assert len(got) == len(want) > 500
+    for r in want:
+        prob, n = got[r["sid"], r["target"]]
+        assert prob == pytest.approx(r["prob"], abs=1e-12) and n == r["n_contexts"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ctx#" not in plan  # contexts are no rows
