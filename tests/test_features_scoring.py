@@ -219,3 +219,17 @@ def test_predictions_equal_the_steps_one_after_the_other(spark, distinct, monkey
         assert prob == pytest.approx(r["prob"], abs=1e-12) and n == r["n_contexts"]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "ctx#" not in plan  # contexts are no rows
+
+
+def test_candidate_grid_holds_every_family(spark, tmp_path):
+    """Families without a part of size 1 are candidates too."""
+    from propweave.plans import q_tables  # noqa: F401
+    from propweave.plans.registry import QUERIES
+
+    tables = {"lineitem": ("l_partkey bigint, l_suppkey bigint, l_returnflag string, l_quantity double", [(p, 1, "R", 1.0) for p in (3, 20, 40)]),
+              "part": ("p_partkey bigint, p_size int", [(3, 1), (20, 5), (40, 7)]),
+              "supplier": ("s_suppkey bigint, s_name string, s_nationkey int", [(1, "x", 0), (2, "y", 1)])}
+    for name, (schema, data) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {tuple(r) for r in QUERIES["candidate_x_property"](spark, str(tmp_path)).select("name", "property_id").collect()}
+    assert got == {(f"F{i}", p) for i in range(3) for p in (1, 2)}
