@@ -2,9 +2,9 @@
 
 Every run of 32 words, in steps of 16, is a passage. Its TF-IDF vector over the content
 words of the benchmark is projected on the leading right singular vectors of the passage
-matrix, scaled by the singular values. Those come from a randomised SVD: the matrix product
-A' (A Q) is a sum over passages, so each task adds up its own and the parts are summed in a
-tree. The items are rows of the matrix too, weighing as much as all passages together, or
+matrix, scaled by the singular values. Those come from a randomised SVD: A' A is a sum
+over passages, so each task adds up the pairs of words of its own, the parts are summed by
+pair, and the products (A' A) Q are taken from the sums. The items are rows of the matrix too, weighing as much as all passages together, or
 the few directions kept would be those of the corpus's commonest words. A passage near
 a benchmark item is a candidate; around it, the longest common subsequence with the item's
 content words and the presence of the answer (the last quarter of the item) decide.
@@ -13,8 +13,7 @@ The benchmark may grow. Its items are sparse rows, summed by tasks like the pass
 the vocabulary is large, the sums are taken some columns at a time. The driver holds the
 items' word numbers and latent vectors and the vocabulary's singular vectors; the tasks get
 the vocabulary and BLOCK_ITEMS items at a time, and each block is searched in all documents.
-Document counts cover all documents; the SVD is fitted on at most FIT_PASSAGES of them,
-drawn by a hash; every passage is searched.
+Document counts, the SVD and the search cover all passages of all documents.
 """
 
 from __future__ import annotations
@@ -30,20 +29,20 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from propweave.llm.bytetext import Words, pieces
-from propweave.llm.tables import fresh
+from propweave.llm.tables import fresh, tree_sum
 from propweave.sources.scratch import materialise
 
 STEP = 16  # words; a passage is two steps
 RANK, OVERSAMPLE, POWER = 128, 16, 2
-FIT_PASSAGES = 200_000
 #: A word of more than this share of the distinct items, and of more than so many, is no content word. An item with
 #: fewer content words than LEAST_WORDS is known by all its words, of which the last number is the least share in order.
 STOP_SHARE, STOP_LEAST, LEAST_WORDS, STRICT = 0.1, 10, 5, 0.9
 #: Least cosine of a candidate, least shares of an item's content words and of its answer's, in order.
 COSINE, LCS, ANSWER = 0.65, 0.6, 0.5
 ANSWER_PART = 0.25
-#: Items searched in one pass over the documents, items multiplied with passages at once, numbers a task sums up at once.
-BLOCK_ITEMS, BLOCK_COSINES, SUM_NUMBERS = 1 << 16, 1024, 1 << 24
+#: Items searched in one pass over the documents, items multiplied with passages at once, numbers a task sums up at once,
+#: pairs of words that a task holds before it passes them on.
+BLOCK_ITEMS, BLOCK_COSINES, SUM_NUMBERS, HELD_PAIRS = 1 << 16, 1024, 1 << 24, 1 << 21
 
 
 
@@ -153,6 +152,102 @@ def passage_sums(ids: np.ndarray, step: np.ndarray, step_at: np.ndarray, rows: n
     return out
 
 
+def passage_pairs(ids: np.ndarray, step: np.ndarray, step_at: np.ndarray, square: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(smaller number, larger number, weight) of all two content words of a passage, weighing 1 / squared length of the passage.
+
+    Two words of one step meet in two passages, two of neighbouring steps in one; unlike ones are
+    told once, for both orders.
+    """
+    # length by the words' squares: repeats inside a passage are rare
+    alone = 1 / np.maximum(passage_sums(ids, step, step_at, square[:, None])[:, 0], 1e-6)
+    begins = np.zeros(len(alone) + 1, bool)
+    begins[step_at] = True
+    both = alone.copy()
+    both[1:][~begins[1:-1]] += alone[:-1][~begins[1:-1]]
+    at, lag = np.arange(len(ids)), 0
+    while len(at):
+        a, b = step[at], step[at + lag]
+        i, j = ids[at], ids[at + lag]
+        weight = np.where(a == b, both[a], alone[a])
+        yield np.minimum(i, j), np.maximum(i, j), np.where(i == j, 2 * weight, weight) if lag else weight
+        lag += 1
+        at = at[at + lag < len(ids)]
+        a, b = step[at], step[at + lag]
+        at = at[(a == b) | ((b == a + 1) & ~begins[b])]
+
+
+class PairSums:
+    """Sums by pair of ``n`` words: all of a task at once where they are few, else passed on before they are too many.
+
+    A pair leaves as the smaller number times ``n`` plus the larger.
+    """
+
+    def __init__(self, n: int):
+        self.n, small = n, np.arange(n + 1)
+        self.rows = small * n - small * (small - 1) // 2  # the table holds the upper triangle
+        self.table = np.zeros(self.rows[n]) if self.rows[n] <= SUM_NUMBERS else None
+        self.held, self.size = [], 0
+
+    def add(self, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.table is not None:
+            np.add.at(self.table, self.rows[i] + j - i, weight)
+            return
+        self.held.append((i * self.n + j, weight))
+        self.size += len(i)
+        if self.size >= HELD_PAIRS:
+            yield from self.take()
+
+    def take(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.table is not None:
+            cell = np.flatnonzero(self.table)
+            i = np.searchsorted(self.rows, cell, side="right") - 1
+            pair, total = i * self.n + cell - self.rows[i] + i, self.table[cell]
+        elif self.held:
+            pair, which = np.unique(np.concatenate([p for p, _ in self.held]), return_inverse=True)
+            total = np.bincount(which, np.concatenate([w for _, w in self.held]))
+            self.held, self.size = [], 0
+        else:
+            return
+        for at in range(0, len(pair), 1 << 17):
+            yield pair[at : at + (1 << 17)], total[at : at + (1 << 17)]
+
+
+def word_pairs(docs: DataFrame, index: Index) -> DataFrame:
+    """(pair, weight): the sums of ``passage_pairs`` over all passages of the column ``text``."""
+    n, square = len(index.words), index.idf.astype(float) ** 2
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = PairSums(n)
+
+        def rows(found):
+            for pair, weight in found:
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(weight)], names=["pair", "weight"])
+
+        for b in batches:
+            for _, data, at in pieces(b):
+                ids, _, _, step, step_at = steps_of(index, data, at)
+                for met in passage_pairs(ids, step, step_at, square):
+                    yield from rows(sums.add(*met))
+        yield from rows(sums.take())
+
+    # a task's sums are as many however much it reads: no more tasks than can run at once
+    texts = docs.select("text").coalesce(docs.sparkSession.sparkContext.defaultParallelism)
+    return texts.mapInArrow(apply, "pair bigint, weight double").groupBy("pair").agg(F.sum("weight").alias("weight"))
+
+
+def pair_products(out: np.ndarray, pair: np.ndarray, weight: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Adds the symmetric matrix of the pairs' weights times ``rows``."""
+    i, j = pair // len(rows), pair % len(rows)
+    other = i != j
+    for to, of, w in ((i, j, weight), (j[other], i[other], weight[other])):
+        order = np.argsort(to, kind="stable")
+        to = to[order]
+        if len(to):
+            first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+            out[to[first]] += np.add.reduceat(w[order][:, None] * rows[of[order]], first)
+    return out
+
+
 def item_rows(idf: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, word, weight) of items given by their content words: TF-IDF, each row of length 1."""
     n = len(idf)
@@ -182,23 +277,12 @@ def item_products(idf: np.ndarray, ids: np.ndarray, at: np.ndarray, q: np.ndarra
     return out
 
 
-def _tree_sum(docs: DataFrame, part, shape: tuple[int, ...]) -> np.ndarray:
-    """Sum over all tasks of the float64 array that ``part`` makes of a task's batches."""
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
-        for b in batches:
-            for _, data, at in pieces(b):
-                total += part(data, at)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([total.tobytes()], pa.binary())})
-
-    parts = docs.mapInArrow(apply, "part binary").rdd.map(lambda r: np.frombuffer(bytes(r["part"])))
-    if parts.getNumPartitions() == 0:
-        return np.zeros(shape)
-    return parts.treeReduce(lambda a, b: a + b, 3).reshape(shape)
+def _pairs(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    pair, weight = b.column("pair").to_numpy(), b.column("weight").to_numpy()
+    return ((pair[i : i + 2048], weight[i : i + 2048]) for i in range(0, len(pair), 2048))
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text", key: str = "doc_id",
-        fit_passages: int = FIT_PASSAGES) -> Index:
+def fit(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text") -> Index:
     """Vocabulary, IDF over all passages, singular vectors and item vectors.
 
     Null and empty items match nothing; ids may be of any type, and null ids are no items.
@@ -208,57 +292,42 @@ def fit(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str
     index = vocabulary(sorted((r["id"], r["text"]) for r in bench.collect()))
     index.kind = bench.schema["id"].dataType
     n = len(index.words)
-    body = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    body = docs.select(F.col(text).alias("text"))
     if not n:
         return index
 
     bare = replace(index, items=[], ids=index.ids[:0], spread=index.spread[:0], strict=index.strict[:0])  # what the tasks need for the sums
 
-    def counted(data, at):
+    def counted(total, data, at):
         ids, _, _, step, step_at = steps_of(bare, data, at)
         pair = np.unique(step * n + ids)
-        return np.append(np.bincount(pair % n, minlength=n), step_at[-1]).astype(float)
+        total += np.append(np.bincount(pair % n, minlength=n), step_at[-1])
 
-    df = _tree_sum(body.select("text"), counted, (n + 1,))
+    df = tree_sum(body, counted, (n + 1,))
     passages = max(df[n], 1.0)
     bare.idf = index.idf = np.log((passages + 1) / (df[:n] + 1)).astype(np.float32)
-    share = min(1.0, fit_passages / passages)
-    drawn = materialise(body.filter(F.pmod(F.xxhash64(F.lit(2), "key"), F.lit(1 << 30)) < int(share * (1 << 30))), "svd-rows")
+    at_once = docs.sparkSession.sparkContext.defaultParallelism  # each task returns a matrix
+    met = materialise(word_pairs(body, bare), "svd-pairs").coalesce(at_once)
     width = min(RANK + OVERSAMPLE, n)
-    weight = max(1.0, min(passages, fit_passages) / max(len(index.items), 1))  # items weigh like the passages together
+    weight = max(1.0, passages / max(len(index.items), 1))  # items weigh like the passages together
 
     def gram(q: np.ndarray) -> np.ndarray:
         some = max(1, SUM_NUMBERS // n)
         return np.concatenate([columns(q[:, c : c + some]) for c in range(0, q.shape[1], some)], axis=1)
 
     def columns(q: np.ndarray) -> np.ndarray:
-        """A' (A q) over the drawn passages, each scaled to length 1, and the items."""
-        rows32 = (bare.idf[:, None] * q).astype(np.float32)
-        square = (bare.idf[:, None] ** 2).astype(np.float32)
-
-        def part(data, at):
-            ids, _, _, step, step_at = steps_of(bare, data, at)
-            y = passage_sums(ids, step, step_at, rows32)
-            # length by the words' squares: repeats inside a passage are rare
-            y /= np.maximum(passage_sums(ids, step, step_at, square), 1e-6)
-            out = np.zeros((n, q.shape[1]))
-            before = np.maximum(step - 1, 0)
-            same = np.flatnonzero(step > step_at[np.searchsorted(step_at, step, side="right") - 1])
-            order = np.argsort(ids, kind="stable")
-            both = y[step]
-            both[same] += y[before[same]]
-            both *= bare.idf[ids][:, None]
-            first = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) > 0])) if len(ids) else np.zeros(0, int)
-            if len(first):
-                out[ids[order][first]] = np.add.reduceat(both[order], first)
-            return out
+        """A' (A q) over all passages, each scaled to length 1, and the items."""
+        scaled = bare.idf[:, None] * q
+
+        def part(total, pair, weight):
+            pair_products(total, pair, weight, scaled)
 
-        def of_items(data, at):
+        def of_items(total, data, at):
             ids, _, word_at, _, _ = steps_of(bare, data, at)
-            return item_products(bare.idf, ids, word_at, q, True)
+            total += item_products(bare.idf, ids, word_at, q, True)
 
         shape = (n, q.shape[1])
-        return _tree_sum(drawn.select("text"), part, shape) + weight * _tree_sum(bench.select("text"), of_items, shape)
+        return bare.idf[:, None] * tree_sum(met, part, shape, _pairs) + weight * tree_sum(bench.select("text"), of_items, shape)
 
     q = np.linalg.qr(np.random.default_rng(2).standard_normal((n, width)))[0]
     for _ in range(POWER):

@@ -259,6 +259,33 @@ def test_lcs_by_bits():
         assert decontaminate.lcs_length(decontaminate._masks(a), len(a), b) == row[-1]
 
 
+def test_word_pairs_cover_every_passage(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = ["", None, "b", *(" ".join(rng.choice("abcdexyz") for _ in range(rng.randrange(1, 120))) for _ in range(40))]
+    index = decontaminate.vocabulary([(1, "a b c d e")])
+    index.idf = np.arange(1, 6, dtype=np.float32)
+    number = {w: int(decontaminate.lookup(index.words, decontaminate.words_of([w])[0])[0][0]) for w in "abcde"}
+    want = np.zeros((5, 5))
+    for words in ((t or "").split() for t in texts):
+        for a in range(0, len(words), decontaminate.STEP):
+            seen = [number[w] for w in words[a : a + 2 * decontaminate.STEP] if w in number]
+            n = np.bincount(seen, minlength=5)
+            if len(seen):
+                want += np.outer(n, n) / (n @ index.idf.astype(float) ** 2)
+    rows = decontaminate.word_pairs(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), index).collect()
+    pair, weight = np.array([r["pair"] for r in rows]), np.array([r["weight"] for r in rows])
+    assert np.allclose(decontaminate.pair_products(np.zeros((5, 5)), pair, weight, np.eye(5)), want)
+    # for many words the sums are passed on in parts
+    monkeypatch.setattr(decontaminate, "SUM_NUMBERS", 4)
+    monkeypatch.setattr(decontaminate, "HELD_PAIRS", 50)
+    i, j = np.triu_indices(5)
+    sums = decontaminate.PairSums(5)
+    parts = [p for _ in range(9) for p in sums.add(i, j, i + 10.0 * j)] + list(sums.take())
+    pair, weight = (np.concatenate(x) for x in zip(*parts))
+    assert len(parts) > 1
+    assert np.allclose(decontaminate.pair_products(np.zeros((5, 5)), pair, weight, np.eye(5)), 9 * (np.minimum.outer(range(5), range(5)) + 10.0 * np.maximum.outer(range(5), range(5))))
+
+
 def test_singular_vectors_are_those_of_the_matrix(spark, bench):
     """The randomised basis holds as much of the matrix as numpy's."""
     rng = random.Random(11)
