@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from propweave.llm import bytetext, quality, toxicity
 
@@ -47,6 +48,19 @@ def test_quality_without_examples(spark, labelled):
     assert quality.score(some.limit(0), quality.fit(some.limit(0), labels)).count() == 0
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """More text than one dictionary is built from at once: all of it counts, in dictionaries and calibration."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"{'bad' if i % 2 else 'good'}{rng.randrange(300)}" for _ in range(200)), i % 2) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    model = quality.fit(d, d.select("doc_id", (1 - F.col("label")).alias("label")), budget=10_000)
+    at = {r["doc_id"]: r["score"] for r in quality.score(d, model).collect()}
+    assert all((at[i] >= 0.5) == (label == 0) for i, _, label in rows)
+    # a draw's end and no bound in bytes: the share counts all 400 rows, and a text beyond the budget builds as well
+    assert model.share == 201 / 402
+    assert quality.fit(d.filter("doc_id < 8"), d.filter("doc_id < 8").select("doc_id", "label"), budget=10).sizes is not None
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(2)
     rows = []
