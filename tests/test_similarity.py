@@ -82,6 +82,18 @@ def test_fingerprint_and_tanimoto(spark):
     assert n == 5 and mean == pytest.approx(sum(pairs) / 10)
 
 
+def test_entries_cross_the_shuffle_in_lists(spark):
+    rnd = __import__("random").Random(6)
+    sets = {f"d{i}": sorted(rnd.sample(range(300), rnd.randint(0, 40))) for i in range(50)}
+    df = spark.createDataFrame([*sets.items(), ("none", None)], "id string, bits array<bigint>")
+    packed = s.dealt_entries(df.coalesce(1), "id", "bits", 8)
+    assert packed.count() == 8 and packed.selectExpr("sum(size(entries))").first()[0] == sum(map(len, sets.values()))
+    n = __import__("collections").Counter(b for x in sets.values() for b in x)
+    want = {(i, b, n[b]) for i, x in sets.items() for b in x if n[b] > 1}
+    got = [tuple(r) for r in s.shared_entries(df).select("id", "bit", "often").collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_unrelated_long_texts_share_nothing(spark):
     import random
 
