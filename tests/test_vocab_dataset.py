@@ -39,6 +39,14 @@ def test_equal_keys_and_nulls_at_any_vocabulary_size(spark, extra):
     assert {len(r["c"]) if r["c"] else None for r in chars.collect()} == {130, None}
 
 
+def test_char_encode_encodes_rows_where_they_are(spark):
+    df = spark.createDataFrame([(1, "ab\U0001F600"), (2, None), (3, ""), (4, "bxa")], "sid int, s string")
+    voc = spark.createDataFrame([(" ", 0), ("a", 1), ("b", 2), ("\U0001F600", 7), ("ab", 9)], "symbol string, index bigint")
+    out = v.char_encode(df, voc, "s", "c", 4)
+    assert {r["sid"]: r["c"] for r in out.collect()} == {1: [1, 2, 7, 0], 2: None, 3: [0] * 4, 4: [2, None, 1, 0]}
+    assert "Exchange" not in out._jdf.queryExecution().toString()  # no row is taken apart and put together again
+
+
 def test_id_space_is_stored(spark, tmp_path):
     meta = v.id_space(10, 5, 2)
     assert v.read_id_space(spark, v.write_id_space(spark, meta, str(tmp_path / "m"))) == meta
