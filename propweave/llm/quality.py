@@ -146,6 +146,11 @@ class Model:
         return lambda texts: 1 / (1 + np.exp(-np.clip(features(texts, compressors) @ self.weights, -30, 30)))
 
 
+def labelled(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text, label), each once. Labels grow like the documents, so both are dealt by key at every size."""
+    return docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).join(known.hint("merge"), key).distinct()
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label",
         rows: int | None = None, budget: int = GROUP_BYTES) -> Model:
     """Fit on all labelled documents, or on those of ``rows`` keys of each class, drawn by a hash of the key.
@@ -159,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         drawn = [smallest_hashes(known.filter(F.col("label") == c), key, rows, 6).withColumn("label", F.lit(c)) for c in (0, 1)]
         known = drawn[0].unionByName(drawn[1])
     h = F.xxhash64(F.lit(6), F.col(key))
-    found = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).join(known, key).distinct()
+    found = labelled(docs, known, key, text)
     found = found.select("label", F.pmod(h, F.lit(2)).alias("use"), h.alias("h"), "text")
     of = lambda c, u: (F.col("label") == c) & (F.col("use") == u)
     also = {f"n{c}{u}": F.count(F.when(of(c, u), 1)) for c in (0, 1) for u in (0, 1)}

@@ -48,6 +48,14 @@ def test_quality_without_examples(spark, labelled):
     assert quality.score(some.limit(0), quality.fit(some.limit(0), labels)).count() == 0
 
 
+def test_labels_are_never_broadcast(spark, labelled):
+    rows, labels = labelled
+    found = quality.labelled(docs(spark, [*rows, (5, rows[5][1]), (None, "x"), (7, None)]), labels.distinct())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted(map(tuple, found.collect())) == sorted([*((i, t, int(i % 3 != 0)) for i, t in rows), (7, "", 1)])
+
+
 def test_quality_learns_from_every_labelled_row(spark):
     """More text than one dictionary is built from at once: all of it counts, in dictionaries and calibration."""
     rng = random.Random(2)
