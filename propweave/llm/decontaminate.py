@@ -41,8 +41,8 @@ STOP_SHARE, STOP_LEAST, LEAST_WORDS, STRICT = 0.1, 10, 5, 0.9
 COSINE, LCS, ANSWER = 0.65, 0.6, 0.5
 ANSWER_PART = 0.25
 #: Items searched in one pass over the documents, items multiplied with passages at once, numbers a task sums up at once,
-#: pairs of words that a task holds before it passes them on.
-BLOCK_ITEMS, BLOCK_COSINES, SUM_NUMBERS, HELD_PAIRS = 1 << 16, 1024, 1 << 24, 1 << 21
+#: pairs of words that a task holds before it passes them on, sums that leave it at once.
+BLOCK_ITEMS, BLOCK_COSINES, SUM_NUMBERS, HELD_PAIRS, TAKEN = 1 << 16, 1024, 1 << 24, 1 << 21, 1 << 17
 
 
 
@@ -198,18 +198,21 @@ class PairSums:
             yield from self.take()
 
     def take(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if self.table is not None:
-            cell = np.flatnonzero(self.table)
-            i = np.searchsorted(self.rows, cell, side="right") - 1
-            pair, total = i * self.n + cell - self.rows[i] + i, self.table[cell]
-        elif self.held:
-            pair, which = np.unique(np.concatenate([p for p, _ in self.held]), return_inverse=True)
-            total = np.bincount(which, np.concatenate([w for _, w in self.held]))
-            self.held, self.size = [], 0
-        else:
+        if self.table is not None:  # a part at a time: what goes with a number takes several times its own place
+            for at in range(0, len(self.table), TAKEN):
+                part = self.table[at : at + TAKEN]
+                cell = np.flatnonzero(part)
+                if len(cell):
+                    i = np.searchsorted(self.rows, cell + at, side="right") - 1
+                    yield i * self.n + cell + at - self.rows[i] + i, part[cell]
+            return
+        if not self.held:
             return
-        for at in range(0, len(pair), 1 << 17):
-            yield pair[at : at + (1 << 17)], total[at : at + (1 << 17)]
+        pair, which = np.unique(np.concatenate([p for p, _ in self.held]), return_inverse=True)
+        total = np.bincount(which, np.concatenate([w for _, w in self.held]))
+        self.held, self.size = [], 0
+        for at in range(0, len(pair), TAKEN):
+            yield pair[at : at + TAKEN], total[at : at + TAKEN]
 
 
 def word_pairs(docs: DataFrame, index: Index) -> DataFrame:

@@ -286,6 +286,24 @@ def test_word_pairs_cover_every_passage(spark, monkeypatch):
     assert np.allclose(decontaminate.pair_products(np.zeros((5, 5)), pair, weight, np.eye(5)), 9 * (np.minimum.outer(range(5), range(5)) + 10.0 * np.maximum.outer(range(5), range(5))))
 
 
+def test_pair_sums_leave_a_part_at_a_time():
+    import tracemalloc
+
+    n = 1500
+    sums = decontaminate.PairSums(n)
+    i, j = np.triu_indices(n)
+    assert not list(sums.add(i, j, np.arange(1.0, len(i) + 1)))
+    tracemalloc.start()
+    seen = 0
+    for pair, weight in sums.take():
+        assert (pair == i[seen : seen + len(pair)] * n + j[seen : seen + len(pair)]).all()
+        assert (weight == np.arange(seen + 1, seen + len(pair) + 1)).all()
+        seen += len(pair)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == len(i) and most < sums.table.nbytes * 1.5  # all at once took five times the table
+
+
 def test_singular_vectors_are_those_of_the_matrix(spark, bench):
     """The randomised basis holds as much of the matrix as numpy's."""
     rng = random.Random(11)
