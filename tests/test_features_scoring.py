@@ -175,6 +175,22 @@ def test_pair_counts_of_two_buckets_stay_in_one_task(spark, cons):
     assert "REPARTITION_BY_NUM" in plan
 
 
+def test_parts_of_pair_counts_grow_with_the_rows(spark, cons, obs, monkeypatch):
+    """More rows are nested and counted by more tasks, and a profile of half the substances is not one task's."""
+    monkeypatch.setattr(f, "NEST_ROWS", 10)
+    dealt = f.dealt_profiles(cons, len(obs), "sid", "assay", "value")
+    many = -(-len(obs) // 10)
+    assert many > 16 and dealt.rdd.getNumPartitions() == many
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(sid#" in plan and plan.count(f", {many})") >= 2
+    got = Counter()
+    for r in dealt.collect():
+        got[tuple(map(tuple, r["assay_val_pairs"]))] += r["weight"]
+    assert got == {tuple(map(tuple, r["assay_val_pairs"])): r["weight"] for r in f.profiles(cons).collect()}
+    assert max(r["weight"] for r in dealt.collect()) < 45
+    test_pair_counts_equal_brute_force(spark, cons, obs)
+
+
 def test_pair_counts_of_lists_longer_than_a_block(spark):
     rows_ = [(sid, a, (sid * a) % 2) for sid in range(3) for a in range(700)]
     got = {(r["x"], r["y"]): [r[c] for c in f.CELLS] for r in
