@@ -41,8 +41,8 @@ STOP_SHARE, STOP_LEAST, LEAST_WORDS, STRICT = 0.1, 10, 5, 0.9
 COSINE, LCS, ANSWER = 0.65, 0.6, 0.5
 ANSWER_PART = 0.25
 #: Items searched in one pass over the documents, items multiplied with passages at once, numbers a task sums up at once,
-#: pairs of words that a task holds before it passes them on, sums that leave it at once.
-BLOCK_ITEMS, BLOCK_COSINES, SUM_NUMBERS, HELD_PAIRS, TAKEN = 1 << 16, 1024, 1 << 24, 1 << 21, 1 << 17
+#: those of them that are sums of word pairs, other pairs that a task holds before it passes them on, sums that leave it at once.
+BLOCK_ITEMS, BLOCK_COSINES, SUM_NUMBERS, PAIR_NUMBERS, HELD_PAIRS, TAKEN = 1 << 16, 1024, 1 << 24, 1 << 21, 1 << 18, 1 << 17
 
 
 
@@ -177,35 +177,37 @@ def passage_pairs(ids: np.ndarray, step: np.ndarray, step_at: np.ndarray, square
 
 
 class PairSums:
-    """Sums by pair of ``n`` words: all of a task at once where they are few, else passed on before they are too many.
+    """Sums by pair of ``n`` words: those of the commonest words in a table, others passed on before they are too many.
 
-    A pair leaves as the smaller number times ``n`` plus the larger.
+    ``common`` has the words' numbers, the commonest first. The table has PAIR_NUMBERS places at most, whatever ``n``,
+    and takes most of what is added. A pair leaves as the smaller number times ``n`` plus the larger.
     """
 
-    def __init__(self, n: int):
-        self.n, small = n, np.arange(n + 1)
-        self.rows = small * n - small * (small - 1) // 2  # the table holds the upper triangle
-        self.table = np.zeros(self.rows[n]) if self.rows[n] <= SUM_NUMBERS else None
+    def __init__(self, n: int, common: np.ndarray | None = None):
+        self.n = n
+        self.common = np.arange(n) if common is None else common
+        self.rank = np.empty(n, np.int64)
+        self.rank[self.common] = np.arange(n)
+        most = min(PAIR_NUMBERS, SUM_NUMBERS)
+        self.top = min(n, int((np.sqrt(8 * most + 1) - 1) // 2))
+        small = np.arange(self.top + 1)
+        self.rows = small * self.top - small * (small - 1) // 2  # the table holds the upper triangle
+        self.table = np.zeros(self.rows[-1])
         self.held, self.size = [], 0
 
     def add(self, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if self.table is not None:
-            np.add.at(self.table, self.rows[i] + j - i, weight)
-            return
-        self.held.append((i * self.n + j, weight))
-        self.size += len(i)
-        if self.size >= HELD_PAIRS:
-            yield from self.take()
-
-    def take(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if self.table is not None:  # a part at a time: what goes with a number takes several times its own place
-            for at in range(0, len(self.table), TAKEN):
-                part = self.table[at : at + TAKEN]
-                cell = np.flatnonzero(part)
-                if len(cell):
-                    i = np.searchsorted(self.rows, cell + at, side="right") - 1
-                    yield i * self.n + cell + at - self.rows[i] + i, part[cell]
-            return
+        a, b = self.rank[i], self.rank[j]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        near = b < self.top
+        np.add.at(self.table, self.rows[a[near]] + b[near] - a[near], weight[near])
+        far = ~near
+        if far.any():
+            self.held.append((i[far] * self.n + j[far], weight[far]))
+            self.size += len(self.held[-1][0])
+            if self.size >= HELD_PAIRS:
+                yield from self._passed_on()
+
+    def _passed_on(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if not self.held:
             return
         pair, which = np.unique(np.concatenate([p for p, _ in self.held]), return_inverse=True)
@@ -214,13 +216,23 @@ class PairSums:
         for at in range(0, len(pair), TAKEN):
             yield pair[at : at + TAKEN], total[at : at + TAKEN]
 
+    def take(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield from self._passed_on()
+        for at in range(0, len(self.table), TAKEN):  # a part at a time: what goes with a number takes several times its own place
+            part = self.table[at : at + TAKEN]
+            cell = np.flatnonzero(part)
+            if len(cell):
+                a = np.searchsorted(self.rows, cell + at, side="right") - 1
+                i, j = self.common[a], self.common[cell + at - self.rows[a] + a]
+                yield np.minimum(i, j) * self.n + np.maximum(i, j), part[cell]
+
 
 def word_pairs(docs: DataFrame, index: Index) -> DataFrame:
     """(pair, weight): the sums of ``passage_pairs`` over all passages of the column ``text``."""
     n, square = len(index.words), index.idf.astype(float) ** 2
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = PairSums(n)
+        sums = PairSums(n, np.argsort(index.idf, kind="stable"))
 
         def rows(found):
             for pair, weight in found:

@@ -304,6 +304,32 @@ def test_pair_sums_leave_a_part_at_a_time():
     assert seen == len(i) and most < sums.table.nbytes * 1.5  # all at once took five times the table
 
 
+def test_pair_sums_take_bounded_memory():
+    import tracemalloc
+
+    n, rng = 5000, np.random.default_rng(1)
+    common = rng.permutation(n)
+    tracemalloc.start()
+    sums, want, rare = decontaminate.PairSums(n, common), np.zeros((n, 50)), 0.0
+    got = np.zeros((n, n), np.float32)
+    base = tracemalloc.get_traced_memory()[0] - sums.table.nbytes
+    tracemalloc.reset_peak()
+    for _ in range(100):
+        i, j = common[(n * rng.random((2, 20_000)) ** 6).astype(int)]  # some words are far more frequent
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        np.add.at(want, (i, i % 50), 1.0)
+        for pair, weight in sums.add(i, j, np.ones(len(i))):
+            np.add.at(got, (pair // n, pair % n), weight)
+            rare += weight.sum()
+    for pair, weight in sums.take():
+        assert (pair // n <= pair % n).all()
+        np.add.at(got, (pair // n, pair % n), weight)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got.sum(axis=1), want.sum(axis=1)) and got.sum() == 2_000_000 and 0 < rare < 1_000_000
+    assert most - base < 64e6  # a table of all pairs alone took 100 MB
+
+
 def test_singular_vectors_are_those_of_the_matrix(spark, bench):
     """The randomised basis holds as much of the matrix as numpy's."""
     rng = random.Random(11)
