@@ -4,6 +4,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from propweave.operators import features as f, scoring as s
 
 
@@ -91,6 +93,29 @@ def test_grid_is_complete(spark):
     assert got.count() == 210 and got.distinct().count() == 210
 
 
+def test_product_is_spread_over_tasks_whatever_its_input(spark):
+    c, p = spark.range(300).selectExpr("cast(id as string) as name"), spark.range(200).selectExpr("id as property_id")
+    got = s.candidate_x_property(c, p).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert sum(r["count"] for r in got) == 60_000 and max(r["count"] for r in got) < 30_000  # it was one task
+
+
+def test_score_all_is_predict_property_of_all_pairs(spark, cons):
+    """Also for large ids, an unknown and a null substance and a property without a conditional table; the pairs are not shuffled."""
+    big = 1 << 60
+    known = cons.select("sid", (F.col("assay") + F.lit(big)).alias("assay"), "value")
+    cond = f.conditional_table(known)
+    prior = f.priors(known).select("target", "prior").unionByName(spark.createDataFrame([(big - 1, 0.25), (None, 0.5)], "target bigint, prior double"))
+    sub = cons.select("sid").distinct().limit(9)
+    sub = sub.unionByName(sub.limit(3)).unionByName(spark.createDataFrame([(987654321,), (None,)], "sid bigint").select(F.col("sid").cast(sub.schema["sid"].dataType)))
+    out = s.score_all(sub, known, cond, prior, k=4, r=5)
+    want = s.predict_property(s.candidate_x_property(sub, prior.select("target")), known, cond, prior, 4, 5, distinct=True)
+    key = lambda r: (str(r["sid"]), r["target"])
+    got, want = sorted(out.collect(), key=key), sorted(want.collect(), key=key)
+    assert [(*key(r), r["n_contexts"]) for r in got] == [(*key(r), r["n_contexts"]) for r in want]
+    assert all(abs(a["prob"] - b["prob"]) < 1e-12 for a, b in zip(got, want))
+    assert "collect_set" not in out._jdf.queryExecution().toString()
+
+
 def test_score_all_covers_every_property(spark, cons):
     sub = cons.filter("sid < 5").select("sid").distinct()
     out = s.score_all(sub, cons, f.conditional_table(cons), f.priors(cons), k=4, r=5)
