@@ -87,3 +87,14 @@ def test_rebalance_and_heat(spark):
     df = spark.createDataFrame([(0.0,), (0.1,), (1.0,)], "p double")
     assert [x[0] for x in df.select(r.rebalance(F.col("p"))).collect()] == [0.0, 0.5, 1.0]
     assert [x[0] for x in df.select(r.heat_code(F.col("p") + 0.6)).collect()] == [0, 1, 2]
+
+
+def test_distinct_rows_of_a_join_are_dealt_to_many_tasks(spark):
+    """Names of candidates may be null and rows repeated; one task makes all rows, and none may hold them all."""
+    rows = [(s, t, c, n, p, 9.0) for s, t, c, n, p in [("a", "x", "k", "1", 0.5), ("a", "x", "k", "2", 0.75), ("a", "x", "l", None, 0.25), ("b", "y", "k", "1", 1.0)]]
+    df = spark.createDataFrame(rows * 3 + [("a", "x", "k", "9", 1.0, 1.0)], "source string, property_title string, category string, name string, prediction double, strength double").coalesce(1)
+    prevalent, hazards = r.property_prevalence(df, 2), r.hazard_counts(df, ["k", "l"], cut=0.6)
+    assert {tuple(r) for r in prevalent.collect()} == {("a", "x", "k", 0.625, 1), ("a", "x", "l", 0.125, 0), ("b", "y", "k", 0.5, 1)}
+    assert {tuple(r) for r in hazards.collect()} == {("1", 1), ("2", 1), (None, 0)}
+    for out in (prevalent, hazards):
+        assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().toString()

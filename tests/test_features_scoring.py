@@ -94,9 +94,10 @@ def test_grid_is_complete(spark):
 
 
 def test_product_is_spread_over_tasks_whatever_its_input(spark):
-    c, p = spark.range(300).selectExpr("cast(id as string) as name"), spark.range(200).selectExpr("id as property_id")
+    c = spark.range(0, 300, 1, 1).selectExpr("cast(id as string) as name")
+    p = spark.range(0, 200, 1, 1).selectExpr("id as property_id")
     got = s.candidate_x_property(c, p).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
-    assert sum(r["count"] for r in got) == 60_000 and max(r["count"] for r in got) < 30_000  # it was one task
+    assert sum(r["count"] for r in got) == 60_000 and max(r["count"] for r in got) < 30_000  # one task had all, as it read all
 
 
 def test_score_all_is_predict_property_of_all_pairs(spark, cons):
