@@ -275,3 +275,47 @@ def test_candidate_grid_holds_every_family(spark, tmp_path):
         spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     got = {tuple(r) for r in QUERIES["candidate_x_property"](spark, str(tmp_path)).select("name", "property_id").collect()}
     assert got == {(f"F{i}", p) for i in range(3) for p in (1, 2)}
+
+
+def test_pairs_are_no_rows_of_the_plan(spark, cons):
+    """Pairs are formed and counted in the tasks' arrays; the table of priors meets them without a shuffle of theirs."""
+    assert "Generate" not in f.pair_counts(cons)._jdf.queryExecution().executedPlan().toString()
+    plan = f.conditional_table(cons)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(target#" not in plan and "hashpartitioning(x#" not in plan
+
+
+@pytest.mark.parametrize("dense", [1 << 20, 0])
+@pytest.mark.parametrize("name", [int, str])
+@pytest.mark.parametrize("exclude_self", [False, True])
+@pytest.mark.parametrize("heavy", [1, 1 << 55])
+def test_packed_lists_are_counted_exactly(monkeypatch, dense, name, exclude_self, heavy):
+    """In one array or sorted and merged, numbers or names, weights too large to share a number with their key."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(f, "DENSE_KEYS", dense)
+    monkeypatch.setattr(f, "PAIRS_AT_ONCE", 7)
+    monkeypatch.setattr(f, "ENTRIES_AT_ONCE", 20)
+    monkeypatch.setattr(f, "PAIR_BLOCK", 3)
+    rnd = random.Random(4)
+    lists = [[(name(a), rnd.randint(0, 1)) for a in range(10, 23) if rnd.random() < 0.5] for _ in range(25)] + [[]]
+    weights = [1 if dense else heavy if i == 3 else rnd.randint(1, 5) for i in range(26)]
+    kind = pa.int64() if name is int else pa.string()
+    batch = pa.RecordBatch.from_arrays([pa.array([[{"assay_index": a, "value": v} for a, v in x] for x in lists], pa.list_(pa.struct(
+        [("assay_index", kind), ("value", pa.int32())]))), pa.array(weights)], names=["assay_val_pairs", "weight"])
+    groups = {}
+    for out in f._dealt_pairs(3)(iter([batch.slice(0, 9), batch.slice(9)])):
+        for i in range(len(out)):
+            groups.setdefault((out["bx"][i].as_py(), out["by"][i].as_py()), []).append(out.slice(i, 1))
+    got = {}
+    for group in groups.values():
+        for out in f._pair_counter(exclude_self, 4, kind)(iter(group)):
+            for r in out.to_pylist():
+                assert (r["x"], r["y"]) not in got
+                got[r["x"], r["y"]] = [r[c] for c in f.CELLS]
+    want = {}
+    for x, w in zip(lists, weights):
+        for a, v in x:
+            for b, u in x:
+                if a != b or not exclude_self:
+                    want.setdefault((a, b), [0] * 4)[2 * v + u] += w
+    assert got == {k: v for k, v in want.items() if sum(v) > 4}
