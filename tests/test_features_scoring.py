@@ -319,3 +319,30 @@ def test_packed_lists_are_counted_exactly(monkeypatch, dense, name, exclude_self
                 if a != b or not exclude_self:
                     want.setdefault((a, b), [0] * 4)[2 * v + u] += w
     assert got == {k: v for k, v in want.items() if sum(v) > 4}
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_contexts_of_all_values_leave_nothing_out(spark, distinct):
+    """Without k each context holds every known value but the target's; as by the steps with a k above all numbers of values."""
+    rnd = random.Random(8)
+    known = [(f"s{i}", a, rnd.randint(0, 1)) for i in range(50) for a in range(12) if rnd.random() < 0.2 + i % 5 / 6] + [("s3", None, 1), ("only", 4, 1)]
+    known = spark.createDataFrame(known, "sid string, assay bigint, value int")
+    cond, prior = f.conditional_table(known, min_count=3), f.priors(known)
+    asked = spark.createDataFrame([(f"s{i}", t) for i in range(52) for t in range(12)] + [(None, 1), ("s1", 77), ("s1", None), ("only", 4), ("only", 5)],
+                                  "sid string, target int")
+    got = {(r["sid"], r["target"]): (r["prob"], r["n_contexts"]) for r in s.predict_property(asked, known, cond, prior, r=5, distinct=distinct).collect()}
+    want = s.ensemble_mean(s.score_contexts(s.random_contexts(asked, known, 40, 5, distinct=distinct), cond, prior)).collect()
+    assert len(got) == len(want) > 500
+    for r in want:
+        prob, n = got[r["sid"], r["target"]]
+        assert prob == pytest.approx(r["prob"], abs=1e-12) and n == r["n_contexts"]
+    assert got["only", 4][1] == 1 and got["only", 5][1] == (1 if distinct else 5)
+
+
+def test_values_meet_the_blocks_packed(spark, cons):
+    """Lists of many substances are a few rows, however many blocks they are sent to, and no row of the table is shuffled alone."""
+    cond, prior = f.conditional_table(cons), f.priors(cons)
+    asked = cons.selectExpr("sid", "assay as target")
+    for out in (s.predict_property(asked, cons, cond, prior, 4, 5), s.predict_property(asked, cons, cond, prior), s.score_all(asked.select("sid"), cons, cond, prior)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInPandas" not in plan and "hashpartitioning(target#" not in plan and plan.count("MapInArrow") >= 3
