@@ -19,11 +19,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from propweave.operators.similarity import block_join
+from propweave.operators.similarity import MOST_ROWS, ROWS_PER_CHUNK, block_join
 from propweave.sources.scratch import materialise
 
 #: Rows that the centres and codes are trained on, lists at most, rounds of k-means, parts of a vector, codes of a part.
 SAMPLE, MOST_LISTS, ROUNDS, PARTS, CODES = 65_536, 16_384, 8, 8, 64
+#: Queries that a task holds against the centres, or against its lists, at once.
+QUERIES_AT_ONCE = 1024
 
 
 @dataclass
@@ -138,52 +140,112 @@ def fit(corpus: DataFrame, lists: int | None = None, parts: int = PARTS, codes:
     return Index(centres, coded, stored, rows.select("id", "vec"), stored.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _visits(queries: DataFrame, index: Index, visits: int) -> DataFrame:
+def _near(b: pa.RecordBatch, centres: np.ndarray, k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows of a batch, some at a time, and the lists that each visits."""
+    for at in range(0, len(b), QUERIES_AT_ONCE):
+        part = b.slice(at, QUERIES_AT_ONCE)
+        yield part, nearest(_matrix(part.column("vec")), centres, k)
+
+
+def _visits(queries: DataFrame, index: Index, visits: int, groups: int) -> DataFrame:
+    """(id, vec, _cell, cells): each query once for every group of lists that it visits, with the lists visited there."""
     centres, k = index.centres, min(visits, len(index.centres))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
-                near = nearest(_matrix(b.column("vec")), centres, k)
-                yield pa.RecordBatch.from_arrays([
-                    b.column("id").take(pa.array(np.repeat(np.arange(len(b)), k))), b.column("vec").take(pa.array(np.repeat(np.arange(len(b)), k))),
-                    pa.array(near.ravel(), pa.int32())], names=["id", "vec", "cell"])
+        for part, near in (x for b in batches for x in _near(b, centres, k)):
+            for g in range(groups):
+                row, at = np.nonzero(near % groups == g)
+                if len(row):
+                    own, first = np.unique(row, return_index=True)
+                    cells = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(near[row, at].astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(own)), part.column("vec").take(pa.array(own)),
+                                                      pa.array([str(g)] * len(own)), cells], names=["id", "vec", "_cell", "cells"])
 
     kind = queries.schema["id"].dataType.simpleString()
-    return queries.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(apply, f"id {kind}, vec array<double>, cell int")
+    return queries.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(
+        apply, f"id {kind}, vec array<double>, _cell string, cells array<int>")
+
+
+def _visitors(queries: DataFrame, index: Index, visits: int) -> DataFrame:
+    """(cell, q): how many queries visit each list, from each task."""
+    centres, k = index.centres, min(visits, len(index.centres))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(centres), np.int64)
+        for _, near in (x for b in batches for x in _near(b, centres, k)):
+            n += np.bincount(near.ravel(), minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n), pa.int32()), pa.array(n[n > 0])], names=["cell", "q"])
+
+    return queries.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(apply, "cell int, q bigint")
 
 
 def search(queries: DataFrame, index: Index, k: int = 5, visits: int = 8, rerank: int = 50, exclude_self: bool = False) -> DataFrame:
     """(qid, cid, score, value, rank): the k nearest of the ``rerank`` best by code in the ``visits`` lists nearest to each query.
 
-    ``score`` is the negative squared distance. A list of any size is cut into chunks; each gives back
-    its ``rerank`` best for a query.
+    ``score`` is the negative squared distance. The lists are put into groups of bounded size, a query is sent once to each
+    group that it visits, and a task goes from list to list; of a group, cut into chunks where a list is large, a
+    query gets its ``rerank`` best.
     """
     centres, codes = index.centres, index.codes
+    groups = max(1, ceil((index.sizes.agg(F.sum("n")).first()[0] or 0) / MOST_ROWS))
+
+    def best_of(x: np.ndarray, own: np.ndarray, visited: list, code: np.ndarray, ids: np.ndarray, cells: dict):
+        """(row, column) of the best of some queries: those not worse than the last of the best so far are put among them now and then."""
+        edge = np.full(len(x), np.inf)
+        best, waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), []
+
+        def merged(held, waiting):
+            r, c, n = (np.concatenate([h, *(w[i] for w in waiting)]) for i, h in enumerate(held))
+            order = np.lexsort((c, n, r))  # columns are in the order of the ids, which breaks ties
+            r, c, n = r[order], c[order], n[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r, side="left")
+            edge[r[place == rerank - 1]] = n[place == rerank - 1]
+            return tuple(v[place < rerank] for v in (r, c, n))
+
+        size = np.array([len(v) for v in visited])
+        asked, of = np.concatenate(visited), np.repeat(np.arange(len(x)), size)
+        order = np.argsort(asked, kind="stable")
+        asked, of = asked[order], of[order]
+        for cell, members in cells.items():
+            rows = of[np.searchsorted(asked, cell):np.searchsorted(asked, cell, side="right")]
+            if not len(rows):
+                continue
+            q = (x[rows] - centres[cell]).reshape(len(rows), codes.shape[0], -1)
+            tables = [((q[:, p, None, :] - codes[p][None]) ** 2).sum(2) for p in range(codes.shape[0])]
+            for at in range(0, len(members), ROWS_PER_CHUNK):
+                there = members[at:at + ROWS_PER_CHUNK]
+                far = np.zeros((len(rows), len(there)))
+                for p, table in enumerate(tables):  # distances to the codes of a part are looked up
+                    far += table[:, code[there, p]]
+                if exclude_self:
+                    far[own[rows][:, None] == ids[there][None, :]] = np.inf
+                close = (far <= edge[rows][:, None]) & np.isfinite(far)
+                if rerank < len(there) and np.count_nonzero(close) > 2 * rerank * len(rows):
+                    close &= far <= np.partition(far, rerank - 1, axis=1)[:, rerank - 1, None]
+                r, j = np.nonzero(close)
+                waiting.append((rows[r], there[j], far[r, j]))
+                if sum(len(w[0]) for w in waiting) > 2 * rerank * len(x):
+                    best, waiting = merged(best, waiting), []
+        return merged(best, waiting)
 
     def kernel(key, lp, rp):
         out = {"qid": "int64", "cid": "int64", "near": "float64", "value": "float64"}
-        if len(lp) == 0 or len(rp) == 0:
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in out.items()})
-        rp = rp.sort_values("id", kind="stable")
-        parts = codes.shape[0]
-        q = (np.stack(lp["vec"].to_list()) - centres[int(key[0])]).reshape(len(lp), parts, -1)
-        code = np.frombuffer(b"".join(rp["code"].to_list()), np.uint8).reshape(len(rp), parts)
-        far = np.zeros((len(lp), len(rp)))
-        for p in range(parts):  # distances to the codes of a part are looked up
-            table = ((q[:, p, None, :] - codes[p][None]) ** 2).sum(2)
-            far += table[:, code[:, p]]
-        ids, own = rp["id"].to_numpy(), lp["id"].to_numpy()
-        if exclude_self:
-            far[own[:, None] == ids[None, :]] = np.inf
-        take = np.argsort(far, axis=1, kind="stable")[:, :rerank]
-        row = np.repeat(np.arange(len(lp)), take.shape[1])
-        found = pd.DataFrame({"qid": own[row], "cid": ids[take.ravel()], "near": far[row, take.ravel()], "value": rp["value"].to_numpy()[take.ravel()]})
-        return found[np.isfinite(found["near"])]
-
-    asked = _visits(queries, index, visits).withColumn("_cell", F.col("cell").cast("string")).drop("cell")
-    stored = index.lists.withColumn("_cell", F.col("cell").cast("string")).drop("cell")
-    best = block_join(asked, stored, kernel, "qid bigint, cid bigint, near double, value double")
+        found = []
+        if len(lp) and len(rp):
+            rp = rp.sort_values("id", kind="stable")
+            code = np.frombuffer(b"".join(rp["code"].to_list()), np.uint8).reshape(len(rp), codes.shape[0])
+            ids, cell, value = rp["id"].to_numpy(), rp["cell"].to_numpy(), rp["value"].to_numpy()
+            cells = {int(c): np.flatnonzero(cell == c) for c in np.unique(cell)}
+            for at in range(0, len(lp), QUERIES_AT_ONCE):
+                some = lp.iloc[at:at + QUERIES_AT_ONCE]
+                own = some["id"].to_numpy()
+                row, col, near = best_of(np.stack(some["vec"].to_list()), own, some["cells"].to_list(), code, ids, cells)
+                found.append(pd.DataFrame({"qid": own[row], "cid": ids[col], "near": near, "value": value[col]}))
+        return pd.concat(found) if found else pd.DataFrame({c: pd.Series(dtype=t) for c, t in out.items()})
+
+    asked = _visits(queries, index, visits, groups)
+    stored = index.lists.withColumn("_cell", F.pmod("cell", F.lit(groups)).cast("string"))
+    best = block_join(asked, stored, kernel, "qid bigint, cid bigint, near double, value double", most=MOST_ROWS, right_rows=MOST_ROWS)
     few = best.withColumn("_r", F.row_number().over(W.partitionBy("qid").orderBy("near", "cid"))).filter(F.col("_r") <= rerank).drop("_r", "near")
     both = few.join(index.vectors.select(F.col("id").alias("cid"), F.col("vec").alias("c")), "cid").join(
         queries.select(F.col("id").alias("qid"), F.col("vec").cast("array<double>").alias("q")).distinct(), "qid")
@@ -196,5 +258,5 @@ def search(queries: DataFrame, index: Index, k: int = 5, visits: int = 8, rerank
 def comparisons(queries: DataFrame, index: Index, visits: int = 8) -> DataFrame:
     """One row: mean code distances a query, rows of the corpus."""
     n = index.sizes.agg(F.sum("n")).first()[0]
-    return _visits(queries, index, visits).groupBy("cell").agg(F.count(F.lit(1)).alias("q")).join(index.sizes, "cell").agg(
+    return _visitors(queries, index, visits).groupBy("cell").agg(F.sum("q").alias("q")).join(index.sizes, "cell").agg(
         (F.sum(F.col("q") * F.col("n")) / F.lit(max(queries.count(), 1))).alias("per_query"), F.lit(n).alias("corpus"))

@@ -54,3 +54,20 @@ def test_few_rows(spark):
     assert [(r["qid"], r["cid"], r["score"]) for r in ann.search(one, ann.fit(one), 5).collect()] == [(7, 7, 0.0)]
     same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(40)], "id bigint, vec array<double>")
     assert ann.search(same.filter("id = 3"), ann.fit(same), 5).count() == 5
+
+
+def test_a_query_is_sent_once_to_a_group_of_lists(spark):
+    """Not once for each list it visits; the lists that it visits come along."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=8)]) for i in range(300)], "id bigint, vec array<double>")
+    index = ann.fit(rows, lists=20, rounds=2)
+    sent = ann._visits(rows, index, ann.MOST_LISTS, 3).collect()
+    assert len(sent) == 3 * 300 and all(int(c) % 3 == int(r["_cell"]) for r in sent for c in r["cells"])
+    assert sum(len(r["cells"]) for r in sent) == 20 * 300
+    all_ = [(r["qid"], r["cid"], r["rank"]) for r in ann.search(rows, index, 5, ann.MOST_LISTS, rerank=300).collect()]
+    vec = {r["id"]: np.array(r["vec"]) for r in rows.collect()}
+    for q in (0, 17, 299):
+        want = sorted(vec, key=lambda c: (((vec[q] - vec[c]) ** 2).sum(), c))[:5]
+        assert [c for a, c, _ in sorted(all_, key=lambda x: x[2]) if a == q] == want
