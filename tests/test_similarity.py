@@ -187,3 +187,30 @@ def test_diversity_counts_every_pair_over_several_chunks(spark):
             at = min(int(round(len(a & b) / len(a | b), 6) * 20 + 1e-9), 19)
             want[at] = want.get(at, 0) + 1
     assert got == want
+
+
+def test_equally_near_rows_are_cut_to_the_first(monkeypatch):
+    """Many equal vectors: the same k best as by sorting all, and not every equal one is sorted."""
+    import numpy as np
+
+    from propweave.operators import similarity
+
+    monkeypatch.setattr(similarity, "ROWS_PER_CHUNK", 64)
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 2, (300, 3)).astype(float)
+    ids = np.arange(300) * 3
+    sorted_ = []
+    lexsort = np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorted_.append(len(keys[0])) or lexsort(keys))
+    for metric in ("ip", "l2"):
+        for bound in (None, 1.5):
+            row, col, score = similarity._k_best(x, x, ids, ids, 4, metric, bound, True)
+            got = {}
+            for r, c, v in zip(row, col, score):
+                got.setdefault(r, []).append((c, round(v, 6)))
+            for r in range(300):
+                cost = ((x[r] - x) ** 2).sum(1) if metric == "l2" else -(x @ x[r])
+                limit = np.inf if bound is None else bound if metric == "l2" else -bound
+                want = sorted((v, c) for c, v in enumerate(cost) if c != r and v < limit)[:4]
+                assert got.get(r, []) == [(c, v if metric == "l2" else -v) for v, c in want]
+    assert max(sorted_) <= 64 * 4 * 6
